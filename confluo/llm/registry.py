@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import bpe, sharding, token_files
 
 QUERIES = {
+    "op1_byte_bpe": bpe.query,
+    "op8_elias_fano_token_files": token_files.query,
     "op9_sampled_splitter_sharding": sharding.query,
 }
 
