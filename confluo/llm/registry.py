@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding, token_files
+from . import bpe, html_text, quality, sharding, token_files
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
+    "op4_quadratic_discriminant_quality": quality.query,
+    "op5_composite_text_density": html_text.query,
     "op8_elias_fano_token_files": token_files.query,
     "op9_sampled_splitter_sharding": sharding.query,
 }
