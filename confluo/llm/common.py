@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +22,13 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, tag)
+def write(df: DataFrame, tag: str) -> Callable[[], DataFrame]:
+    """Write df as Parquet in the shared folder; the result reads it, each time as a new relation."""
+    path, schema, spark = fresh_path(df.sparkSession, tag), df.schema, df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return lambda: spark.read.schema(schema).parquet(path)
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """df, written and read back: cuts the lineage and survives lost executors."""
+    return write(df, tag)()

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, quality, sharding, token_files
+from . import bpe, html_text, quality, sharding, token_files, topk_search
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
     "op4_quadratic_discriminant_quality": quality.query,
     "op5_composite_text_density": html_text.query,
+    "op6_kd_tree_top_k": topk_search.query,
     "op8_elias_fano_token_files": token_files.query,
     "op9_sampled_splitter_sharding": sharding.query,
 }
