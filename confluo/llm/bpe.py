@@ -14,11 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import batches, split
+from .pretokens import PieceCache, batches, split
 
 NEVER = np.int64(1) << 62
-#: Pieces kept with their ids by a Python worker; at most about 100 MB.
-CACHED = 400_000
 
 
 class RankEncoder:
@@ -36,7 +34,7 @@ class RankEncoder:
                     pairs[a << 32 | b] = r
         self.pair = np.array(sorted(pairs), np.int64)
         self.pair_rank = np.array([pairs[p] for p in self.pair.tolist()], np.int64)
-        self.cache: dict[str, bytes] = {}
+        self.cache = PieceCache(self.encode_pieces)
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -104,11 +102,7 @@ class RankEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian uint32."""
         words, first = split(texts)
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        new = list(set(words).difference(self.cache))
-        self.cache.update(zip(new, self.encode_pieces(new), strict=True))
-        ids = list(map(self.cache.__getitem__, words))
+        ids = self.cache(words)
         return [b"".join(ids[a:b]) for a, b in zip(first, first[1:], strict=False)]
 
     def decode(self, ids: bytes) -> bytes:

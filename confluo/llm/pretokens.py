@@ -7,6 +7,7 @@ and the last white space before a word stands apart from the white space in fron
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -82,3 +83,22 @@ def batches(ids: list, texts: list, most: int = 1 << 20):
         size += len(t)
     if a < len(texts):
         yield ids[a:], texts[a:]
+
+
+class PieceCache:
+    """Encoded pieces, most of them used lately: two generations of at most so many pieces."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 250_000):
+        self.encode, self.most = encode, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        missing = set(words).difference(self.young)
+        known = missing.intersection(self.old)
+        self.young.update((w, self.old[w]) for w in known)
+        new = list(missing - known)
+        self.young.update(zip(new, self.encode(new), strict=True))
+        return list(map(self.young.__getitem__, words))

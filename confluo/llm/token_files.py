@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -13,12 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path
-from .pretokens import batches, split
+from .pretokens import PieceCache, batches, split
 
 MAGIC = b"EFIDS001"
 #: Every so many values the position of a value's high bit is stored, as uint32 from the start.
 SELECT_STEP = 256
-CACHED = 400_000
 
 
 class EliasFano:
@@ -105,6 +105,14 @@ def unpack(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     return [None] * nulls + keys.values().tolist(), bounds, flat
 
 
+@lru_cache(1)
+def _byte_chars() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if it shows, else one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 @lru_cache(1)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -112,18 +120,19 @@ def _tokenizer(path: str):
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return t, {}
+    model, chars = t.model, _byte_chars()
+
+    def encode(pieces: list[str]) -> list[bytes]:
+        shown = [p.encode().decode("latin-1").translate(chars) for p in pieces]
+        return [array("I", [x.id for x in model.tokenize(p)]).tobytes() for p in shown]
+
+    return t, PieceCache(encode)
 
 
 def _encode(path: str, texts: list[str], end_id: int) -> list[np.ndarray]:
-    """The library encodes each distinct piece of the batch once: it merges within pieces only."""
-    t, cache = _tokenizer(path)
+    """The library's model encodes each distinct piece once: merges stay within pieces."""
     words, first = split(texts)
-    if len(cache) > CACHED:
-        cache.clear()
-    new = list(set(words).difference(cache))
-    cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False), strict=True))
-    ids = list(map(cache.__getitem__, words))
+    ids = _tokenizer(path)[1](words)
     end = np.array([end_id], "<u4").tobytes()
     return [np.frombuffer(b"".join(ids[a:b]) + end, "<u4") for a, b in zip(first, first[1:], strict=False)]
 
