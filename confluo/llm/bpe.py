@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import PieceCache, batches, split
+from .pretokens import PieceCache, batches, gather
 
 NEVER = np.int64(1) << 62
 
@@ -34,6 +34,9 @@ class RankEncoder:
                     pairs[a << 32 | b] = r
         self.pair = np.array(sorted(pairs), np.int64)
         self.pair_rank = np.array([pairs[p] for p in self.pair.tolist()], np.int64)
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.token_size = np.array(list(map(len, tokens)), np.int64)
+        self.token_at = np.cumsum(self.token_size) - self.token_size
         self.cache = PieceCache(self.encode_pieces)
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -99,14 +102,13 @@ class RankEncoder:
                     out[i] = ids
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian uint32."""
-        words, first = split(texts)
-        ids = self.cache(words)
-        return [b"".join(ids[a:b]) for a, b in zip(first, first[1:], strict=False)]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (uint32) and where each text's ids start (and the end of all)."""
+        return self.cache(texts)
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids and where each id's bytes start (and the end of all)."""
+        return gather(self.token_bytes, self.token_at[ids], self.token_size[ids])
 
 
 @lru_cache(2)
@@ -130,13 +132,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
         encoder = load(ranks_path)
         for part in parts:
             for ids, texts in batches(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]):
-                codes = encoder.encode(texts)
+                flat, bounds = encoder.encode(texts)
+                raw, starts = encoder.decode(flat)
+                cuts = starts[bounds]
                 yield pa.record_batch(
                     [
                         pa.array(ids, pa.int64()),
-                        pa.array([len(c) // 4 for c in codes], pa.int64()),
-                        pa.array(codes, pa.binary()),
-                        pa.array(list(map(encoder.decode, codes)), pa.binary()),
+                        pa.array(np.diff(bounds), pa.int64()),
+                        pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((bounds * 4).astype("<i4")), pa.py_buffer(flat.astype("<u4"))]),
+                        pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(cuts.astype("<i4")), pa.py_buffer(raw)]),
                     ],
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )

@@ -6,8 +6,6 @@ from functools import lru_cache
 
 import numpy as np
 
-from .pretokens import code_points
-
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
 STEP = U(0xD1342543DE82EF95)  # the base of the rolling hash, odd so that it has an inverse
@@ -26,6 +24,19 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(n, dtype=U) + (U(salt) << U(32)))
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+@lru_cache(1)
+def _char_table() -> np.ndarray:
+    return mix(np.arange(0x110000))
+
+
+def char_hashes(chars: np.ndarray) -> np.ndarray:
+    return _char_table()[chars]
+
+
 @lru_cache(4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
@@ -36,7 +47,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _rolling(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def rolling(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The hash of values[begin:end] for every span, wherever it stands."""
     up, down = _powers(1 << max(20, len(values).bit_length()))
     total = np.zeros(len(values) + 1, U)
@@ -60,7 +71,7 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(solid[1:] != solid[:-1])
     begins, ends = edge[::2], edge[1::2]
     bounds = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
-    return _rolling(BYTE[data], begins, ends), np.searchsorted(begins, bounds)
+    return rolling(BYTE[data], begins, ends), np.searchsorted(begins, bounds)
 
 
 WORD = seeds(64, 2) | U(1)
@@ -84,13 +95,13 @@ def word_shingles(texts: list[str], k: int = 5) -> list[np.ndarray]:
 
 def char_shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k-character shingles of all texts, repeats included, and how many come before each; a shorter text is one."""
-    chars = mix(code_points("".join(texts)))
+    chars = char_hashes(code_points("".join(texts)))
     size = np.array([len(t) for t in texts], np.int64)
     count = np.where(size >= k, size - k + 1, np.minimum(size, 1))
     first = np.concatenate([[0], np.cumsum(count)])
     start = np.cumsum(size) - size
     begins = np.arange(first[-1]) + np.repeat(start - first[:-1], count)
-    return _rolling(chars, begins, begins + np.repeat(np.minimum(size, k), count)), first
+    return rolling(chars, begins, begins + np.repeat(np.minimum(size, k), count)), first
 
 
 def minwise(shingles: np.ndarray, first: np.ndarray, n: int, salt: int = 3) -> np.ndarray:

@@ -13,6 +13,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from .hashing import char_hashes, code_points, rolling
+
 LETTER, NUMBER, OTHER, SPACE, EDGE = range(5)
 # The contractions that the pattern cuts off.
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -28,16 +30,13 @@ def char_classes() -> np.ndarray:
     return classes
 
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
-
-
-def split(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """The matches of all texts, in order, and how many matches come before each text (one entry more than texts)."""
+def spans(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """All texts as one string, where its matches begin (and the end of all), and how many matches come before each
+    text (one entry more than texts)."""
     whole = "".join(texts)
     ends = np.cumsum([len(t) for t in texts])
     if not whole:
-        return [], np.zeros(len(texts) + 1, np.int64)
+        return "", np.zeros(1, np.int64), np.zeros(len(texts) + 1, np.int64)
     chars = code_points(whole)
     kind = char_classes()[chars]
     begins = np.concatenate([[0], ends[:-1]])
@@ -68,9 +67,19 @@ def split(texts: list[str]) -> tuple[list[str], np.ndarray]:
         start[rest[rest < len(chars)]] = True
 
     first = np.flatnonzero(start)
-    cuts = first.tolist()
-    words = [whole[a:b] for a, b in zip(cuts, cuts[1:] + [len(whole)], strict=True)]
-    return words, np.concatenate([[0], np.searchsorted(first, ends)])
+    return whole, np.concatenate([first, [len(chars)]]), np.concatenate([[0], np.searchsorted(first, ends)])
+
+
+def split(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The matches of all texts, in order, and how many matches come before each text."""
+    whole, cuts, first = spans(texts)
+    return [whole[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)], first
+
+
+def gather(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs values[begin:begin+size], one after the other, and where each starts (and the end of all)."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    return values[np.repeat(begins - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
 
 
 def batches(ids: list, texts: list, most: int = 1 << 20):
@@ -86,19 +95,29 @@ def batches(ids: list, texts: list, most: int = 1 << 20):
 
 
 class PieceCache:
-    """Encoded pieces, most of them used lately: two generations of at most so many pieces."""
+    """Ids of texts by their pieces: each distinct piece of a batch, told apart by a 64-bit hash, is looked up once, and
+    pieces not used lately are encoded. Two generations of at most so many pieces are kept."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 250_000):
         self.encode, self.most = encode, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def __call__(self, words: list[str]) -> list[bytes]:
+    def _ids(self, words: list[str]) -> list[bytes]:
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
-        missing = set(words).difference(self.young)
-        known = missing.intersection(self.old)
+        missing = [w for w in words if w not in self.young]
+        known = [w for w in missing if w in self.old]
         self.young.update((w, self.old[w]) for w in known)
-        new = list(missing - known)
+        new = [w for w in missing if w not in self.young]
         self.young.update(zip(new, self.encode(new), strict=True))
         return list(map(self.young.__getitem__, words))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (uint32) of all texts and where each text's ids start (and the end of all)."""
+        whole, cuts, first = spans(texts)
+        _, at, place = np.unique(rolling(char_hashes(code_points(whole)), cuts[:-1], cuts[1:]), return_index=True, return_inverse=True)
+        ids = self._ids([whole[a:b] for a, b in zip(cuts[at].tolist(), cuts[at + 1].tolist(), strict=True)])
+        sizes = np.array(list(map(len, ids)), np.int64) // 4
+        flat, bounds = gather(np.frombuffer(b"".join(ids), "<u4"), (np.cumsum(sizes) - sizes)[place], sizes[place])
+        return flat, bounds[first]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path
-from .pretokens import PieceCache, batches, split
+from .pretokens import PieceCache, batches
 
 MAGIC = b"EFIDS001"
 #: Every so many values the position of a value's high bit is stored, as uint32 from the start.
@@ -131,10 +131,8 @@ def _tokenizer(path: str):
 
 def _encode(path: str, texts: list[str], end_id: int) -> list[np.ndarray]:
     """The library's model encodes each distinct piece once: merges stay within pieces."""
-    words, first = split(texts)
-    ids = _tokenizer(path)[1](words)
-    end = np.array([end_id], "<u4").tobytes()
-    return [np.frombuffer(b"".join(ids[a:b]) + end, "<u4") for a, b in zip(first, first[1:], strict=False)]
+    flat, bounds = _tokenizer(path)[1](texts)
+    return np.split(np.insert(flat, bounds[1:], end_id), (bounds[1:] + np.arange(1, len(bounds)))[:-1])
 
 
 def write_token_files(
