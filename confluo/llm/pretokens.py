@@ -82,7 +82,7 @@ def gather(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[n
     return values[np.repeat(begins - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
 
 
-def batches(ids: list, texts: list, most: int = 1 << 20):
+def batches(ids: list, texts: list, most: int = 1 << 21):
     """Runs of rows with about so many characters; a longer text stands alone."""
     a = size = 0
     for b, t in enumerate(texts):
