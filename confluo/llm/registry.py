@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, near_dedup, quality, sharding, token_files, topk_search
+from . import bpe, html_text, line_dedup, near_dedup, quality, sharding, token_files, topk_search
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
+    "op2_minhash_line_dedup": line_dedup.query,
     "op3_tensored_minhash_dedup": near_dedup.query,
     "op4_quadratic_discriminant_quality": quality.query,
     "op5_composite_text_density": html_text.query,
