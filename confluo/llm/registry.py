@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, line_dedup, near_dedup, quality, sharding, token_files, topk_search
+from . import bpe, decontaminate, html_text, line_dedup, near_dedup, quality, sharding, token_files, topk_search, warc_revisits
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -11,8 +11,12 @@ QUERIES = {
     "op4_quadratic_discriminant_quality": quality.query,
     "op5_composite_text_density": html_text.query,
     "op6_kd_tree_top_k": topk_search.query,
+    "op7_spaced_seed_decontamination": decontaminate.query,
     "op8_elias_fano_token_files": token_files.query,
     "op9_sampled_splitter_sharding": sharding.query,
+    "op10_warc_revisit_resolution": warc_revisits.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc_revisit_resolution": warc_revisits.SQL,
+}
