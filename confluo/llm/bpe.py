@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,7 +122,7 @@ def load(path: str) -> RankEncoder:
 
 def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and decode its ids again; returns doc_id, n_tokens, ids (little-endian uint32, binary),
-    decoded (binary).
+    decoded (binary), same (whether decoded is the text).
 
     A map over rows: no shuffle, a row's memory is bounded by its own text. Null and empty texts have no ids; null ids
     and repeated rows stay as they are; other input columns are ignored; an empty table gives an empty result. Strings
@@ -135,18 +136,21 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
                 flat, bounds = encoder.encode(texts)
                 raw, starts = encoder.decode(flat)
                 cuts = starts[bounds]
+                decoded = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(cuts.astype("<i4")), pa.py_buffer(raw)])
+                same = pc.equal(decoded, pa.array(texts, pa.string()).cast(pa.binary()))
                 yield pa.record_batch(
                     [
                         pa.array(ids, pa.int64()),
                         pa.array(np.diff(bounds), pa.int64()),
                         pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((bounds * 4).astype("<i4")), pa.py_buffer(flat.astype("<u4"))]),
-                        pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(cuts.astype("<i4")), pa.py_buffer(raw)]),
+                        decoded,
+                        same,
                     ],
-                    names=["doc_id", "n_tokens", "ids", "decoded"],
+                    names=["doc_id", "n_tokens", "ids", "decoded", "same"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary, same boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

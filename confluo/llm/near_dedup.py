@@ -10,7 +10,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -61,19 +61,22 @@ def _table_keys(items: DataFrame) -> DataFrame:
     return sides.select("id", F.explode("l").alias("l"), "r").select("id", "l", F.explode("r").alias("r")).select(F.xxhash64("l", "r").alias("key"), "id")
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col), F.lit(1))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents linked by 100 * common >= percent * union over their distinct 5-word shingles.
 
     Words are runs without ASCII white space, with A-Z lower-cased; a shorter text is one shingle; an empty or null text
     has none and is linked with nothing. Returns doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id
-    = component_id), row_key (tells rows apart; equal rows share it).
+    = component_id), row_key (tells rows apart; equal rows share it) and first_key (the row key of the group's least id).
 
     Texts with equal sets are one class from the start, by a 128-bit digest, so thousands of copies cost one row each.
     Rows with a null id are linked like others and have the least id of their group, null if all are null; repeated rows
     stay; other columns are ignored; an empty table gives an empty result.
     """
-    row_key = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(1))
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key.alias("row_key"))
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _row_key(id_col, text_col).alias("row_key"))
     # The row key travels as the id; the document's id comes back with it.
     marks = named.select("row_key", "text").mapInArrow(_signatures, "doc_id long, n long, d1 long, d2 long, halves array<long>")
     marks = write(marks.withColumnRenamed("doc_id", "row_key"), "signatures")
@@ -90,12 +93,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     placed = owners.join(marks().select("row_key", "n", "d1", "d2").distinct(), "row_key").join(classes(), ["d1", "d2"], "left").join(linked, "id", "left")
     placed = placed.select("doc_id", F.col("n").alias("n_shingles"), "row_key", F.coalesce("component", "id", "row_key").alias("root"))
     placed = write(placed, "placed")
-    least = write(placed().groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    out = placed().join(least(), "root")
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")
+    first = F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first_key")
+    least = write(placed().groupBy("root").agg(F.min("doc_id").alias("component_id"), first), "least")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return placed().join(least(), "root").select("doc_id", "n_shingles", "component_id", kept, "row_key", "first_key")
+
+
+def keep_one(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of which one stays of each group of near_duplicates: the least id's; of
+    equal rows one stays."""
+    found = near_duplicates(docs, percent, id_col, text_col)
+    keys = write(found.groupBy("row_key").agg(F.min("first_key").alias("first_key"), F.count("*").alias("c")), "row-groups")
+    named = docs.withColumn("row_key", _row_key(id_col, text_col))
+    once = named.join(keys().where("row_key != first_key or c > 1").select("row_key"), "row_key", "left_anti")
+    again = named.join(keys().where("row_key = first_key and c > 1").select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
-    return near_duplicates(read(spark, sf_dir, "documents")).drop("row_key")
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("row_key", "first_key")

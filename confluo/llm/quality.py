@@ -112,6 +112,11 @@ def fit(labelled: DataFrame) -> QuadraticDiscriminant:
     return QuadraticDiscriminant(moments)
 
 
+def _train(stats: DataFrame, labels: DataFrame) -> QuadraticDiscriminant:
+    marks = labels.where(F.col("quality").isin(0, 1) & ~held_out("doc_id")).select(F.col("doc_id").cast("long"), "quality")
+    return fit(stats.join(marks, "doc_id"))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Quality of every document: doc_id, held_out, score, predicted.
 
@@ -121,8 +126,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     classes the score is that of the class seen, or 0.5.
     """
     stats = materialize(document_statistics(docs, id_col, text_col), "quality-statistics")
-    marks = labels.where(F.col("quality").isin(0, 1) & ~held_out("doc_id")).select(F.col("doc_id").cast("long"), "quality")
-    model = fit(stats.join(marks, "doc_id"))
+    model = _train(stats, labels)
 
     def run(parts):
         for part in parts:
@@ -133,6 +137,22 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold; else as score_documents.
+
+    Rows are filtered where they are read: texts are not shuffled or stored again.
+    """
+    model = _train(materialize(document_statistics(docs, id_col, text_col), "quality-statistics"), labels)
+    place = docs.columns.index(text_col)
+
+    def run(parts):
+        for part in parts:
+            x = np.array([statistics(t or "") for t in part.column(place).to_pylist()]).reshape(-1, len(STATISTICS))
+            yield part.filter(pa.array(model.scores(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
