@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import PieceCache, batches, gather
+from .pretokens import PieceCache, text_runs, gather
 
 NEVER = np.int64(1) << 62
 
@@ -132,7 +132,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     def run(parts):
         encoder = load(ranks_path)
         for part in parts:
-            for ids, texts in batches(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]):
+            for ids, texts in text_runs(part.column(0), part.column(1)):
                 flat, bounds = encoder.encode(texts)
                 raw, starts = encoder.decode(flat)
                 cuts = starts[bounds]

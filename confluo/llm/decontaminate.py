@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .common import write
-from .pretokens import batches
+from .pretokens import text_runs
 
 #: Words of a window and substitutions allowed in it; an item of fewer words is one window with its share of them.
 WINDOW, SUBSTITUTIONS = 16, 3
@@ -103,7 +103,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     def test_seeds(parts):
         for part in parts:
-            for keys, texts in batches(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for keys, texts in text_runs(part.column(0), part.column(1)):
                 for key, text in zip(keys, texts, strict=True):
                     h, first = hashing.words([text])
                     if len(h) < LEAST_WORDS:
@@ -125,7 +125,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     def doc_seeds(parts):
         for part in parts:
-            for keys, texts in batches(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]):
+            for keys, texts in text_runs(part.column(0), part.column(1)):
                 h, first = hashing.words(texts)
                 for window in windows:
                     for m, mask in enumerate(masks(*tolerance(window))):

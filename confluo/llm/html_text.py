@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import batches
+from .pretokens import text_runs
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -197,10 +197,9 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     def run(parts):
         for part in parts:
-            rows = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
-            for some, html in batches(rows, [h or "" for h in part.column(2).to_pylist()]):
+            for some, html in text_runs(pa.StructArray.from_arrays(part.columns[:2], ["id", "url"]), part.column(2)):
                 texts = list(map(main_text, html))
-                columns = [pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.string())]
+                columns = [pa.array([r["id"] for r in some], pa.int64()), pa.array([r["url"] for r in some], pa.string())]
                 columns += [pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
                 yield pa.record_batch(columns, names=["page_id", "url", "text", "n_chars"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import write
 from .linking import link_similar
-from .pretokens import batches
+from .pretokens import text_runs
 
 #: Characters a shingle; bands of minwise hashes: lines of similarity 0.75 share no band with a chance of 4 in 1,000, of
 #: 0.85 with 1 in 10,000.
@@ -45,8 +45,7 @@ def _lines(texts: list[str]) -> tuple[list[str], list[int], list[int]]:
 
 def _bands(parts):
     for part in parts:
-        texts = [t or "" for t in part.column(0).to_pylist()]
-        for _, some in batches(texts, texts):
+        for _, some in text_runs(part.column(0), part.column(0)):
             lines = list(dict.fromkeys(_lines(some)[0]))
             if lines:
                 shingles, first = hashing.char_shingles(lines, SHINGLE)
@@ -57,17 +56,16 @@ def _bands(parts):
 
 def _places(parts):
     for part in parts:
-        keys, ids = part.column(0).to_pylist(), part.column(1).to_pylist()
-        for some, texts in batches(list(zip(keys, ids, strict=True)), [t or "" for t in part.column(2).to_pylist()]):
+        for some, texts in text_runs(pa.StructArray.from_arrays(part.columns[:2], ["key", "id"]), part.column(2)):
             lines, owner, place = _lines(texts)
-            columns = [pa.array([some[i][0] for i in owner], pa.int64()), pa.array([some[i][1] for i in owner], pa.int64())]
+            columns = [pa.array([some[i][c] for i in owner], pa.int64()) for c in ("key", "id")]
             yield pa.record_batch([*columns, pa.array(place, pa.int32()), pa.array(_ids(lines))], names=["doc_key", "doc_id", "line", "id"])
 
 
 def _sets(parts):
     """The distinct shingles of each line; a line is given by one of its occurrences."""
     for part in parts:
-        for _, texts in batches(part.column(0).to_pylist(), [t or "" for t in part.column(0).to_pylist()]):
+        for _, texts in text_runs(part.column(0), part.column(0)):
             lines = list(dict.fromkeys(normal(t) for t in texts))
             shingles, first = hashing.char_shingles(lines, SHINGLE)
             sets = [np.unique(shingles[a:b]).view(np.int64) for a, b in zip(first, first[1:], strict=False)]

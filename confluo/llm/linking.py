@@ -1,18 +1,18 @@
 """Links between similar sets from shared keys: exact verification and distributed union-find.
 
 Used by line and document deduplication. Candidates share a key. Instead of all pairs of a key's holders, each key's
-leader is compared with the others; whoever is then in another component is compared with the next leaders, until every
-pair of a key that could still link two components has been decided.
+leader is compared with the others. Where a key then still holds several components, its sets meet through their rarest
+common elements, with bounds that leave out every pair that cannot reach the threshold: exact for all that is left.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, write
+from .common import write
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -56,43 +56,49 @@ def link_similar(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per
     alone = owned.groupBy("id").agg(F.count("*").alias("alone"))
     fit = sets().select("id", F.size("set").cast("long").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
     fit = write(fit.where(100 * F.col("s") >= percent * F.col("n")), "fit-sets")
-
     sets = write(sets().join(fit().select("id"), "id", "left_semi"), "fit-elements")
-    buckets = write(live().join(fit(), "id"), "buckets")
-    spark = busy().sparkSession
-    edges, tested = [], []
-    labels = spark.createDataFrame([], "id long, component long")
-    lanes = 1
-    while True:
-        now = buckets().join(labels, "id", "left").select("key", F.struct("id", "n", "s", F.coalesce("component", "id").alias("c")).alias("x"))
-        now = write(now, "bucket-labels")
-        open_keys = now().groupBy("key").agg(F.min("x.c").alias("lo"), F.max("x.c").alias("hi"), F.min("x.n").alias("least")).where("lo < hi")
-        open_keys = write(open_keys.select("key", "least"), "open-keys")
-        # A set that not even the key's smallest set can match leaves the key.
-        lasting = (100 + percent) * F.col("x.s") >= percent * (F.col("x.n") + F.col("least"))
-        now = write(now().join(open_keys(), "key").where(lasting).select("key", "x"), "open-buckets")
-        order = F.struct((F.col("x.n") - F.col("x.s")) / F.col("x.n"), -F.col("x.n"), "x.id")
-        leaders = now().groupBy("key", F.pmod(F.xxhash64("x.id"), F.lit(lanes)).alias("lane")).agg(F.min_by("x", order).alias("y"))
-        leaders = write(leaders.select("key", "y"), "leaders")
-        pairs = now().join(leaders(), "key").where((F.col("x.c") != F.col("y.c")) & _may_reach("x", "y", percent))
-        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        for old in tested:
-            pairs = pairs.join(old(), ["a", "b"], "left_anti")
-        pairs = write(pairs, "pairs")
-        tested.append(pairs)
-        found = write(_verified(pairs(), sets, percent), "links")
-        if not found().isEmpty():
-            edges.append(found)
-            every = edges[0]()
-            for more in edges[1:]:
-                every = every.union(more())
-            labels = components(every)
-        gone = leaders().select("key", F.col("y.id").alias("id"))
-        left = now().select("key", "x.id", "x.n", "x.s").join(gone, ["key", "id"], "left_anti")
-        buckets = write(left, "buckets")
-        if buckets().isEmpty():
-            return labels
-        lanes = min(lanes * 8, 512)
+
+    buckets = write(live().join(fit(), "id").select("key", F.struct("id", "n", "s").alias("x")), "buckets")
+    order = F.struct((F.col("x.n") - F.col("x.s")) / F.col("x.n"), -F.col("x.n"), "x.id")
+    leaders = write(buckets().groupBy("key").agg(F.min_by("x", order).alias("y"), F.count("*").alias("c")).where("c > 1").select("key", "y"), "leaders")
+    pairs = buckets().join(leaders(), "key").where((F.col("x.id") != F.col("y.id")) & _may_reach("x", "y", percent))
+    links = write(_verified(_pair("x.id", "y.id", pairs), sets, percent), "links")
+    labels = components(links())
+
+    held = write(buckets().select("key", "x.id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "bucket-labels")
+    open_keys = write(held().groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "open-keys")
+    ids = write(held().join(open_keys(), "key", "left_semi").select("id", "c").distinct(), "open-sets")
+    more = write(_verified(_rare_pairs(ids, sets, percent), sets, percent), "more-links")
+    return labels if more().isEmpty() else components(links().union(more()))
+
+
+def _pair(a: str, b: str, pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def _rare_pairs(ids: Callable[[], DataFrame], sets: Callable[[], DataFrame], percent: int) -> DataFrame:
+    """The pairs (a, b) of ids (id, component c) of different components that may reach the threshold.
+
+    Elements stand in one order, rarest first. If e, at places i and j, is the first element common to two sets, they
+    share at most min(n - i, m - j) elements; so an element late in a set brings no pair. Of an element's holders only
+    those in smaller components look for larger ones: the bulk of copies, which is one component, is never paired.
+    """
+    size = ids().groupBy("c").agg(F.count("*").alias("cs"))
+    rows = write(ids().join(size, "c").join(sets(), "id").select("id", F.struct("cs", "c").alias("c"), F.size("set").alias("n"), F.explode("set").alias("e")), "open-elements")
+    often = write(rows().groupBy("e").agg(F.count("*").alias("df")).where("df > 1"), "common-elements")
+    shared = rows().join(often(), "e")
+    later = F.count("*").over(Window.partitionBy("id")) - F.row_number().over(Window.partitionBy("id").orderBy("df", "e"))
+    shared = shared.select("id", "c", F.col("n").cast("long").alias("n"), "e", (later + 1).alias("left"))
+    reach = lambda left, n: (100 + percent) * left >= percent * n
+    # Sizes differ by percent at most, so an element is of use only while percent of the set is still to come.
+    early = write(shared.where(100 * F.col("left") >= percent * F.col("n")), "early-elements")
+    met = early().groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).where("lo < hi")
+    met = write(met, "met-elements")
+    near = early().join(met(), "e").where(reach(F.col("left"), F.col("n") + F.col("least")))
+    x = near.where("c < hi").select("e", F.struct("id", "c", "n", "left").alias("x"))
+    y = early().join(met().select("e", "lo"), "e").where("c > lo").select("e", F.struct("id", "c", "n", "left").alias("y"))
+    both = x.join(y, "e").where((F.col("x.c") < F.col("y.c")) & reach(F.least("x.left", "y.left"), F.col("x.n") + F.col("y.n")))
+    return _pair("x.id", "y.id", both)
 
 
 def _verified(pairs: DataFrame, sets: Callable[[], DataFrame], percent: int) -> DataFrame:

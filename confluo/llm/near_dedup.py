@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import write
 from .linking import link_similar
-from .pretokens import batches
+from .pretokens import text_runs
 
 #: Half keys a side, and minwise hashes a half key: a pair of similarity 0.75 shares no key with a chance of 1 in 10,000.
 HALVES, ROWS = 12, 2
@@ -24,7 +24,7 @@ HALVES, ROWS = 12, 2
 
 def _signatures(parts):
     for part in parts:
-        for ids, texts in batches(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]):
+        for ids, texts in text_runs(part.column(0), part.column(1)):
             sets = hashing.word_shingles(texts)
             size = np.array([len(s) for s in sets])
             full = np.flatnonzero(size)
@@ -47,7 +47,7 @@ def _signatures(parts):
 
 def _sets(parts):
     for part in parts:
-        for ids, texts in batches(part.column(0).to_pylist(), part.column(1).to_pylist()):
+        for ids, texts in text_runs(part.column(0), part.column(1)):
             sets = [s.view(np.int64) for s in hashing.word_shingles(texts)]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 from .hashing import char_hashes, code_points, rolling
@@ -82,7 +83,7 @@ def gather(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[n
     return values[np.repeat(begins - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
 
 
-def batches(ids: list, texts: list, most: int = 1 << 21):
+def batches(ids: list, texts: list, most: int = 1 << 20):
     """Runs of rows with about so many characters; a longer text stands alone."""
     a = size = 0
     for b, t in enumerate(texts):
@@ -94,11 +95,17 @@ def batches(ids: list, texts: list, most: int = 1 << 21):
         yield ids[a:], texts[a:]
 
 
+def text_runs(ids: pa.Array, texts: pa.Array, rows: int = 1024):
+    """As batches, from Arrow columns, of which few rows at a time become Python objects; null texts become empty."""
+    for a in range(0, len(texts), rows):
+        yield from batches(ids.slice(a, rows).to_pylist(), [t or "" for t in texts.slice(a, rows).to_pylist()])
+
+
 class PieceCache:
     """Ids of texts by their pieces: each distinct piece of a batch, told apart by a 64-bit hash, is looked up once, and
     pieces not used lately are encoded. Two generations of at most so many pieces are kept."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 250_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 200_000):
         self.encode, self.most = encode, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path
-from .pretokens import PieceCache, batches
+from .pretokens import PieceCache, text_runs
 
 MAGIC = b"EFIDS001"
 #: Every so many values the position of a value's high bit is stored, as uint32 from the start.
@@ -136,7 +136,7 @@ def _encode(path: str, texts: list[str], end_id: int) -> list[np.ndarray]:
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, ids_a_file: int = 1 << 24
+    docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, ids_a_file: int = 1 << 23
 ) -> DataFrame:
     """Encode texts and write their ids, in ascending order of document id, as files of about ids_a_file ids.
 
@@ -169,7 +169,7 @@ def write_token_files(
             return row
 
         for part in parts:
-            for some, texts in batches(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]):
+            for some, texts in text_runs(part.column(0), part.column(1)):
                 codes = _encode(tokenizer_path, texts, end_id)
                 keys += some
                 ids += [c.astype("<u2") if largest < 1 << 16 else c for c in codes]
