@@ -28,7 +28,7 @@ def forward(df: DataFrame, keys: Sequence[str], theta: str, a: Column, b: Column
     """Adds rain = max(0, z * dtheta + a * theta^b), dtheta being the change since the row before; NULL for series of
     fewer than min_n values."""
     df = df.withColumn("_t", wetness(theta))
-    df = df.withColumn("_d", difference(df, keys, "_t", day)).withColumn("_n", F.count("_t").over(Window.partitionBy(*keys)))
+    df = df.withColumn("_d", difference(keys, "_t", day)).withColumn("_n", F.count("_t").over(Window.partitionBy(*keys)))
     rain = F.when(F.col("_n") >= min_n, clip(z * F.col("_d") + a * F.pow("_t", b), 0.0))
     return df.withColumn("rain", rain).drop("_t", "_d", "_n")
 
@@ -37,7 +37,7 @@ def forward_infiltration(df: DataFrame, keys: Sequence[str], theta: str, a: floa
     """Adds rain by infiltration capacity: residual and saturated wetness are a key's 5th and 95th percentiles."""
     df = df.withColumn("_t", wetness(theta))
     limits = df.groupBy(*keys).agg(F.percentile("_t", F.lit(0.05)).alias("_lo"), F.percentile("_t", F.lit(0.95)).alias("_hi"))
-    df = df.withColumn("_d", difference(df, keys, "_t", day)).join(limits, list(keys))
+    df = df.withColumn("_d", difference(keys, "_t", day)).join(limits, list(keys))
     room = clip(F.col("_hi") - F.col("_lo"), 0.03, 0.60)
     depth = z * clip(F.col("_t") - F.col("_lo"), 0.1 / z)
     rate = ks * (1 + psi * room / clip(depth, 0.1))
@@ -49,7 +49,7 @@ def grid_calibrate(df: DataFrame, keys: Sequence[str], theta: str, target: str,
     """The parameters (a, b, z) of grid with the least mean squared error, by key: gaps are closed up before the change
     is taken. grid is a small table of candidates."""
     rows = df.dropna(subset=[theta, target]).withColumn("_t", wetness(theta))
-    rows = rows.withColumn("_d", difference(rows, keys, "_t", day))
+    rows = rows.withColumn("_d", difference(keys, "_t", day))
     rain = F.greatest(F.col("z") * F.col("_d") + F.col("a") * F.pow("_t", F.col("b")), F.lit(0.0))
     error = F.avg(F.pow(rain - F.col(target), F.lit(2.0)))
     tried = rows.crossJoin(F.broadcast(grid)).groupBy(*keys, "a", "b", "z").agg(error.alias("mse"), F.count("*").alias("n")).where(F.col("n") >= min_n)

@@ -49,7 +49,7 @@ def calendar(df: DataFrame, keys: Sequence[str], day: str = "day") -> DataFrame:
     return df.select(*keys).distinct().crossJoin(days).join(df, [*keys, day], "left")
 
 
-def difference(df: DataFrame, keys: Sequence[str], value: str, day: str = "day") -> Column:
+def difference(keys: Sequence[str], value: str, day: str = "day") -> Column:
     """Difference to the row before: 0 at the start of a series, NULL where either value is missing."""
     w = Window.partitionBy(*keys).orderBy(day)
     return F.when(F.row_number().over(w) == 1, F.when(F.col(value).isNotNull(), F.lit(0.0))).otherwise(F.col(value) - F.lag(value).over(w))
@@ -76,7 +76,7 @@ def never_valid(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(value).alias("n")).where("n = 0").select(*keys)
 
 
-def min_max(df: DataFrame, keys: Sequence[str], value: str, eps: float = 1e-6) -> Column:
+def min_max(keys: Sequence[str], value: str, eps: float = 1e-6) -> Column:
     """(v - min) / (max - min + eps) over a key's whole series."""
     w = Window.partitionBy(*keys)
     return (F.col(value) - F.min(value).over(w)) / (F.max(value).over(w) - F.min(value).over(w) + eps)
