@@ -21,9 +21,30 @@ def csv(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8", co
     return df.select(*columns) if columns else df
 
 
-def gauges(spark: SparkSession, path: str, encoding: str = "cp949") -> DataFrame:
-    """Hourly gauge rain; times that don't parse are NULL."""
-    raw = csv(spark, path, "ts string, station int, lat double, lon double, rain double", encoding)
+def recode(column: F.Column, encoding: str = "cp949") -> F.Column:
+    """Text of an encoding that Spark's CSV reader lacks, in a column read as iso-8859-1; what isn't in that encoding is
+    taken as UTF-8."""
+
+    @F.pandas_udf("string")
+    def decode(s: pd.Series) -> pd.Series:
+        def one(v: str | None) -> str | None:
+            if v is None:
+                return None
+            raw = v.encode("latin-1")
+            try:
+                return raw.decode(encoding)
+            except UnicodeDecodeError:
+                return raw.decode("utf-8", "replace")
+
+        return s.map(one)
+
+    return decode(column)
+
+
+def gauges(spark: SparkSession, path: str) -> DataFrame:
+    """Hourly gauge rain; times that don't parse are NULL. Only the header can hold other characters than digits, and the
+    schema is given, so the bytes are read as they are."""
+    raw = csv(spark, path, "ts string, station int, lat double, lon double, rain double", "iso-8859-1")
     return raw.withColumn("ts", F.expr("try_to_timestamp(ts)").cast("timestamp_ntz"))
 
 
