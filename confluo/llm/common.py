@@ -32,3 +32,22 @@ def write(df: DataFrame, tag: str) -> Callable[[], DataFrame]:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df, written and read back: cuts the lineage and survives lost executors."""
     return write(df, tag)()
+
+
+class Scratch:
+    """Tables of one computation: written in the shared folder and deleted by clear() once nothing reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, tag: str) -> Callable[[], DataFrame]:
+        path, schema = fresh_path(self.spark, tag), df.schema
+        df.write.parquet(path)
+        self.paths.append(path)
+        return lambda: self.spark.read.schema(schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.paths.clear()

@@ -165,9 +165,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that hold no test passage; see find_contamination."""
-    found = find_contamination(docs, benchmark, id_col, text_col).where("contaminated").select("doc_key").distinct()
-    named = docs.withColumn("doc_key", F.xxhash64(F.col(id_col), F.col(text_col), F.lit(3)))
-    return named.join(write(found, "bench-documents")(), "doc_key", "left_anti").select(*docs.columns)
+    found = find_contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_key").alias("__key")).distinct()
+    named = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col), F.lit(3)))
+    return named.join(write(found, "bench-documents")(), "__key", "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

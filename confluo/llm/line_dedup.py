@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import write
-from .linking import link_similar
+from .common import Scratch, write
+from .linking import Texts, link_similar
 from .pretokens import text_runs
 
 #: Characters a shingle; bands of minwise hashes: lines of similarity 0.75 share no band with a chance of 4 in 1,000, of
 #: 0.85 with 1 in 10,000.
 SHINGLE, BANDS, ROWS = 10, 10, 3
+#: Bits of the filter that leaves lines without candidates where they are: its size is fixed.
+FILTER_BITS = 26
 #: Lines of fewer characters recur in clean prose ("The.") and are left alone.
 SHORTEST = 20
 
@@ -43,33 +45,40 @@ def _lines(texts: list[str]) -> tuple[list[str], list[int], list[int]]:
     return found, owner, place
 
 
-def _bands(parts):
-    for part in parts:
-        for _, some in text_runs(part.column(0), part.column(0)):
-            lines = list(dict.fromkeys(_lines(some)[0]))
-            if lines:
-                shingles, first = hashing.char_shingles(lines, SHINGLE)
-                keys = hashing.keys(hashing.minwise(shingles, first, BANDS * ROWS), ROWS, 11)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.record_batch([pa.array(_ids(lines)), lists], names=["id", "bands"])
-
-
 def _places(parts):
+    """A row for each line, with its bands where it is the first of its kind in the run."""
     for part in parts:
         for some, texts in text_runs(pa.StructArray.from_arrays(part.columns[:2], ["key", "id"]), part.column(2)):
             lines, owner, place = _lines(texts)
+            if not lines:
+                continue
+            kinds = list(dict.fromkeys(lines))
+            at = {x: i for i, x in enumerate(kinds)}
+            which = np.array([at[x] for x in lines])
+            shingles, first = hashing.char_shingles(kinds, SHINGLE)
+            keys = hashing.keys(hashing.minwise(shingles, first, BANDS * ROWS), ROWS, 11)
+            fresh = np.zeros(len(lines), bool)
+            fresh[np.unique(which, return_index=True)[1]] = True
+            offsets = np.concatenate([[0], np.cumsum(fresh * BANDS)]).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[which[fresh]].ravel()))
             columns = [pa.array([some[i][c] for i in owner], pa.int64()) for c in ("key", "id")]
-            yield pa.record_batch([*columns, pa.array(place, pa.int32()), pa.array(_ids(lines))], names=["doc_key", "doc_id", "line", "id"])
+            columns += [pa.array(place, pa.int32()), pa.array(_ids(kinds)[which]), bands]
+            yield pa.record_batch(columns, names=["doc_key", "doc_id", "line", "id", "bands"])
 
 
-def _sets(parts):
-    """The distinct shingles of each line; a line is given by one of its occurrences."""
-    for part in parts:
-        for _, texts in text_runs(part.column(0), part.column(0)):
-            lines = list(dict.fromkeys(normal(t) for t in texts))
-            shingles, first = hashing.char_shingles(lines, SHINGLE)
-            sets = [np.unique(shingles[a:b]).view(np.int64) for a, b in zip(first, first[1:], strict=False)]
-            yield pa.record_batch([pa.array(_ids(lines)), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+def _set_bits(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size: bits that ids set, by their top bits."""
+    bit = F.shiftrightunsigned("id", 64 - FILTER_BITS)
+    one = F.call_function("shiftleft", F.lit(1), F.pmod(bit, F.lit(8)).cast("int"))
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for byte, held in ids.groupBy(F.shiftright(bit, 3).alias("byte")).agg(F.bit_or(one).alias("bits")).toLocalIterator():
+        bits[byte] = held
+    return bits
+
+
+def _shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    shingles, first = hashing.char_shingles(lines, SHINGLE)
+    return [np.unique(shingles[a:b]) for a, b in zip(first, first[1:], strict=False)]
 
 
 def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,37 +97,47 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     key = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(2))
     docs = docs.drop("dropped_lines", "same_as")
     texts = docs.select(key.alias("doc_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bands = write(texts.select("text").mapInArrow(_bands, "id long, bands array<long>"), "line-bands")
-    rows = bands().select("id", F.explode("bands").alias("key"))
-    places = write(texts.mapInArrow(_places, "doc_key long, doc_id long, line int, id long"), "line-places")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        spot = F.min(F.struct("doc_key", "line")).alias("at")
-        spots = places().join(ids, "id", "left_semi").groupBy("id").agg(spot).select("at.doc_key", "at.line")
-        spots = spots.groupBy("doc_key").agg(F.collect_set("line").alias("lines"))  # the lines of one document
-        wanted = texts.dropDuplicates(["doc_key"]).join(spots, "doc_key")
-        every = F.split("text", "\n", -1)
-        return wanted.select(F.explode(F.transform("lines", lambda i: F.get(every, i))).alias("line")).mapInArrow(_sets, "id long, set array<long>")
-
-    linked = write(link_similar(rows, sets_of, percent), "linked-lines")
+    old = Scratch(docs.sparkSession)
+    places = old.write(texts.mapInArrow(_places, "doc_key long, doc_id long, line int, id long, bands array<long>"), "line-places")
+    rows = places().select("id", F.explode("bands").alias("key"))
+
+    def lines_of(ids: DataFrame) -> DataFrame:
+        """(id, set): the normal form of each line wanted; lines that the filter stops are not moved."""
+        bits = _set_bits(ids)
+
+        def run(parts):
+            for part in parts:
+                for _, some in text_runs(part.column(0), part.column(0)):
+                    lines = list(dict.fromkeys(_lines(some)[0]))
+                    if lines:
+                        found = _ids(lines)
+                        place = found.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+                        hit = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                        yield pa.record_batch([pa.array(found[hit]), pa.array([lines[i] for i in hit], pa.string())], names=["id", "set"])
+
+        return texts.select("text").mapInArrow(run, "id long, set string").join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+    linked = write(link_similar(rows, lines_of, percent, Texts(_shingle_sets), one_in=8), "linked-lines")
     # Every line id with more than one occurrence, and every linked one.
-    repeated = places().groupBy("id").agg(F.count("*").alias("c"), F.min("doc_key").alias("k")).where("c > 1").select("id")
+    repeated = places().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     group = linked().select("id", "component").union(repeated.join(linked(), "id", "left_anti").select("id", F.col("id").alias("component")))
-    group = write(group, "line-groups")
-    spots = write(places().distinct().join(group(), "id").select("component", F.struct("doc_id", "doc_key", "line").alias("at")), "line-spots")
-    first = write(spots().groupBy("component").agg(F.min("at").alias("first")), "line-firsts")
+    group = old.write(group, "line-groups")
+    spots = places().select("id", F.struct("doc_id", "doc_key", "line").alias("at")).join(group(), "id")
+    spots = old.write(spots.select("component", "at").distinct(), "line-spots")
+    first = old.write(spots().groupBy("component").agg(F.min("at").alias("first")), "line-firsts")
     lost = spots().join(first(), "component").where("at != first")
-    lost = lost.groupBy(F.col("at.doc_key").alias("doc_key")).agg(F.sort_array(F.collect_set("at.line")).alias("dropped"), F.sort_array(F.collect_set("first.doc_id")).alias("same"))
+    lost = lost.groupBy(F.col("at.doc_key").alias("__key")).agg(F.sort_array(F.collect_set("at.line")).alias("__dropped"), F.sort_array(F.collect_set("first.doc_id")).alias("__same"))
     lost = write(lost, "lost-lines")
+    old.clear()
 
     text = F.when(
-        F.col("dropped").isNotNull(),
-        F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("dropped", i)), "\n"),
+        F.col("__dropped").isNotNull(),
+        F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__dropped", i)), "\n"),
     ).otherwise(F.col(text_col))
-    out = docs.withColumn("doc_key", key).join(lost(), "doc_key", "left")
+    out = docs.withColumn("__key", key).join(lost(), "__key", "left")
     kept = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(f"array<{kind}>"))
-    return out.select(*kept, none("dropped", "int").alias("dropped_lines"), none("same", "long").alias("same_as"))
+    return out.select(*kept, none("__dropped", "int").alias("dropped_lines"), none("__same", "long").alias("same_as"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import write
+from .common import Scratch, write
+from .pretokens import text_runs
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,15 +24,18 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hooks an id to the least label among its neighbours and then halves the paths; the number of rounds
     grows with the logarithm of the longest path. Labels stay in tables.
     """
-    both = write(edges.select("a", "b").union(edges.select("b", "a")), "edges")
-    labels = write(both().groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    old = Scratch(edges.sparkSession)
+    both = old.write(edges.select("a", "b").union(edges.select("b", "a")), "edges")
+    labels = old.write(both().groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
     while True:
         near = both().join(labels().select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        hooked = write(labels().join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("component")), "hooked")
+        hooked = old.write(labels().join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("component")), "hooked")
         up = hooked().select(F.col("id").alias("component"), F.col("component").alias("root"))
-        labels = write(hooked().join(up, "component").select("id", "old", F.col("root").alias("component")), "labels")
+        labels = old.write(hooked().join(up, "component").select("id", "old", F.col("root").alias("component")), "labels")
         if labels().where("component < old").isEmpty():
-            return labels().select("id", "component")
+            done = write(labels().select("id", "component"), "components")
+            old.clear()
+            return done()
 
 
 def _may_reach(a: str, b: str, percent: int) -> Column:
@@ -37,46 +43,108 @@ def _may_reach(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * F.least(f"{a}.s", f"{b}.s") >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def link_similar(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 75) -> DataFrame:
+class Arrays:
+    """Sets given as arrays of distinct longs."""
+
+    def elements(self, sets: DataFrame, one_in: int = 1) -> DataFrame:
+        """(id, e), of one in so many elements, by their value."""
+        return sets.select("id", F.explode("set").alias("e")).where(F.pmod("e", F.lit(one_in)) == 0)
+
+    def sizes(self, sets: DataFrame) -> DataFrame:
+        return sets.select("id", F.size("set").cast("long").alias("n"))
+
+    def verified(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """The pairs (a, b, sa, sb) whose whole sets are similar enough."""
+        common = pairs.withColumn("common", F.size(F.array_intersect("sa", "sb")))
+        return common.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+
+
+class Texts:
+    """Sets given as texts, from which shingles makes arrays of distinct elements (uint64): smaller to move."""
+
+    def __init__(self, shingles: Callable[[list[str]], list[np.ndarray]]):
+        self.shingles = shingles
+
+    def elements(self, sets: DataFrame, one_in: int = 1) -> DataFrame:
+        def run(parts):
+            for part in parts:
+                for ids, texts in text_runs(part.column(0), part.column(1)):
+                    found = [s[s % np.uint64(one_in) == 0] for s in self.shingles(texts)]
+                    flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+                    yield pa.record_batch([pa.array(np.repeat(np.array(ids, np.int64), [len(s) for s in found])), pa.array(flat)], names=["id", "e"])
+
+        return sets.select("id", "set").mapInArrow(run, "id long, e long")
+
+    def sizes(self, sets: DataFrame) -> DataFrame:
+        def run(parts):
+            for part in parts:
+                for ids, texts in text_runs(part.column(0), part.column(1)):
+                    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in self.shingles(texts)], pa.int64())], names=["id", "n"])
+
+        return sets.select("id", "set").mapInArrow(run, "id long, n long")
+
+    def verified(self, pairs: DataFrame, percent: int) -> DataFrame:
+        def run(parts):
+            for part in parts:
+                for a in range(0, len(part), 512):
+                    some = part.slice(a, 512)
+                    texts = list(dict.fromkeys(some.column(2).to_pylist() + some.column(3).to_pylist()))
+                    known = dict(zip(texts, self.shingles(texts), strict=True))
+                    keep = []
+                    for x, y in zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True):
+                        common = len(np.intersect1d(known[x], known[y], assume_unique=True))
+                        keep.append(100 * common >= percent * (len(known[x]) + len(known[y]) - common))
+                    yield some.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def link_similar(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 75, content: Arrays | Texts | None = None, one_in: int = 1) -> DataFrame:
     """Components of the sets linked by 100 * common >= percent * union: id, component (least id), for linked ids.
 
     rows (key, id): which sets are candidates for each other: those that share a key. sets_of(ids) gives (id, set) with
-    each set as an array of distinct longs; it is asked for candidates only.
+    each set in the form of content; it is asked for candidates only.
 
-    Every element that one candidate alone holds lowers what its set can have in common with any other, so sets that
-    cannot reach the threshold leave before any pair is made, and the set with the least such elements leads its keys:
-    copies of one text meet their original first. Exact among candidates; no pair is skipped by a cap. Keys held by very
-    many sets cost a join, not a group in one task.
+    Every element that one candidate alone holds lowers what its set can have in common with any other (one_in counts
+    such elements in part only, which is a weaker bound), so sets that cannot reach the threshold leave before any pair
+    is made, and the set with the least such elements leads its keys: copies of one text meet their original first.
+    Exact among candidates; no pair is skipped by a cap. Keys held by very many sets cost a join, not a group in one task.
     """
+    content = content or Arrays()
+    old = Scratch(rows.sparkSession)
     rows = rows.where(F.col("id").isNotNull())
-    busy = write(rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "busy-keys")
-    live = write(rows.join(busy(), "key", "left_semi").distinct(), "live-keys")
-    sets = write(sets_of(live().select("id").distinct()), "candidate-sets")
-    owned = sets().select("id", F.explode("set").alias("e")).groupBy("e").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    busy = old.write(rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "busy-keys")
+    live = old.write(rows.join(busy(), "key", "left_semi").distinct(), "live-keys")
+    sets = old.write(sets_of(live().select("id").distinct()), "candidate-sets")
+    owned = content.elements(sets(), one_in).groupBy("e").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
     alone = owned.groupBy("id").agg(F.count("*").alias("alone"))
-    fit = sets().select("id", F.size("set").cast("long").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
-    fit = write(fit.where(100 * F.col("s") >= percent * F.col("n")), "fit-sets")
-    sets = write(sets().join(fit().select("id"), "id", "left_semi"), "fit-elements")
+    fit = content.sizes(sets()).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
+    fit = old.write(fit.where(100 * F.col("s") >= percent * F.col("n")), "fit-sets")
+    if one_in == 1:
+        sets = old.write(sets().join(fit().select("id"), "id", "left_semi"), "fit-elements")
 
-    buckets = write(live().join(fit(), "id").select("key", F.struct("id", "n", "s").alias("x")), "buckets")
+    buckets = old.write(live().join(fit(), "id").select("key", F.struct("id", "n", "s").alias("x")), "buckets")
     order = F.struct((F.col("x.n") - F.col("x.s")) / F.col("x.n"), -F.col("x.n"), "x.id")
-    leaders = write(buckets().groupBy("key").agg(F.min_by("x", order).alias("y"), F.count("*").alias("c")).where("c > 1").select("key", "y"), "leaders")
+    leaders = old.write(buckets().groupBy("key").agg(F.min_by("x", order).alias("y"), F.count("*").alias("c")).where("c > 1").select("key", "y"), "leaders")
     pairs = buckets().join(leaders(), "key").where((F.col("x.id") != F.col("y.id")) & _may_reach("x", "y", percent))
-    links = write(_verified(_pair("x.id", "y.id", pairs), sets, percent), "links")
+    links = old.write(_verified(_pair("x.id", "y.id", pairs), sets, percent, content), "links")
     labels = components(links())
 
-    held = write(buckets().select("key", "x.id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "bucket-labels")
-    open_keys = write(held().groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "open-keys")
-    ids = write(held().join(open_keys(), "key", "left_semi").select("id", "c").distinct(), "open-sets")
-    more = write(_verified(_rare_pairs(ids, sets, percent), sets, percent), "more-links")
-    return labels if more().isEmpty() else components(links().union(more()))
+    held = old.write(buckets().select("key", "x.id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "bucket-labels")
+    open_keys = old.write(held().groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "open-keys")
+    ids = old.write(held().join(open_keys(), "key", "left_semi").select("id", "c").distinct(), "open-sets")
+    more = old.write(_verified(_rare_pairs(ids, sets, percent, content, old), sets, percent, content), "more-links")
+    if not more().isEmpty():
+        labels = components(links().union(more()))
+    old.clear()
+    return labels
 
 
 def _pair(a: str, b: str, pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def _rare_pairs(ids: Callable[[], DataFrame], sets: Callable[[], DataFrame], percent: int) -> DataFrame:
+def _rare_pairs(ids: Callable[[], DataFrame], sets: Callable[[], DataFrame], percent: int, content: Arrays | Texts, old: Scratch) -> DataFrame:
     """The pairs (a, b) of ids (id, component c) of different components that may reach the threshold.
 
     Elements stand in one order, rarest first. If e, at places i and j, is the first element common to two sets, they
@@ -84,16 +152,18 @@ def _rare_pairs(ids: Callable[[], DataFrame], sets: Callable[[], DataFrame], per
     those in smaller components look for larger ones: the bulk of copies, which is one component, is never paired.
     """
     size = ids().groupBy("c").agg(F.count("*").alias("cs"))
-    rows = write(ids().join(size, "c").join(sets(), "id").select("id", F.struct("cs", "c").alias("c"), F.size("set").alias("n"), F.explode("set").alias("e")), "open-elements")
-    often = write(rows().groupBy("e").agg(F.count("*").alias("df")).where("df > 1"), "common-elements")
-    shared = rows().join(often(), "e")
+    held = ids().join(size, "c").select("id", F.struct("cs", "c").alias("c"))
+    wanted = old.write(sets().join(held.select("id"), "id", "left_semi"), "open-contents")
+    rows = old.write(content.elements(wanted()), "open-elements")
+    often = old.write(rows().groupBy("e").agg(F.count("*").alias("df")).where("df > 1"), "common-elements")
+    shared = rows().join(often(), "e").join(held, "id").join(content.sizes(wanted()), "id")
     later = F.count("*").over(Window.partitionBy("id")) - F.row_number().over(Window.partitionBy("id").orderBy("df", "e"))
-    shared = shared.select("id", "c", F.col("n").cast("long").alias("n"), "e", (later + 1).alias("left"))
+    shared = shared.select("id", "c", "n", "e", (later + 1).alias("left"))
     reach = lambda left, n: (100 + percent) * left >= percent * n
     # Sizes differ by percent at most, so an element is of use only while percent of the set is still to come.
-    early = write(shared.where(100 * F.col("left") >= percent * F.col("n")), "early-elements")
+    early = old.write(shared.where(100 * F.col("left") >= percent * F.col("n")), "early-elements")
     met = early().groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).where("lo < hi")
-    met = write(met, "met-elements")
+    met = old.write(met, "met-elements")
     near = early().join(met(), "e").where(reach(F.col("left"), F.col("n") + F.col("least")))
     x = near.where("c < hi").select("e", F.struct("id", "c", "n", "left").alias("x"))
     y = early().join(met().select("e", "lo"), "e").where("c > lo").select("e", F.struct("id", "c", "n", "left").alias("y"))
@@ -101,10 +171,7 @@ def _rare_pairs(ids: Callable[[], DataFrame], sets: Callable[[], DataFrame], per
     return _pair("x.id", "y.id", both)
 
 
-def _verified(pairs: DataFrame, sets: Callable[[], DataFrame], percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def _verified(pairs: DataFrame, sets: Callable[[], DataFrame], percent: int, content: Arrays | Texts) -> DataFrame:
     one = sets().select(F.col("id").alias("a"), F.col("set").alias("sa"))
     two = sets().select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("common", common)
-    return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    return content.verified(pairs.join(one, "a").join(two, "b"), percent)

@@ -103,10 +103,11 @@ def keep_one(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_co
     """The rows of docs, with all their columns, of which one stays of each group of near_duplicates: the least id's; of
     equal rows one stays."""
     found = near_duplicates(docs, percent, id_col, text_col)
-    keys = write(found.groupBy("row_key").agg(F.min("first_key").alias("first_key"), F.count("*").alias("c")), "row-groups")
-    named = docs.withColumn("row_key", _row_key(id_col, text_col))
-    once = named.join(keys().where("row_key != first_key or c > 1").select("row_key"), "row_key", "left_anti")
-    again = named.join(keys().where("row_key = first_key and c > 1").select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"])
+    keys = found.groupBy(F.col("row_key").alias("__key")).agg(F.min("first_key").alias("first"), F.count("*").alias("c"))
+    keys = write(keys.where("__key != first or c > 1"), "row-groups")
+    named = docs.withColumn("__key", _row_key(id_col, text_col))
+    once = named.join(keys().select("__key"), "__key", "left_anti")
+    again = named.join(keys().where("__key = first").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
     return once.unionByName(again).select(*docs.columns)
 
 
