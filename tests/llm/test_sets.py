@@ -114,7 +114,7 @@ def test_line_dedup_odd_rows(spark):
     same = "a line that stands in every one of these"
     rows = [(2, same, "x"), (2, same, "y"), (None, same, None), (1, None, "z"), (1, "", "z"), (5, "x" * 200_000, "w")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, dropped_lines string")
-    got = sorted(((str(r.doc_id), r.text and len(r.text)) for r in line_dedup.dedup_lines(docs).collect()), key=str)
+    got = sorted(((str(r.doc_id), None if r.text is None else len(r.text)) for r in line_dedup.dedup_lines(docs).collect()), key=str)
     assert got == sorted([("None", len(same)), ("2", 0), ("2", 0), ("1", None), ("1", 0), ("5", 200_000)], key=str)
     assert line_dedup.dedup_lines(docs.where("doc_id = 77")).count() == 0
 
