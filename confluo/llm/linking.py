@@ -1,8 +1,9 @@
 """Links between similar sets from shared keys: exact verification and distributed union-find.
 
 Used by line and document deduplication. Candidates share a key. Instead of all pairs of a key's holders, each key's
-leader is compared with the others. Where a key then still holds several components, its sets meet through their rarest
-common elements, with bounds that leave out every pair that cannot reach the threshold: exact for all that is left.
+leader is compared with the others. Where a key then still holds several components, its sets are compared with each
+other if they are few; if they are many they meet through their rarest common elements, with bounds that leave out every
+pair that cannot reach the threshold: exact for all that is left.
 """
 
 from __future__ import annotations
@@ -43,6 +44,10 @@ def _may_reach(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * F.least(f"{a}.s", f"{b}.s") >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
+#: Keys with so many holders at most have their holders compared with each other.
+FEW = 8
+
+
 class Arrays:
     """Sets given as arrays of distinct longs."""
 
@@ -130,10 +135,17 @@ def link_similar(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per
     links = old.write(_verified(_pair("x.id", "y.id", pairs), sets, percent, content), "links")
     labels = components(links())
 
-    held = old.write(buckets().select("key", "x.id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "bucket-labels")
-    open_keys = old.write(held().groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "open-keys")
-    ids = old.write(held().join(open_keys(), "key", "left_semi").select("id", "c").distinct(), "open-sets")
-    more = old.write(_verified(_rare_pairs(ids, sets, percent, content, old), sets, percent, content), "more-links")
+    held = buckets().select("key", "x.*").join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    held = old.write(held, "bucket-labels")
+    # Of two holders the leader's comparison has decided. Few holders are compared with each other, many by rare elements.
+    counts = held().groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2")
+    counts = old.write(counts.select("key", (F.col("m") <= FEW).alias("few")), "open-keys")
+    some = old.write(held().join(counts().where("few"), "key").select("key", F.struct("id", "n", "s", "c").alias("x")), "small-keys")
+    other = some().select("key", F.col("x").alias("y"))
+    near = some().join(other, "key").where((F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _may_reach("x", "y", percent))
+    ids = old.write(held().join(counts().where("not few"), "key", "left_semi").select("id", "c").distinct(), "open-sets")
+    rest = _pair("x.id", "y.id", near).union(_rare_pairs(ids, sets, percent, content, old)).distinct()
+    more = old.write(_verified(rest, sets, percent, content), "more-links")
     if not more().isEmpty():
         labels = components(links().union(more()))
     old.clear()
