@@ -105,14 +105,14 @@ def char_shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minwise(shingles: np.ndarray, first: np.ndarray, n: int, salt: int = 3) -> np.ndarray:
-    """n minwise hashes (columns) of every non-empty run shingles[first[i]:first[i+1]]; runs must not be empty."""
-    a, b = seeds(n, salt) | U(1), seeds(n, salt + 100)
+    """n minwise hashes (columns, of 32 bits) of every run shingles[first[i]:first[i+1]]; runs must not be empty."""
+    a, b = (seeds(n, salt) | U(1)).astype(np.uint32), seeds(n, salt + 100).astype(np.uint32)
+    x = (shingles >> U(32)).astype(np.uint32)
     out = np.empty((len(first) - 1, n), U)
-    work = np.empty_like(shingles)
+    work = np.empty_like(x)
     for i in range(n):
-        np.multiply(shingles, a[i], out=work)
-        np.add(work, b[i], out=work)
-        np.bitwise_xor(work, work >> U(32), out=work)
+        np.multiply(x, a[i], out=work)
+        np.bitwise_xor(work, b[i], out=work)
         out[:, i] = np.minimum.reduceat(work, first[:-1])
     return out
 
