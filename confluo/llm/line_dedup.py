@@ -19,8 +19,8 @@ from .pretokens import text_runs
 SHINGLE, BANDS, ROWS = 10, 10, 3
 #: Bits of the filter that leaves lines without candidates where they are: its size is fixed.
 FILTER_BITS = 26
-#: Lines of fewer characters recur in clean prose ("The.") and are left alone.
-SHORTEST = 20
+#: Characters of the least line that takes part: blank lines hold no text and are left alone.
+SHORTEST = 1
 
 
 def normal(line: str) -> str:
@@ -33,12 +33,12 @@ def _ids(lines: list[str]) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(x.encode(), digest_size=8).digest() for x in lines), np.int64)
 
 
-def _lines(texts: list[str]) -> tuple[list[str], list[int], list[int]]:
+def _lines(texts: list[str], shortest: int = SHORTEST) -> tuple[list[str], list[int], list[int]]:
     """Normal forms of the lines that take part, with their text and their place in it."""
     found, owner, place = [], [], []
     for i, t in enumerate(texts):
         for j, x in enumerate(t.split("\n")):
-            if len(x) >= SHORTEST and len(x := normal(x)) >= SHORTEST:
+            if len(x) >= shortest and len(x := normal(x)) >= shortest:
                 found.append(x)
                 owner.append(i)
                 place.append(j)
@@ -46,7 +46,8 @@ def _lines(texts: list[str]) -> tuple[list[str], list[int], list[int]]:
 
 
 def _places(parts):
-    """A row for each line, with its bands where it is the first of its kind in the run."""
+    """A row for each line, with its bands where it is the first of its kind in the run. A line shorter than a shingle is
+    its own only shingle, so it is similar to equal lines alone: its id says all, and it has no bands."""
     for part in parts:
         for some, texts in text_runs(pa.StructArray.from_arrays(part.columns[:2], ["key", "id"]), part.column(2)):
             lines, owner, place = _lines(texts)
@@ -55,10 +56,14 @@ def _places(parts):
             kinds = list(dict.fromkeys(lines))
             at = {x: i for i, x in enumerate(kinds)}
             which = np.array([at[x] for x in lines])
-            shingles, first = hashing.char_shingles(kinds, SHINGLE)
-            keys = hashing.keys(hashing.minwise(shingles, first, BANDS * ROWS), ROWS, 11)
+            wide = np.array([len(x) >= SHINGLE for x in kinds])
+            keys = np.zeros((len(kinds), BANDS), np.int64)
+            if wide.any():
+                shingles, first = hashing.char_shingles([x for x in kinds if len(x) >= SHINGLE], SHINGLE)
+                keys[wide] = hashing.keys(hashing.minwise(shingles, first, BANDS * ROWS), ROWS, 11)
             fresh = np.zeros(len(lines), bool)
             fresh[np.unique(which, return_index=True)[1]] = True
+            fresh &= wide[which]
             offsets = np.concatenate([[0], np.cumsum(fresh * BANDS)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[which[fresh]].ravel()))
             columns = [pa.array([some[i][c] for i in owner], pa.int64()) for c in ("key", "id")]
@@ -88,7 +93,7 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
 
     Lines are parted by newlines; two are linked if 100 * common >= percent * union over their distinct 10-character
     shingles, case and white space aside. The kept line is the first by document id, then row, then place in its text.
-    Lines of fewer than 20 characters are left alone. A text that loses every line becomes empty; the row stays.
+    A line of fewer than 10 characters is one shingle: it is linked to equal lines only. Blank lines are left alone. A text that loses every line becomes empty; the row stays.
 
     Null and empty texts have no lines and stay as they are; rows with a null id come before others; rows of the same id
     and text are one document: they keep and lose the same lines; columns named dropped_lines or same_as in the input
@@ -108,7 +113,7 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
         def run(parts):
             for part in parts:
                 for _, some in text_runs(part.column(0), part.column(0)):
-                    lines = list(dict.fromkeys(_lines(some)[0]))
+                    lines = list(dict.fromkeys(_lines(some, SHINGLE)[0]))
                     if lines:
                         found = _ids(lines)
                         place = found.view(np.uint64) >> np.uint64(64 - FILTER_BITS)

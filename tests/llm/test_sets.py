@@ -119,6 +119,13 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.dedup_lines(docs.where("doc_id = 77")).count() == 0
 
 
+def test_line_dedup_short_lines(spark):
+    texts = ["Read more\n\nx\nabcdefghijklmnopqr1", "read  MORE\n\nShare this page\ny", "Share this page\nX\nRead moro\nabcdefghijklmnopqr2\n ", "aaaaaaaaaa\naaaaaaaaaaaa\naaaaaaaaa", "Read more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.dropped_lines) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {0: (texts[0], []), 1: ("\nShare this page\ny", [0]), 2: ("Read moro\n ", [0, 1, 3]), 3: ("aaaaaaaaaa\naaaaaaaaa", [1]), 4: ("", [0])}
+
+
 @pytest.mark.parametrize("words", range(5, 17))
 def test_no_window_misses_every_mask(words):
     window, substitutions = decontaminate.tolerance(words)
