@@ -2,7 +2,8 @@
 
 Every node gets its characters per tag, adjusted for links; a node's density sum adds its children's densities. The
 least density on the path from the node of greatest sum up to the body is the threshold; under every node that reaches
-it the subtree of greatest sum is content, as is all that stands between in the smallest element around it. Elements that are no article text by their kind or name are cut beforehand.
+it the subtree of greatest sum is content, as is all that stands between in the smallest element around it. Elements that are no article text by their kind or name are cut beforehand, but for forms and
+named elements that hold the bulk of the page.
 """
 
 from __future__ import annotations
@@ -32,9 +33,11 @@ BLOCK = frozenset(
     " tfoot th thead title tr ul".split()
 )
 NOT_TEXT = frozenset(
-    "head script style title textarea noscript iframe template svg canvas object audio video nav footer aside form button"
-    " select menu dialog fieldset".split()
+    "head script style title textarea noscript iframe template svg canvas object audio video nav footer aside button"
+    " select menu dialog".split()
 )
+#: Cut like a named element: a page may stand in one form as a whole.
+FORMS = frozenset(("form", "fieldset"))
 #: Formatting inside a block: no node of its own, so it doesn't thin the block's density.
 INLINE = frozenset("abbr b bdi bdo big br cite code dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: A start tag of the key ends open elements of the value, up to the nearest element that bounds them.
@@ -44,35 +47,50 @@ ENDS = {
 }
 BOUNDS = frozenset("ul ol dl select table div article section main body".split())
 ENDS_P = BLOCK - {"br", "option", "head", "html", "body", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "legend"}
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adsense|advert\w*|sponsor\w*|promo\w*|banner\w*|sidebar|side|widget\w*|menu|nav|navbar|navigation|breadcrumbs?"
+WORDS = (
+    r"(?:ads?|adsense|advert\w*|sponsor\w*|promo\w*|banner\w*|sidebar|side|widget\w*|menu|nav|navbar|navigation|breadcrumbs?"
     r"|footer|masthead|comments?|replies|reply|disqus|cookies?|consent|gdpr|notice|notices|popup|modal|overlay|newsletter|subscribe|signup|login"
-    r"|social|share|sharing|related|recommended|pagination|pager|toolbar|search)(?:$|[\s_-])",
-    re.I,
+    r"|social|share|sharing|related|recommended|pagination|pager|toolbar|search)"
 )
+NAMES = re.compile(rf"(?:^|[\s_-]){WORDS}(?:$|[\s_-])", re.I)
+WHOLE = re.compile(rf"(?:^|\s){WORDS}(?:$|\s)", re.I)
+#: Such a name tells what stands in an element, not what it is.
+HAS = re.compile(r"(?:has|with|no|without)[_-]", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HOLDERS = frozenset(("html", "body", "article", "main"))
 
 
-def _not_text(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is no article text; inside: it stands in an article."""
+#: How surely an element is no article text: not at all; by one of its names or as a form; by its whole name; always.
+TEXT, MAYBE, NAMED, NEVER = range(4)
+
+
+def _not_text(tag: str, attributes: str, inside: bool) -> int:
+    """How surely an element is no article text; inside: it stands in an article."""
     if tag in NOT_TEXT or tag == "header" and not inside:
-        return True
+        return NEVER
+    form = MAYBE if tag in FORMS else TEXT
     if not attributes or tag in HOLDERS:
-        return False
+        return form
     named = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
-    if NAMES.search(named.get("class", "")) or NAMES.search(named.get("id", "")) or named.get("role", "").lower() in ROLES:
-        return True
     style = named.get("style", "").replace(" ", "").lower()
     hidden = re.search(r"(?:^|\s)hidden(?:\s|=|$)", ATTRIBUTE.sub(" ", attributes), re.I) or "hidden" in named or named.get("aria-hidden") == "true"
-    return bool(hidden) or "display:none" in style or "visibility:hidden" in style
+    if hidden or "display:none" in style or "visibility:hidden" in style:
+        return NEVER
+    role = named.get("role", "").lower()
+    if role in ROLES:
+        return MAYBE if role == "form" else NAMED
+    names = [named.get("class", ""), named.get("id", "")]
+    if not any(map(NAMES.search, names)):
+        return form
+    other = any(HAS.match(x) or not NAMES.search(x) for x in " ".join(names).split())
+    return MAYBE if other and not any(map(WHOLE.search, names)) else NAMED
 
 
 class Page:
     """Nodes in page order, the first being the root; texts with their nodes; None between texts parts blocks."""
 
     def __init__(self, html: str):
-        self.tags, self.parents, self.cut, self.texts = ["html"], [-1], [False], []
+        self.tags, self.parents, self.marks, self.texts = ["html"], [-1], [TEXT], []
         stack, at, inside = [0], 0, 0
         while m := TOKEN.search(html, at):
             if m.start() > at:
@@ -98,7 +116,7 @@ class Page:
             node = len(self.tags)
             self.tags.append(tag)
             self.parents.append(stack[-1])
-            self.cut.append(self.cut[stack[-1]] or _not_text(tag, m[4], inside > 0))
+            self.marks.append(_not_text(tag, m[4], inside > 0))
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?:[\s/>]|\Z)", re.I).search(html, at)
                 at = close.start() if close else len(html)
@@ -116,19 +134,62 @@ class Page:
                 break
 
 
+def _kept(page: Page, linked: list[bool]) -> list[bool]:
+    """The nodes that are not cut.
+
+    A form or named element stays if it holds a main or most of the text out of links, and no greater article stands
+    elsewhere: it is a wrapper. If its whole name says that it is no text (comments may outweigh the article), it must
+    also hold an article or main greater than any other.
+    """
+    n, tags, parents, marks = len(page.tags), page.tags, page.parents, page.marks
+    never, above = [False] * n, [-1] * n  # above: the nearest marked element, itself included
+    for i in range(n):
+        never[i] = marks[i] == NEVER or i > 0 and never[parents[i]]
+        above[i] = i if marks[i] else above[parents[i]] if i else -1
+    size, own, last, greatest, mains = [0] * n, [0] * n, list(range(n)), [0] * n, [False] * n
+    for t in page.texts:
+        if t and not never[t[0]] and not linked[t[0]]:
+            size[t[0]] += len("".join(t[1].split()))
+    own[:] = size  # own: without marked elements in it
+    for i in range(n - 1, 0, -1):
+        p = parents[i]
+        size[p] += size[i]
+        own[p] += own[i] if not marks[i] else 0
+        last[p] = max(last[p], last[i])
+        mains[i] = (mains[i] or tags[i] == "main") and not never[i]
+        greatest[i] = max(greatest[i], own[i] if tags[i] in ("article", "main") else 0)
+        mains[p] = mains[p] or mains[i]
+        greatest[p] = max(greatest[p], greatest[i])
+    total = size[tags.index("body") if "body" in tags else 0]
+    articles = [i for i in range(1, n) if tags[i] in ("article", "main") and own[i]]
+
+    kept = [True] * n
+    for i in range(1, n):
+        kept[i] = kept[parents[i]]
+        if not kept[i] or not marks[i]:
+            continue
+        kept[i] = False
+        if marks[i] < NEVER and (2 * size[i] > total or mains[i]):
+            # Articles elsewhere that are not cut; for a form or part of a name, not those around it.
+            seen = [a for a in articles if not i <= a <= last[i] and (above[a] < 0 or above[a] < i and kept[above[a]])]
+            other = max((own[a] for a in seen if marks[i] == NAMED or not a < i <= last[a]), default=0)
+            kept[i] = greatest[i] > other or marks[i] == MAYBE and greatest[i] == other
+    return kept
+
+
 def main_text(html: str) -> str:
     """The text of the content subtrees: blocks in page order, one space between."""
     page = Page(html)
     n, tags, parents = len(page.tags), page.tags, page.parents
+    linked = [False] * n
+    for i in range(1, n):
+        linked[i] = linked[parents[i]] or tags[i] == "a"
     # Cut elements may hold the article itself by an odd name: they count again if nothing else is left.
-    kept = [not c for c in page.cut]
+    kept = _kept(page, linked)
     if not any(t and kept[t[0]] and t[1].strip() for t in page.texts):
         kept = [tag not in NOT_TEXT for tag in tags]
         for i in range(1, n):
             kept[i] = kept[i] and kept[parents[i]]
-    linked = [False] * n
-    for i in range(1, n):
-        linked[i] = linked[parents[i]] or tags[i] == "a"
     chars, link_chars, below, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for t in page.texts:
         if t and kept[t[0]]:

@@ -115,6 +115,27 @@ def test_article_text():
     assert html_text.main_text("<div><div><p>" + "Long text in plain boxes. " * 9 + "</p><p>" + "And more of it. " * 9 + "</p></div><ul>" + "<li><a>menu entry</a>" * 9 + "</ul></div>").startswith("Long text")
 
 
+BODY = "".join(f"<p>Paragraph {i} of the article, with more than enough words to be the bulk of it.</p>" for i in range(6))
+FAR = "<p>Site name and tagline</p>"
+
+
+@pytest.mark.parametrize("around", ["<form>%s</form>", "<form><fieldset>%s</fieldset></form>", "<div class='content has-sidebar'>%s</div>", "<div class='post comments-open'><article>%s</article></div>",
+    "<div class='layout with-nav'><div class='has-sidebar'>%s</div></div>", "<article><h1>T</h1><div class='content has-sidebar'>%s</div></article>", "<div class='search'><main>%s</main></div>"])
+def test_wrappers_by_name_are_not_cut(around):
+    small = "<div class='sidebar'><p>A teaser.</p></div><div class='comments'><p>Nice!</p></div><form><p>Your name</p></form>"
+    for inner in (BODY, BODY + small):
+        got = html_text.main_text(f"<html><body>{FAR}{around % inner}{small}</body></html>")
+        assert all(f"Paragraph {i} of" in got for i in range(6)) and "teaser" not in got and "Nice" not in got and "Your name" not in got
+
+
+@pytest.mark.parametrize("name", ["comments", "comments-area", "comment-list"])
+@pytest.mark.parametrize("post", ["<article>%s</article>", "<div class='post'>%s</div>"])
+def test_comments_longer_than_the_article_are_cut(name, post):
+    said = "".join(f"<article><p>Comment {i}, about as long as anybody would ever care to write.</p></article>" for i in range(30)) if "article" in post else "<p>Comment, and very many more words. </p>" * 60
+    got = html_text.main_text(f"<html><body>{post % BODY}<div class='{name}'>{said}</div></body></html>")
+    assert "Paragraph 5 of" in got and "Comment" not in got
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "&am", "</p></p>", "<!-- open", "<script>", "<" * 5000, "<div>" * 2000 + "x", "<a href='q\"><p>t", "\x00<p>퟿", "<p title=\"a>b\">t</p>"])
 def test_broken_pages(html):
     assert isinstance(html_text.main_text(html), str)
