@@ -33,6 +33,11 @@ def errors(spark, sf_dir):
     return tca.error_variances(anomalies(spark, sf_dir), ["cell"], "ax", "ay", "az", min_n=MIN_N)
 
 
+def _merged(spark, sf_dir):
+    weighted = tca.weights(tca.repair(errors(spark, sf_dir)))
+    return tca.merge(anomalies(spark, sf_dir), weighted, ["cell"], "ax", "ay", "az", "clim").select("cell", "day", "merged")
+
+
 @query(f"WITH {_ANOM} SELECT cell, n, round(ex, 3) AS ex, round(ey, 3) AS ey, round(ez, 3) AS ez, round(cy, 4) AS cy, round(cz, 4) AS cz FROM ev")
 def tca_error_variance(spark, sf_dir):
     e = errors(spark, sf_dir)
@@ -49,8 +54,7 @@ WITH {_ANOM} SELECT cell, day, round(CASE WHEN m IS NOT NULL THEN greatest(m, 0)
   (SELECT an.cell, day, wx * ax + wy * cy * ay + wz * cz * az + clim AS m FROM an JOIN wt ON an.cell = wt.cell)
 """)
 def tca_merge(spark, sf_dir):
-    weighted = tca.weights(tca.repair(errors(spark, sf_dir)))
-    return rounded(tca.merge(anomalies(spark, sf_dir), weighted, ["cell"], "ax", "ay", "az", "clim").select("cell", "day", "merged"), 3)
+    return rounded(_merged(spark, sf_dir), 3)
 
 
 _DELTA = f"""{a.obs_px_sql(16)}, {THETA_SQL}, tt AS (SELECT *, CASE WHEN theta IS NOT NULL THEN greatest(least(theta, 1 - 1e-6), 1e-6) END AS t FROM th),
@@ -154,8 +158,22 @@ def lr_target_dominant(spark, sf_dir):
     return out.select("cell", "code", (F.round("slope", 4) + F.lit(0.0)).alias("slope"), F.round("intercept", 3).alias("intercept"), "n_fit")
 
 
+def _boosted(spark, sf_dir, *more):
+    """Six features and more, with the published settings, fitted on twenty days. The merged product stands on the
+    triplet's four cells, which are the columns of the grid."""
+    merged = _merged(spark, sf_dir).select(F.col("cell").alias("j"), "day", F.col("merged").alias("tca"))
+    obs = a.obs_px(spark, sf_dir, 16).join(merged, ["j", "day"], "left")
+    products = ["sm2rain", "era5", "gpm", "tca"]
+    obs = obs.select("cell", "day", F.col("i").cast("double").alias("lat"), F.col("j").cast("double").alias("lon"), *products, "aws")
+    fit = F.col("day") < F.lit("2024-01-21").cast("date")
+    return regress.boosted(obs, [*products, "lon", "lat", *more], products, "aws", fit)
+
+
 @query()
 def gbt_bias_correct(spark, sf_dir):
-    obs = a.obs_px(spark, sf_dir, 16).select("cell", "day", F.col("i").cast("double").alias("lat"), F.col("j").cast("double").alias("lon"), "era5", "gpm", "aws")
-    fit = F.col("day") < F.lit("2024-01-21").cast("date")
-    return regress.boosted(obs, ["era5", "gpm", "lon", "lat"], ["era5", "gpm"], "aws", fit, trees=20, rate=0.1)
+    return _boosted(spark, sf_dir)
+
+
+@query()
+def gbt_gauge_fusion(spark, sf_dir):
+    return _boosted(spark, sf_dir, "aws")

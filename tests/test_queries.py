@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from confluo.operators import regress
 from confluo.plans import registry
 
 registry.load()
@@ -50,6 +51,25 @@ def test_runs(spark, sf_dir, name):
     registry.QUERIES[name](spark, sf_dir).collect()
 
 
+@pytest.mark.parametrize(("name", "more"), [("gbt_bias_correct", []), ("gbt_gauge_fusion", ["aws"])])
+def test_boosting_has_all_trees_and_features(spark, sf_dir, name, more):
+    fits, real = [], regress.GBTRegressor.fit
+
+    def fit(self, rows):
+        fits.append((self.getMaxIter(), self.getStepSize(), rows.count()))
+        fits.append(real(self.setMaxIter(2), rows))
+        return fits[-1]
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(regress.GBTRegressor, "fit", fit)
+        got = registry.QUERIES[name](spark, sf_dir).collect()
+    assert fits[0][:2] == (500, 0.03) and fits[0][2] > 0
+    products = ["sm2rain", "era5", "gpm", "tca"]
+    features = [*products, "lon", "lat", *more]
+    assert fits[1].numFeatures == len(features) and any(r.pred is not None for r in got)
+    assert all((r.pred is not None) == (all(r[c] is not None for c in features) and all(r[c] > 0 for c in products)) for r in got)
+
+
 def test_flagship(spark, sf_dir):
     import __spark_entry__ as e
 
