@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, write
 
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "row_key long, query_id long, vec_id long, score long"
 
 
 class KdTree:
@@ -80,12 +80,12 @@ def _exact(*parts: np.ndarray) -> list[np.ndarray]:
 
 def _search(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     if not len(rows) or not len(queries):
-        return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+        return pa.table({c: pa.array([], pa.int64()) for c in ("row_key", "query_id", "vec_id", "score")})
     (ids, x), (own, q) = _columns(rows), _columns(queries)
     least = queries["least"].to_numpy() if "least" in queries.column_names else np.full(len(own), np.iinfo(np.int64).min)
     x, q = _exact(x, q)
     row, who, score = KdTree(ids, x).search(own, q, k, least)
-    return pa.table({"query_id": own[row], "vec_id": who, "score": score.astype(np.int64)})
+    return pa.table({"row_key": queries["row_key"].to_numpy()[row], "query_id": own[row], "vec_id": who, "score": score.astype(np.int64)})
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 4096, block_queries: int = 8192) -> DataFrame:
@@ -95,7 +95,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
 
     Rows with a null id, and vectors that are null or hold null or non-finite components, take no part. Vectors are
     compared with those of the same length only. Rows that share the query's id are passed over; repeated rows of
-    another id each count. Other columns are ignored; an empty table gives an empty result. Components of more than
+    another id each count. Query rows of the same id each get their k rows, under that id. Other columns are ignored; an empty table gives an empty result. Components of more than
     about 2**25 would overflow the score and are not supported.
 
     A task holds one shard (about shard_rows vectors, whatever their values) and one block of queries; queries, not
@@ -109,27 +109,29 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         F.transform(x, lambda c: F.floor(c.cast("double") * 64)).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
         F.rand(6).alias("place"),
+        F.monotonically_increasing_id().alias("row_key"),  # of one query row of several with the same id
     )
     stored = write(named, "topk-vectors")
     rows, asking = stored().agg(F.count("*"), F.count_if("asks")).first()
     shards, blocks = max(1, -(-rows // shard_rows)), max(1, -(-asking // block_queries))
 
     def dealt() -> DataFrame:
-        return stored().select("vec_id", "v", "asks", F.size("v").alias("dim"), F.floor(F.col("place") * shards).cast("int").alias("shard"))
+        return stored().select("row_key", "vec_id", "v", "asks", F.size("v").alias("dim"), F.floor(F.col("place") * shards).cast("int").alias("shard"))
 
     def at_home(t: pa.Table) -> pa.Table:
         return _search(t, t.filter(t["asks"]), k)
 
     home = materialize(dealt().groupBy("dim", "shard").applyInArrow(at_home, FOUND), "topk-home")
-    least = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-    asked = dealt().where("asks").withColumnRenamed("shard", "home").join(least, F.col("vec_id") == F.col("query_id"), "left")
+    least = home.groupBy("row_key").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    asked = dealt().where("asks").withColumnRenamed("shard", "home").join(least, "row_key", "left")
     abroad = asked.select(
+        "row_key",
         "vec_id",
         "v",
         F.coalesce("least", F.lit(-(1 << 63))).alias("least"),
         "dim",
         "home",
-        F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("row_key"), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
     ).where("shard != home")
     everywhere = dealt().select("vec_id", "v", "dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
@@ -139,7 +141,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
 
     keys = ("dim", "shard", "block")
     found = everywhere.groupBy(*keys).cogroup(abroad.groupBy(*keys)).applyInArrow(elsewhere, FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("row_key").orderBy(F.desc("score"), "vec_id"))
     return home.unionByName(found).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

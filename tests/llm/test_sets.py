@@ -189,6 +189,20 @@ def test_top_k(spark):
     assert topk_search.top_k(vectors(spark, []), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_repeated_query_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.normal(0, 1, 6)], 0) for i in range(100)]
+    rows += [rows[20], (40, [float(v) for v in rng.normal(0, 1, 6)], 0)]
+    x = np.floor(64 * np.array([v for _, v, _ in rows], np.float32).astype(float)).astype(int)
+    want = []
+    for q in [*range(0, 100, 20), 100, 101]:
+        s = x @ x[q]
+        order = sorted((-s[i], rows[i][0]) for i in range(len(rows)) if rows[i][0] != rows[q][0])[:20]
+        want += [(rows[q][0], k + 1, i, -v) for k, (v, i) in enumerate(order)]
+    got = topk_search.top_k(vectors(spark, rows), F.col("vec_id") % 20 == 0, shard_rows=30, block_queries=3).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_shards(spark):
     r = random.Random(6)
     rows = [(i, "copy" * 20, 0) for i in range(1500)] + [(i, "x" * r.randint(0, 400), 0) for i in range(1500, 3500)] + [(9, "same row", 0)] * 600 + [(None, None, 0), (None, "é", 0)]
