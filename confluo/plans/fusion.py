@@ -106,7 +106,12 @@ def param_transfer_nearest(spark, sf_dir):
 
 @query()
 def calibrate_optimizer(spark, sf_dir):
-    return sm2rain.calibrate(theta(spark, sf_dir, 4), ["cell"], "theta", "rain", min_n=MIN_N)
+    return sm2rain.calibrate(theta(spark, sf_dir), ["cell"], "theta", "rain", min_n=MIN_N)
+
+
+@query()
+def calibrate_infiltration(spark, sf_dir):
+    return sm2rain.calibrate(theta(spark, sf_dir), ["cell"], "theta", "rain", "infiltration", min_n=MIN_N)
 
 
 _OLS = f"{a.obs_px_sql(16)}, co AS (SELECT cell, i, j, regr_slope(aws, gpm) AS slope, regr_intercept(aws, gpm) AS intercept, count(*) AS n_fit FROM obs WHERE aws IS NOT NULL AND gpm IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= {MIN_N})"

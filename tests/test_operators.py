@@ -119,6 +119,25 @@ def test_calibration_finds_parameters(spark):
     assert sm2rain.calibrate(df.limit(29), ["cell"], "t", "p").first().params is None
 
 
+def test_infiltration_calibration_lowers_its_objective(spark):
+    rng = np.random.default_rng(4)
+    theta = np.clip(np.cumsum(rng.normal(0, 0.1, 120)) % 1, 0.01, 0.99)
+    rain = sm2rain.infiltration_rain(theta, np.array([0.1, 3.0, 20.0, 3.0, 60.0]))
+    df = spark.createDataFrame([(1, day(k), float(t), float(p)) for k, (t, p) in enumerate(zip(theta, rain))], "cell int, day date, t double, p double")
+    r = sm2rain.calibrate(df, ["cell"], "t", "p", "infiltration").first()
+    goal = lambda x: np.mean((sm2rain.infiltration_rain(theta, x) - rain) ** 2) + 1e-6 * (x[0] ** 2 + x[3] ** 2 + (x[4] / 100) ** 2)
+    assert isclose(r.mse, goal(np.array(r.params)), rel_tol=1e-9) and r.mse < 0.5 * min(goal(np.array(s, float)) for s in sm2rain.GA_STARTS)
+    assert all(lo <= v <= hi for v, (lo, hi) in zip(r.params, sm2rain.GA_BOUNDS)) and r.mse < 0.5 * rain.var()
+
+
+def test_calibration_queries_take_sixteen_cells(spark, sf_dir):
+    from confluo.plans import fusion
+
+    for query, size in ((fusion.calibrate_optimizer, 3), (fusion.calibrate_infiltration, 5)):
+        got = query(spark, sf_dir).collect()
+        assert len(got) > 4 and {len(r.params) for r in got if r.params} == {size}
+
+
 def test_parameters_without_any_calibrated_pixel(spark):
     need = spark.createDataFrame([(0, 0), (3, 3)], "i long, j long")
     none = spark.createDataFrame([], "i long, j long, a double, b double, z double")
