@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -14,8 +15,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where it is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
+    """The folder the cluster names in spark.checkpoint.dir; a local one only where it is unset and driver and tasks share
+    one machine, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or f"{tempfile.gettempdir()}/checkpoints"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
+def row_key(*columns: Column | str) -> Column:
+    """128 bits that tell rows apart by these columns."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(9), *columns).alias("b"))
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:

@@ -58,6 +58,23 @@ def rolling(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndar
 BYTE = seeds(256, 1)
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
+PLACES = seeds(64, 4) | U(1)
+
+
+def spread(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The hash of every run values[begin:begin+size]: each value times an odd number of its own for its place in the run,
+    so that no pattern of repeats cancels out, as it would in powers of one base."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
+    odd = PLACES[place] if len(sizes) and int(sizes.max()) <= len(PLACES) else mix(place.astype(U) + PLACES[0]) | U(1)
+    total = np.zeros(bounds[-1] + 1, U)
+    np.cumsum(values[np.repeat(begins, sizes) + place] * odd, out=total[1:])
+    return mix(total[bounds[1:]] - total[bounds[:-1]] + sizes.astype(U) * ODD)
+
+
+def word_texts(text: str) -> list[bytes]:
+    """The words of a text, as words() hashes them."""
+    return text.encode().lower().split()
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +88,13 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(solid[1:] != solid[:-1])
     begins, ends = edge[::2], edge[1::2]
     bounds = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
-    return rolling(BYTE[data], begins, ends), np.searchsorted(begins, bounds)
+    long = ends - begins > len(PLACES)
+    if not long.any():
+        return spread(BYTE[data], begins, ends - begins), np.searchsorted(begins, bounds)
+    out = np.empty(len(begins), U)
+    for some in (long, ~long):
+        out[some] = spread(BYTE[data], begins[some], (ends - begins)[some])
+    return out, np.searchsorted(begins, bounds)
 
 
 WORD = seeds(64, 2) | U(1)
@@ -104,16 +127,23 @@ def char_shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     return rolling(chars, begins, begins + np.repeat(np.minimum(size, k), count)), first
 
 
-def minwise(shingles: np.ndarray, first: np.ndarray, n: int, salt: int = 3) -> np.ndarray:
-    """n minwise hashes (columns, of 32 bits) of every run shingles[first[i]:first[i+1]]; runs must not be empty."""
+def minwise(shingles: np.ndarray, first: np.ndarray, n: int, salt: int = 3, block: int = 1 << 17) -> np.ndarray:
+    """n minwise hashes (columns, of 32 bits) of every run shingles[first[i]:first[i+1]]; runs must not be empty.
+
+    Runs are hashed in blocks of about so many shingles, which stay in the processor's cache."""
     a, b = (seeds(n, salt) | U(1)).astype(np.uint32), seeds(n, salt + 100).astype(np.uint32)
     x = (shingles >> U(32)).astype(np.uint32)
     out = np.empty((len(first) - 1, n), U)
-    work = np.empty_like(x)
-    for i in range(n):
-        np.multiply(x, a[i], out=work)
-        np.bitwise_xor(work, b[i], out=work)
-        out[:, i] = np.minimum.reduceat(work, first[:-1])
+    low = 0
+    while low < len(out):
+        high = max(low + 1, int(np.searchsorted(first, first[low] + block, side="right")) - 1)
+        part, at = x[first[low] : first[high]], first[low:high] - first[low]
+        work = np.empty_like(part)
+        for i in range(n):
+            np.multiply(part, a[i], out=work)
+            np.bitwise_xor(work, b[i], out=work)
+            out[low:high, i] = np.minimum.reduceat(work, at)
+        low = high
     return out
 
 

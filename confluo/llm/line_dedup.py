@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import Scratch, write
-from .linking import Texts, link_similar
+from .common import Scratch, row_key, unused, write
+from .linking import described, link_similar, shared_rows
 from .pretokens import text_runs
 
 #: Characters a shingle; bands of minwise hashes: lines of similarity 0.75 share no band with a chance of 4 in 1,000, of
@@ -19,8 +21,8 @@ from .pretokens import text_runs
 SHINGLE, BANDS, ROWS = 10, 10, 3
 #: Bits of the filter that leaves lines without candidates where they are: its size is fixed.
 FILTER_BITS = 26
-#: Characters of the least line that takes part: blank lines hold no text and are left alone.
-SHORTEST = 1
+#: A line's id: 128 bits of its normal form.
+ID = "struct<a: long, b: long>"
 
 
 def normal(line: str) -> str:
@@ -29,12 +31,15 @@ def normal(line: str) -> str:
 
 
 def _ids(lines: list[str]) -> np.ndarray:
-    """A line's id: a 64-bit digest of its normal form."""
-    return np.frombuffer(b"".join(hashlib.blake2b(x.encode(), digest_size=8).digest() for x in lines), np.int64)
+    return np.frombuffer(b"".join(hashlib.blake2b(x.encode(), digest_size=16).digest() for x in lines), np.int64).reshape(-1, 2)
 
 
-def _lines(texts: list[str], shortest: int = SHORTEST) -> tuple[list[str], list[int], list[int]]:
-    """Normal forms of the lines that take part, with their text and their place in it."""
+def _id_array(ids: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1])], ["a", "b"])
+
+
+def _lines(texts: list[str], shortest: int = 1) -> tuple[list[str], list[int], list[int]]:
+    """Normal forms of the lines of so many characters at least, with their text and their place in it."""
     found, owner, place = [], [], []
     for i, t in enumerate(texts):
         for j, x in enumerate(t.split("\n")):
@@ -49,13 +54,15 @@ def _places(parts):
     """A row for each line, with its bands where it is the first of its kind in the run. A line shorter than a shingle is
     its own only shingle, so it is similar to equal lines alone: its id says all, and it has no bands."""
     for part in parts:
-        for some, texts in text_runs(pa.StructArray.from_arrays(part.columns[:2], ["key", "id"]), part.column(2)):
+        at = 0
+        for some, texts in text_runs(part.column(2), part.column(2)):
+            here, at = at, at + len(some)
             lines, owner, place = _lines(texts)
             if not lines:
                 continue
             kinds = list(dict.fromkeys(lines))
-            at = {x: i for i, x in enumerate(kinds)}
-            which = np.array([at[x] for x in lines])
+            of = {x: i for i, x in enumerate(kinds)}
+            which = np.array([of[x] for x in lines])
             wide = np.array([len(x) >= SHINGLE for x in kinds])
             keys = np.zeros((len(kinds), BANDS), np.int64)
             if wide.any():
@@ -66,14 +73,14 @@ def _places(parts):
             fresh &= wide[which]
             offsets = np.concatenate([[0], np.cumsum(fresh * BANDS)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[which[fresh]].ravel()))
-            columns = [pa.array([some[i][c] for i in owner], pa.int64()) for c in ("key", "id")]
-            columns += [pa.array(place, pa.int32()), pa.array(_ids(kinds)[which]), bands]
+            owners = pa.array(np.array(owner) + here)
+            columns = [part.column(0).take(owners), part.column(1).take(owners), pa.array(place, pa.int32()), _id_array(_ids(kinds)[which]), bands]
             yield pa.record_batch(columns, names=["doc_key", "doc_id", "line", "id", "bands"])
 
 
 def _set_bits(ids: DataFrame) -> np.ndarray:
     """A filter of fixed size: bits that ids set, by their top bits."""
-    bit = F.shiftrightunsigned("id", 64 - FILTER_BITS)
+    bit = F.shiftrightunsigned("id.a", 64 - FILTER_BITS)
     one = F.call_function("shiftleft", F.lit(1), F.pmod(bit, F.lit(8)).cast("int"))
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     for byte, held in ids.groupBy(F.shiftright(bit, 3).alias("byte")).agg(F.bit_or(one).alias("bits")).toLocalIterator():
@@ -81,11 +88,21 @@ def _set_bits(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _shingle_sets(lines: list[str]) -> list[np.ndarray]:
+def _hashes(lines: list[str]) -> list[np.ndarray]:
     shingles, first = hashing.char_shingles(lines, SHINGLE)
     return [np.unique(shingles[a:b]) for a, b in zip(first, first[1:], strict=False)]
 
 
+def shingle_set(line: str) -> set[str]:
+    """The distinct shingles of a line's normal form."""
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+
+
+def _first_met(x, y, place):
+    """Whether a band is the first that two lines share."""
+    return ~reduce(or_, [(place > i) & (x[i] == y[i]) for i in range(BANDS - 1)])
+
+
 def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with one line kept of every component of similar lines: all columns of docs, with the text rebuilt, and
     dropped_lines (array of int, places in the old text) and same_as (array of long: the ids of the documents that hold
@@ -93,21 +110,26 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
 
     Lines are parted by newlines; two are linked if 100 * common >= percent * union over their distinct 10-character
     shingles, case and white space aside. The kept line is the first by document id, then row, then place in its text.
-    A line of fewer than 10 characters is one shingle: it is linked to equal lines only. Blank lines are left alone. A text that loses every line becomes empty; the row stays.
+    A line of fewer than 10 characters is one shingle: it is linked to equal lines only. Blank lines are left alone. A
+    text that loses every line becomes empty; the row stays.
 
     Null and empty texts have no lines and stay as they are; rows with a null id come before others; rows of the same id
     and text are one document: they keep and lose the same lines; columns named dropped_lines or same_as in the input
-    are replaced; an empty table gives an empty result.
+    are replaced, all others kept, whatever their names; an empty table gives an empty result. Texts and lines of any
+    length are taken whole: a task holds one text at a time beside a run of short ones.
     """
-    key = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(2))
     docs = docs.drop("dropped_lines", "same_as")
-    texts = docs.select(key.alias("doc_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    key, lost_lines, same = unused(docs, "row_key"), unused(docs, "lost_lines"), unused(docs, "same_ids")
+    doc_key = row_key(F.col(id_col), F.col(text_col))
+    texts = docs.select(doc_key.alias("doc_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     old = Scratch(docs.sparkSession)
-    places = old.write(texts.mapInArrow(_places, "doc_key long, doc_id long, line int, id long, bands array<long>"), "line-places")
-    rows = places().select("id", F.explode("bands").alias("key"))
+    places = old.write(texts.mapInArrow(_places, f"doc_key struct<a: long, b: long>, doc_id long, line int, id {ID}, bands array<long>"), "line-places")
+    rows = places().select("id", F.posexplode("bands").alias("place", "key"))
+    live = old.write(shared_rows(rows, places().count() * BANDS, ID), "shared-bands")
+    bands = places().where(F.size("bands") > 0).select("id", F.col("bands").alias("marks"))
 
     def lines_of(ids: DataFrame) -> DataFrame:
-        """(id, set): the normal form of each line wanted; lines that the filter stops are not moved."""
+        """The normal form of each line wanted; lines that the filter stops are not moved."""
         bits = _set_bits(ids)
 
         def run(parts):
@@ -116,33 +138,32 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
                     lines = list(dict.fromkeys(_lines(some, SHINGLE)[0]))
                     if lines:
                         found = _ids(lines)
-                        place = found.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+                        place = found[:, 0].view(np.uint64) >> np.uint64(64 - FILTER_BITS)
                         hit = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
-                        yield pa.record_batch([pa.array(found[hit]), pa.array([lines[i] for i in hit], pa.string())], names=["id", "set"])
+                        yield pa.record_batch([_id_array(found[hit]), pa.array([lines[i] for i in hit], pa.string())], names=["id", "set"])
 
-        return texts.select("text").mapInArrow(run, "id long, set string").join(ids, "id", "left_semi").dropDuplicates(["id"])
+        return described(texts.select("text").mapInArrow(run, f"id {ID}, set string").join(ids, "id", "left_semi").dropDuplicates(["id"]), _hashes)
 
-    linked = write(link_similar(rows, lines_of, percent, Texts(_shingle_sets), one_in=8), "linked-lines")
+    linked = link_similar(live, lines_of, bands, _first_met, shingle_set, percent, old)
     # Every line id with more than one occurrence, and every linked one.
     repeated = places().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
-    group = linked().select("id", "component").union(repeated.join(linked(), "id", "left_anti").select("id", F.col("id").alias("component")))
-    group = old.write(group, "line-groups")
+    group = old.write(linked.union(repeated.join(linked, "id", "left_anti").select("id", F.col("id").alias("component"))), "line-groups")
     spots = places().select("id", F.struct("doc_id", "doc_key", "line").alias("at")).join(group(), "id")
     spots = old.write(spots.select("component", "at").distinct(), "line-spots")
     first = old.write(spots().groupBy("component").agg(F.min("at").alias("first")), "line-firsts")
     lost = spots().join(first(), "component").where("at != first")
-    lost = lost.groupBy(F.col("at.doc_key").alias("__key")).agg(F.sort_array(F.collect_set("at.line")).alias("__dropped"), F.sort_array(F.collect_set("first.doc_id")).alias("__same"))
+    lost = lost.groupBy(F.col("at.doc_key").alias(key)).agg(F.sort_array(F.collect_set("at.line")).alias(lost_lines), F.sort_array(F.collect_set("first.doc_id")).alias(same))
     lost = write(lost, "lost-lines")
     old.clear()
 
     text = F.when(
-        F.col("__dropped").isNotNull(),
-        F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__dropped", i)), "\n"),
+        F.col(lost_lines).isNotNull(),
+        F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(lost_lines, i)), "\n"),
     ).otherwise(F.col(text_col))
-    out = docs.withColumn("__key", key).join(lost(), "__key", "left")
+    out = docs.withColumn(key, doc_key).join(lost(), key, "left")
     kept = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(f"array<{kind}>"))
-    return out.select(*kept, none("__dropped", "int").alias("dropped_lines"), none("__same", "long").alias("same_as"))
+    return out.select(*kept, none(lost_lines, "int").alias("dropped_lines"), none(same, "long").alias("same_as"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

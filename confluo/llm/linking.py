@@ -1,9 +1,9 @@
 """Links between similar sets from shared keys: exact verification and distributed union-find.
 
-Used by line and document deduplication. Candidates share a key. Instead of all pairs of a key's holders, each key's
-leader is compared with the others. Where a key then still holds several components, its sets are compared with each
-other if they are few; if they are many they meet through their rarest common elements, with bounds that leave out every
-pair that cannot reach the threshold: exact for all that is left.
+Used by line and document deduplication. Candidates share a key. A key's leader is compared with the key's other holders
+first; where a key then still holds several components, its holders are compared across components, each pair once, if an
+exact bound from sketches lets it reach the threshold. Only such pairs become rows; copies of one text, which are one
+component by then, are never paired.
 """
 
 from __future__ import annotations
@@ -12,15 +12,95 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, write
 from .pretokens import text_runs
 
+#: Longs of a parity sketch: bit b is the parity of the number of elements hashed to b.
+SKETCH = 32
+#: Rows that one task groups by key, and holders of a key that one task compares with the others.
+ROWS_A_TASK, HOLDERS_A_TASK = 1 << 20, 1 << 12
+#: A key with this many rows in a sample of 64 rows a task is dealt to several tasks, by the id too.
+SAMPLED, HOT = 64, 16
 
-def components(edges: DataFrame) -> DataFrame:
-    """Union-find over edges (a, b): id, component (its least id) of every id with an edge.
+
+def sketches(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Parity sketches (rows of SKETCH longs) of the runs elements[first[i]:first[i+1]] of distinct hashes."""
+    n = len(first) - 1
+    bit = (elements >> np.uint64(64 - (SKETCH * 64).bit_length() + 1)).astype(np.int64)
+    owner = np.repeat(np.arange(n), np.diff(first))
+    odd = np.bincount(owner * (SKETCH * 64) + bit, minlength=n * SKETCH * 64).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, -1), axis=1).view(np.int64)
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """A lower bound of how many elements stand in one of two sets only."""
+    bits = [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH)]
+    return sum(bits[1:], bits[0])
+
+
+def _may_reach(x: str, y: str, percent: int, sketch: bool = True) -> Column:
+    """Whether 100 * common >= percent * union is possible: of n + m elements, at most (100 - percent) in 100 + percent
+    can stand in one set only."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    fits = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return fits & ((100 + percent) * _differing(F.col(f"{x}.sketch"), F.col(f"{y}.sketch")) <= (100 - percent) * (n + m)) if sketch else fits
+
+
+def shared_rows(rows: DataFrame, count: int, id_type: str) -> DataFrame:
+    """The distinct rows (key long, id, place int) whose key several ids hold, with c, the key's rows: one shuffle.
+
+    count: the number of rows, or more. A key that fills a good part of a task is found in a sample of bounded size and
+    dealt to tasks by its ids too; its rows all stay, and c counts those in one task.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // ROWS_A_TASK))
+    sampled = rows.select("key").sample(min(1.0, SAMPLED * tasks / max(count, 1)), 9)
+    hot = sampled.groupBy("key").count().where(F.col("count") >= HOT).select("key", F.lit(True).alias("hot"))
+    # At most SAMPLED / HOT keys a task, some bytes each.
+    dealt = rows.select("key", "id", "place").join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    dealt = dealt.repartition(tasks, "key", F.when(F.col("hot"), F.pmod(F.hash("id"), F.lit(256))).otherwise(F.lit(0)))
+
+    def run(parts):
+        parts = list(parts)
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts).combine_chunks()
+        key = t["key"].to_numpy()
+        ids = t["id"].combine_chunks()
+        fields = [f.to_numpy(zero_copy_only=False) for f in (ids.flatten() if pa.types.is_struct(ids.type) else [ids])]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(start, len(key)))
+        which = np.repeat(np.arange(len(start)), size)
+        other = np.zeros(len(key), bool)
+        for f in fields:
+            f = f[order]
+            other |= f != f[start][which]
+        stays = np.logical_or.reduceat(other | t["hot"].to_numpy()[order], start)[which]
+        kept = np.flatnonzero(stays)
+        columns = [key[kept], *(f[order][kept] for f in fields)]
+        if len(kept):
+            again = np.lexsort(columns[::-1])
+            new = np.zeros(len(kept), bool)
+            new[0] = True
+            for c in columns:
+                new[1:] |= c[again][1:] != c[again][:-1]
+            kept = kept[np.sort(again[new])]
+        for a in range(0, len(kept), 1 << 16):
+            some = kept[a : a + (1 << 16)]
+            at = pa.array(order[some])
+            yield pa.record_batch([t["key"].take(at).combine_chunks(), ids.take(at), t["place"].take(at).combine_chunks(), pa.array(size[which[some]])], names=["key", "id", "place", "c"])
+
+    return dealt.mapInArrow(run, f"key long, id {id_type}, place int, c long")
+
+
+def components(edges: DataFrame, into: Scratch | None = None) -> DataFrame:
+    """Union-find over edges (a, b): id, component (its least id) of every id with an edge; its table belongs to into.
 
     Each round hooks an id to the least label among its neighbours and then halves the paths; the number of rounds
     grows with the logarithm of the longest path. Labels stay in tables.
@@ -34,156 +114,116 @@ def components(edges: DataFrame) -> DataFrame:
         up = hooked().select(F.col("id").alias("component"), F.col("component").alias("root"))
         labels = old.write(hooked().join(up, "component").select("id", "old", F.col("root").alias("component")), "labels")
         if labels().where("component < old").isEmpty():
-            done = write(labels().select("id", "component"), "components")
+            done = (into.write if into else write)(labels().select("id", "component"), "components")
             old.clear()
             return done()
 
 
-def _may_reach(a: str, b: str, percent: int) -> Column:
-    """No more than min(s, s) elements can be common: those of a set that another set holds too."""
-    return (100 + percent) * F.least(f"{a}.s", f"{b}.s") >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
-
-
-#: Keys with so many holders at most have their holders compared with each other.
-FEW = 8
-
-
-class Arrays:
-    """Sets given as arrays of distinct longs."""
-
-    def elements(self, sets: DataFrame, one_in: int = 1) -> DataFrame:
-        """(id, e), of one in so many elements, by their value."""
-        return sets.select("id", F.explode("set").alias("e")).where(F.pmod("e", F.lit(one_in)) == 0)
-
-    def sizes(self, sets: DataFrame) -> DataFrame:
-        return sets.select("id", F.size("set").cast("long").alias("n"))
-
-    def verified(self, pairs: DataFrame, percent: int) -> DataFrame:
-        """The pairs (a, b, sa, sb) whose whole sets are similar enough."""
-        common = pairs.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-        return common.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
-
-
-class Texts:
-    """Sets given as texts, from which shingles makes arrays of distinct elements (uint64): smaller to move."""
-
-    def __init__(self, shingles: Callable[[list[str]], list[np.ndarray]]):
-        self.shingles = shingles
-
-    def elements(self, sets: DataFrame, one_in: int = 1) -> DataFrame:
-        def run(parts):
-            for part in parts:
-                for ids, texts in text_runs(part.column(0), part.column(1)):
-                    found = [s[s % np.uint64(one_in) == 0] for s in self.shingles(texts)]
-                    flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-                    yield pa.record_batch([pa.array(np.repeat(np.array(ids, np.int64), [len(s) for s in found])), pa.array(flat)], names=["id", "e"])
-
-        return sets.select("id", "set").mapInArrow(run, "id long, e long")
-
-    def sizes(self, sets: DataFrame) -> DataFrame:
-        def run(parts):
-            for part in parts:
-                for ids, texts in text_runs(part.column(0), part.column(1)):
-                    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in self.shingles(texts)], pa.int64())], names=["id", "n"])
-
-        return sets.select("id", "set").mapInArrow(run, "id long, n long")
-
-    def verified(self, pairs: DataFrame, percent: int) -> DataFrame:
-        def run(parts):
-            for part in parts:
-                for a in range(0, len(part), 512):
-                    some = part.slice(a, 512)
-                    texts = list(dict.fromkeys(some.column(2).to_pylist() + some.column(3).to_pylist()))
-                    known = dict(zip(texts, self.shingles(texts), strict=True))
-                    keep = []
-                    for x, y in zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True):
-                        common = len(np.intersect1d(known[x], known[y], assume_unique=True))
-                        keep.append(100 * common >= percent * (len(known[x]) + len(known[y]) - common))
-                    yield some.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-        return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def link_similar(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 75, content: Arrays | Texts | None = None, one_in: int = 1) -> DataFrame:
+def verified(pairs: DataFrame, elements: Callable[[str], frozenset | set], percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts sa and sb have similar enough sets, compared element by element."""
+
+    def run(parts):
+        for part in parts:
+            for a in range(0, len(part), 512):
+                some = part.slice(a, 512)
+                known: dict[str, set] = {}
+                keep = []
+                for x, y in zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True):
+                    for t in (x, y):
+                        if t not in known:
+                            known[t] = elements(t)
+                    common = len(known[x] & known[y])
+                    keep.append(100 * common >= percent * (len(known[x]) + len(known[y]) - common))
+                yield some.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    kept = T.StructType([pairs.schema["a"], pairs.schema["b"]])
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, kept)
+
+
+def described(texts: DataFrame, hashes: Callable[[list[str]], list[np.ndarray]]) -> DataFrame:
+    """id and set (the text) with n, the size of its set, and the set's sketch; hashes gives the distinct hashes."""
+
+    def run(parts):
+        for part in parts:
+            at = 0
+            for some, found in text_runs(part.column(1), part.column(1)):
+                sets = hashes(found)
+                first = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+                flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+                for a in range(0, len(sets), 64):
+                    b = min(a + 64, len(sets))
+                    marks = sketches(flat[first[a] : first[b]], first[a : b + 1] - first[a])
+                    lists = pa.FixedSizeListArray.from_arrays(pa.array(marks.ravel()), SKETCH).cast(pa.list_(pa.int64()))
+                    yield pa.record_batch([part.column(0).slice(at + a, b - a), pa.array(found[a:b], pa.string()), pa.array(np.diff(first[a : b + 1])), lists], names=["id", "set", "n", "sketch"])
+                at += len(some)
+
+    kind = T.StructType([texts.schema["id"], T.StructField("set", T.StringType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+    return texts.select("id", "set").mapInArrow(run, kind)
+
+
+def link_similar(
+    live: Callable[[], DataFrame],
+    sets_of: Callable[[DataFrame], DataFrame],
+    marks: DataFrame,
+    first_met: Callable[[Column, Column, Column], Column],
+    elements: Callable[[str], set],
+    percent: int,
+    into: Scratch,
+) -> DataFrame:
     """Components of the sets linked by 100 * common >= percent * union: id, component (least id), for linked ids.
 
-    rows (key, id): which sets are candidates for each other: those that share a key. sets_of(ids) gives (id, set) with
-    each set in the form of content; it is asked for candidates only.
+    live: rows of shared_rows: which sets are candidates for each other: those that share a key. sets_of(ids) gives
+    (id, set, n, sketch), see described; it is asked for candidates only. elements gives a text's set for verification.
+    marks (id, marks) is what first_met tells from, for the marks of two holders and the place of a key, whether the key
+    is the first they share, so that a pair is met once.
 
-    Every element that one candidate alone holds lowers what its set can have in common with any other (one_in counts
-    such elements in part only, which is a weaker bound), so sets that cannot reach the threshold leave before any pair
-    is made, and the set with the least such elements leads its keys: copies of one text meet their original first.
-    Exact among candidates; no pair is skipped by a cap. Keys held by very many sets cost a join, not a group in one task.
+    Exact among candidates; no pair is skipped by a cap. The leader of a key is the set with the most company in all its
+    keys, mostly the original of a family of copies. Pairs that are compared after that become rows only if the sketches
+    let them reach the threshold; a key with many holders is dealt to several tasks, and what is in its greatest component
+    is not compared with itself. The tables that the result reads belong to into.
     """
-    content = content or Arrays()
-    old = Scratch(rows.sparkSession)
-    rows = rows.where(F.col("id").isNotNull())
-    busy = old.write(rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "busy-keys")
-    live = old.write(rows.join(busy(), "key", "left_semi").distinct(), "live-keys")
-    sets = old.write(sets_of(live().select("id").distinct()), "candidate-sets")
-    owned = content.elements(sets(), one_in).groupBy("e").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-    alone = owned.groupBy("id").agg(F.count("*").alias("alone"))
-    fit = content.sizes(sets()).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
-    fit = old.write(fit.where(100 * F.col("s") >= percent * F.col("n")), "fit-sets")
-    if one_in == 1:
-        sets = old.write(sets().join(fit().select("id"), "id", "left_semi"), "fit-elements")
-
-    buckets = old.write(live().join(fit(), "id").select("key", F.struct("id", "n", "s").alias("x")), "buckets")
-    order = F.struct((F.col("x.n") - F.col("x.s")) / F.col("x.n"), -F.col("x.n"), "x.id")
-    leaders = old.write(buckets().groupBy("key").agg(F.min_by("x", order).alias("y"), F.count("*").alias("c")).where("c > 1").select("key", "y"), "leaders")
-    pairs = buckets().join(leaders(), "key").where((F.col("x.id") != F.col("y.id")) & _may_reach("x", "y", percent))
-    links = old.write(_verified(_pair("x.id", "y.id", pairs), sets, percent, content), "links")
-    labels = components(links())
-
-    held = buckets().select("key", "x.*").join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    held = old.write(held, "bucket-labels")
-    # Of two holders the leader's comparison has decided. Few holders are compared with each other, many by rare elements.
-    counts = held().groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2")
-    counts = old.write(counts.select("key", (F.col("m") <= FEW).alias("few")), "open-keys")
-    some = old.write(held().join(counts().where("few"), "key").select("key", F.struct("id", "n", "s", "c").alias("x")), "small-keys")
-    other = some().select("key", F.col("x").alias("y"))
-    near = some().join(other, "key").where((F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & _may_reach("x", "y", percent))
-    ids = old.write(held().join(counts().where("not few"), "key", "left_semi").select("id", "c").distinct(), "open-sets")
-    rest = _pair("x.id", "y.id", near).union(_rare_pairs(ids, sets, percent, content, old)).distinct()
-    more = old.write(_verified(rest, sets, percent, content), "more-links")
+    old = Scratch(marks.sparkSession)
+    ids = old.write(live().groupBy("id").agg(F.sum("c").alias("company")), "candidates")
+    sets = old.write(sets_of(ids().select("id")), "candidate-sets")
+    fit = old.write(sets().select("id", "n").join(ids(), "id"), "candidate-sizes")
+    buckets = old.write(live().select("key", "id", "place").join(fit(), "id"), "buckets")
+    order = F.struct(-F.col("company"), "n", "id")
+    leaders = buckets().groupBy("key").agg(F.min_by(F.struct("id", "n"), order).alias("y"))
+    pairs = buckets().select("key", F.struct("id", "n").alias("x")).join(leaders, "key").where(F.col("x.id") != F.col("y.id")).where(_may_reach("x", "y", percent, False))
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    links = old.write(_checked(pairs, sets, percent, elements), "links")
+    labels = components(links(), into)
+
+    held = old.write(buckets().join(labels, "id", "left").select("key", "id", "place", F.coalesce("component", "id").alias("c")), "bucket-labels")
+    # Of two holders the leader's comparison has decided.
+    sized = held().groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key")
+    sized = sized.agg(F.sum("m").alias("m"), F.count("*").alias("kinds"), F.max_by("c", F.struct("m", "c")).alias("greatest")).where("kinds > 1 and m > 2")
+    open_keys = old.write(sized.select("key", "greatest", F.ceil(F.col("m") / HOLDERS_A_TASK).cast("int").alias("tasks")), "open-keys")
+    still = held().join(open_keys(), "key")
+    marked = marks.join(still.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    full = old.write(sets().select("id", "n", "sketch").join(marked, "id"), "open-sets")
+    both = F.struct("id", "c", "n", "sketch", "marks")
+    still = old.write(still.join(full(), "id").select("key", "place", "greatest", "tasks", both.alias("x")), "open-holders")
+    # Holders outside the greatest component look for others; those of two such components for each other once.
+    asking = still().where("x.c != greatest").withColumn("task", F.pmod(F.hash("x.id"), "tasks"))
+    asked = still().select("key", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.col("x").alias("y"))
+    foreign = ((F.col("y.c") == F.col("greatest")) | (F.col("x.c") < F.col("y.c"))) & (F.col("x.c") != F.col("y.c"))
+    near = asking.join(asked, ["key", "task"]).where(foreign & _may_reach("x", "y", percent) & first_met(F.col("x.marks"), F.col("y.marks"), F.col("place")))
+    near = near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    more = old.write(_checked(near, sets, percent, elements), "more-links")
     if not more().isEmpty():
-        labels = components(links().union(more()))
+        # Links between components, of which each has one label.
+        name = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_label"))
+        joined = more().join(name("a"), "a", "left").join(name("b"), "b", "left")
+        joined = joined.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).distinct()
+        joined = components(joined, old).select(F.col("id").alias("component"), F.col("component").alias("root"))
+        named = labels.join(joined, "component", "full").select(F.coalesce("id", "component").alias("id"), F.coalesce("root", "component").alias("component"))
+        labels = into.write(named, "components")()
     old.clear()
     return labels
 
 
-def _pair(a: str, b: str, pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-
-
-def _rare_pairs(ids: Callable[[], DataFrame], sets: Callable[[], DataFrame], percent: int, content: Arrays | Texts, old: Scratch) -> DataFrame:
-    """The pairs (a, b) of ids (id, component c) of different components that may reach the threshold.
-
-    Elements stand in one order, rarest first. If e, at places i and j, is the first element common to two sets, they
-    share at most min(n - i, m - j) elements; so an element late in a set brings no pair. Of an element's holders only
-    those in smaller components look for larger ones: the bulk of copies, which is one component, is never paired.
-    """
-    size = ids().groupBy("c").agg(F.count("*").alias("cs"))
-    held = ids().join(size, "c").select("id", F.struct("cs", "c").alias("c"))
-    wanted = old.write(sets().join(held.select("id"), "id", "left_semi"), "open-contents")
-    rows = old.write(content.elements(wanted()), "open-elements")
-    often = old.write(rows().groupBy("e").agg(F.count("*").alias("df")).where("df > 1"), "common-elements")
-    shared = rows().join(often(), "e").join(held, "id").join(content.sizes(wanted()), "id")
-    later = F.count("*").over(Window.partitionBy("id")) - F.row_number().over(Window.partitionBy("id").orderBy("df", "e"))
-    shared = shared.select("id", "c", "n", "e", (later + 1).alias("left"))
-    reach = lambda left, n: (100 + percent) * left >= percent * n
-    # Sizes differ by percent at most, so an element is of use only while percent of the set is still to come.
-    early = old.write(shared.where(100 * F.col("left") >= percent * F.col("n")), "early-elements")
-    met = early().groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).where("lo < hi")
-    met = old.write(met, "met-elements")
-    near = early().join(met(), "e").where(reach(F.col("left"), F.col("n") + F.col("least")))
-    x = near.where("c < hi").select("e", F.struct("id", "c", "n", "left").alias("x"))
-    y = early().join(met().select("e", "lo"), "e").where("c > lo").select("e", F.struct("id", "c", "n", "left").alias("y"))
-    both = x.join(y, "e").where((F.col("x.c") < F.col("y.c")) & reach(F.least("x.left", "y.left"), F.col("x.n") + F.col("y.n")))
-    return _pair("x.id", "y.id", both)
-
-
-def _verified(pairs: DataFrame, sets: Callable[[], DataFrame], percent: int, content: Arrays | Texts) -> DataFrame:
-    one = sets().select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    two = sets().select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    return content.verified(pairs.join(one, "a").join(two, "b"), percent)
+def _checked(pairs: DataFrame, sets: Callable[[], DataFrame], percent: int, elements: Callable[[str], set]) -> DataFrame:
+    one = sets().select(F.col("id").alias("a"), F.col("set").alias("sa"), F.struct("n", "sketch").alias("x"))
+    two = sets().select(F.col("id").alias("b"), F.col("set").alias("sb"), F.struct("n", "sketch").alias("y"))
+    return verified(pairs.join(one, "a").join(two, "b").where(_may_reach("x", "y", percent)), elements, percent)

@@ -7,6 +7,9 @@ from 2 * m half keys. A half that only one document holds can be in no shared ke
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -14,55 +17,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import write
-from .linking import link_similar
+from .common import Scratch, row_key, unused, write
+from .linking import described, link_similar, shared_rows
 from .pretokens import text_runs
 
 #: Half keys a side, and minwise hashes a half key: a pair of similarity 0.75 shares no key with a chance of 1 in 10,000.
 HALVES, ROWS = 12, 2
+#: Words a shingle.
+SHINGLE = 5
+#: Sets of so many shingles at most are told apart by the shingles themselves, greater ones by the hashes of all of them.
+SMALL = 64
+ID = "struct<a: long, b: long>"
+
+
+def shingle_set(text: str) -> set[tuple[bytes, ...]]:
+    """The distinct shingles of a text; fewer words are one shingle."""
+    w = hashing.word_texts(text)
+    return set(zip(*(w[i:] for i in range(SHINGLE)), strict=False)) if len(w) >= SHINGLE else {tuple(w)} if w else set()
+
+
+def _digest(text: str, hashes: np.ndarray) -> np.ndarray:
+    """128 bits of a set."""
+    said = b"\n".join(sorted(b" ".join(x) for x in shingle_set(text))) if len(hashes) <= SMALL else hashes.tobytes()
+    return np.frombuffer(hashlib.blake2b(said, digest_size=16).digest(), np.int64)
 
 
 def _signatures(parts):
     for part in parts:
-        for ids, texts in text_runs(part.column(0), part.column(1)):
-            sets = hashing.word_shingles(texts)
+        at = 0
+        for some, texts in text_runs(part.column(1), part.column(1)):
+            sets = hashing.word_shingles(texts, SHINGLE)
             size = np.array([len(s) for s in sets])
             full = np.flatnonzero(size)
             halves = np.zeros((len(sets), 2 * HALVES), np.int64)
             if len(full):
                 first = np.concatenate([[0], np.cumsum(size[full])])
                 halves[full] = hashing.keys(hashing.minwise(np.concatenate([sets[i] for i in full]), first, 2 * HALVES * ROWS), ROWS, 7)
-            digest = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
-            yield pa.record_batch(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array(size, pa.int64()),
-                    pa.array([d[0] for d in digest], pa.int64()),
-                    pa.array([d[1] for d in digest], pa.int64()),
-                    pa.FixedSizeListArray.from_arrays(pa.array(halves.ravel()), 2 * HALVES).cast(pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n", "d1", "d2", "halves"],
-            )
-
-
-def _sets(parts):
-    for part in parts:
-        for ids, texts in text_runs(part.column(0), part.column(1)):
-            sets = [s.view(np.int64) for s in hashing.word_shingles(texts)]
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+            digest = np.array([_digest(t, s) for t, s in zip(texts, sets, strict=True)]).reshape(-1, 2)
+            columns = [part.column(0).slice(at, len(some)), pa.array(size, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
+            columns.append(pa.FixedSizeListArray.from_arrays(pa.array(halves.ravel()), 2 * HALVES).cast(pa.list_(pa.int64())))
+            yield pa.record_batch(columns, names=["row_key", "n", "d1", "d2", "halves"])
+            at += len(some)
 
 
-def _table_keys(items: DataFrame) -> DataFrame:
-    """(key, id): each pair of a left and a right half that other documents hold too."""
-    half = items.select("id", F.posexplode("halves").alias("p", "half"))
-    shared = write(half.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half"), "shared-halves")
-    kept = half.join(shared(), "half", "left_semi").groupBy("id")
-    sides = kept.agg(F.collect_list(F.when(F.col("p") < HALVES, F.col("half"))).alias("l"), F.collect_list(F.when(F.col("p") >= HALVES, F.col("half"))).alias("r"))
-    return sides.select("id", F.explode("l").alias("l"), "r").select("id", "l", F.explode("r").alias("r")).select(F.xxhash64("l", "r").alias("key"), "id")
+def _shared_tables(items: Callable[[], DataFrame], old: Scratch) -> DataFrame:
+    """Rows of shared_rows for the table keys: pairs of a left and a right half, each held by other documents too."""
+    half = items().select("id", F.posexplode("halves").alias("place", "key"))
+    held = old.write(shared_rows(half, items().count() * 2 * HALVES, ID), "shared-halves")
+    left, right = (F.collect_list(F.when(side, F.struct("place", "key"))) for side in (F.col("place") < HALVES, F.col("place") >= HALVES))
+    sides = old.write(held().groupBy("id").agg(left.alias("l"), right.alias("r")), "half-sides")
+    count = sides().agg(F.coalesce(F.sum(F.size("l").cast("long") * F.size("r")), F.lit(0))).first()[0]
+    pairs = sides().select("id", F.explode("l").alias("l"), "r").select("id", "l", F.explode("r").alias("r"))
+    rows = pairs.select(F.xxhash64("l.key", "r.key").alias("key"), "id", (F.col("l.place") * HALVES + F.col("r.place") - HALVES).alias("place"))
+    return shared_rows(rows, count, ID)
 
 
-def _row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col), F.lit(1))
+def _first_met(x: Column, y: Column, place: Column) -> Column:
+    """Whether no earlier table, by its left and by its right half, is shared by two documents."""
+    left, right = F.floor(place / HALVES), place % HALVES
+    earlier = [(left > i) & (x[i] == y[i]) for i in range(HALVES - 1)] + [(right > i) & (x[HALVES + i] == y[HALVES + i]) for i in range(HALVES - 1)]
+    return ~reduce(or_, earlier)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,41 +87,43 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     = component_id), row_key (tells rows apart; equal rows share it) and first_key (the row key of the group's least id).
 
     Texts with equal sets are one class from the start, by a 128-bit digest, so thousands of copies cost one row each.
-    Rows with a null id are linked like others and have the least id of their group, null if all are null; repeated rows
-    stay; other columns are ignored; an empty table gives an empty result.
+    Links are confirmed on the shingles themselves. Rows with a null id are linked like others and have the least id of
+    their group, null if all are null; repeated rows stay; other columns are ignored, whatever their names; an empty
+    table gives an empty result. Texts of any length are taken whole: a task holds one long text beside a run of short ones.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _row_key(id_col, text_col).alias("row_key"))
-    # The row key travels as the id; the document's id comes back with it.
-    marks = named.select("row_key", "text").mapInArrow(_signatures, "doc_id long, n long, d1 long, d2 long, halves array<long>")
-    marks = write(marks.withColumnRenamed("doc_id", "row_key"), "signatures")
-    classes = write(marks().where("n > 0").groupBy("d1", "d2").agg(F.min("row_key").alias("id")), "classes")
+    old = Scratch(docs.sparkSession)
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"))
+    marks = old.write(named.select("row_key", "text").mapInArrow(_signatures, f"row_key {ID}, n long, d1 long, d2 long, halves array<long>"), "signatures")
+    classes = old.write(marks().where("n > 0").groupBy("d1", "d2").agg(F.min("row_key").alias("id")), "classes")
     items = marks().join(classes().select("id"), F.col("row_key") == F.col("id"), "left_semi").dropDuplicates(["row_key"])
-    items = write(items.select(F.col("row_key").alias("id"), "halves"), "class-halves")
+    items = old.write(items.select(F.col("row_key").alias("id"), "halves"), "class-halves")
+    live = old.write(_shared_tables(items, old), "shared-tables")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = named.join(ids, F.col("row_key") == F.col("id"), "left_semi").dropDuplicates(["row_key"])
-        return wanted.select("row_key", "text").mapInArrow(_sets, "id long, set array<long>")
+        wanted = named.select(F.col("row_key").alias("id"), F.col("text").alias("set")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+        return described(wanted, lambda texts: hashing.word_shingles(texts, SHINGLE))
 
-    linked = link_similar(_table_keys(items()), sets_of, percent)
+    linked = link_similar(live, sets_of, items().withColumnRenamed("halves", "marks"), _first_met, shingle_set, percent, old)
     owners = named.select("doc_id", "row_key")
     placed = owners.join(marks().select("row_key", "n", "d1", "d2").distinct(), "row_key").join(classes(), ["d1", "d2"], "left").join(linked, "id", "left")
     placed = placed.select("doc_id", F.col("n").alias("n_shingles"), "row_key", F.coalesce("component", "id", "row_key").alias("root"))
     placed = write(placed, "placed")
+    old.clear()
     first = F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first_key")
-    least = write(placed().groupBy("root").agg(F.min("doc_id").alias("component_id"), first), "least")
+    least = placed().groupBy("root").agg(F.min("doc_id").alias("component_id"), first)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
-    return placed().join(least(), "root").select("doc_id", "n_shingles", "component_id", kept, "row_key", "first_key")
+    return placed().join(least, "root").select("doc_id", "n_shingles", "component_id", kept, "row_key", "first_key")
 
 
 def keep_one(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, of which one stays of each group of near_duplicates: the least id's; of
-    equal rows one stays."""
-    found = near_duplicates(docs, percent, id_col, text_col)
-    keys = found.groupBy(F.col("row_key").alias("__key")).agg(F.min("first_key").alias("first"), F.count("*").alias("c"))
-    keys = write(keys.where("__key != first or c > 1"), "row-groups")
-    named = docs.withColumn("__key", _row_key(id_col, text_col))
-    once = named.join(keys().select("__key"), "__key", "left_anti")
-    again = named.join(keys().where("__key = first").select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
+    equal rows one stays. Else as near_duplicates."""
+    found, key = near_duplicates(docs, percent, id_col, text_col), unused(docs, "row_key")
+    keys = found.groupBy(F.col("row_key").alias(key)).agg(F.min("first_key").alias("first"), F.count("*").alias("c"))
+    keys = write(keys.where((F.col(key) != F.col("first")) | (F.col("c") > 1)), "row-groups")
+    named = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
+    once = named.join(keys().select(key), key, "left_anti")
+    again = named.join(keys().where(F.col(key) == F.col("first")).select(key), key, "left_semi").dropDuplicates([key])
     return once.unionByName(again).select(*docs.columns)
 
 

@@ -83,7 +83,7 @@ def line_drops(texts):
     for d, t in enumerate(texts):
         for j, x in enumerate((t or "").split("\n")):
             n = line_dedup.normal(x)
-            if len(x) >= line_dedup.SHORTEST and len(n) >= line_dedup.SHORTEST:
+            if len(n) >= 1:
                 places[n].append((d, j))
     lines = list(places)
     s = [{n[i : i + k] for i in range(max(1, len(n) - k + 1))} for n in lines]
