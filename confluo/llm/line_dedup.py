@@ -125,7 +125,7 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     old = Scratch(docs.sparkSession)
     places = old.write(texts.mapInArrow(_places, f"doc_key struct<a: long, b: long>, doc_id long, line int, id {ID}, bands array<long>"), "line-places")
     rows = places().select("id", F.posexplode("bands").alias("place", "key"))
-    live = old.write(shared_rows(rows, places().count() * BANDS, ID), "shared-bands")
+    live = old.write(shared_rows(rows, places().count() * BANDS), "shared-bands")
     bands = places().where(F.size("bands") > 0).select("id", F.col("bands").alias("marks"))
 
     def lines_of(ids: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def _may_reach(x: str, y: str, percent: int, sketch: bool = True) -> Column:
     return fits & ((100 + percent) * _differing(F.col(f"{x}.sketch"), F.col(f"{y}.sketch")) <= (100 - percent) * (n + m)) if sketch else fits
 
 
-def shared_rows(rows: DataFrame, count: int, id_type: str) -> DataFrame:
+def shared_rows(rows: DataFrame, count: int) -> DataFrame:
     """The distinct rows (key long, id, place int) whose key several ids hold, with c, the key's rows: one shuffle.
 
     count: the number of rows, or more. A key that fills a good part of a task is found in a sample of bounded size and
@@ -61,8 +61,10 @@ def shared_rows(rows: DataFrame, count: int, id_type: str) -> DataFrame:
     sampled = rows.select("key").sample(min(1.0, SAMPLED * tasks / max(count, 1)), 9)
     hot = sampled.groupBy("key").count().where(F.col("count") >= HOT).select("key", F.lit(True).alias("hot"))
     # At most SAMPLED / HOT keys a task, some bytes each.
-    dealt = rows.select("key", "id", "place").join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    dealt = dealt.repartition(tasks, "key", F.when(F.col("hot"), F.pmod(F.hash("id"), F.lit(256))).otherwise(F.lit(0)))
+    kind = rows.schema["id"].dataType
+    parts_of_id = [F.col(f"id.{f}").alias(f"id_{f}") for f in kind.names] if isinstance(kind, T.StructType) else [F.col("id").alias("id_")]
+    dealt = rows.join(F.broadcast(hot), "key", "left").select("key", "place", F.coalesce("hot", F.lit(False)).alias("hot"), *parts_of_id)
+    dealt = dealt.repartition(tasks, "key", F.when(F.col("hot"), F.pmod(F.hash(*dealt.columns[3:]), F.lit(256))).otherwise(F.lit(0)))
 
     def run(parts):
         parts = list(parts)
@@ -70,8 +72,7 @@ def shared_rows(rows: DataFrame, count: int, id_type: str) -> DataFrame:
             return
         t = pa.Table.from_batches(parts).combine_chunks()
         key = t["key"].to_numpy()
-        ids = t["id"].combine_chunks()
-        fields = [f.to_numpy(zero_copy_only=False) for f in (ids.flatten() if pa.types.is_struct(ids.type) else [ids])]
+        fields = [t[c].to_numpy() for c in t.column_names[3:]]
         order = np.argsort(key, kind="stable")
         key = key[order]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -93,10 +94,12 @@ def shared_rows(rows: DataFrame, count: int, id_type: str) -> DataFrame:
             kept = kept[np.sort(again[new])]
         for a in range(0, len(kept), 1 << 16):
             some = kept[a : a + (1 << 16)]
-            at = pa.array(order[some])
-            yield pa.record_batch([t["key"].take(at).combine_chunks(), ids.take(at), t["place"].take(at).combine_chunks(), pa.array(size[which[some]])], names=["key", "id", "place", "c"])
+            found = [key[some], t["place"].to_numpy()[order[some]], size[which[some]], *(f[order[some]] for f in fields)]
+            yield pa.record_batch([pa.array(x) for x in found], names=["key", "place", "c", *t.column_names[3:]])
 
-    return dealt.mapInArrow(run, f"key long, id {id_type}, place int, c long")
+    found = dealt.mapInArrow(run, T.StructType([dealt.schema["key"], T.StructField("place", T.IntegerType()), T.StructField("c", T.LongType()), *dealt.schema.fields[3:]]))
+    whole = F.struct(*[F.col(c).alias(c[3:]) for c in dealt.columns[3:]]) if isinstance(kind, T.StructType) else F.col("id_")
+    return found.select("key", whole.alias("id"), "place", "c")
 
 
 def components(edges: DataFrame, into: Scratch | None = None) -> DataFrame:

@@ -63,13 +63,13 @@ def _signatures(parts):
 def _shared_tables(items: Callable[[], DataFrame], old: Scratch) -> DataFrame:
     """Rows of shared_rows for the table keys: pairs of a left and a right half, each held by other documents too."""
     half = items().select("id", F.posexplode("halves").alias("place", "key"))
-    held = old.write(shared_rows(half, items().count() * 2 * HALVES, ID), "shared-halves")
+    held = old.write(shared_rows(half, items().count() * 2 * HALVES), "shared-halves")
     left, right = (F.collect_list(F.when(side, F.struct("place", "key"))) for side in (F.col("place") < HALVES, F.col("place") >= HALVES))
     sides = old.write(held().groupBy("id").agg(left.alias("l"), right.alias("r")), "half-sides")
     count = sides().agg(F.coalesce(F.sum(F.size("l").cast("long") * F.size("r")), F.lit(0))).first()[0]
     pairs = sides().select("id", F.explode("l").alias("l"), "r").select("id", "l", F.explode("r").alias("r"))
     rows = pairs.select(F.xxhash64("l.key", "r.key").alias("key"), "id", (F.col("l.place") * HALVES + F.col("r.place") - HALVES).alias("place"))
-    return shared_rows(rows, count, ID)
+    return shared_rows(rows, count)
 
 
 def _first_met(x: Column, y: Column, place: Column) -> Column:
