@@ -2,8 +2,9 @@
 
 Every node gets its characters per tag, adjusted for links; a node's density sum adds its children's densities. The
 least density on the path from the node of greatest sum up to the body is the threshold; under every node that reaches
-it the subtree of greatest sum is content, as is all that stands between in the smallest element around it. Elements that are no article text by their kind or name are cut beforehand, but for forms and
-named elements that hold the bulk of the page.
+it the subtree of greatest sum is content, as is all that stands between in the smallest element around it. Elements that by
+their kind are no article text (scripts, menus, asides) are no nodes; text in forms and in elements of telling names counts
+as link text in the densities, unless they hold the bulk of the page, and what of it stands in the content is left out.
 """
 
 from __future__ import annotations
@@ -91,47 +92,54 @@ class Page:
 
     def __init__(self, html: str):
         self.tags, self.parents, self.marks, self.texts = ["html"], [-1], [TEXT], []
-        stack, at, inside = [0], 0, 0
+        self.stack, self.open, at = [0], {}, 0  # open: for each tag, the places in the stack of its open elements
         while m := TOKEN.search(html, at):
             if m.start() > at:
-                self.texts.append((stack[-1], html[at : m.start()]))
+                self.texts.append((self.stack[-1], html[at : m.start()]))
             at = m.end()
             if m[1]:
-                self.texts.append((stack[-1], m[1]))
+                self.texts.append((self.stack[-1], m[1]))
             if not m[3]:
                 continue
             tag = m[3].lower()
             if tag in BLOCK:
                 self.texts.append(None)
             if m[2]:
-                if any(self.tags[n] == tag for n in stack[1:]):
-                    while self.tags[n := stack.pop()] != tag:
-                        inside -= self.tags[n] in ("article", "main")
-                    inside -= tag in ("article", "main")
+                if self._last((tag,)) > 0:
+                    self._cut(self._last((tag,)))
                 continue
-            if tag == "html" or tag in INLINE and not (m[4] and _not_text(tag, m[4], inside > 0)):
+            inside = self._last(("article", "main")) > 0
+            if tag == "html" or tag in INLINE and not (m[4] and _not_text(tag, m[4], inside)):
                 continue
-            self._end(stack, {"p"} if tag in ENDS_P else set(), BOUNDS)
-            self._end(stack, ENDS.get(tag, set()), BOUNDS - {tag})
+            self._end(("p",) if tag in ENDS_P else (), BOUNDS)
+            self._end(ENDS.get(tag, ()), BOUNDS - {tag})
             node = len(self.tags)
             self.tags.append(tag)
-            self.parents.append(stack[-1])
-            self.marks.append(_not_text(tag, m[4], inside > 0))
+            self.parents.append(self.stack[-1])
+            self.marks.append(_not_text(tag, m[4], self._last(("article", "main")) > 0))
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?:[\s/>]|\Z)", re.I).search(html, at)
                 at = close.start() if close else len(html)
             elif tag not in VOID and not m[4].endswith("/") or tag in BLOCK and tag not in VOID:
-                stack.append(node)
-                inside += tag in ("article", "main")
+                self.open.setdefault(tag, []).append(len(self.stack))
+                self.stack.append(node)
         if at < len(html):
-            self.texts.append((stack[-1], html[at:]))
+            self.texts.append((self.stack[-1], html[at:]))
 
-    def _end(self, stack: list[int], tags: set[str], bounds: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1) if tags else ():
-            if self.tags[stack[k]] in tags:
-                del stack[k:]
-            elif self.tags[stack[k]] in bounds:
-                break
+    def _last(self, tags) -> int:
+        """Place in the stack of the innermost open element of these tags, 0 if none is open."""
+        return max((held[-1] for t in tags if (held := self.open.get(t))), default=0)
+
+    def _cut(self, place: int) -> None:
+        """Ends the open elements from this place on: each is ended once, however often end tags come."""
+        for node in reversed(self.stack[place:]):
+            self.open[self.tags[node]].pop()
+        del self.stack[place:]
+
+    def _end(self, tags, bounds: frozenset[str]) -> None:
+        found = self._last(tags)
+        if found and found >= self._last(bounds):
+            self._cut(found)
 
 
 def _kept(page: Page, linked: list[bool]) -> list[bool]:
@@ -184,12 +192,17 @@ def main_text(html: str) -> str:
     linked = [False] * n
     for i in range(1, n):
         linked[i] = linked[parents[i]] or tags[i] == "a"
-    # Cut elements may hold the article itself by an odd name: they count again if nothing else is left.
-    kept = _kept(page, linked)
-    if not any(t and kept[t[0]] and t[1].strip() for t in page.texts):
-        kept = [tag not in NOT_TEXT for tag in tags]
-        for i in range(1, n):
-            kept[i] = kept[i] and kept[parents[i]]
+    # Elements of telling names may hold the article itself: they count if nothing else is left.
+    named = [not k for k in _kept(page, linked)]
+    kept = [True] * n
+    for i in range(1, n):
+        kept[i] = kept[parents[i]] and page.marks[i] != NEVER
+    if not any(t and kept[t[0]] and not named[t[0]] and t[1].strip() for t in page.texts):
+        named = [False] * n
+        if not any(t and kept[t[0]] and t[1].strip() for t in page.texts):
+            for i in range(1, n):
+                kept[i] = kept[parents[i]] and tags[i] not in NOT_TEXT
+    linked = [a or b for a, b in zip(linked, named, strict=True)]
     chars, link_chars, below, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     for t in page.texts:
         if t and kept[t[0]]:
@@ -202,7 +215,7 @@ def main_text(html: str) -> str:
             chars[p] += chars[i]
             link_chars[p] += link_chars[i]
             below[p] += below[i] + 1
-            link_tags[p] += link_tags[i] + (tags[i] == "a")
+            link_tags[p] += link_tags[i] + (tags[i] == "a" or named[i])
     body = tags.index("body") if "body" in tags else 0
     ratio = link_chars[body] / max(chars[body], 1)
 
@@ -243,7 +256,7 @@ def main_text(html: str) -> str:
         if t is None:
             blocks.append(" ".join(unescape("".join(words)).split()))
             words = []
-        elif content[t[0]] and kept[t[0]]:
+        elif content[t[0]] and kept[t[0]] and not named[t[0]]:
             words.append(t[1])
     return " ".join(b for b in blocks if b)
 
@@ -253,7 +266,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     A map over rows: no shuffle, memory bounded by a row's page. Null or empty html, and pages without article text,
     give an empty text; null ids and urls and repeated rows stay as they are; other columns are ignored; an empty table
-    gives an empty result. Broken markup never fails: unknown end tags are ignored, open elements end with the page.
+    gives an empty result. Broken markup never fails: unknown end tags are ignored, open elements end with the page. Pages
+    of any length are taken whole; the time grows with their length, whatever is nested or left open in them.
     """
 
     def run(parts):
