@@ -1,12 +1,13 @@
 """Byte-level BPE: a segment tree over byte positions holds the leftmost pair of least rank.
 
 Distinct pieces are merged side by side: one tree a piece, as rows of an array, so each step merges one pair in every
-piece and repairs three leaves and their ancestors.
+piece and repairs three leaves and their ancestors. Where few pieces are of a length, each has its tree to itself.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from .pretokens import PieceCache, text_runs, gather
 
 NEVER = np.int64(1) << 62
+#: Fewer pieces of a length are merged one by one.
+FEW = 24
 
 
 class RankEncoder:
@@ -33,6 +36,7 @@ class RankEncoder:
                 a, b = rank.get(t[:k]), rank.get(t[k:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = r
+        self.pairs = pairs
         self.pair = np.array(sorted(pairs), np.int64)
         self.pair_rank = np.array([pairs[p] for p in self.pair.tolist()], np.int64)
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
@@ -89,6 +93,42 @@ class RankEncoder:
         rank = self.rank_of(a, b)
         tree[row, width + pos] = np.where(rank < NEVER, rank * width + pos, NEVER)
 
+    def _merge_one(self, piece: bytes) -> bytes:
+        """Merged ids of one piece."""
+        n, never, rank_of = len(piece), int(NEVER), self.pairs.get
+        width = max(2, 1 << (n - 1).bit_length())
+        ids = array("q", self.byte_id[np.frombuffer(piece, np.uint8)].tobytes())
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        tree = array("q", [never]) * (2 * width)
+
+        def put(place: int, rank: int | None) -> None:
+            node = width + place
+            tree[node] = never if rank is None else rank * width + place
+            while node > 1:
+                node >>= 1
+                least = min(tree[2 * node], tree[2 * node + 1])
+                if tree[node] == least:
+                    break
+                tree[node] = least
+
+        for i in range(n - 1):
+            put(i, rank_of(ids[i] << 32 | ids[i + 1]))
+        while (top := tree[1]) < never:
+            rank, at = divmod(top, width)
+            gone = after[at]
+            follower = after[at] = after[gone]
+            ids[at], ids[gone] = rank, -1
+            put(gone, None)
+            if follower < n:
+                before[follower] = at
+                put(at, rank_of(rank << 32 | ids[follower]))
+            else:
+                put(at, None)
+            if before[at] >= 0:
+                put(before[at], rank_of(ids[before[at]] << 32 | rank))
+        merged = np.frombuffer(ids, np.int64)
+        return merged[merged >= 0].astype("<u4").tobytes()
+
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         raw = [p.encode() for p in pieces]
         out: list[bytes] = [b""] * len(raw)
@@ -96,6 +136,10 @@ class RankEncoder:
         for i, p in enumerate(raw):
             by_width.setdefault(max(2, 1 << (len(p) - 1).bit_length()), []).append(i)
         for width, where in by_width.items():
+            if len(where) < FEW:
+                for i in where:
+                    out[i] = self._merge_one(raw[i])
+                continue
             step = max(1, (1 << 18) // width)
             for a in range(0, len(where), step):
                 part = where[a : a + step]
@@ -124,7 +168,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     """Encode every whole text and decode its ids again; returns doc_id, n_tokens, ids (little-endian uint32, binary),
     decoded (binary), same (whether decoded is the text).
 
-    A map over rows: no shuffle, a row's memory is bounded by its own text. Null and empty texts have no ids; null ids
+    A map over rows: no shuffle, a row's memory is bounded by its own text; a piece of n bytes takes n merges of about
+    log n steps, so texts without a break are no special case. Null and empty texts have no ids; null ids
     and repeated rows stay as they are; other input columns are ignored; an empty table gives an empty result. Strings
     of special tokens are ordinary text. Every executor finds the rank file at ranks_path.
     """

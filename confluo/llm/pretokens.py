@@ -83,6 +83,24 @@ def gather(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[n
     return values[np.repeat(begins - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
 
 
+def distinct(whole: str, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each kind of the pieces whole[cuts[i]:cuts[i+1]], and the place of each piece's kind among these.
+
+    Pieces are sorted by a hash; each is then compared, character by character, with the one that stands for its hash."""
+    chars = code_points(whole)
+    size = np.diff(cuts)
+    _, at, place = np.unique(rolling(char_hashes(chars), cuts[:-1], cuts[1:]), return_index=True, return_inverse=True)
+    stands = at[place]
+    same = size == size[stands]
+    own, bounds = gather(chars, cuts[:-1], np.where(same, size, 0))
+    other, _ = gather(chars, cuts[:-1][stands], np.where(same, size, 0))
+    if same.all() and (own == other).all():
+        return at, place
+    kinds: dict[str, int] = {}
+    place = np.array([kinds.setdefault(whole[a:b], len(kinds)) for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)])
+    return np.unique(place, return_index=True)[1], place
+
+
 def batches(ids: list, texts: list, most: int = 1 << 20):
     """Runs of rows with about so many characters; a longer text stands alone."""
     a = size = 0
@@ -102,7 +120,7 @@ def text_runs(ids: pa.Array, texts: pa.Array, rows: int = 1024):
 
 
 class PieceCache:
-    """Ids of texts by their pieces: each distinct piece of a batch, told apart by a 64-bit hash, is looked up once, and
+    """Ids of texts by their pieces: each distinct piece of a batch is looked up once, and
     pieces not used lately are encoded. Two generations of at most so many pieces are kept."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 200_000):
@@ -123,7 +141,7 @@ class PieceCache:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids (uint32) of all texts and where each text's ids start (and the end of all)."""
         whole, cuts, first = spans(texts)
-        _, at, place = np.unique(rolling(char_hashes(code_points(whole)), cuts[:-1], cuts[1:]), return_index=True, return_inverse=True)
+        at, place = distinct(whole, cuts)
         ids = self._ids([whole[a:b] for a, b in zip(cuts[at].tolist(), cuts[at + 1].tolist(), strict=True)])
         sizes = np.array(list(map(len, ids)), np.int64) // 4
         flat, bounds = gather(np.frombuffer(b"".join(ids), "<u4"), (np.cumsum(sizes) - sizes)[place], sizes[place])
