@@ -66,6 +66,16 @@ class Scratch:
 
     def clear(self) -> None:
         for path in self.paths:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            delete(self.spark, path)
         self.paths.clear()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its file system, as Spark finds it: tasks that open files themselves reach the same ones."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return str(p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString())

@@ -10,13 +10,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, qualified
 from .pretokens import PieceCache, text_runs
 
 MAGIC = b"EFIDS001"
+#: Magic, documents without an id, token ids, bytes a token id.
+HEAD = struct.Struct("<8sQQB")
 #: Every so many values the position of a value's high bit is stored, as uint32 from the start.
 SELECT_STEP = 256
 
@@ -65,22 +68,21 @@ class EliasFano:
         bits = np.unpackbits(self.low[a // 8 : -(-b // 8)])[a % 8 : a % 8 + b - a].reshape(count, self.low_bits)
         return (bits.astype(np.int64) << np.arange(self.low_bits)).sum(1)
 
+    def run(self, i: int, count: int) -> np.ndarray:
+        """The values i to i + count - 1: only the high bits between the stored positions around them are looked at."""
+        at = int(self.samples[i // SELECT_STEP])
+        after = -(-(i + count) // SELECT_STEP)
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        places = np.flatnonzero(np.unpackbits(self.high[at // 8 : end])) + at // 8 * 8
+        places = places[np.searchsorted(places, at) + i % SELECT_STEP :][:count]
+        return self.least + ((places - np.arange(i, i + count)) << self.low_bits) + self._low(i, count)
+
     def select(self, i: int) -> int:
         """The i-th value."""
-        at = int(self.samples[i // SELECT_STEP])
-        left, byte = i % SELECT_STEP, at // 8
-        chunk = np.unpackbits(self.high[byte : byte + 1])
-        chunk[: at % 8] = 0
-        while (held := int(chunk.sum())) <= left:
-            left -= held
-            byte += 1
-            chunk = np.unpackbits(self.high[byte : byte + 1])
-        place = byte * 8 + int(np.flatnonzero(chunk)[left])
-        return self.least + ((place - i) << self.low_bits) + int(self._low(i, 1)[0])
+        return int(self.run(i, 1)[0])
 
     def values(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high))[: self.n]
-        return self.least + ((places - np.arange(self.n)) << self.low_bits) + self._low(0, self.n)
+        return self.run(0, self.n) if self.n else np.zeros(0, np.int64)
 
 
 def pack(doc_ids: list[int | None], ids: list[np.ndarray], largest: int) -> bytes:
@@ -90,19 +92,32 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], largest: int) -> byte
     flat = np.concatenate(ids).astype(kind) if ids else np.zeros(0, kind)
     bounds = EliasFano.build(np.concatenate([[0], np.cumsum([len(x) for x in ids])]))
     keys = EliasFano.build(np.array(doc_ids[nulls:], np.int64))
-    return MAGIC + struct.pack("<QQB", nulls, len(flat), flat.itemsize) + flat.tobytes() + bounds.tobytes() + keys.tobytes()
-
-
-def unpack(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
-    """Document ids, boundaries, and the concatenated ids."""
-    if data[:8] != MAGIC:
-        raise ValueError("not a token-id file")
-    nulls, n, width = struct.unpack_from("<QQB", data, 8)
-    at = 8 + struct.calcsize("<QQB")
-    flat = np.frombuffer(data, f"<u{width}", n, at)
-    bounds, at = EliasFano.read(data, at + flat.nbytes)
-    keys, _ = EliasFano.read(data, at)
-    return [None] * nulls + keys.values().tolist(), bounds, flat
+    return HEAD.pack(MAGIC, nulls, len(flat), flat.itemsize) + flat.tobytes() + bounds.tobytes() + keys.tobytes()
+
+
+class TokenFile:
+    """A token-id file, read in place: the boundaries and document ids are held coded, ids are fetched by their offsets."""
+
+    def __init__(self, f):
+        self.f = f
+        magic, self.nulls, n, width = HEAD.unpack(f.read(HEAD.size))
+        if magic != MAGIC:
+            raise ValueError("not a token-id file")
+        self.kind = np.dtype(f"<u{width}")
+        f.seek(HEAD.size + n * width)
+        tail = f.read()
+        self.bounds, at = EliasFano.read(tail, 0)
+        self.keys, _ = EliasFano.read(tail, at)
+        self.n_docs = self.bounds.n - 1
+
+    def documents(self, first: int, count: int) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+        """Ids of documents, where their token ids start in the file (and the end of the last), and these token ids."""
+        bounds = self.bounds.run(first, count + 1)
+        self.f.seek(HEAD.size + int(bounds[0]) * self.kind.itemsize)
+        flat = np.frombuffer(self.f.read(int(bounds[-1] - bounds[0]) * self.kind.itemsize), self.kind)
+        nulls = min(max(self.nulls - first, 0), count)
+        keys = self.keys.run(first + nulls - self.nulls, count - nulls).tolist() if count > nulls else []
+        return [None] * nulls + keys, bounds, flat
 
 
 @lru_cache(1)
@@ -119,40 +134,59 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     model, chars = t.model, _byte_chars()
 
     def encode(pieces: list[str]) -> list[bytes]:
         shown = [p.encode().decode("latin-1").translate(chars) for p in pieces]
         return [array("I", [x.id for x in model.tokenize(p)]).tobytes() for p in shown]
 
-    return t, PieceCache(encode)
+    added = [a.content for a in t.get_added_tokens_decoder().values()]
+    return t, PieceCache(encode), regex.compile("|".join(map(regex.escape, added))) if added else None
 
 
 def _encode(path: str, texts: list[str], end_id: int) -> list[np.ndarray]:
-    """The library's model encodes each distinct piece once: merges stay within pieces."""
-    flat, bounds = _tokenizer(path)[1](texts)
-    return np.split(np.insert(flat, bounds[1:], end_id), (bounds[1:] + np.arange(1, len(bounds)))[:-1])
+    """The ids of each text as the library gives them, and the end id.
+
+    The library's model encodes each distinct piece once: merges stay within pieces. A text that holds a string of an
+    added token, which the library cuts out before all else, goes through the library as a whole.
+    """
+    t, cache, added = _tokenizer(path)
+    whole = [added is not None and added.search(x) is not None for x in texts]
+    flat, bounds = cache(["" if w else x for w, x in zip(whole, texts, strict=True)])
+    out = np.split(np.insert(flat, bounds[1:], end_id), (bounds[1:] + np.arange(1, len(bounds)))[:-1])
+    for i in np.flatnonzero(whole):
+        out[i] = np.array([*t.encode(texts[i], add_special_tokens=False).ids, end_id], flat.dtype)
+    return out
+
+
+def _file_system(path: str):
+    """pyarrow's file system and its path for a qualified path."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, ids_a_file: int = 1 << 23
+    docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, ids_a_file: int = 1 << 22
 ) -> DataFrame:
     """Encode texts and write their ids, in ascending order of document id, as files of about ids_a_file ids.
 
     Returns the manifest: file, n_docs, n_ids, start (ids in the files before it): one row a file. Null texts count as
-    empty and hold the end id alone; rows with a null id come first; equal ids stand in any order; other columns are
-    ignored. Each task writes its files under another name and renames them, so a repeated task does no harm. path is
-    in a file system that pyarrow and Spark both open, shared by all executors.
-
-    The tokenizer must split texts by the byte-level pattern of pretokens.py; strings of special tokens are ordinary text.
+    empty and hold the end id alone; rows with a null id come first; equal ids and repeated rows stand in any order; other
+    columns are ignored, whatever their names; an empty table gives an empty manifest and no file. A task holds the ids of
+    one file and the texts of one run; a text longer than either is held whole. Each task writes its files under another
+    name and renames them, so a repeated task does no harm. path is shared by all executors, in a file system that
+    pyarrow opens too; a path without scheme is taken from Spark's default file system.
+
+    Ids are the library's, without the special tokens of its template. The tokenizer must split texts by the byte-level
+    pattern of pretokens.py.
     """
+    path = qualified(docs.sparkSession, path)
 
     def run(parts):
-        from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
-        fs, root = FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        fs, root = _file_system(path)
         task = TaskContext.get()
         largest = _tokenizer(tokenizer_path)[0].get_vocab_size()
         keys, ids, held, made = [], [], 0, 0
@@ -190,26 +224,55 @@ def write_token_files(
     return docs.sparkSession.createDataFrame(rows, "file string, n_docs long, n_ids long, start long")
 
 
+def _read(path: str, step: int = 256):
+    """For each row (file, start) of a manifest, blocks of its documents: ids, starts and the end, token ids."""
+
+    def blocks(part):
+        fs, root = _file_system(path)
+        for name, start in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            with fs.open_input_file(f"{root}/{name}") as f:
+                held = TokenFile(f)
+                for a in range(0, held.n_docs, step):
+                    keys, bounds, flat = held.documents(a, min(step, held.n_docs - a))
+                    yield keys, bounds + start, flat
+
+    return blocks
+
+
+def _dealt(manifest: DataFrame) -> DataFrame:
+    """A task reads some 16 files."""
+    return manifest.select("file", "start").repartition(max(1, manifest.count() // 16 + 1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file")
+
+
 def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """The documents of token-id files: doc_id, start, ids (array of int). Reads nothing but the files and the manifest."""
+    """The documents of token-id files: doc_id, start, ids (array of int). Reads nothing but the files and the manifest.
+
+    Each task opens its files in place and fetches blocks of documents by offsets that select gives; a file that the
+    manifest names and that isn't there fails the job."""
+    blocks = _read(qualified(spark, path))
 
     def run(parts):
         for part in parts:
-            for data, base in zip(part.column(0), part.column(1).to_pylist(), strict=True):
-                keys, bounds, flat = unpack(data.as_py())
-                bounds = bounds.values()
-                step = 1024
-                for a in range(0, len(keys), step):
-                    b = min(a + step, len(keys))
-                    offsets = pa.array(bounds[a : b + 1] - bounds[a], pa.int32())
-                    ids = pa.ListArray.from_arrays(offsets, pa.array(flat[bounds[a] : bounds[b]].astype(np.int32)))
-                    yield pa.record_batch(
-                        [pa.array(keys[a:b], pa.int64()), pa.array(bounds[a:b] + base, pa.int64()), ids], names=["doc_id", "start", "ids"]
-                    )
-
-    names = F.element_at(F.split("path", "/"), -1).alias("file")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(path).select(names, "content")
-    return files.join(F.broadcast(manifest), "file").select("content", "start").mapInArrow(run, "doc_id long, start long, ids array<int>")
+            for keys, bounds, flat in blocks(part):
+                ids = pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pa.array(flat.astype(np.int32)))
+                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(bounds[:-1], pa.int64()), ids], names=["doc_id", "start", "ids"])
+
+    return _dealt(manifest).mapInArrow(run, "doc_id long, start long, ids array<int>")
+
+
+def token_file_digests(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """As read_token_files, but for each document the number of its ids and their checksum in place of the ids."""
+    blocks = _read(qualified(spark, path))
+
+    def run(parts):
+        for part in parts:
+            for keys, bounds, flat in blocks(part):
+                cuts = bounds - bounds[0]
+                crc = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+                columns = [keys, bounds[:-1], np.diff(bounds), crc]
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return _dealt(manifest).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -219,17 +282,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     path = fresh_path(spark, "token-files")
     manifest = write_token_files(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
-    if manifest.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-    def digest(parts):
-        for part in parts:
-            ids = part.column("ids")
-            flat, bounds = ids.values.to_numpy(), ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:], strict=False)]
-            yield pa.record_batch(
-                [part.column("doc_id"), part.column("start"), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
-
-    return read_token_files(spark, path, manifest).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return token_file_digests(spark, path, manifest)

@@ -47,6 +47,12 @@ def test_ids_and_round_trip(encoding):
         assert e.decode(flat[a:b])[0].tobytes() == t.encode()
 
 
+def test_one_long_piece(encoding):
+    e, r = bpe.load(RANKS), random.Random(8)
+    for piece in ("a" * 20_001, "".join(r.choice("stevrlandi") for _ in range(30_000)), "x", "ab"):
+        assert np.frombuffer(e._merge_one(piece.encode()), "<u4").tolist() == encoding.encode_ordinary(piece)
+
+
 ROWS = [(1, "Hello there, it's me.", "x"), (1, "Hello there, it's me.", "x"), (None, "null id", None), (2, None, "y"), (3, "", ""), (4, "word " * 220_000, "z")]
 
 
@@ -69,12 +75,41 @@ def test_elias_fano():
         assert x.values().tolist() == v and [x.select(i) for i in range(0, len(v), 7)] == v[::7]
 
 
+def alike(n=2048):
+    """Two words that any sum of powers of an odd base, modulo 2**64, takes for one: each is the other's complement."""
+    bits = np.array([bin(i).count("1") % 2 for i in range(n)])
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_equal_hashes_are_not_equal_pieces(spark, encoding, monkeypatch):
+    from confluo.llm import pretokens
+
+    a, b = alike()
+    assert len(set(hashing.words([f"{a} {b}"])[0].tolist())) == 2
+    some = [a, b, f"{b} {a} {a}", "one two"]
+    for constant in (False, True):
+        if constant:
+            monkeypatch.setattr(pretokens, "rolling", lambda values, begins, ends: np.zeros(len(begins), np.uint64))
+        flat, at = bpe.RankEncoder(bpe.load(RANKS).tokens).encode(some)
+        assert [flat[x:y].tolist() for x, y in zip(at, at[1:])] == [encoding.encode_ordinary(t) for t in some]
+        token_files._tokenizer.cache_clear()
+        t = Tokenizer.from_file(VOCABULARY)
+        assert [x.tolist() for x in token_files._encode(VOCABULARY, some, 0)] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in some]
+
+
+def test_missing_token_file(spark):
+    path = fresh_path(spark, "test-tokens")
+    manifest = token_files.write_token_files(frame(spark), VOCABULARY, path)
+    more = manifest.union(spark.createDataFrame([("ids-999999-00000.tok", 1, 1, 0)], manifest.schema))
+    with pytest.raises(Exception, match="ids-999999"):
+        token_files.read_token_files(spark, path, more).count()
+
+
 def test_token_files(spark):
     path = fresh_path(spark, "test-tokens")
     manifest = token_files.write_token_files(frame(spark), VOCABULARY, path, ids_a_file=20)
     got = token_files.read_token_files(spark, path, manifest).orderBy("start").collect()
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     assert [r.doc_id for r in got] == [None, 1, 1, 2, 3, 4] and manifest.count() > 1
     start, by_id = 0, {d: x for d, x, _ in ROWS}
     for r in got:
@@ -85,7 +120,6 @@ def test_token_files(spark):
 def test_token_file_query(spark, tmp_path):
     frame(spark, [(d, x, None) for d, x in enumerate(texts(60))]).write.parquet(f"{tmp_path}/documents.parquet")
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     start = 0
     for r, x in zip(token_files.query(spark, str(tmp_path)).orderBy("doc_id").collect(), texts(60), strict=True):
         ids = [*t.encode(x, add_special_tokens=False).ids, 0]
@@ -136,6 +170,36 @@ def test_comments_longer_than_the_article_are_cut(name, post):
     assert "Paragraph 5 of" in got and "Comment" not in got
 
 
+def test_density_decides(spark, sf_dir, monkeypatch):
+    plain = "<ul>" + "".join(f"<li><a href='/{i}'>Entry number {i} of a list</a></li>" for i in range(3)) + "</ul>"
+    page = f"<html><body><div>{plain}</div><div><p>More.</p></div><div><h1>Head</h1>{BODY}</div><div>{plain}<p>(c) us</p></div></body></html>"
+    want = " ".join(f"Paragraph {i} of the article, with more than enough words to be the bulk of it." for i in range(6))
+    assert html_text.main_text(page) == f"Head {want}"
+    # On whole pages without any list of names: kinds of elements alone leave the adverts in, densities find the article.
+    import html
+    import re
+
+    monkeypatch.setattr(html_text, "_not_text", lambda tag, attributes, inside: html_text.NEVER if tag in html_text.NOT_TEXT else html_text.TEXT)
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    exact = 0
+    for p in pages:
+        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", p, re.S)[1]
+        exact += html_text.main_text(p) == " ".join(html.unescape(re.sub(r"</?(?:p|h1|br)>", " ", inner).replace("<b>", "").replace("</b>", "")).split())
+    assert exact >= 0.9 * len(pages) and all('<div class="ad">' in p for p in pages)
+
+
+@pytest.mark.parametrize("part", ["<a><p>x", "<div></span>x", "<div class='ad'><p>x", "<ul><li>x<table><tr><td>y", "<p>x</b></i>", "<b class=x>y"])
+def test_time_grows_with_the_length(part):
+    import time
+
+    spent = []
+    for n in (10_000, 40_000):
+        began = time.perf_counter()
+        html_text.main_text(part * n)
+        spent.append(time.perf_counter() - began)
+    assert spent[1] < 10 * spent[0] + 0.5
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "&am", "</p></p>", "<!-- open", "<script>", "<" * 5000, "<div>" * 2000 + "x", "<a href='q\"><p>t", "\x00<p>퟿", "<p title=\"a>b\">t</p>"])
 def test_broken_pages(html):
     assert isinstance(html_text.main_text(html), str)
