@@ -192,10 +192,10 @@ def test_top_k(spark):
 def test_top_k_of_repeated_query_rows(spark):
     rng = np.random.default_rng(6)
     rows = [(i, [float(v) for v in rng.normal(0, 1, 6)], 0) for i in range(100)]
-    rows += [rows[20], (40, [float(v) for v in rng.normal(0, 1, 6)], 0)]
+    rows += [rows[20], rows[21], (40, [float(v) for v in rng.normal(0, 1, 6)], 0)]
     x = np.floor(64 * np.array([v for _, v, _ in rows], np.float32).astype(float)).astype(int)
     want = []
-    for q in [*range(0, 100, 20), 100, 101]:
+    for q in [*range(0, 100, 20), 102]:
         s = x @ x[q]
         order = sorted((-s[i], rows[i][0]) for i in range(len(rows)) if rows[i][0] != rows[q][0])[:20]
         want += [(rows[q][0], k + 1, i, -v) for k, (v, i) in enumerate(order)]
@@ -203,6 +203,36 @@ def test_top_k_of_repeated_query_rows(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(v) for v in rng.normal(0, 2.0**22, 4)], 0) for i in range(60)] + [(70, [1e18, 0.0, 0.0, 0.0], 0)]
+    x = [[int(np.floor(64 * float(np.float32(c)))) for c in v] for _, v, _ in rows]
+    few = lambda n: topk_search.top_k(vectors(spark, rows[:n]), F.col("vec_id") % 20 == 0, k=5, shard_rows=9).collect()
+    want = []
+    for q in (0, 20, 40):
+        order = sorted((-sum(a * b for a, b in zip(x[q], x[i])), i) for i in range(60) if i != q)[:5]
+        want += [(q, k + 1, i, -v) for k, (v, i) in enumerate(order)]
+    assert sorted(map(tuple, few(60))) == sorted(want) and max(w[3] for w in want) > 1 << 53
+    with pytest.raises(Exception):  # scores of 10**28 don't fit a long
+        few(61)
+
+
+def test_search_opens_few_boxes():
+    rng = np.random.default_rng(8)
+    x = np.floor(rng.normal(0, 1, (40, 3)) * 6400).repeat(50, 0) + rng.integers(-9, 9, (2000, 3))
+    tree, opened = topk_search.KdTree(x), []
+    bound = tree.bound
+    tree.bound = lambda q, node: opened.append(node) or bound(q, node)
+    rows = [7, 900]
+    place, who, score = tree.search(np.arange(2000), x, np.array(rows), x[rows], 5, np.full(2, -(1 << 62)))
+    for j, i in enumerate(rows):
+        s = x @ x[i]
+        want = [(w, s[w]) for w in np.lexsort((np.arange(2000), -s)) if w != i][:5]
+        assert [(w, v) for p, w, v in zip(place, who, score) if p == j] == want
+    assert len(opened) < len(tree.part) / 2
+    assert set(np.unique(tree.leaf_of(x))) <= {n for n, c in enumerate(tree.children) if not c}
+
+
 def test_shards(spark):
     r = random.Random(6)
     rows = [(i, "copy" * 20, 0) for i in range(1500)] + [(i, "x" * r.randint(0, 400), 0) for i in range(1500, 3500)] + [(9, "same row", 0)] * 600 + [(None, None, 0), (None, "é", 0)]
