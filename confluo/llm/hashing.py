@@ -15,9 +15,11 @@ STEP_BACK = U(pow(int(STEP), -1, 1 << 64))
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = np.asarray(x, U) + ODD
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+        x ^= x >> U(shift)
+        if factor:
+            x *= U(factor)
+    return x
 
 
 def seeds(n: int, salt: int) -> np.ndarray:
@@ -55,6 +57,16 @@ def rolling(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((total[ends] - total[begins]) * down[begins])
 
 
+def windows(values: np.ndarray, k: int) -> np.ndarray:
+    """rolling() for every run of k values."""
+    up, down = _powers(1 << max(20, len(values).bit_length()))
+    total = np.zeros(len(values) + 1, U)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    out = total[k:] - total[:-k]
+    out *= down[: len(out)]
+    return mix(out)
+
+
 BYTE = seeds(256, 1)
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -122,8 +134,14 @@ def char_shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(t) for t in texts], np.int64)
     count = np.where(size >= k, size - k + 1, np.minimum(size, 1))
     first = np.concatenate([[0], np.cumsum(count)])
-    start = np.cumsum(size) - size
-    begins = np.arange(first[-1]) + np.repeat(start - first[:-1], count)
+    ends = np.cumsum(size)
+    if len(size) and size.min() >= k:
+        # Every window of the whole but those that cross an end.
+        whole = np.ones(len(chars), bool)
+        for i in range(1, k):
+            whole[ends - i] = False
+        return windows(chars, k)[whole[: len(chars) - k + 1]], first
+    begins = np.arange(first[-1]) + np.repeat(ends - size - first[:-1], count)
     return rolling(chars, begins, begins + np.repeat(np.minimum(size, k), count)), first
 
 

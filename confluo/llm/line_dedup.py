@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .common import Scratch, row_key, unused, write
-from .linking import described, link_similar, shared_rows
+from .linking import described, link_similar, placed_keys, shared_rows
 from .pretokens import text_runs
 
 #: Characters a shingle; bands of minwise hashes: lines of similarity 0.75 share no band with a chance of 4 in 1,000, of
 #: 0.85 with 1 in 10,000.
 SHINGLE, BANDS, ROWS = 10, 10, 3
+#: Characters hashed at once: their arrays fit the processor's cache.
+RUN = 1 << 18
 #: Bits of the filter that leaves lines without candidates where they are: its size is fixed.
 FILTER_BITS = 26
 #: A line's id: 128 bits of its normal form.
@@ -27,7 +29,9 @@ ID = "struct<a: long, b: long>"
 
 def normal(line: str) -> str:
     """Lines that differ in case and white space only are equal."""
-    return " ".join(line.lower().split())
+    line = line.lower()
+    # Of white space only the plain space is printable.
+    return line.strip(" ") if line.isprintable() and "  " not in line else " ".join(line.split())
 
 
 def _ids(lines: list[str]) -> np.ndarray:
@@ -55,7 +59,7 @@ def _places(parts):
     its own only shingle, so it is similar to equal lines alone: its id says all, and it has no bands."""
     for part in parts:
         at = 0
-        for some, texts in text_runs(part.column(2), part.column(2)):
+        for some, texts in text_runs(part.column(2), part.column(2), most=RUN):
             here, at = at, at + len(some)
             lines, owner, place = _lines(texts)
             if not lines:
@@ -67,7 +71,7 @@ def _places(parts):
             keys = np.zeros((len(kinds), BANDS), np.int64)
             if wide.any():
                 shingles, first = hashing.char_shingles([x for x in kinds if len(x) >= SHINGLE], SHINGLE)
-                keys[wide] = hashing.keys(hashing.minwise(shingles, first, BANDS * ROWS), ROWS, 11)
+                keys[wide] = placed_keys(hashing.keys(hashing.minwise(shingles, first, BANDS * ROWS), ROWS, 11))
             fresh = np.zeros(len(lines), bool)
             fresh[np.unique(which, return_index=True)[1]] = True
             fresh &= wide[which]
@@ -124,7 +128,7 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     texts = docs.select(doc_key.alias("doc_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     old = Scratch(docs.sparkSession)
     places = old.write(texts.mapInArrow(_places, f"doc_key struct<a: long, b: long>, doc_id long, line int, id {ID}, bands array<long>"), "line-places")
-    rows = places().select("id", F.posexplode("bands").alias("place", "key"))
+    rows = places().select("id", F.explode("bands").alias("key"))
     live = old.write(shared_rows(rows, places().count() * BANDS), "shared-bands")
     bands = places().where(F.size("bands") > 0).select("id", F.col("bands").alias("marks"))
 
@@ -144,7 +148,7 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
 
         return described(texts.select("text").mapInArrow(run, f"id {ID}, set string").join(ids, "id", "left_semi").dropDuplicates(["id"]), _hashes)
 
-    linked = link_similar(live, lines_of, bands, _first_met, shingle_set, percent, old)
+    linked = link_similar(live, lines_of, bands, BANDS, _first_met, shingle_set, percent, old)
     # Every line id with more than one occurrence, and every linked one.
     repeated = places().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     group = old.write(linked.union(repeated.join(linked, "id", "left_anti").select("id", F.col("id").alias("component"))), "line-groups")

@@ -9,6 +9,8 @@ component by then, are never paired.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from .pretokens import text_runs
 SKETCH = 32
 #: Rows that one task groups by key, and holders of a key that one task compares with the others.
 ROWS_A_TASK, HOLDERS_A_TASK = 1 << 20, 1 << 12
+#: The low bits of a key are the place of its table.
+PLACES = 1 << 8
 #: A key with this many rows in a sample of 64 rows a task is dealt to several tasks, by the id too.
 SAMPLED, HOT = 64, 16
 
@@ -36,22 +40,27 @@ def sketches(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(n, -1), axis=1).view(np.int64)
 
 
-def _differing(a: Column, b: Column) -> Column:
-    """A lower bound of how many elements stand in one of two sets only."""
-    bits = [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH)]
-    return sum(bits[1:], bits[0])
+def _fits(n: Column, m: Column, percent: int) -> Column:
+    """Whether two sets of these sizes can reach the threshold."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _may_reach(x: str, y: str, percent: int, sketch: bool = True) -> Column:
-    """Whether 100 * common >= percent * union is possible: of n + m elements, at most (100 - percent) in 100 + percent
-    can stand in one set only."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    fits = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    return fits & ((100 + percent) * _differing(F.col(f"{x}.sketch"), F.col(f"{y}.sketch")) <= (100 - percent) * (n + m)) if sketch else fits
+def _close(n: Column, m: Column, x: list[Column], y: list[Column], percent: int) -> Column:
+    """Whether the sketches let two sets reach the threshold: of n + m elements, at most 100 - percent in 100 + percent can
+    stand in one set only, and where sketches differ at least one does. A part of the sketches is looked at first."""
+    bits = [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, y, strict=True)]
+    few = reduce(add, bits[: SKETCH // 4])
+    most = (100 - percent) * (n + m)
+    return ((100 + percent) * few <= most) & ((100 + percent) * reduce(add, bits) <= most)
+
+
+def placed_keys(keys: np.ndarray) -> np.ndarray:
+    """Keys (a row a set, a column a table) whose low bits are the table's place."""
+    return keys & ~np.int64(PLACES - 1) | np.arange(keys.shape[1])
 
 
 def shared_rows(rows: DataFrame, count: int) -> DataFrame:
-    """The distinct rows (key long, id, place int) whose key several ids hold, with c, the key's rows: one shuffle.
+    """The distinct rows (key long, id) whose key several ids hold, with c, the key's rows: one shuffle.
 
     count: the number of rows, or more. A key that fills a good part of a task is found in a sample of bounded size and
     dealt to tasks by its ids too; its rows all stay, and c counts those in one task.
@@ -59,32 +68,33 @@ def shared_rows(rows: DataFrame, count: int) -> DataFrame:
     spark = rows.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // ROWS_A_TASK))
     sampled = rows.select("key").sample(min(1.0, SAMPLED * tasks / max(count, 1)), 9)
-    hot = sampled.groupBy("key").count().where(F.col("count") >= HOT).select("key", F.lit(True).alias("hot"))
-    # At most SAMPLED / HOT keys a task, some bytes each.
+    hot = sampled.groupBy("key").count().where(F.col("count") >= HOT).select("key").toArrow()["key"].to_numpy()  # at most SAMPLED / HOT a task
     kind = rows.schema["id"].dataType
     parts_of_id = [F.col(f"id.{f}").alias(f"id_{f}") for f in kind.names] if isinstance(kind, T.StructType) else [F.col("id").alias("id_")]
-    dealt = rows.join(F.broadcast(hot), "key", "left").select("key", "place", F.coalesce("hot", F.lit(False)).alias("hot"), *parts_of_id)
-    dealt = dealt.repartition(tasks, "key", F.when(F.col("hot"), F.pmod(F.hash(*dealt.columns[3:]), F.lit(256))).otherwise(F.lit(0)))
+    dealt = rows.select("key", *parts_of_id)
+    if len(hot):
+        named = spark.createDataFrame([(int(h), True) for h in hot], "key long, hot boolean")
+        part = F.when(F.col("hot"), F.pmod(F.hash(*dealt.columns[1:]), F.lit(256))).otherwise(F.lit(0))
+        dealt = dealt.join(F.broadcast(named), "key", "left").repartition(tasks, "key", part).drop("hot")
+    else:
+        dealt = dealt.repartition(tasks, "key")
 
     def run(parts):
         parts = list(parts)
         if not parts:
             return
-        t = pa.Table.from_batches(parts).combine_chunks()
-        key = t["key"].to_numpy()
-        fields = [t[c].to_numpy() for c in t.column_names[3:]]
+        t = pa.Table.from_batches(parts)
+        key, *fields = (c.to_numpy() for c in t.columns)
         order = np.argsort(key, kind="stable")
-        key = key[order]
+        key, fields = key[order], [f[order] for f in fields]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(key)))
         which = np.repeat(np.arange(len(start)), size)
-        other = np.zeros(len(key), bool)
+        stays = np.isin(key[start], hot) if len(hot) else np.zeros(len(start), bool)
         for f in fields:
-            f = f[order]
-            other |= f != f[start][which]
-        stays = np.logical_or.reduceat(other | t["hot"].to_numpy()[order], start)[which]
-        kept = np.flatnonzero(stays)
-        columns = [key[kept], *(f[order][kept] for f in fields)]
+            stays |= np.bincount(which, f != f[start][which], len(start)) > 0
+        kept = np.flatnonzero(stays[which])
+        columns = [key[kept], *(f[kept] for f in fields)]
         if len(kept):
             again = np.lexsort(columns[::-1])
             new = np.zeros(len(kept), bool)
@@ -94,12 +104,11 @@ def shared_rows(rows: DataFrame, count: int) -> DataFrame:
             kept = kept[np.sort(again[new])]
         for a in range(0, len(kept), 1 << 16):
             some = kept[a : a + (1 << 16)]
-            found = [key[some], t["place"].to_numpy()[order[some]], size[which[some]], *(f[order[some]] for f in fields)]
-            yield pa.record_batch([pa.array(x) for x in found], names=["key", "place", "c", *t.column_names[3:]])
+            yield pa.record_batch([pa.array(x) for x in (key[some], *(f[some] for f in fields), size[which[some]])], names=[*t.column_names, "c"])
 
-    found = dealt.mapInArrow(run, T.StructType([dealt.schema["key"], T.StructField("place", T.IntegerType()), T.StructField("c", T.LongType()), *dealt.schema.fields[3:]]))
-    whole = F.struct(*[F.col(c).alias(c[3:]) for c in dealt.columns[3:]]) if isinstance(kind, T.StructType) else F.col("id_")
-    return found.select("key", whole.alias("id"), "place", "c")
+    found = dealt.mapInArrow(run, T.StructType([*dealt.schema.fields, T.StructField("c", T.LongType())]))
+    whole = F.struct(*[F.col(c).alias(c[3:]) for c in found.columns[1:-1]]) if isinstance(kind, T.StructType) else F.col("id_")
+    return found.select("key", whole.alias("id"), "c")
 
 
 def components(edges: DataFrame, into: Scratch | None = None) -> DataFrame:
@@ -168,7 +177,8 @@ def link_similar(
     live: Callable[[], DataFrame],
     sets_of: Callable[[DataFrame], DataFrame],
     marks: DataFrame,
-    first_met: Callable[[Column, Column, Column], Column],
+    n_marks: int,
+    first_met: Callable[[list[Column], list[Column], Column], Column],
     elements: Callable[[str], set],
     percent: int,
     into: Scratch,
@@ -177,8 +187,8 @@ def link_similar(
 
     live: rows of shared_rows: which sets are candidates for each other: those that share a key. sets_of(ids) gives
     (id, set, n, sketch), see described; it is asked for candidates only. elements gives a text's set for verification.
-    marks (id, marks) is what first_met tells from, for the marks of two holders and the place of a key, whether the key
-    is the first they share, so that a pair is met once.
+    marks (id, marks) holds n_marks longs an id; first_met tells from those of two holders and the place of a key whether
+    the key is the first they share, so that a pair is met once.
 
     Exact among candidates; no pair is skipped by a cap. The leader of a key is the set with the most company in all its
     keys, mostly the original of a family of copies. Pairs that are compared after that become rows only if the sketches
@@ -189,30 +199,32 @@ def link_similar(
     ids = old.write(live().groupBy("id").agg(F.sum("c").alias("company")), "candidates")
     sets = old.write(sets_of(ids().select("id")), "candidate-sets")
     fit = old.write(sets().select("id", "n").join(ids(), "id"), "candidate-sizes")
-    buckets = old.write(live().select("key", "id", "place").join(fit(), "id"), "buckets")
+    buckets = old.write(live().select("key", "id").join(fit(), "id"), "buckets")
     order = F.struct(-F.col("company"), "n", "id")
     leaders = buckets().groupBy("key").agg(F.min_by(F.struct("id", "n"), order).alias("y"))
-    pairs = buckets().select("key", F.struct("id", "n").alias("x")).join(leaders, "key").where(F.col("x.id") != F.col("y.id")).where(_may_reach("x", "y", percent, False))
-    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    links = old.write(_checked(pairs, sets, percent, elements), "links")
+    pairs = buckets().select("key", F.struct("id", "n").alias("x")).join(leaders, "key").where((F.col("x.id") != F.col("y.id")) & _fits(F.col("x.n"), F.col("y.n"), percent))
+    links = old.write(_checked(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), sets, percent, elements), "links")
     labels = components(links(), into)
 
-    held = old.write(buckets().join(labels, "id", "left").select("key", "id", "place", F.coalesce("component", "id").alias("c")), "bucket-labels")
+    held = old.write(buckets().join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "bucket-labels")
     # Of two holders the leader's comparison has decided.
     sized = held().groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key")
     sized = sized.agg(F.sum("m").alias("m"), F.count("*").alias("kinds"), F.max_by("c", F.struct("m", "c")).alias("greatest")).where("kinds > 1 and m > 2")
     open_keys = old.write(sized.select("key", "greatest", F.ceil(F.col("m") / HOLDERS_A_TASK).cast("int").alias("tasks")), "open-keys")
-    still = held().join(open_keys(), "key")
-    marked = marks.join(still.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    full = old.write(sets().select("id", "n", "sketch").join(marked, "id"), "open-sets")
-    both = F.struct("id", "c", "n", "sketch", "marks")
-    still = old.write(still.join(full(), "id").select("key", "place", "greatest", "tasks", both.alias("x")), "open-holders")
+    still = old.write(held().join(open_keys(), "key"), "open-rows")
+    marked = marks.join(still().select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    # Plain columns: the join compares them without unpacking arrays.
+    words = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)] + [F.col("marks")[i].alias(f"m{i}") for i in range(n_marks)]
+    full = sets().select("id", "n", "sketch").join(marked, "id").select("id", "n", *words)
+    still = old.write(still().join(full, "id"), "open-holders")
     # Holders outside the greatest component look for others; those of two such components for each other once.
-    asking = still().where("x.c != greatest").withColumn("task", F.pmod(F.hash("x.id"), "tasks"))
-    asked = still().select("key", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.col("x").alias("y"))
-    foreign = ((F.col("y.c") == F.col("greatest")) | (F.col("x.c") < F.col("y.c"))) & (F.col("x.c") != F.col("y.c"))
-    near = asking.join(asked, ["key", "task"]).where(foreign & _may_reach("x", "y", percent) & first_met(F.col("x.marks"), F.col("y.marks"), F.col("place")))
-    near = near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    asking = still().where("c != greatest").withColumn("task", F.pmod(F.hash("id"), "tasks")).drop("tasks")
+    asked = still().select("key", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), *[F.col(c).alias(f"y_{c}") for c in ("id", "c", "n", *[w for w in still().columns if w[0] in "sm"])])
+    own, other = ([[F.col(f"{side}{kind}{i}") for i in range(n)] for kind, n in (("s", SKETCH), ("m", n_marks))] for side in ("", "y_"))
+    foreign = ((F.col("y_c") == F.col("greatest")) | (F.col("c") < F.col("y_c"))) & (F.col("c") != F.col("y_c"))
+    place = F.col("key").bitwiseAND(F.lit(PLACES - 1))
+    able = _fits(F.col("n"), F.col("y_n"), percent) & first_met(own[1], other[1], place) & _close(F.col("n"), F.col("y_n"), own[0], other[0], percent)
+    near = asking.join(asked, ["key", "task"]).where(foreign & able).select(F.col("id").alias("a"), F.col("y_id").alias("b"))
     more = old.write(_checked(near, sets, percent, elements), "more-links")
     if not more().isEmpty():
         # Links between components, of which each has one label.
@@ -227,6 +239,8 @@ def link_similar(
 
 
 def _checked(pairs: DataFrame, sets: Callable[[], DataFrame], percent: int, elements: Callable[[str], set]) -> DataFrame:
-    one = sets().select(F.col("id").alias("a"), F.col("set").alias("sa"), F.struct("n", "sketch").alias("x"))
-    two = sets().select(F.col("id").alias("b"), F.col("set").alias("sb"), F.struct("n", "sketch").alias("y"))
-    return verified(pairs.join(one, "a").join(two, "b").where(_may_reach("x", "y", percent)), elements, percent)
+    """The similar pairs of pairs, by texts; those of one b stand together."""
+    one = sets().select(F.col("id").alias("a"), F.col("set").alias("sa"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    two = sets().select(F.col("id").alias("b"), F.col("set").alias("sb"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    x, y = ([F.col(c)[i] for i in range(SKETCH)] for c in "xy")
+    return verified(pairs.join(one, "a").join(two, "b").where(_close(F.col("na"), F.col("nb"), x, y, percent)), elements, percent)

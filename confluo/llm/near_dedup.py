@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .common import Scratch, row_key, unused, write
-from .linking import described, link_similar, shared_rows
+from .linking import PLACES, described, link_similar, placed_keys, shared_rows
 from .pretokens import text_runs
 
 #: Half keys a side, and minwise hashes a half key: a pair of similarity 0.75 shares no key with a chance of 1 in 10,000.
@@ -52,7 +52,7 @@ def _signatures(parts):
             halves = np.zeros((len(sets), 2 * HALVES), np.int64)
             if len(full):
                 first = np.concatenate([[0], np.cumsum(size[full])])
-                halves[full] = hashing.keys(hashing.minwise(np.concatenate([sets[i] for i in full]), first, 2 * HALVES * ROWS), ROWS, 7)
+                halves[full] = placed_keys(hashing.keys(hashing.minwise(np.concatenate([sets[i] for i in full]), first, 2 * HALVES * ROWS), ROWS, 7))
             digest = np.array([_digest(t, s) for t, s in zip(texts, sets, strict=True)]).reshape(-1, 2)
             columns = [part.column(0).slice(at, len(some)), pa.array(size, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
             columns.append(pa.FixedSizeListArray.from_arrays(pa.array(halves.ravel()), 2 * HALVES).cast(pa.list_(pa.int64())))
@@ -62,13 +62,15 @@ def _signatures(parts):
 
 def _shared_tables(items: Callable[[], DataFrame], old: Scratch) -> DataFrame:
     """Rows of shared_rows for the table keys: pairs of a left and a right half, each held by other documents too."""
-    half = items().select("id", F.posexplode("halves").alias("place", "key"))
+    half = items().select("id", F.explode("halves").alias("key"))
     held = old.write(shared_rows(half, items().count() * 2 * HALVES), "shared-halves")
-    left, right = (F.collect_list(F.when(side, F.struct("place", "key"))) for side in (F.col("place") < HALVES, F.col("place") >= HALVES))
+    place = F.col("key").bitwiseAND(F.lit(PLACES - 1))
+    left, right = (F.collect_list(F.when(side, F.col("key"))) for side in (place < HALVES, place >= HALVES))
     sides = old.write(held().groupBy("id").agg(left.alias("l"), right.alias("r")), "half-sides")
     count = sides().agg(F.coalesce(F.sum(F.size("l").cast("long") * F.size("r")), F.lit(0))).first()[0]
     pairs = sides().select("id", F.explode("l").alias("l"), "r").select("id", "l", F.explode("r").alias("r"))
-    rows = pairs.select(F.xxhash64("l.key", "r.key").alias("key"), "id", (F.col("l.place") * HALVES + F.col("r.place") - HALVES).alias("place"))
+    table = F.col("l").bitwiseAND(F.lit(PLACES - 1)) * HALVES + F.col("r").bitwiseAND(F.lit(PLACES - 1)) - HALVES
+    rows = pairs.select(F.xxhash64("l", "r").bitwiseAND(F.lit(-PLACES)).bitwiseOR(table).alias("key"), "id")
     return shared_rows(rows, count)
 
 
@@ -103,7 +105,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         wanted = named.select(F.col("row_key").alias("id"), F.col("text").alias("set")).join(ids, "id", "left_semi").dropDuplicates(["id"])
         return described(wanted, lambda texts: hashing.word_shingles(texts, SHINGLE))
 
-    linked = link_similar(live, sets_of, items().withColumnRenamed("halves", "marks"), _first_met, shingle_set, percent, old)
+    linked = link_similar(live, sets_of, items().withColumnRenamed("halves", "marks"), 2 * HALVES, _first_met, shingle_set, percent, old)
     owners = named.select("doc_id", "row_key")
     placed = owners.join(marks().select("row_key", "n", "d1", "d2").distinct(), "row_key").join(classes(), ["d1", "d2"], "left").join(linked, "id", "left")
     placed = placed.select("doc_id", F.col("n").alias("n_shingles"), "row_key", F.coalesce("component", "id", "row_key").alias("root"))

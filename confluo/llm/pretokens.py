@@ -113,10 +113,10 @@ def batches(ids: list, texts: list, most: int = 1 << 20):
         yield ids[a:], texts[a:]
 
 
-def text_runs(ids: pa.Array, texts: pa.Array, rows: int = 1024):
+def text_runs(ids: pa.Array, texts: pa.Array, rows: int = 1024, most: int = 1 << 20):
     """As batches, from Arrow columns, of which few rows at a time become Python objects; null texts become empty."""
     for a in range(0, len(texts), rows):
-        yield from batches(ids.slice(a, rows).to_pylist(), [t or "" for t in texts.slice(a, rows).to_pylist()])
+        yield from batches(ids.slice(a, rows).to_pylist(), [t or "" for t in texts.slice(a, rows).to_pylist()], most)
 
 
 class PieceCache:
