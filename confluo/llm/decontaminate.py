@@ -16,13 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import write
+from .common import Scratch, row_key, unused, write
 from .pretokens import text_runs
 
 #: Words of a window and substitutions allowed in it; an item of fewer words is one window with its share of them.
 WINDOW, SUBSTITUTIONS = 16, 3
-#: Items of fewer words are no evidence.
+#: An item of fewer words is no evidence inside a text: only a document of these words and no others holds it.
 LEAST_WORDS = 5
+#: Hits that are verified together.
+HITS_A_ROW = 256
+ID = "struct<a: long, b: long>"
 #: Bits of the filter that drops document hashes no test item has: its size is fixed, whatever the benchmark's.
 FILTER_BITS = 26
 
@@ -83,39 +86,45 @@ def _spans(item: np.ndarray, text: np.ndarray, shift: int) -> list[tuple[int, in
     return [(a + int(s), a + int(e) + window, int(equal[e + window] - equal[s])) for s, e in zip(good[np.r_[0, cuts + 1]], good[np.r_[cuts, len(good) - 1]], strict=True)]
 
 
+def _named(words: list[bytes], names: dict[bytes, int]) -> np.ndarray:
+    """Words as numbers; -1 stands for words that have none."""
+    return np.array([names.get(w, -1) for w in words], np.int64)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document with the test passages it holds: doc_id, doc_key, contaminated, item_ids (array of long), spans
     (array of item_id, start, end, equal: places among the document's words).
 
     Words are runs without ASCII white space, A-Z lower-cased. A passage is a window of 16 words of an item (all of a
     shorter item) that a document repeats with at most 3 substituted words (its share in a shorter item); no such window
-    is missed. Items of fewer than 5 words are left out. benchmark has item_id and text.
+    is missed. An item of fewer than 5 words is held by a document that has these words and no others. Hashes only find
+    candidates: windows are compared word by word. benchmark has item_id and text.
 
     Null and empty texts hold nothing; rows with null ids are searched like others; a null item_id stands as -1 in the
-    result; repeated items each count; rows of the same id and text share doc_key; other columns are ignored; empty
-    tables give empty or clean results.
+    result; repeated items each count; rows of the same id and text share doc_key and have the same result; other columns
+    are ignored, whatever their names; empty tables give empty or clean results. Texts of any length are taken whole.
 
-    One pass hashes whole documents and keeps what a filter of fixed size lets through; only these hashes are shuffled.
+    One pass hashes whole documents and keeps what a filter of fixed size lets through; only these hashes are shuffled,
+    and only the texts that have hits are moved. A document's hits are verified in rows of bounded size.
     """
+    old = Scratch(docs.sparkSession)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rank = F.xxhash64("item_id", "text").alias("item")
-    items = write(items.select(rank, "item_id", "text").distinct(), "bench-items")
+    items = old.write(items.select(row_key("item_id", "text").alias("item"), "item_id", "text").distinct(), "bench-items")
 
     def test_seeds(parts):
         for part in parts:
-            for keys, texts in text_runs(part.column(0), part.column(1)):
-                for key, text in zip(keys, texts, strict=True):
-                    h, first = hashing.words([text])
-                    if len(h) < LEAST_WORDS:
-                        continue
-                    window = tolerance(len(h))[0]
-                    for m, mask in enumerate(masks(*tolerance(len(h)))):
-                        _, at, seed = _seed_hashes(h, first, mask)
-                        n = len(at)
-                        columns = [np.full(n, window, np.int32), np.full(n, m, np.int32), seed, np.full(n, key), at]
-                        yield pa.record_batch([pa.array(c) for c in columns], names=["window", "mask", "seed", "item", "at"])
-
-    tests = write(items().select("item", "text").mapInArrow(test_seeds, "window int, mask int, seed long, item long, at long"), "bench-seeds")
+            for i, text in enumerate(part.column(1).to_pylist()):
+                h, first = hashing.words([text])
+                if not len(h):
+                    continue
+                window = tolerance(len(h))[0]
+                for m, mask in enumerate(masks(*tolerance(len(h)))):
+                    _, at, seed = _seed_hashes(h, first, mask)
+                    n = len(at)
+                    columns = [np.full(n, window, np.int32), np.full(n, m, np.int32), seed]
+                    yield pa.record_batch([*map(pa.array, columns), part.column(0).take(pa.array(np.full(n, i))), pa.array(at)], names=["window", "mask", "seed", "item", "at"])
+
+    tests = old.write(items().select("item", "text").mapInArrow(test_seeds, f"window int, mask int, seed long, item {ID}, at long"), "bench-seeds")
     windows = sorted(r[0] for r in tests().select("window").distinct().collect())  # at most WINDOW values
     bit = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
     bytes_set = tests().groupBy(F.shiftright(bit, 3).alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod(bit, F.lit(8)).cast("int"))).alias("bits"))
@@ -125,49 +134,61 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     def doc_seeds(parts):
         for part in parts:
-            for keys, texts in text_runs(part.column(0), part.column(1)):
+            at_row = 0
+            for some, texts in text_runs(part.column(1), part.column(1)):
                 h, first = hashing.words(texts)
+                size = np.diff(first)
                 for window in windows:
                     for m, mask in enumerate(masks(*tolerance(window))):
                         text, at, seed = _seed_hashes(h, first, mask)
                         place = seed.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-                        k = np.flatnonzero(bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                        hit = (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                        k = np.flatnonzero(hit if window >= LEAST_WORDS else hit & (size[text] == window))
                         if len(k):
-                            columns = [np.full(len(k), window, np.int32), np.full(len(k), m, np.int32), seed[k], np.array(keys)[text[k]], at[k]]
-                            yield pa.record_batch([pa.array(c) for c in columns], names=["window", "mask", "seed", "doc_key", "place"])
+                            columns = [pa.array(np.full(len(k), window, np.int32)), pa.array(np.full(len(k), m, np.int32)), pa.array(seed[k])]
+                            yield pa.record_batch([*columns, part.column(0).take(pa.array(text[k] + at_row)), pa.array(at[k])], names=["window", "mask", "seed", "doc_key", "place"])
+                at_row += len(some)
 
-    key = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(3)).alias("doc_key")
-    named = docs.select(key, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seeds = named.select("doc_key", "text").mapInArrow(doc_seeds, "window int, mask int, seed long, doc_key long, place long")
+    named = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("doc_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    seeds = named.select("doc_key", "text").mapInArrow(doc_seeds, f"window int, mask int, seed long, doc_key {ID}, place long")
     hits = seeds.join(tests(), ["window", "mask", "seed"]).select("doc_key", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
-    hits = write(hits.join(items().select("item", "item_id", F.col("text").alias("item_text")), "item"), "bench-hits")
-    held = hits().groupBy("doc_key").agg(F.collect_list(F.struct("item_id", "item_text", "shift")).alias("hits"))
-    held = named.dropDuplicates(["doc_key"]).join(held, "doc_key")
+    hits = old.write(hits, "bench-hits")
+    many = hits().groupBy("doc_key").agg(F.ceil(F.count("*") / HITS_A_ROW).cast("int").alias("rows"))
+    many = old.write(many, "bench-hit-documents")
+    held = hits().join(many(), "doc_key").join(items().select("item", "item_id", F.col("text").alias("item_text")), "item")
+    held = held.groupBy("doc_key", F.pmod(F.hash("item", "shift"), "rows").alias("row")).agg(F.collect_list(F.struct("item_id", "item_text", "shift")).alias("hits"))
+    hit_texts = named.join(many().select("doc_key"), "doc_key", "left_semi").dropDuplicates(["doc_key"])
+    held = hit_texts.join(held, "doc_key").select("doc_key", "text", "hits")
 
     def verify(parts):
         for part in parts:
-            for key, text, found in zip(*(part.column(i) for i in range(3)), strict=True):
-                words, spans = hashing.words([text.as_py()])[0], set()
-                for x in found.as_py():
-                    item = hashing.words([x["item_text"]])[0]
-                    spans |= {(x["item_id"], *s) for s in _spans(item, words, x["shift"])}
+            for i in range(len(part)):
+                names: dict[bytes, int] = {}
+                words = np.array([names.setdefault(w, len(names)) for w in hashing.word_texts(part.column(1)[i].as_py())], np.int64)
+                spans = set()
+                for x in part.column(2)[i].as_py():
+                    item = _named(hashing.word_texts(x["item_text"]), names)
+                    if len(item) >= LEAST_WORDS or len(item) == len(words):
+                        spans |= {(x["item_id"], *s) for s in _spans(item, words, x["shift"])}
                 if spans:
-                    rows = [dict(zip(("item_id", "start", "end", "equal"), s, strict=True)) for s in sorted(spans)]
-                    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("item_id", "start", "end", "equal")]))
-                    yield pa.record_batch([pa.array([key.as_py()]), pa.array([rows], kind)], names=["doc_key", "spans"])
+                    columns = [pa.array(c, pa.int64()) for c in zip(*sorted(spans), strict=True)]
+                    yield pa.record_batch([part.column(0).take(pa.array(np.full(len(spans), i))), *columns], names=["doc_key", "item_id", "start", "end", "equal"])
 
-    kind = "array<struct<item_id: long, start: long, end: long, equal: long>>"
-    found = write(held.select("doc_key", "text", "hits").mapInArrow(verify, f"doc_key long, spans {kind}"), "bench-spans")
+    span = F.struct("item_id", "start", "end", "equal")
+    found = held.mapInArrow(verify, f"doc_key {ID}, item_id long, start long, end long, equal long").groupBy("doc_key").agg(F.sort_array(F.collect_set(span)).alias("spans"))
+    found = write(found, "bench-spans")
+    old.clear()
     out = named.select("doc_id", "doc_key").join(found(), "doc_key", "left")
-    spans = F.coalesce("spans", F.array().cast(kind))
+    spans = F.coalesce("spans", F.array().cast("array<struct<item_id: long, start: long, end: long, equal: long>>"))
     return out.select("doc_id", "doc_key", F.col("spans").isNotNull().alias("contaminated"), F.sort_array(F.array_distinct(spans["item_id"])).alias("item_ids"), spans.alias("spans"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that hold no test passage; see find_contamination."""
-    found = find_contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_key").alias("__key")).distinct()
-    named = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col), F.lit(3)))
-    return named.join(write(found, "bench-documents")(), "__key", "left_anti").select(*docs.columns)
+    key = unused(docs, "doc_key")
+    found = find_contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_key").alias(key)).distinct()
+    named = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
+    return named.join(write(found, "bench-documents")(), key, "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
