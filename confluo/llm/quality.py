@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .pretokens import code_points
+from .pretokens import code_points, text_runs
 
 LOWER, UPPER, DIGIT, BLANK, STOP, SIGN = range(6)
 STATISTICS = ("words", "word_length", "variety", "signs", "capitals", "digits", "stops", "line_length", "repeated_lines", "repeated_words", "odd_words")
@@ -60,12 +60,13 @@ def statistics(text: str) -> list[float]:
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the statistics of its whole text; a map over rows. Null texts count as empty."""
+    """doc_id and the statistics of its whole text; a map over rows, in runs of bounded length beside one long text. Null
+    texts count as empty."""
 
     def run(parts):
         for part in parts:
-            made = [statistics(t or "") for t in part.column(1).to_pylist()]
-            yield pa.record_batch([part.column(0), pa.array(made, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            for ids, texts in text_runs(part.column(0), part.column(1)):
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(list(map(statistics, texts)), pa.list_(pa.float64()))], names=["doc_id", "x"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, x array<double>")
 
@@ -112,9 +113,8 @@ def fit(labelled: DataFrame) -> QuadraticDiscriminant:
     return QuadraticDiscriminant(moments)
 
 
-def _train(stats: DataFrame, labels: DataFrame) -> QuadraticDiscriminant:
-    marks = labels.where(F.col("quality").isin(0, 1) & ~held_out("doc_id")).select(F.col("doc_id").cast("long"), "quality")
-    return fit(stats.join(marks, "doc_id"))
+def _marks(labels: DataFrame) -> DataFrame:
+    return labels.where(F.col("quality").isin(0, 1) & ~held_out("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,11 +122,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
     Fitted on all rows of labels whose id is not held out and whose quality is 0 or 1 (no sample); labels, language,
     source and id are not inputs of a score. Null and empty texts are scored by their statistics; repeated rows each
-    get the score; rows with a null id are scored as not held out; other columns are ignored; without labels of both
-    classes the score is that of the class seen, or 0.5.
+    get the score; rows with a null id are scored as not held out; other columns are ignored, whatever their names; an
+    empty table gives an empty result; texts of any length are measured whole; without labels of both classes the score
+    is that of the class seen, or 0.5.
     """
     stats = materialize(document_statistics(docs, id_col, text_col), "quality-statistics")
-    model = _train(stats, labels)
+    model = fit(stats.join(_marks(labels), "doc_id"))
 
     def run(parts):
         for part in parts:
@@ -137,18 +138,25 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 500_000) -> DataFrame:
     """The rows of docs, with all their columns, whose score reaches the threshold; else as score_documents.
 
-    Rows are filtered where they are read: texts are not shuffled or stored again.
+    Fitted on labelled rows, a sample of about train_rows of them if there are more: their ids are broadcast, so that only
+    their texts are measured for the fit. Then rows are filtered where they are read: texts are not shuffled or stored.
     """
-    model = _train(materialize(document_statistics(docs, id_col, text_col), "quality-statistics"), labels)
+    marks = _marks(labels)
+    marks = marks.sample(min(1.0, train_rows / max(1, marks.count())), 4)
+    labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marks.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = fit(document_statistics(labelled).join(marks, "doc_id"))
     place = docs.columns.index(text_col)
 
     def run(parts):
         for part in parts:
-            x = np.array([statistics(t or "") for t in part.column(place).to_pylist()]).reshape(-1, len(STATISTICS))
-            yield part.filter(pa.array(model.scores(x) >= threshold))
+            at = 0
+            for some, texts in text_runs(part.column(place), part.column(place)):
+                x = np.array(list(map(statistics, texts))).reshape(-1, len(STATISTICS))
+                yield part.slice(at, len(some)).filter(pa.array(model.scores(x) >= threshold))
+                at += len(some)
 
     return docs.mapInArrow(run, docs.schema)
 
