@@ -11,7 +11,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, materialize
 
 LOWEST = (-(1 << 63), -(1 << 63), -1.0)
 HIGHEST = ((1 << 63) - 1, (1 << 63) - 1, 2.0)
@@ -67,14 +67,16 @@ def shard_by_sampled_splitters(
     less than the largest record. Returns doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard).
 
     Null texts count as empty (size 8, crc of nothing); null ids order first; repeated rows are told apart by a stored
-    random tie value; an empty table gives an empty result; other input columns are ignored.
+    random tie value; an empty table gives an empty result; other input columns are ignored, whatever their names; texts of
+    any length are one record and never moved, only their sizes and hashes are.
 
     The driver receives about n_shards * ranges_per_shard * samples_per_range sampled keys and one row a range, however
     large the input is. A sampled record counts by bytes and by rows, so neither many tiny nor a few huge texts make an
     overfull range; ranges over twice the fair share are subdivided by further samples.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    records = materialize(
+    old = Scratch(docs.sparkSession)
+    records = old.write(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             (F.octet_length(text).cast("long") + 8).alias("size"),
@@ -84,7 +86,7 @@ def shard_by_sampled_splitters(
             F.rand(1).alias("tie"),
         ),
         "shard-records",
-    )
+    )()
     n, total = records.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_ranges = n_shards * ranges_per_shard
     if not n:
@@ -119,6 +121,7 @@ def shard_by_sampled_splitters(
         ),
         "shard-placed",
     )
+    old.clear()
     first = placed.groupBy("shard").agg(F.min("at").alias("first"))
     return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("at") - F.col("first")).alias("slot"))
 
