@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import write
+from .common import Scratch, write
 
 RECORD = "record_id long, warc_type string, target_uri string, captured long, status int, headers map<string,string>, payload string"
 # Header fields that a not-modified answer may replace in the stored response.
@@ -40,7 +40,7 @@ def _tag(headers: Column) -> Column:
     return F.regexp_replace(F.trim(headers["etag"]), "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, bucket: int = 86_400) -> DataFrame:
+def resolve_revisits(records: DataFrame, bucket: int = 3_600) -> DataFrame:
     """Every revisit record with the response it stands for: record_id, url, captured, outcome, base_id, headers, payload.
 
     records has the columns of RECORD; captured counts seconds. A full response is of type response, with status 200
@@ -52,11 +52,14 @@ def resolve_revisits(records: DataFrame, bucket: int = 86_400) -> DataFrame:
 
     Nulls: a record without URL, time or id takes no part as a base; such a revisit finds no earlier response. Null
     headers are none. Repeated revisits are each resolved, repeated responses count once. Other columns are ignored; an
-    empty table gives an empty result.
+    empty table gives an empty result. Payloads of any length are moved whole.
 
-    A URL's records are parted by time buckets, and the latest response of the buckets before is carried in: a URL that
-    holds a third of all records is many groups. Payloads travel once, to the revisits that need them.
+    A URL's records are parted by time buckets (an hour), and the latest response of the buckets before is carried in: a URL
+    that holds a third of all records is many groups, as far as its captures spread over time; those of one bucket are one
+    group, of times and ids only. Revisits without a URL are answered without a group. Payloads travel once, to the revisits
+    that need them.
     """
+    old = Scratch(records.sparkSession)
     slim = records.select(
         "record_id",
         (F.col("warc_type") == "revisit").alias("asks"),
@@ -69,25 +72,28 @@ def resolve_revisits(records: DataFrame, bucket: int = 86_400) -> DataFrame:
             F.struct(F.col("captured").cast("long").alias("at"), F.col("record_id").cast("long").alias("id")),
         ).alias("base"),
     )
-    slim = write(slim.where(F.col("asks") | F.col("base").isNotNull()), "warc-slim")
+    slim = old.write(slim.where(F.col("asks") | F.col("base").isNotNull()), "warc-slim")
     keyed = slim().select("record_id", "asks", "url", "captured", "bucket", F.when(F.col("asks"), F.col("headers")).alias("own"), "base")
     inside = Window.partitionBy("url", "bucket").orderBy("captured").rangeBetween(Window.unboundedPreceding, -1)
-    here = keyed.withColumn("here", F.max("base").over(inside)).where("asks").drop("asks", "base")
+    here = keyed.where("url is not null").withColumn("here", F.max("base").over(inside)).where("asks").drop("asks", "base")
+    lost = keyed.where("url is null and asks").select("record_id", "url", "captured", "own", F.lit(None).cast("long").alias("base_id"))
     latest = slim().where("base is not null and url is not null").groupBy(F.col("url").alias("u"), F.col("bucket").alias("b"))
-    latest = write(latest.agg(F.max("base").alias("last")), "warc-latest")
+    latest = old.write(latest.agg(F.max("base").alias("last")), "warc-latest")
     # A row for each bucket with a response or a revisit: what was latest before it.
     asked = slim().where("asks and url is not null").select(F.col("url").alias("u"), F.col("bucket").alias("b")).distinct()
     spots = latest().unionByName(asked.withColumn("last", F.lit(None).cast("struct<at: bigint, id: bigint>")))
     before = Window.partitionBy("u").orderBy("b").rangeBetween(Window.unboundedPreceding, -1)
     spots = spots.groupBy("u", "b").agg(F.max("last").alias("last")).withColumn("carried", F.max("last").over(before))
-    carried = write(spots.where("carried is not null").select("u", "b", "carried"), "warc-carried")
+    carried = old.write(spots.where("carried is not null").select("u", "b", "carried"), "warc-carried")
     found = here.join(carried(), (F.col("url") == F.col("u")) & (F.col("bucket") == F.col("b")), "left")
-    found = write(found.select("record_id", "url", "captured", "own", F.when(F.col("url").isNotNull(), F.coalesce("here", "carried"))["id"].alias("base_id")), "warc-found")
+    found = found.select("record_id", "url", "captured", "own", F.coalesce("here", "carried")["id"].alias("base_id")).unionByName(lost)
+    found = write(found, "warc-found")
 
     wanted = found().select(F.col("base_id").alias("id")).distinct()
     bases = slim().where("base is not null").select(F.col("record_id").alias("id"), F.col("headers").alias("theirs")).dropDuplicates(["id"])
     bodies = records.where(F.col("warc_type") == "response").select(F.col("record_id").alias("id"), "payload").where("payload is not null").join(wanted, "id", "left_semi").dropDuplicates(["id"])
     bases = write(bases.join(bodies, "id"), "warc-bases")
+    old.clear()
     r = found().join(bases(), F.col("base_id") == F.col("id"), "left")
     tags = _tag(F.col("own")), _tag(F.col("theirs"))
     dates = F.trim(F.col("own")["last-modified"]), F.trim(F.col("theirs")["last-modified"])

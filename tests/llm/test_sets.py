@@ -145,7 +145,7 @@ def test_decontamination(spark):
         for _ in range(k % 5):
             part[r.randrange(len(part))] = word()
         docs.append([word() for _ in range(r.randint(0, 20))] + part + [word() for _ in range(r.randint(0, 20))])
-    texts = [" ".join(d).upper() if k % 2 else "\n".join(d) for k, d in enumerate(docs)] + ["", None]
+    texts = [" ".join(d).upper() if k % 2 else "\n".join(d) for k, d in enumerate(docs)] + ["", None, " ".join(items[-1]), " ".join(items[-1]) + " x"]
     bench = spark.createDataFrame([(i, " ".join(w), 1) for i, w in enumerate(items)] + [(None, None, 1)], "item_id long, text string, doc_id int")
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, item int")
 
@@ -153,6 +153,7 @@ def test_decontamination(spark):
         out = set()
         for i, it in enumerate(items):
             if len(it) < decontaminate.LEAST_WORDS:
+                out |= {i} if doc == it else set()
                 continue
             n, k = decontaminate.tolerance(len(it))
             if any(sum(x == y for x, y in zip(it[a : a + n], doc[b : b + n])) >= n - k for a in range(len(it) - n + 1) for b in range(len(doc) - n + 1)):
@@ -272,12 +273,17 @@ def test_revisits(spark):
         (14, "revisit", "https://a.com/x?a=1&b=2", 300_000, 304, {"Last-Modified": "d2"}, None),
         (14, "revisit", "https://a.com/x?a=1&b=2", 300_000, 304, {"Last-Modified": "d2"}, None),
         (15, "revisit", None, None, None, None, None),
+        (5, "response", "https://b.com", 50, 200, h, "first"),
+        (6, "response", "https://b.com", 50, 200, h, "second"),
+        (16, "revisit", "https://b.com", 51, 304, {"etag": '"a"'}, None),
+        (17, "revisit", "https://b.com", 50, 304, {"etag": '"a"'}, None),
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], warc_revisits.RECORD + ", base_id string")
     got = warc_revisits.resolve_revisits(df).collect()
     by = {r.record_id: r for r in got}
-    assert len(got) == 6 and {k: (r.outcome, r.base_id) for k, r in by.items()} == {
+    assert len(got) == 8 and by[16].payload == "second" and {k: (r.outcome, r.base_id) for k, r in by.items()} == {
         11: ("no_earlier_response", None), 12: ("resolved", 1), 13: ("resolved", 2), 14: ("validator_mismatch", 2), 15: ("no_earlier_response", None),
+        16: ("resolved", 6), 17: ("no_earlier_response", None),
     }
     assert by[12].payload == "body1" and by[12].headers == {"etag": 'W/"a"', "cache-control": "new", "x-own": "1"} and by[14].payload is None
     assert warc_revisits.resolve_revisits(df.where("record_id < 0")).count() == 0
