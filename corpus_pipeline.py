@@ -1,4 +1,8 @@
-"""A training corpus from documents: quality, line and document deduplication, decontamination, token ids."""
+"""A training corpus from documents: quality, line and document deduplication, decontamination, token ids.
+
+Every stage but the last returns all columns of its input, whatever their names. Rows with a null id are handled like
+others, repeated rows alike; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -14,28 +18,34 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on the labels, doesn't reject."""
+    """Documents that the quality classifier, trained on the labels, doesn't reject.
+
+    Null and empty texts are scored by their statistics; without labels all rows score 0.5 and stay."""
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with one line kept of every group of similar lines; n_chars follows the text."""
+    """All documents, with one line kept of every group of similar lines; n_chars follows the text.
+
+    Rows with null or empty texts stay as they are; rows that lose every line stay, with an empty text."""
     done = line_dedup.dedup_lines(docs)
     return done.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def deduplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates."""
+    """One document of every group of near duplicates.
+
+    Rows with null or empty texts are near nothing, but of equal rows one stays."""
     return near_dedup.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark; all of them if the benchmark is empty."""
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian uint32) and whether decoding them gives the text again."""
+    """doc_id, n_tokens, ids (little-endian uint32) and whether decoding them gives the text again; null texts are empty."""
     return bpe.encode_documents(docs, RANKS).drop("decoded")
 
 
