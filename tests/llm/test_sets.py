@@ -316,3 +316,23 @@ def test_pipeline(spark, sf_dir):
 
     done = corpus_pipeline.run(spark, sf_dir)
     assert done.where("not same").count() == 0 and 0 < done.count() < len(texts) and Path(sf_dir).exists()
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, n_chars int, row_key string, doc_key int"
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, None, "a", None, "k", 1), (1, None, "a", None, "k", 1), (2, "", None, 0, None, 2), (None, "one two three four five six", "b", 27, "k", None), (3, long, "c", len(long), "k", 3), (4, long, "c", len(long), "k", 3)]
+    for name, some, schema in (("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [], "item_id long, text string"), ("documents", rows, kind)):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        left[name] = got.count()
+        assert got.schema == docs.schema and stage(spark, docs.where("doc_id > 9"), str(tmp_path)).count() == 0
+    assert left == {"quality_classifier": 6, "line_dedup": 6, "minhash_near_dedup": 4, "benchmark_decontamination": 6}
+    done = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Document 4's one line is document 3's: it is empty after that, like document 2.
+    assert sorted((str(r.doc_id), r.n_tokens > 0, r.same) for r in done) == [("1", False, True), ("2", False, True), ("3", True, True), ("4", False, True), ("None", True, True)]
