@@ -114,21 +114,29 @@ def shared_rows(rows: DataFrame, count: int) -> DataFrame:
 def components(edges: DataFrame, into: Scratch | None = None) -> DataFrame:
     """Union-find over edges (a, b): id, component (its least id) of every id with an edge; its table belongs to into.
 
-    Each round hooks an id to the least label among its neighbours and then halves the paths; the number of rounds
-    grows with the logarithm of the longest path. Labels stay in tables.
+    Each round sends the greater neighbours of every id to its least neighbour, then an id and its smaller neighbours to
+    the least of these; edges never grow in number, and few rounds leave stars around the least ids. A hub of many edges
+    is an aggregate with partial minima and a join, no group. Edges stay in tables.
     """
     old = Scratch(edges.sparkSession)
-    both = old.write(edges.select("a", "b").union(edges.select("b", "a")), "edges")
-    labels = old.write(both().groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    ends = old.write(edges.select("a", "b"), "edges")
+    star = old.write(ends().where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "star")
     while True:
-        near = both().join(labels().select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        hooked = old.write(labels().join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("component")), "hooked")
-        up = hooked().select(F.col("id").alias("component"), F.col("component").alias("root"))
-        labels = old.write(hooked().join(up, "component").select("id", "old", F.col("root").alias("component")), "labels")
-        if labels().where("component < old").isEmpty():
-            done = (into.write if into else write)(labels().select("id", "component"), "components")
-            old.clear()
-            return done()
+        seen = star().select(F.col("v").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(star().select("m", F.lit(0), F.lit(1)))
+        seen = seen.groupBy("id").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        if seen.where("up > 1 or up = 1 and down > 0").isEmpty():
+            break
+        both = star().select(F.col("v").alias("u"), F.col("m").alias("n")).union(star().select("m", "v"))
+        low = both.groupBy("u").agg(F.min("n").alias("low")).select("u", F.least("u", "low").alias("m"))
+        large = old.write(both.where("n > u").join(low, "u").select(F.col("n").alias("v"), "m"), "large-star")
+        root = large().groupBy("v").agg(F.min("m").alias("root"))
+        small = large().join(root, "v").where("m != root").select("m", "root").union(root.select("v", "root"))
+        star = old.write(small.toDF("v", "m").distinct(), "star")
+    alone = ends().select(F.col("a").alias("id")).union(ends().select("b")).distinct()
+    labels = alone.join(star().select(F.col("v").alias("id"), "m"), "id", "left").select("id", F.coalesce("m", "id").alias("component"))
+    done = (into.write if into else write)(labels, "components")
+    old.clear()
+    return done()
 
 
 def verified(pairs: DataFrame, elements: Callable[[str], frozenset | set], percent: int) -> DataFrame:
