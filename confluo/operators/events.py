@@ -14,7 +14,7 @@ def peak_day(value: str, day: str = "day") -> Column:
     return F.max_by(day, F.when(F.col(value).isNotNull(), F.struct(F.col(value), -F.unix_date(day))))
 
 
-def event_span(df: DataFrame, keys: Sequence[str], value: str, day: str = "day", wet: float = 1.0) -> DataFrame:
+def event_span(df: DataFrame, keys: Sequence[str], value: str, day: str = "day", wet: float | Column = 1.0) -> DataFrame:
     """first, peak and last day of the wet spell around each key's largest value; the peak belongs to it in any case.
     Spells are runs of rows of at least wet."""
     w = Window.partitionBy(*keys).orderBy(day)

@@ -65,9 +65,14 @@ def _in_circle(t: np.ndarray, p: np.ndarray) -> bool:
     return np.linalg.det(m) * np.sign(_cross(*t)) > 1e-12
 
 
-def spatial_fill(df: DataFrame, keys: Sequence[str], value: str, x: str, y: str, least: int = 4) -> DataFrame:
+def spatial_fill(df: DataFrame, keys: Sequence[str], value: str, x: str, y: str, least: int = 4, cell: str | None = None) -> DataFrame:
     """Adds filled: missing cells linear within the triangles of the valid ones, and the nearest valid value outside;
-    groups (a day each) with fewer than least valid cells stay as they are. One group is a task's unit of work."""
+    groups (a day each) with fewer than least valid cells stay as they are. With cell (the column that names a cell) cells
+    without a value in any group stay missing: they are outside the product's mask. One group is a task's unit of work."""
+    if cell is not None:
+        seen = df.where(F.col(value).isNotNull()).select(cell).distinct()
+        inside = spatial_fill(df.join(seen, cell, "left_semi").select(*df.columns), keys, value, x, y, least)
+        return inside.unionByName(df.join(seen, cell, "left_anti").select(*df.columns).withColumn("filled", F.col(value).cast("double")))
     schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), "filled double"])
 
     def fill(g: pd.DataFrame) -> pd.DataFrame:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,37 +20,78 @@ def edges(polygons: DataFrame, key: str = "code", rings: str = "rings") -> DataF
     return side.select(key, "ring", "is_hole", a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
 
 
-def in_polygon(points: DataFrame, sides: DataFrame, point: str, px: str = "lon", py: str = "lat", key: str = "code") -> DataFrame:
+def in_polygon(points: DataFrame, sides: DataFrame, point: str, px: str = "lon", py: str = "lat", key: str = "code", band: float = 0.05) -> DataFrame:
     """(point, key) of every point inside a polygon: in a shell and in no hole, by counting the crossings of a ray.
 
-    A point meets the sides whose vertical extent holds it, so the join is a range join on small geometry tables.
+    Points and sides meet by bands of y, so the join is by equality: a side stands in each band that it crosses.
     """
     y, x = F.col(py), F.col(px)
+    step = F.lit(band)
+    low, high = F.floor(F.least("y1", "y2") / step), F.floor(F.greatest("y1", "y2") / step)
+    banded = sides.where("y1 != y2").withColumn("_band", F.explode(F.sequence(low, high)))
     straddles = (F.col("y1") > y) != (F.col("y2") > y)
     at = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    met = points.join(sides, straddles).where(x < F.when(straddles, at))
+    met = points.withColumn("_band", F.floor(y / step)).join(banded, "_band").where(straddles).where(x < at)
     odd = met.groupBy(point, key, "ring", "is_hole").agg((F.count("*") % 2).alias("_odd"))
     inside = odd.groupBy(point, key).agg(F.max(F.when(~F.col("is_hole"), F.col("_odd"))).alias("_s"), F.max(F.when(F.col("is_hole"), F.col("_odd"))).alias("_h"))
     return inside.where((F.col("_s") == 1) & (F.coalesce("_h", F.lit(0)) == 0)).select(point, key)
 
 
+def near_polygon(points: DataFrame, sides: DataFrame, point: str, px: str = "lon", py: str = "lat", key: str = "code", buffer: float = 0.05) -> DataFrame:
+    """(point, key) of every point inside a polygon or within buffer of one of its sides: the mask of a buffered polygon.
+
+    Points and sides meet by squares of side buffer: a side stands in all squares that its box, widened, touches.
+    """
+    size = F.lit(buffer)
+    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - size) / size), F.floor((F.greatest(a, b) + size) / size))
+    held = sides.withColumn("_sx", F.explode(span("x1", "x2"))).withColumn("_sy", F.explode(span("y1", "y2")))
+    met = points.withColumn("_sx", F.floor(F.col(px) / size)).withColumn("_sy", F.floor(F.col(py) / size)).join(held, ["_sx", "_sy"])
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    along = ((F.col(px) - F.col("x1")) * dx + (F.col(py) - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    t = F.coalesce(F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    ex, ey = F.col(px) - F.col("x1") - t * dx, F.col(py) - F.col("y1") - t * dy
+    close = met.where(ex * ex + ey * ey <= size * size).select(point, key)
+    return close.union(in_polygon(points, sides, point, px, py, key)).distinct()
+
+
+#: Stations that are broadcast whole; more are met by squares of a grid.
+MANY_STATIONS = 20_000
+
+
 def nearest(points: DataFrame, stations: DataFrame, point: Sequence[str], px: str, py: str, station: str, sx: str, sy: str) -> DataFrame:
     """The nearest station of every point by squared distance in the coordinates given, ties to the smaller station.
 
-    Stations are a dimension: each point is compared with all of them and keeps one in a partial aggregate.
+    Few stations are broadcast, and each point keeps one in a partial aggregate. Many are dealt to squares of a grid: a
+    point looks into the nine squares around it and is done if its best lies within a square's side; the rest look again
+    with squares of twice the side.
     """
     sites = stations.select(F.col(station).alias("_s"), F.col(sx).alias("_sx"), F.col(sy).alias("_sy"))
+    n, x0, x1, y0, y1 = sites.agg(F.count("*"), F.min("_sx"), F.max("_sx"), F.min("_sy"), F.max("_sy")).first()
     d2 = (F.col(px) - F.col("_sx")) * (F.col(px) - F.col("_sx")) + (F.col(py) - F.col("_sy")) * (F.col(py) - F.col("_sy"))
-    best = points.join(sites, F.lit(True)).groupBy(*point).agg(F.min(F.struct(d2.alias("d2"), F.col("_s").alias("s"))).alias("_b"))
-    return best.select(*point, F.col("_b.s").alias(station), F.sqrt("_b.d2").alias("distance"))
+    best = F.min(F.struct(d2.alias("d2"), F.col("_s").alias("s"))).alias("_b")
+    out = lambda rows: rows.select(*point, F.col("_b.s").alias(station), F.sqrt("_b.d2").alias("distance"))
+    if n <= MANY_STATIONS:
+        return out(points.join(F.broadcast(sites), F.lit(True)).groupBy(*point).agg(best))
+    side, left, found = max(x1 - x0, y1 - y0, 1e-9) / n**0.5, points.select(*point, *{px: 0, py: 0}), []
+    far = points.agg(F.max(F.greatest(F.abs(F.col(px) - x0), F.abs(F.col(px) - x1), F.abs(F.col(py) - y0), F.abs(F.col(py) - y1)))).first()[0] or 0.0
+    while True:
+        square = lambda c: F.floor(F.col(c) / side)
+        around = F.sequence(F.lit(-1), F.lit(1))
+        asked = left.withColumn("_a", F.explode(around)).withColumn("_c", F.explode(around)).withColumn("_gx", square(px) + F.col("_a")).withColumn("_gy", square(py) + F.col("_c"))
+        held = sites.withColumn("_gx", square("_sx")).withColumn("_gy", square("_sy"))
+        got = asked.join(held, ["_gx", "_gy"]).groupBy(*point).agg(best).where(F.col("_b.d2") <= F.lit(side * side))
+        found.append(out(got))
+        if side > 2 * far:
+            return reduce(DataFrame.unionByName, found)
+        left, side = left.join(got.select(*point), list(point), "left_anti"), side * 2
 
 
 def nearest_candidates(centres: DataFrame, stations: DataFrame, key: str, x: str, y: str, station: str, sx: str, sy: str, k: int = 80) -> DataFrame:
-    """The k stations nearest to each centre: (key, station)."""
+    """The k stations nearest to each centre: (key, station). Centres are basins: a few thousand, broadcast."""
     sites = stations.select(F.col(station).alias("_s"), F.col(sx).alias("_sx"), F.col(sy).alias("_sy"))
     d2 = (F.col(x) - F.col("_sx")) * (F.col(x) - F.col("_sx")) + (F.col(y) - F.col("_sy")) * (F.col(y) - F.col("_sy"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(d2, "_s"))
-    return centres.join(sites, F.lit(True)).withColumn("_k", rank).where(F.col("_k") <= k).select(key, F.col("_s").alias(station))
+    return sites.join(F.broadcast(centres), F.lit(True)).withColumn("_k", rank).where(F.col("_k") <= k).select(key, F.col("_s").alias(station))
 
 
 def lattice(boxes: DataFrame, key: str, step: float) -> DataFrame:
@@ -78,48 +118,36 @@ def shoelace(sides: DataFrame, key: str = "code") -> DataFrame:
     return out.select(key, "area", (F.col("mx") / F.col("area")).alias("x"), (F.col("my") / F.col("area")).alias("y"))
 
 
-def _clip_ring(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> float:
-    """Area of a ring within a box: the ring is cut at each side of the box in turn."""
-    for axis, bound, keep in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
-        if len(ring) < 3:
-            return 0.0
-        d = keep * (ring[:, axis] - bound)
-        nxt, dn = np.roll(ring, -1, 0), np.roll(d, -1)
-        out = []
-        for p, q, a, b in zip(ring, nxt, d, dn, strict=True):
-            if a >= 0:
-                out.append(p)
-            if (a >= 0) != (b >= 0):
-                out.append(p + (q - p) * (a / (a - b)))
-        ring = np.array(out).reshape(-1, 2)
-    if len(ring) < 3:
-        return 0.0
-    x, y = ring.T
-    return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
-
-
 def overlap_areas(polygons: DataFrame, cells: DataFrame, size: float, key: str = "code", rings: str = "rings", least: float = 1e-6) -> DataFrame:
     """(key, i, j, km2): the overlap of polygons and square cells of size degrees around (lon, lat), over least.
 
-    Boxes that meet are joined by ranges; the cut itself runs in Python batches.
+    Column expressions only: a ring's area within a cell is the sum over its sides of the area between the cell's lower
+    edge and the side, cut at the cell's edges, by the side's direction. Cells meet polygons by the squares of their
+    boxes, and then a polygon's sides by columns of cells.
     """
-    xs = F.flatten(F.transform(rings, lambda r: r["pts"]["x"]))
-    ys = F.flatten(F.transform(rings, lambda r: r["pts"]["y"]))
-    boxed = polygons.select(key, rings, F.array_min(xs).alias("_x0"), F.array_max(xs).alias("_x1"), F.array_min(ys).alias("_y0"), F.array_max(ys).alias("_y1"))
-    half = size / 2
-    met = (F.col("lon") + half >= F.col("_x0")) & (F.col("lon") - half <= F.col("_x1")) & (F.col("lat") + half >= F.col("_y0")) & (F.col("lat") - half <= F.col("_y1"))
-    pairs = boxed.join(cells, met).select(key, "i", "j", "lon", "lat", rings)
-
-    @F.pandas_udf("double")
-    def area(lon: pd.Series, lat: pd.Series, shape: pd.Series) -> pd.Series:
-        out = []
-        for x, y, parts in zip(lon, lat, shape, strict=True):
-            deg2 = sum((-1 if r["is_hole"] else 1) * _clip_ring(np.array([(p["x"], p["y"]) for p in r["pts"]]), x - half, y - half, x + half, y + half) for r in parts)
-            out.append(deg2)
-        return pd.Series(out, dtype=float)
-
-    km2 = area("lon", "lat", rings) * 111.32 * 111.32 * F.cos(F.radians("lat"))
-    return pairs.select(key, "i", "j", km2.alias("km2")).where(F.col("km2") > least)
+    sides = edges(polygons, key, rings)
+    box = sides.groupBy(key).agg(F.min(F.least("x1", "x2")).alias("_x0"), F.max(F.greatest("x1", "x2")).alias("_x1"), F.min(F.least("y1", "y2")).alias("_y0"), F.max(F.greatest("y1", "y2")).alias("_y1"))
+    half, step = size / 2, F.lit(float(size))
+    column, row = F.floor(F.col("lon") / step), F.floor(F.col("lat") / step)
+    span = lambda a, b: F.sequence(F.floor((a - half) / step), F.floor((b + half) / step))
+    boxed = box.withColumn("_col", F.explode(span(F.col("_x0"), F.col("_x1")))).withColumn("_row", F.explode(span(F.col("_y0"), F.col("_y1"))))
+    held = boxed.select(key, "_col", "_row").join(cells.select("i", "j", "lon", "lat", column.alias("_col"), row.alias("_row")), ["_col", "_row"])
+    cut = sides.where("x1 != x2").withColumn("_col", F.explode(span(F.least("x1", "x2"), F.greatest("x1", "x2"))))
+    met = held.join(cut, [key, "_col"])
+    low, high = F.col("lat") - half, F.col("lat") + half
+    a, b = F.greatest(F.least("x1", "x2"), F.col("lon") - half), F.least(F.greatest("x1", "x2"), F.col("lon") + half)
+    at = lambda x: F.col("y1") + (F.col("y2") - F.col("y1")) * (x - F.col("x1")) / (F.col("x2") - F.col("x1"))
+    met = met.withColumn("_a", a).withColumn("_b", b).where("_b > _a").withColumn("_ya", at(F.col("_a"))).withColumn("_yb", at(F.col("_b")))
+    height = lambda y: F.least(F.greatest(y - low, F.lit(0.0)), F.lit(float(size)))
+    # The integral of the height over y: nothing under the cell, a square's half in it, then all of its height.
+    total = lambda y: height(y) * height(y) / 2 + F.greatest(y - high, F.lit(0.0)) * size
+    flat = F.abs(F.col("_yb") - F.col("_ya")) < 1e-12
+    area = (F.col("_b") - F.col("_a")) * F.when(flat, height(F.col("_ya"))).otherwise((total(F.col("_yb")) - total(F.col("_ya"))) / F.nullif(F.col("_yb") - F.col("_ya"), F.lit(0.0)))
+    signed = F.when(F.col("x2") > F.col("x1"), area).otherwise(-area)
+    rings_in = met.groupBy(key, "i", "j", "lat", "ring", "is_hole").agg(F.abs(F.sum(signed)).alias("_deg2"))
+    sums = rings_in.groupBy(key, "i", "j", "lat").agg(F.sum(F.when(F.col("is_hole"), -F.col("_deg2")).otherwise(F.col("_deg2"))).alias("_deg2"))
+    km2 = F.col("_deg2") * 111.32 * 111.32 * F.cos(F.radians("lat"))
+    return sums.select(key, "i", "j", km2.alias("km2")).where(F.col("km2") > least)
 
 
 def coverage(basins: DataFrame, sides: DataFrame, stations: DataFrame, key: str = "code", alone_km: float = 15.0) -> DataFrame:
@@ -129,6 +157,7 @@ def coverage(basins: DataFrame, sides: DataFrame, stations: DataFrame, key: str
     counts = held.groupBy(key).agg(F.count_if(F.col("station") < 300).alias("n_asos"), F.count_if(F.col("station") >= 300).alias("n_aws"))
     dx = (F.col("lon") - F.col("x")) * 111.32 * F.cos(F.radians("y"))
     dy = (F.col("lat") - F.col("y")) * 110.57
-    near = basins.join(stations, F.lit(True)).groupBy(key).agg(F.min(F.sqrt(dx * dx + dy * dy)).alias("nearest_km"))
+    # Basins are a few thousand rows: each meets every station in one broadcast and keeps one distance.
+    near = stations.join(F.broadcast(basins), F.lit(True)).groupBy(key).agg(F.min(F.sqrt(dx * dx + dy * dy)).alias("nearest_km"))
     out = basins.select(key).join(counts, key, "left").join(near, key).select(key, F.coalesce("n_asos", F.lit(0)).alias("n_asos"), F.coalesce("n_aws", F.lit(0)).alias("n_aws"), "nearest_km")
     return out.withColumn("ungauged", (F.col("n_asos") + F.col("n_aws") == 0) & (F.col("nearest_km") >= alone_km))

@@ -70,12 +70,23 @@ def valid_rows(features: Sequence[str], positive: Sequence[str]) -> Column:
     return keep
 
 
+def importances(df: DataFrame, features: Sequence[str], positive: Sequence[str], target: str, fit: Column, **settings) -> DataFrame:
+    """feature and importance (their sum is 1) of the model that boosted fits, the greatest first."""
+    _, fitted = _fitted(df, features, positive, target, fit, **settings)
+    rows = sorted(zip(features, map(float, fitted.featureImportances.toArray()), strict=True), key=lambda r: -r[1])
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double")
+
+
+def _fitted(df: DataFrame, features: Sequence[str], positive: Sequence[str], target: str, fit: Column, trees: int = 500, rate: float = 0.03, seed: int = 42):
+    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df.where(valid_rows(features, positive)))
+    model = GBTRegressor(featuresCol="_x", labelCol=target, predictionCol="_p", maxIter=trees, stepSize=rate, maxDepth=5, minInstancesPerNode=30, subsamplingRate=0.9, seed=seed)
+    return rows, model.fit(rows.where(fit & (F.col(target) > 0)))
+
+
 def boosted(df: DataFrame, features: Sequence[str], positive: Sequence[str], target: str, fit: Column, trees: int = 500, rate: float = 0.03, seed: int = 42) -> DataFrame:
     """Adds pred of a gradient-boosted model fitted on valid rows with a positive target where fit holds; NULL in rows
     that are not valid. Trees grow by level, so results differ from leaf-wise libraries."""
     good = valid_rows(features, positive)
-    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df.where(good))
-    model = GBTRegressor(featuresCol="_x", labelCol=target, predictionCol="_p", maxIter=trees, stepSize=rate, maxDepth=5, minInstancesPerNode=30, subsamplingRate=0.9, seed=seed)
-    fitted = model.fit(rows.where(fit & (F.col(target) > 0)))
+    rows, fitted = _fitted(df, features, positive, target, fit, trees, rate, seed)
     done = fitted.transform(rows).withColumn("pred", clip(F.col("_p"), 0.0)).drop("_x", "_p")
     return done.unionByName(df.where(~F.coalesce(good, F.lit(False))).withColumn("pred", F.lit(None).cast("double")))

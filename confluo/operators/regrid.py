@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clip
 
 
-def axis_weights(source: DataFrame, target: DataFrame, s: str, sx: str, t: str, tx: str) -> DataFrame:
+def axis_weights(source: DataFrame, target: DataFrame, s: str, sx: str, t: str, tx: str, beyond: bool = True) -> DataFrame:
     """(t, s, w): two rows for each target point, its neighbours on the source axis and their linear weights. Points
-    beyond the ends take the end. Axes are dimensions; the source may run either way."""
+    beyond the ends take the end, or have no rows if beyond is false: strict interpolation leaves them missing. Axes are
+    dimensions, a few thousand points; the source may run either way."""
     n = source.agg(F.count("*").alias("_n"))
     place = source.select(s, F.col(sx).alias("_x"), (F.row_number().over(Window.orderBy(sx)) - 1).alias("_k"))
     below = target.crossJoin(source.select(F.col(sx).alias("_x"))).groupBy(t, tx).agg(F.count_if(F.col("_x") < F.col(tx)).alias("_c"))
@@ -18,7 +19,7 @@ def axis_weights(source: DataFrame, target: DataFrame, s: str, sx: str, t: str,
     a = low.join(place.select("_k", F.col(s).alias("_sa"), F.col("_x").alias("_xa")), "_k")
     b = place.select((F.col("_k") - 1).alias("_k"), F.col(s).alias("_sb"), F.col("_x").alias("_xb"))
     w = clip((F.col(tx) - F.col("_xa")) / (F.col("_xb") - F.col("_xa")), 0.0, 1.0)
-    both = a.join(b, "_k").withColumn("_w", w)
+    both = a.join(b, "_k").where(F.lit(beyond) | F.col(tx).between(F.col("_xa"), F.col("_xb"))).withColumn("_w", w)
     pair = F.array(F.struct(F.col("_sa").alias("s"), (1 - F.col("_w")).alias("w")), F.struct(F.col("_sb").alias("s"), F.col("_w").alias("w")))
     return both.select(t, F.explode(pair).alias("_p")).select(t, F.col("_p.s").alias(s), F.col("_p.w").alias(f"w_{t}"))
 
@@ -42,3 +43,16 @@ def regrid(cube: DataFrame, rows: DataFrame, cols: DataFrame, value: str, by: tu
     else:
         out = F.when(F.col("_den") > min_cover, F.col("_num") / F.col("_den"))
     return sums.select(*target, *by, out.alias(value))
+
+
+def masked(cube: DataFrame, mask: DataFrame | None, value: str, cell: tuple[str, str] = ("i", "j")) -> DataFrame:
+    """Cells of a mask (those where a reference product has values; all if there is none), negative values set to 0."""
+    kept = cube if mask is None else cube.join(mask.select(*cell).distinct(), list(cell), "left_semi")
+    return kept.withColumn(value, clip(F.col(value), 0.0))
+
+
+def flipped(cube: DataFrame, flip: str, n_i: int, n_j: int, cell: tuple[str, str] = ("i", "j")) -> DataFrame:
+    """The cube with its rows (lat), columns (lon), both or none in reverse."""
+    turn = lambda c, n, on: (F.lit(n - 1) - F.col(c) if on else F.col(c)).alias(c)
+    turned = {cell[0]: turn(cell[0], n_i, flip in ("lat", "both")), cell[1]: turn(cell[1], n_j, flip in ("lon", "both"))}
+    return cube.select(*[turned.get(c, F.col(c)) for c in cube.columns])

@@ -33,16 +33,17 @@ def forward(df: DataFrame, keys: Sequence[str], theta: str, a: Column, b: Column
     return df.withColumn("rain", rain).drop("_t", "_d", "_n")
 
 
-def forward_infiltration(df: DataFrame, keys: Sequence[str], theta: str, a: float, c: float, z: float, ks: float, psi: float, day: str = "day") -> DataFrame:
-    """Adds rain by infiltration capacity: residual and saturated wetness are a key's 5th and 95th percentiles."""
+def forward_infiltration(df: DataFrame, keys: Sequence[str], theta: str, a: float, c: float, z: float, ks: float, psi: float, day: str = "day", min_n: int = 30) -> DataFrame:
+    """Adds rain by infiltration capacity: residual and saturated wetness are a key's 5th and 95th percentiles. NULL for
+    series of fewer than min_n values."""
     df = df.withColumn("_t", wetness(theta))
-    limits = df.groupBy(*keys).agg(F.percentile("_t", F.lit(0.05)).alias("_lo"), F.percentile("_t", F.lit(0.95)).alias("_hi"))
+    limits = df.groupBy(*keys).agg(F.percentile("_t", F.lit(0.05)).alias("_lo"), F.percentile("_t", F.lit(0.95)).alias("_hi"), F.count("_t").alias("_n"))
     df = df.withColumn("_d", difference(keys, "_t", day)).join(limits, list(keys))
     room = clip(F.col("_hi") - F.col("_lo"), 0.03, 0.60)
     depth = z * clip(F.col("_t") - F.col("_lo"), 0.1 / z)
     rate = ks * (1 + psi * room / clip(depth, 0.1))
     rain = clip((z * F.col("_d") + a * rate) / clip(1 - F.pow("_t", F.lit(c)), 0.02), 0.0, 500.0)
-    return df.withColumn("rain", rain).drop("_t", "_d", "_lo", "_hi")
+    return df.withColumn("rain", F.when(F.col("_n") >= min_n, rain)).drop("_t", "_d", "_lo", "_hi", "_n")
 
 
 def grid_calibrate(df: DataFrame, keys: Sequence[str], theta: str, target: str, grid: DataFrame, day: str = "day", min_n: int = 30) -> DataFrame:
@@ -122,6 +123,18 @@ def transfer_parameters(need: DataFrame, calibrated: DataFrame, keys: Sequence[s
     rest = need.select(*k).join(calibrated.select(*k), k, "left_anti")
     other = calibrated.select(*[F.col(c).alias(f"_{c}") for c in k], *params)
     d2 = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in k), F.lit(0))
-    near = rest.join(other, F.lit(True), "left").groupBy(*k).agg(F.min(F.when(F.col(f"_{k[0]}").isNotNull(), F.struct(d2.alias("d2"), *[f"_{c}" for c in k], *params))).alias("p"))
+    near = rest.join(F.broadcast(other), F.lit(True), "left").groupBy(*k).agg(F.min(F.when(F.col(f"_{k[0]}").isNotNull(), F.struct(d2.alias("d2"), *[f"_{c}" for c in k], *params))).alias("p"))
     found = near.select(*k, *[F.col("p")[c].alias(c) for c in params], F.when(F.col("p").isNotNull(), 2).otherwise(0).alias("flag"))
     return own.unionByName(found)
+
+
+def reusable(saved: DataFrame, grid: DataFrame, keys: Sequence[str] = ("i", "j")) -> bool:
+    """Whether saved parameters belong to this grid: both have the same pixels."""
+    k = list(keys)
+    return saved.select(*k).distinct().join(grid.select(*k).distinct().withColumn("_g", F.lit(1)), k, "full").where("_g is null").isEmpty() and grid.select(*k).join(saved.select(*k), k, "left_anti").isEmpty()
+
+
+def parameter_summary(params: DataFrame, names: Sequence[str] = ("a", "b", "z")) -> DataFrame:
+    """param, low, mean and high of each parameter over all pixels."""
+    long = params.select(F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("param", "v"))
+    return long.groupBy("param").agg(F.min("v").alias("low"), F.avg("v").alias("mean"), F.max("v").alias("high"))

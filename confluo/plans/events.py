@@ -26,8 +26,8 @@ def _daily(spark, sf_dir):
 
 def _spans(spark, sf_dir):
     daily = _daily(spark, sf_dir)
-    wet = daily.agg(F.avg("v")).first()[0] or 0.0
-    return events.event_span(daily, ["cell"], "v", wet=wet)
+    wet = F.broadcast(daily.agg(F.avg("v").alias("wet")))  # one row
+    return events.event_span(daily.join(wet, F.lit(True)), ["cell"], "v", wet=F.col("wet"))
 
 
 @query(f"WITH {_SPAN} SELECT cell, first, peak, last FROM sp")
@@ -83,14 +83,10 @@ def basin_evaluate(spark, sf_dir):
     return out.select(*[F.round(c, 2 if c in two else 4).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
-@query()
-def decluster(spark, sf_dir):
-    return events.decluster(a.long_series(spark, sf_dir), ["cell"], "obs")
-
-
 @query()
 def pot_gpd_levels(spark, sf_dir):
-    ser = a.long_series(spark, sf_dir).select("cell", "day", F.explode(F.create_map(F.lit("obs"), "obs", F.lit("sim1"), "sim1")).alias("product", "v"))
+    ser = a.long_series(spark, sf_dir).dropna(subset=["obs", "sim1"])  # days on which every product is valid
+    ser = ser.select("cell", "day", F.explode(F.create_map(F.lit("obs"), "obs", F.lit("sim1"), "sim1")).alias("product", "v"))
     spans = ser.groupBy("cell", "product").agg((F.count("v") / 365.25).alias("n_years"))
     return freq.return_levels(events.decluster(ser, ["cell", "product"], "v"), spans, ["cell", "product"], "v")
 

@@ -86,11 +86,11 @@ def sm2rain_grid_calibrate(spark, sf_dir):
 
 @query(f"""
 WITH {_DELTA}, lim AS (SELECT cell, quantile_cont(t, 0.05) AS lo, quantile_cont(t, 0.95) AS hi FROM tt GROUP BY cell),
-f AS (SELECT dt.cell, day, t, d, 10.0 * greatest(t - lo, 0.1 / 10.0) AS depth, greatest(least(hi - lo, 0.60), 0.03) AS room FROM dt JOIN lim ON dt.cell = lim.cell)
-SELECT cell, day, round(CASE WHEN t IS NOT NULL AND d IS NOT NULL THEN least(greatest((10.0 * d + 0.05 * 5.0 * (1 + 100.0 * room / greatest(depth, 0.1))) / greatest(1 - pow(t, 2.0), 0.02), 0), 500) END, 4) + 0.0 AS rain FROM f
+f AS (SELECT dt.cell, day, n, t, d, 10.0 * greatest(t - lo, 0.1 / 10.0) AS depth, greatest(least(hi - lo, 0.60), 0.03) AS room FROM dt JOIN lim ON dt.cell = lim.cell)
+SELECT cell, day, round(CASE WHEN n >= 20 AND t IS NOT NULL AND d IS NOT NULL THEN least(greatest((10.0 * d + 0.05 * 5.0 * (1 + 100.0 * room / greatest(depth, 0.1))) / greatest(1 - pow(t, 2.0), 0.02), 0), 500) END, 4) + 0.0 AS rain FROM f
 """)
 def sm2rain_ga_forward(spark, sf_dir):
-    return rounded(sm2rain.forward_infiltration(theta(spark, sf_dir).drop("rain"), ["cell"], "theta", 0.05, 2.0, 10.0, 5.0, 100.0).select("cell", "day", "rain"))
+    return rounded(sm2rain.forward_infiltration(theta(spark, sf_dir).drop("rain"), ["cell"], "theta", 0.05, 2.0, 10.0, 5.0, 100.0, min_n=20).select("cell", "day", "rain"))
 
 
 @query("""
@@ -132,11 +132,6 @@ def ols_apply(spark, sf_dir):
     return rounded(regress.predict(obs, coefs, ["cell"], {"gpm": F.col("slope")}).select("cell", "day", "pred"), 3)
 
 
-@query()
-def ols_multi(spark, sf_dir):
-    return regress.ols_multi(a.obs_px(spark, sf_dir, 16), ["cell"], ["sm2rain", "era5", "gpm"], "aws", MIN_N)
-
-
 @query(f"""
 WITH {_OLS}, st(di, dj) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1))
 SELECT c.i, c.j, round(avg(n.slope), 4) + 0.0 AS slope, round(avg(n.intercept), 3) AS intercept, count(*) AS n_neighbors

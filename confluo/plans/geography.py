@@ -118,10 +118,3 @@ def ungauged_basins(spark, sf_dir):
     sides = geo.edges(a.polygons(spark))
     centres = geo.shoelace(sides).select("code", "x", "y")
     return rounded(geo.coverage(centres, sides, a.stations(spark)), 3)
-
-
-@query()
-def basin_cell_overlap(spark, sf_dir):
-    cells = spark.range(1600).select(F.floor(F.col("id") / 40).alias("i"), (F.col("id") % 40).alias("j"))
-    cells = cells.withColumn("lat", 35.95 + F.col("i") * 0.05).withColumn("lon", 126.95 + F.col("j") * 0.05)
-    return geo.overlap_areas(a.polygons(spark), cells, 0.05)

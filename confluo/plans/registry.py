@@ -25,4 +25,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that hold queries."""
-    from . import evaluation, events, fusion, geography, preprocess, reports  # noqa: F401
+    from . import evaluation, events, exports, fusion, geography, preprocess, reports  # noqa: F401

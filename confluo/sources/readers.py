@@ -9,10 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.geo import RINGS
-
 DBF = "file string, record int, fields map<string,string>"
-SHP = f"file string, record int, rings {RINGS}"
+SHP = "file string, record int, rings array<struct<is_hole: boolean, shell: int, pts: array<struct<x: double, y: double>>>>"
 
 
 def csv(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8", columns: Sequence[str] | None = None) -> DataFrame:
@@ -92,7 +90,7 @@ def _dbf_rows(data: bytes, encoding: str) -> Iterator[dict[str, str]]:
         yield row
 
 
-def read_dbf(spark: SparkSession, path: str, encoding: str = "cp949") -> DataFrame:
+def read_dbf(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """Attribute tables, one row a record: file, record (from 0), fields. A file is a task's unit of work."""
 
     def parse(parts):
@@ -121,12 +119,48 @@ def _polygons(data: bytes) -> Iterator[list[dict]]:
         flat = struct.unpack_from(f"<{2 * n_points}d", data, start + 44 + 4 * n_parts)
         points = list(zip(flat[::2], flat[1::2], strict=True))
         rings = [points[a:b] for a, b in zip(firsts, firsts[1:], strict=False)]
-        # Shells run clockwise, holes the other way round; the repeated last point is left out.
-        yield [{"is_hole": _area(r) > 0, "pts": [{"x": x, "y": y} for x, y in r[:-1]]} for r in rings]
+        # Shells run clockwise, holes the other way round; the repeated last point is left out, as are rings of no area.
+        yield _assigned([r for r in rings if len(r) >= 4 and _area(r) != 0])
+
+
+def _holds(ring: list[tuple[float, float]], x: float, y: float) -> bool:
+    crossed = [(x2 - x1) * (y - y1) / (y2 - y1) + x1 > x for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False) if (y1 > y) != (y2 > y)]
+    return sum(crossed) % 2 == 1
+
+
+def _assigned(rings: list[list[tuple[float, float]]]) -> list[dict]:
+    """Rings with is_hole and shell: a hole's is the place of the smallest shell that holds its first point; a hole in no
+    shell is a shell itself. A shell's is its own place."""
+    shells = [k for k, r in enumerate(rings) if _area(r) < 0]
+    out = []
+    for k, r in enumerate(rings):
+        around = [s for s in shells if _area(r) > 0 and _holds(rings[s], *r[0])]
+        shell = min(around, key=lambda s: abs(_area(rings[s])), default=k)
+        out.append({"is_hole": shell != k, "shell": shell, "pts": [{"x": x, "y": y} for x, y in r[:-1]]})
+    return out
+
+
+def shx_offsets(data: bytes) -> list[tuple[int, int]]:
+    """Byte offset and length of every record of an SHP file, from its SHX index."""
+    words = [struct.unpack_from(">2i", data, at) for at in range(100, len(data) - 7, 8)]
+    return [(2 * offset, 2 * length) for offset, length in words]
+
+
+def wide_csv(spark: SparkSession, path: str, row: str = "date", column: str = "code", value: str = "v", keep: Sequence[str] | None = None) -> DataFrame:
+    """A wide CSV (a column for each basin) as rows (row, column, value); keep prunes its columns, empty fields stay NULL."""
+    names = [c for c in csv_columns(spark, path) if c != row]
+    df = spark.read.option("header", True).schema(", ".join(f"`{c}` {'string' if c == row else 'double'}" for c in csv_columns(spark, path))).csv(path)
+    return df.select(F.to_date(row).alias(row), *[F.col(f"`{c}`") for c in names if keep is None or c in keep]).unpivot(row, [F.col(f"`{c}`") for c in names if keep is None or c in keep], column, value)
+
+
+def csv_columns(spark: SparkSession, path: str) -> list[str]:
+    """The header's columns; no row is read."""
+    return spark.read.option("header", True).csv(path).columns
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """Polygons of SHP files, one row a record: file, record (from 0), rings; other shapes have none."""
+    """Polygons of SHP files, one row a record: file, record (from 0), rings (a hole with its shell); other shapes have
+    none. A file is a task's unit of work."""
 
     def parse(parts):
         for part in parts:
@@ -136,7 +170,7 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, SHP)
 
 
-def read_basins(spark: SparkSession, stem: str, code_field: str = "SBSN_CD", encoding: str = "cp949") -> DataFrame:
+def read_basins(spark: SparkSession, stem: str, code_field: str = "SBSN_CD", encoding: str = "utf-8") -> DataFrame:
     """code and rings of stem.shp and stem.dbf, joined on the record's place."""
     attributes = read_dbf(spark, f"{stem}.dbf", encoding).select("record", F.col("fields")[code_field].alias("code"))
     return read_polygons(spark, f"{stem}.shp").select("record", "rings").join(attributes, "record").select("code", "rings")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,40 @@ def cached(spark, path: str, build, rebuild: bool = False) -> DataFrame:
     if rebuild or not there:
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def basin_facts(bridge: DataFrame, series: DataFrame, basin: str = "code", area: str = "km2", value: str = "v") -> DataFrame:
+    """code, area_km2, n_cells, max_share_pct (the greatest cell's) and valid_days of the basin's series."""
+    facts = bridge.groupBy(basin).agg(F.sum(area).alias("area_km2"), F.count("*").alias("n_cells"), (100 * F.max(area) / F.sum(area)).alias("max_share_pct"))
+    days = series.groupBy(basin).agg(F.count(value).alias("valid_days"))
+    return facts.join(days, basin, "left").withColumn("valid_days", F.coalesce("valid_days", F.lit(0)))
+
+
+def excluded_basins(basins: DataFrame, facts: DataFrame, least_days: int = 1, basin: str = "code") -> DataFrame:
+    """Basins that an export leaves out, with the reason: no cell, or fewer than least_days valid days."""
+    joined = basins.select(basin).distinct().join(facts.select(basin, "n_cells", "valid_days"), basin, "left")
+    reason = F.when(F.col("n_cells").isNull(), "no cell").when(F.col("valid_days") < least_days, "no valid day")
+    return joined.select(basin, reason.alias("reason")).where("reason is not null")
+
+
+def cell_table(cube: DataFrame, lat: Column, lon: Column, value: str, least_days: int = 1, cell: Sequence[str] = ("i", "j")) -> DataFrame:
+    """The cells of a wide export with their column names: those of least_days valid days."""
+    held = cube.groupBy(*cell).agg(F.count(value).alias("valid_days")).where(F.col("valid_days") >= least_days)
+    return held.select(*cell, cell_name(lat, lon).alias("name"), F.round(lat, 4).alias("lat"), F.round(lon, 4).alias("lon"), "valid_days")
+
+
+def ordered_weights(weights: DataFrame, basin: str = "code", station: str = "station", w: str = "w") -> DataFrame:
+    """Weights with their place in the basin, the greatest first, and the station's network."""
+    place = F.row_number().over(Window.partitionBy(basin).orderBy(F.desc(w), station))
+    return weights.select(basin, place.alias("place"), station, F.when(F.col(station) < 300, "ASOS").otherwise("AWS").alias("network"), w)
+
+
+def by_list(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
+    """The rows that a list names, with place, their name's place in it."""
+    names = df.sparkSession.createDataFrame([(k, v) for v, k in enumerate(order)], f"{column} string, place int")
+    return df.join(F.broadcast(names), column)
+
+
+def day_name(day: Column) -> Column:
+    """A day as exports write it."""
+    return F.date_format(day, "yyyy-MM-dd")
