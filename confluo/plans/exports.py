@@ -355,11 +355,3 @@ def decluster(spark, sf_dir):
 @query(f"WITH {_INSIDE}, {_POINTS} SELECT pt.p, count(*) AS n_basins FROM pt JOIN (SELECT p, code FROM (SELECT p, code, ring, is_hole, count(*) % 2 AS odd FROM pt s, side d WHERE (d.y1 > s.lat) <> (d.y2 > s.lat) AND s.lon < (d.x2 - d.x1) * (s.lat - d.y1) / (d.y2 - d.y1) + d.x1 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2 HAVING max(CASE WHEN NOT is_hole THEN odd END) = 1 AND coalesce(max(CASE WHEN is_hole THEN odd END), 0) = 0) q ON q.p = pt.p GROUP BY pt.p")
 def points_in_basins(spark, sf_dir):
     return geo.in_polygon(_points(spark, sf_dir), geo.edges(a.polygons(spark)), "p").groupBy("p").agg(F.count("*").alias("n_basins"))
-
-
-@query()
-def gbt_importances(spark, sf_dir):
-    """Importances of the boosted model's features."""
-    obs = a.obs_px(spark, sf_dir, 16).select("cell", "day", F.col("i").cast("double").alias("lat"), F.col("j").cast("double").alias("lon"), "sm2rain", "era5", "gpm", "aws")
-    products = ["sm2rain", "era5", "gpm"]
-    return regress.importances(obs, [*products, "lon", "lat"], products, "aws", F.col("day") < F.lit("2024-01-21").cast("date"))

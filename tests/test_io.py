@@ -11,10 +11,10 @@ from confluo.sources import readers, sinks
 from confluo.streaming.daily import complete_days
 
 
-def dbf(rows, fields):
+def dbf(rows, fields, encoding="utf-8"):
     size = 1 + sum(w for _, w in fields)
     head = b"".join(n.encode().ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([w]) + b"\0" * 15 for n, w in fields) + b"\r"
-    data = b"".join(flag + b"".join(v.encode("cp949").ljust(w) for v, (_, w) in zip(r, fields)) for flag, r in rows)
+    data = b"".join(flag + b"".join(v.encode(encoding).ljust(w) for v, (_, w) in zip(r, fields)) for flag, r in rows)
     return b"\3" + b"\0" * 3 + struct.pack("<IHH", len(rows), 32 + len(head), size) + b"\0" * 20 + head + data
 
 
@@ -37,6 +37,36 @@ def test_basins_from_files(spark, tmp_path):
     assert [r.is_hole for r in got["101"]] == [False, True] and len(got["101"][0].pts) == 4 and len(got["102"]) == 1
     names = [r.fields["NAME"] for r in readers.read_dbf(spark, str(tmp_path / "b.dbf")).orderBy("record").collect()]
     assert names == ["한강", ""]
+    (tmp_path / "c.dbf").write_bytes(dbf([(b" ", ("101", "한강"))], [("SBSN_CD", 6), ("NAME", 8)], "cp949"))
+    assert readers.read_dbf(spark, str(tmp_path / "c.dbf"), "cp949").first().fields["NAME"] == "한강"
+
+
+def test_holes_belong_to_the_smallest_shell_around_them(spark, tmp_path):
+    box = lambda a, b, turn: [(a, a), (a, b), (b, b), (b, a), (a, a)][::turn]
+    (tmp_path / "h.shp").write_bytes(shp([[box(0.0, 9.0, 1), box(1.0, 8.0, -1), box(2.0, 7.0, 1), box(3.0, 4.0, -1), box(20.0, 21.0, -1), [(5.0, 5.0), (5.0, 5.0), (5.0, 5.0)]]]))
+    rings = readers.read_polygons(spark, str(tmp_path / "h.shp")).first().rings
+    assert [(r.is_hole, r.shell) for r in rings] == [(False, 0), (True, 0), (False, 2), (True, 2), (False, 4)]
+    index = b"\0" * 100 + struct.pack(">2i", 50, 64) + struct.pack(">2i", 118, 40)
+    assert readers.shx_offsets(index) == [(100, 128), (236, 80)]
+
+
+def test_wide_csv(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("date,1001,1002,1003\n2024-01-01,1.5,,2\n2024-01-02,,3.25,\n")
+    path = str(tmp_path / "w.csv")
+    assert readers.csv_columns(spark, path) == ["date", "1001", "1002", "1003"]
+    got = {(str(r.date), r.code): r.v for r in readers.wide_csv(spark, path, keep=["1001", "1002"]).collect()}
+    assert got == {("2024-01-01", "1001"): 1.5, ("2024-01-01", "1002"): None, ("2024-01-02", "1001"): None, ("2024-01-02", "1002"): 3.25}
+
+
+def test_years_and_stations(spark, tmp_path):
+    df = spark.createDataFrame([(dt.date(2022, 12, 30), 1.0), (dt.date(2022, 12, 31), 2.0), (dt.date(2023, 5, 1), 3.0), (dt.date(2024, 1, 1), 4.0)], "day date, v double")
+    sinks.write_cube(df, str(tmp_path / "cube"))
+    assert sorted(r.v for r in readers.by_year(spark, str(tmp_path / "cube"), [2023], day_before=True).collect()) == [2.0, 3.0]
+    sinks.write_station_csv(df.selectExpr("'ASOS' AS network", "90 AS station", "day", "v"), str(tmp_path / "s"))
+    assert (tmp_path / "s" / "network=ASOS" / "station=90").is_dir()
+    daily, meta = spark.createDataFrame([(90, 1.0), (91, 2.0)], "station int, v double"), spark.createDataFrame([(90, 127.0, 36.0)], "station int, lon double, lat double")
+    assert {r.station: r.lon for r in readers.with_stations(daily, meta).collect()} == {90: 127.0, 91: None}
+    assert df.select(sinks.day_name(F.col("day")).alias("d")).orderBy("d").first().d == "2022-12-30"
 
 
 def test_gauge_csv(spark, tmp_path):

@@ -236,3 +236,74 @@ def test_pareto_recovers_shape(spark):
     few = spark.createDataFrame([(1, float(k)) for k in range(7)], "cell int, v double")
     spans = spark.createDataFrame([(1, 2.0)], "cell int, n_years double")
     assert freq.return_levels(few, spans, ["cell"], "v").count() == 0
+
+
+def test_nearest_by_squares_is_exact(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    p, s = rng.uniform(0, 10, (60, 2)), np.vstack([rng.uniform(0, 3, (40, 2)), rng.uniform(0, 10, (10, 2)), [[1.0, 1.0], [1.0, 1.0]]])
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)] + [(60, 1.0, 1.0)], "p int, x double, y double")
+    stations = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(s)], "station int, sx double, sy double")
+    want = {i: int(np.argmin(((s - v) ** 2).sum(1))) for i, v in enumerate(np.vstack([p, [[1.0, 1.0]]]))}
+    for many in (10_000, 0):
+        monkeypatch.setattr(geo, "MANY_STATIONS", many)
+        got = geo.nearest(points, stations, ["p"], "x", "y", "station", "sx", "sy").collect()
+        assert {r.p: r.station for r in got} == want and len(got) == len(want)
+
+
+def test_buffer_and_overlap_of_a_holed_square(spark):
+    rings = [(False, [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]), (True, [(0.5, 0.5), (0.5, 1.5), (1.5, 1.5), (1.5, 0.5)])]
+    shape = spark.createDataFrame([("a", rings)], "code string, rings array<struct<is_hole: boolean, pts: array<struct<x: double, y: double>>>>")
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 0.55, 1.0), (3, 2.05, 1.0), (4, 2.2, 1.0), (5, 2.05, 2.05), (6, 2.08, 2.08)], "p int, lon double, lat double")
+    assert sorted(r.p for r in geo.near_polygon(points, geo.edges(shape), "p", buffer=0.1).collect()) == [2, 3, 5]
+    cells = spark.createDataFrame([(i, j, i + 0.5, j + 0.5) for i in range(3) for j in range(3)], "i int, j int, lat double, lon double")
+    got = {(r.i, r.j): r.km2 / (111.32**2 * np.cos(np.radians(r.i + 0.5))) for r in geo.overlap_areas(shape, cells, 1.0).collect()}
+    assert sorted(got) == [(0, 0), (0, 1), (1, 0), (1, 1)] and all(isclose(v, 0.75, abs_tol=1e-9) for v in got.values())
+
+
+def test_strict_axes_have_no_points_beyond(spark):
+    src = spark.createDataFrame([(0, 2.0), (1, 4.0)], "i int, x double")
+    to = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 3.0), (3, 4.0), (4, 5.0)], "t int, x2 double")
+    assert sorted({r.t for r in regrid.axis_weights(src, to, "i", "x", "t", "x2", beyond=False).collect()}) == [1, 2, 3]
+
+
+def test_cells_outside_the_fixed_mask_stay_missing(spark):
+    cells = [(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 0.0, 1.0), (3, 1.0, 1.0), (4, 0.5, 0.5), (5, 9.0, 9.0)]
+    rows = [(d, c, x, y, None if c == 5 or (c == 4 and d == 0) else 2 * x + y) for d in (0, 1) for c, x, y in cells]
+    df = spark.createDataFrame(rows, "day int, cell int, x double, y double, v double")
+    got = {(r.day, r.cell): r.filled for r in gapfill.spatial_fill(df, ["day"], "v", "x", "y", cell="cell").collect()}
+    assert got[0, 5] is None and got[1, 5] is None and isclose(got[0, 4], 1.5) and len(got) == 12
+
+
+def test_saved_parameters_need_the_same_pixels(spark):
+    a = spark.createDataFrame([(0, 0, 1.0, 2.0, 3.0), (0, 1, 3.0, 2.0, 5.0)], "i int, j int, a double, b double, z double")
+    assert sm2rain.reusable(a, a) and not sm2rain.reusable(a.where("j = 0"), a) and not sm2rain.reusable(a, a.where("j = 0"))
+    assert {r.param: (r.low, r.mean, r.high) for r in sm2rain.parameter_summary(a).collect()} == {"a": (1.0, 2.0, 3.0), "b": (2.0, 2.0, 2.0), "z": (3.0, 4.0, 5.0)}
+
+
+def test_short_series_have_no_infiltration_rain(spark):
+    few = sm2rain.forward_infiltration(series(spark, [0.2, 0.4] * 14), ["cell"], "v", 0.05, 2, 10, 5, 100)
+    enough = sm2rain.forward_infiltration(series(spark, [0.2, 0.4] * 15), ["cell"], "v", 0.05, 2, 10, 5, 100)
+    assert few.where("rain is not null").count() == 0 and enough.where("rain is not null").count() == 30
+
+
+def test_importances_name_the_feature_that_matters(spark):
+    rng = np.random.default_rng(1)
+    rows = [(float(x), float(y), float(3 * x + 1)) for x, y in rng.uniform(1, 9, (200, 2))]
+    df = spark.createDataFrame(rows, "x double, y double, t double")
+    got = regress.importances(df, ["x", "y"], ["x", "y"], "t", F.lit(True), trees=3)
+    assert got.first().feature == "x" and isclose(sum(r.importance for r in got.collect()), 1.0, abs_tol=1e-9)
+
+
+def test_pareto_fit_is_no_less_likely_than_any_of_a_grid():
+    x = np.random.default_rng(2).pareto(4, 60) * 5
+    like = lambda k, s: -len(x) * np.log(s) - (1 + 1 / k) * np.log1p(k * x / s).sum() if s > 0 and (1 + k * x / s > 0).all() else -np.inf
+    k, s = freq.fit_pareto(x)
+    assert like(k, s) >= max(like(a, b) for a in np.linspace(-0.4, 1.2, 161) if a for b in np.linspace(0.2, 9, 200)) - 1e-3
+
+
+def test_negative_and_masked_cells(spark):
+    cube = spark.createDataFrame([(0, 0, -1.0), (0, 1, 2.0), (1, 1, 3.0)], "i int, j int, v double")
+    mask = spark.createDataFrame([(0, 0), (0, 1)], "i int, j int")
+    assert sorted((r.i, r.j, r.v) for r in regrid.masked(cube, mask, "v").collect()) == [(0, 0, 0.0), (0, 1, 2.0)]
+    assert regrid.masked(cube, None, "v").count() == 3
+    assert sorted((r.i, r.j) for r in regrid.flipped(cube, "both", 2, 2).collect()) == [(0, 0), (1, 0), (1, 1)]
