@@ -26,6 +26,7 @@ STAGES = (
     Stage("correct", ("events",), ("corrected",), ("ols_single", "ols_apply", "ratio_guided_fill")),
     Stage("basin", ("events",), ("basins",), ("thiessen_weights", "thiessen_mean", "area_weighted_basin")),
     Stage("evaluate", ("lineitem",), ("scores",), ("metrics_full", "by_season_year_grouping_sets", "basin_evaluate")),
+    Stage("export", ("events",), ("exports",), ("basin_info", "excluded_basins", "cell_coordinates", "thiessen_weights_export", "export_diagnostics")),
 )
 
 
@@ -47,6 +48,16 @@ def select(names: Sequence[str], start: str | None) -> list[Stage]:
     return chosen if start is None else list(STAGES[STAGES.index(resolve(start)) :])
 
 
+def _exists(spark: SparkSession, sf_dir: str) -> Callable[[str], bool]:
+    """Whether a table of the data set is there."""
+
+    def there(table: str) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    return there
+
+
 def run(spark: SparkSession, sf_dir: str, out: str, stages: Sequence[Stage], dry: bool = False, force: bool = False) -> list[str]:
     """Runs stages in order and writes a table for each query; a stage whose inputs are absent is passed over."""
     from . import registry
@@ -56,7 +67,7 @@ def run(spark: SparkSession, sf_dir: str, out: str, stages: Sequence[Stage], dry
     exists = lambda p: fs(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs(p))
     done = []
     for s in stages:
-        if missing_inputs(s, lambda t: exists(f"{sf_dir}/{t}.parquet")):
+        if missing_inputs(s, _exists(spark, sf_dir)):
             continue
         for q in s.queries:
             if not dry and (force or not exists(f"{out}/{q}")):
@@ -71,7 +82,7 @@ def main(args: Sequence[str] | None = None) -> None:
     p.add_argument("--data", required=True)
     p.add_argument("--out", required=True)
     p.add_argument("--from", dest="start")
-    for flag in ("dry", "force", "list"):
+    for flag in ("dry", "force", "list", "check"):
         p.add_argument(f"--{flag}", action="store_true")
     a = p.parse_args(args)
     chosen = select(a.stages, a.start)
@@ -79,6 +90,9 @@ def main(args: Sequence[str] | None = None) -> None:
         print("\n".join(f"{s.name}: {', '.join(s.queries)}" for s in chosen))
         return
     spark = SparkSession.builder.appName("confluo").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if a.check:
+        print("\n".join(f"{s.name}: {', '.join(missing_inputs(s, _exists(spark, a.data))) or 'complete'}" for s in chosen))
+        return
     print("\n".join(run(spark, a.data, a.out, chosen, a.dry, a.force)))
 
 

@@ -113,6 +113,7 @@ def test_stage_names_and_runs(spark, sf_dir, tmp_path):
     assert stages.resolve("tca").name == "tca" and stages.resolve("eva").name == "evaluate" and stages.resolve("rain").name == "sm2rain"
     with pytest.raises(ValueError):
         stages.resolve("nothing")
-    assert [s.name for s in stages.select([], "basin")] == ["basin", "evaluate"]
+    assert [s.name for s in stages.select([], "basin")] == ["basin", "evaluate", "export"]
     assert stages.run(spark, sf_dir, str(tmp_path), [stages.resolve("tca")], dry=True) == ["tca_weights", "tca_merge"]
+    assert stages.missing_inputs(stages.resolve("tca"), stages._exists(spark, sf_dir)) == [] and stages.missing_inputs(stages.resolve("tca"), stages._exists(spark, str(tmp_path))) == ["events"]
     assert stages.run(spark, str(tmp_path / "none"), str(tmp_path), [stages.resolve("tca")]) == []
