@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import bpe, decontaminate, html_text, line_dedup, near_dedup, quality, sharding, token_files, topk_search, warc_revisits
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_elias_fano_token_files": token_files.query,
     "op9_sampled_splitter_sharding": sharding.query,
     "op10_warc_revisit_resolution": warc_revisits.query,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -68,6 +68,17 @@ def test_near_duplicates(spark):
     assert {i: (r.component_id, r.n_shingles, r.kept) for i, r in got.items()} == {i: (want[i], len(s[i]), want[i] == i) for i in want}
 
 
+def test_unlike_texts_of_words_that_powers_of_a_base_confuse(spark):
+    """Long words, each the other's complement, and counts of them that would make the two texts one set."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    docs = spark.createDataFrame([(1, f"{a} one two three four {a} five six"), (2, f"{b} one two three four {b} five six"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in near_dedup.near_duplicates(docs).collect()} == {1: (1, 4), 2: (2, 4), 3: (3, 0)}
+    bench = spark.createDataFrame([(7, f"{a} one {a} {a} two {a}")], "item_id long, text string")
+    texts = spark.createDataFrame([(1, f"x {b} one {b} {b} two {b}"), (2, f"x {a} one {a} {a} two {a}"), (2, f"x {a} one {a} {a} two {a}")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.contaminated) for r in decontaminate.find_contamination(texts, bench).collect()) == [(1, False), (2, True), (2, True)]
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(7, "a b c d e f", "k"), (7, "a b c d e f", "k"), (None, "a b c d e f", None), (3, None, "x"), (3, "", "y"), (9, "only this one", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row_key string")

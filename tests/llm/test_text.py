@@ -230,6 +230,24 @@ def test_quality_on_held_out_labels(spark, sf_dir):
     assert sum(a == b for a, b in held) >= 0.9 * len(held)
 
 
+def test_discriminant_against_densities(spark):
+    """The scores are the classes' Gaussian densities, with the shrunk covariances, by Bayes' rule."""
+    rng, d = np.random.default_rng(4), len(quality.STATISTICS)
+    x = np.vstack([rng.normal(0, 1, (60, d)) @ rng.normal(0, 1, (d, d)), rng.normal(1, 2, (90, d))])
+    y = [0] * 60 + [1] * 90
+    model = quality.fit(spark.createDataFrame([(v.tolist(), k) for v, k in zip(x, y)], "x array<double>, quality int"))
+    density = []
+    for k in (0, 1):
+        part = x[np.array(y) == k]
+        cov = np.cov(part.T, bias=True)
+        cov = 0.9 * cov + 0.1 * np.diag(np.diag(cov)) + 0.01 * np.eye(d)
+        away = x - part.mean(0)
+        far = (away * np.linalg.solve(cov, away.T).T).sum(1)
+        density.append(np.log(len(part) / 150) - 0.5 * (np.linalg.slogdet(cov)[1] + far))
+    want = 1 / (1 + np.exp(density[0] - density[1]))
+    assert np.allclose(model.scores(x), want, atol=1e-7)
+
+
 def test_quality_without_labels(spark):
     docs = frame(spark, ROWS, "score string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
