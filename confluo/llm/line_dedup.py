@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .common import Scratch, row_key, unused, write
-from .linking import described, link_similar, placed_keys, shared_rows
+from .linking import described, link_similar, placed_keys, same_before, shared_rows
 from .pretokens import text_runs
 
 #: Characters a shingle; bands of minwise hashes: lines of similarity 0.75 share no band with a chance of 4 in 1,000, of
@@ -104,7 +104,7 @@ def shingle_set(line: str) -> set[str]:
 
 def _first_met(x, y, place):
     """Whether a band is the first that two lines share."""
-    return ~reduce(or_, [(place > i) & (x[i] == y[i]) for i in range(BANDS - 1)])
+    return ~reduce(or_, same_before(x, y, place))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,7 +130,6 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     places = old.write(texts.mapInArrow(_places, f"doc_key struct<a: long, b: long>, doc_id long, line int, id {ID}, bands array<long>"), "line-places")
     rows = places().select("id", F.explode("bands").alias("key"))
     live = old.write(shared_rows(rows, places().count() * BANDS), "shared-bands")
-    bands = places().where(F.size("bands") > 0).select("id", F.col("bands").alias("marks"))
 
     def lines_of(ids: DataFrame) -> DataFrame:
         """The normal form of each line wanted; lines that the filter stops are not moved."""
@@ -148,7 +147,7 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
 
         return described(texts.select("text").mapInArrow(run, f"id {ID}, set string").join(ids, "id", "left_semi").dropDuplicates(["id"]), _hashes)
 
-    linked = link_similar(live, lines_of, bands, BANDS, _first_met, shingle_set, percent, old)
+    linked = link_similar(live, lines_of, live(), BANDS, _first_met, shingle_set, percent, old)
     # Every line id with more than one occurrence, and every linked one.
     repeated = places().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     group = old.write(linked.union(repeated.join(linked, "id", "left_anti").select("id", F.col("id").alias("component"))), "line-groups")
@@ -173,6 +172,6 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
-    lines = F.size(F.split("text", "\n", -1))
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", (lines * (F.col("text") != "").cast("int")).alias("n_lines"), "dropped_lines", "same_as", F.sha2("text", 256).alias("text_sha256"))

@@ -54,6 +54,11 @@ def _close(n: Column, m: Column, x: list[Column], y: list[Column], percent: int)
     return ((100 + percent) * few <= most) & ((100 + percent) * reduce(add, bits) <= most)
 
 
+def same_before(x: list[Column], y: list[Column], place: Column) -> list[Column]:
+    """For each mark but the last whether it stands before place and two holders share it."""
+    return [F.coalesce((place > i) & (a == b), F.lit(False)) for i, (a, b) in enumerate(zip(x[:-1], y[:-1], strict=True))]
+
+
 def placed_keys(keys: np.ndarray) -> np.ndarray:
     """Keys (a row a set, a column a table) whose low bits are the table's place."""
     return keys & ~np.int64(PLACES - 1) | np.arange(keys.shape[1])
@@ -195,8 +200,9 @@ def link_similar(
 
     live: rows of shared_rows: which sets are candidates for each other: those that share a key. sets_of(ids) gives
     (id, set, n, sketch), see described; it is asked for candidates only. elements gives a text's set for verification.
-    marks (id, marks) holds n_marks longs an id; first_met tells from those of two holders and the place of a key whether
-    the key is the first they share, so that a pair is met once.
+    marks: rows (id, key) of keys with places under n_marks, an id at most one for a place; first_met tells from those of two
+    holders (a column a place, null where there is none) and the place of a key that they share whether it is the first
+    they share, so that a pair is met once.
 
     Exact among candidates; no pair is skipped by a cap. The leader of a key is the set with the most company in all its
     keys, mostly the original of a family of copies. Pairs that are compared after that become rows only if the sketches
@@ -220,19 +226,25 @@ def link_similar(
     sized = sized.agg(F.sum("m").alias("m"), F.count("*").alias("kinds"), F.max_by("c", F.struct("m", "c")).alias("greatest")).where("kinds > 1 and m > 2")
     open_keys = old.write(sized.select("key", "greatest", F.ceil(F.col("m") / HOLDERS_A_TASK).cast("int").alias("tasks")), "open-keys")
     still = old.write(held().join(open_keys(), "key"), "open-rows")
-    marked = marks.join(still().select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    # Plain columns: the join compares them without unpacking arrays.
-    words = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)] + [F.col("marks")[i].alias(f"m{i}") for i in range(n_marks)]
-    full = sets().select("id", "n", "sketch").join(marked, "id").select("id", "n", *words)
-    still = old.write(still().join(full, "id"), "open-holders")
-    # Holders outside the greatest component look for others; those of two such components for each other once.
-    asking = still().where("c != greatest").withColumn("task", F.pmod(F.hash("id"), "tasks")).drop("tasks")
-    asked = still().select("key", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), *[F.col(c).alias(f"y_{c}") for c in ("id", "c", "n", *[w for w in still().columns if w[0] in "sm"])])
-    own, other = ([[F.col(f"{side}{kind}{i}") for i in range(n)] for kind, n in (("s", SKETCH), ("m", n_marks))] for side in ("", "y_"))
-    foreign = ((F.col("y_c") == F.col("greatest")) | (F.col("c") < F.col("y_c"))) & (F.col("c") != F.col("y_c"))
+    # Plain columns: the join compares them without unpacking arrays or structs.
+    words = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
+    asked_for = old.write(still().select("id").distinct(), "open-ids")
     place = F.col("key").bitwiseAND(F.lit(PLACES - 1))
+    marked = marks.join(asked_for(), "id", "left_semi").groupBy("id").agg(*[F.max(F.when(place == i, F.col("key"))).alias(f"m{i}") for i in range(n_marks)])
+    full = sets().join(asked_for(), "id", "left_semi").select("id", "n", *words).join(marked, "id")
+    kind = held().schema["c"].dataType
+    label = [F.col(f"c.{f}").alias(f"c{i}") for i, f in enumerate(kind.names)] if isinstance(kind, T.StructType) else [F.col("c").alias("c0")]
+    still = old.write(still().select("key", "id", (F.col("c") == F.col("greatest")).alias("top"), "tasks", *label).join(full, "id"), "open-holders")
+    # Holders outside the greatest component look for others; those of two such components for each other once.
+    asking = still().where("not top").withColumn("task", F.pmod(F.hash("id"), "tasks")).drop("tasks", "top")
+    told = [c for c in still().columns if c not in ("key", "tasks")]
+    asked = still().select("key", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), *[F.col(c).alias(f"y_{c}") for c in told])
+    own, other = ([[F.col(f"{side}{kind}{i}") for i in range(n)] for kind, n in (("s", SKETCH), ("m", n_marks), ("c", len(label)))] for side in ("", "y_"))
+    before = F.lit(False)
+    for x, y in reversed(list(zip(own[2], other[2], strict=True))):
+        before = (x < y) | (x == y) & before
     able = _fits(F.col("n"), F.col("y_n"), percent) & first_met(own[1], other[1], place) & _close(F.col("n"), F.col("y_n"), own[0], other[0], percent)
-    near = asking.join(asked, ["key", "task"]).where(foreign & able).select(F.col("id").alias("a"), F.col("y_id").alias("b"))
+    near = asking.join(asked, ["key", "task"]).where((F.col("y_top") | before) & able).select(F.col("id").alias("a"), F.col("y_id").alias("b"))
     more = old.write(_checked(near, sets, percent, elements), "more-links")
     if not more().isEmpty():
         # Links between components, of which each has one label.

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .common import Scratch, row_key, unused, write
-from .linking import PLACES, described, link_similar, placed_keys, shared_rows
+from .linking import PLACES, described, link_similar, placed_keys, same_before, shared_rows
 from .pretokens import text_runs
 
 #: Half keys a side, and minwise hashes a half key: a pair of similarity 0.75 shares no key with a chance of 1 in 10,000.
@@ -60,10 +60,12 @@ def _signatures(parts):
             at += len(some)
 
 
-def _shared_tables(items: Callable[[], DataFrame], old: Scratch) -> DataFrame:
+def _shared_halves(items: Callable[[], DataFrame]) -> DataFrame:
+    return shared_rows(items().select("id", F.explode("halves").alias("key")), items().count() * 2 * HALVES)
+
+
+def _shared_tables(held: Callable[[], DataFrame], old: Scratch) -> DataFrame:
     """Rows of shared_rows for the table keys: pairs of a left and a right half, each held by other documents too."""
-    half = items().select("id", F.explode("halves").alias("key"))
-    held = old.write(shared_rows(half, items().count() * 2 * HALVES), "shared-halves")
     place = F.col("key").bitwiseAND(F.lit(PLACES - 1))
     left, right = (F.collect_list(F.when(side, F.col("key"))) for side in (place < HALVES, place >= HALVES))
     sides = old.write(held().groupBy("id").agg(left.alias("l"), right.alias("r")), "half-sides")
@@ -77,8 +79,7 @@ def _shared_tables(items: Callable[[], DataFrame], old: Scratch) -> DataFrame:
 def _first_met(x: Column, y: Column, place: Column) -> Column:
     """Whether no earlier table, by its left and by its right half, is shared by two documents."""
     left, right = F.floor(place / HALVES), place % HALVES
-    earlier = [(left > i) & (x[i] == y[i]) for i in range(HALVES - 1)] + [(right > i) & (x[HALVES + i] == y[HALVES + i]) for i in range(HALVES - 1)]
-    return ~reduce(or_, earlier)
+    return ~reduce(or_, same_before(x[:HALVES], y[:HALVES], left) + same_before(x[HALVES:], y[HALVES:], right))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,13 +100,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     classes = old.write(marks().where("n > 0").groupBy("d1", "d2").agg(F.min("row_key").alias("id")), "classes")
     items = marks().join(classes().select("id"), F.col("row_key") == F.col("id"), "left_semi").dropDuplicates(["row_key"])
     items = old.write(items.select(F.col("row_key").alias("id"), "halves"), "class-halves")
-    live = old.write(_shared_tables(items, old), "shared-tables")
+    halves = old.write(_shared_halves(items), "shared-halves")
+    live = old.write(_shared_tables(halves, old), "shared-tables")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = named.select(F.col("row_key").alias("id"), F.col("text").alias("set")).join(ids, "id", "left_semi").dropDuplicates(["id"])
         return described(wanted, lambda texts: hashing.word_shingles(texts, SHINGLE))
 
-    linked = link_similar(live, sets_of, items().withColumnRenamed("halves", "marks"), 2 * HALVES, _first_met, shingle_set, percent, old)
+    linked = link_similar(live, sets_of, halves().select("id", "key"), 2 * HALVES, _first_met, shingle_set, percent, old)
     owners = named.select("doc_id", "row_key")
     placed = owners.join(marks().select("row_key", "n", "d1", "d2").distinct(), "row_key").join(classes(), ["d1", "d2"], "left").join(linked, "id", "left")
     placed = placed.select("doc_id", F.col("n").alias("n_shingles"), "row_key", F.coalesce("component", "id", "row_key").alias("root"))
