@@ -17,15 +17,25 @@ def ratio_fill(df: DataFrame, value: str, guide: str, x: str, y: str, cell: str
 
     ratio: the guide times the inverse-distance mean (power 2, distances from 1 km) of value/guide, clipped to [0, 5],
     over the valid wet cells of the day within radius km, or the least nearest ones if there are fewer; a day with
-    fewer than least such cells stays missing. Cells meet within a day only.
+    fewer than least such cells stays missing. Cells meet within a day only, by squares of side radius.
     """
     v, g = F.col(value), F.col(guide)
     src = df.where(v.isNotNull() & (g > dry)).select(F.col(day).alias("_d"), F.col(cell).alias("_c"), F.col(x).alias("_x"), F.col(y).alias("_y"), clip(v / g, 0.0, 5.0).alias("_r"))
     todo = df.where(v.isNull() & (g > dry)).select(day, cell, x, y, guide)
-    pairs = todo.join(src, F.col(day) == F.col("_d")).withColumn("_km", planar_km(F.col(x) - F.col("_x"), F.col(y) - F.col("_y"), x_km, y_km))
+    km = planar_km(F.col(x) - F.col("_x"), F.col(y) - F.col("_y"), x_km, y_km)
+    # Squares of side radius: what is near stands in the nine around a cell.
+    square = lambda c, scale: F.floor(c * scale / radius)
+    step = F.sequence(F.lit(-1), F.lit(1))
+    asked = todo.withColumn("_a", F.explode(step)).withColumn("_b", F.explode(step))
+    asked = asked.withColumn("_sx", square(F.col(x), x_km) + F.col("_a")).withColumn("_sy", square(F.col(y), y_km) + F.col("_b")).drop("_a", "_b")
+    held = src.withColumn("_sx", square(F.col("_x"), x_km)).withColumn("_sy", square(F.col("_y"), y_km)).withColumnRenamed("_d", day)
+    near = asked.join(held, [day, "_sx", "_sy"]).withColumn("_km", km).where(F.col("_km") <= radius)
+    near = near.withColumn("_n", F.count("*").over(Window.partitionBy(day, cell))).where(F.col("_n") >= least).select(day, cell, "_r", "_km")
+    # The few cells with too few near ones look through the whole day.
+    lonely = todo.join(near.select(day, cell).distinct(), [day, cell], "left_anti").join(src.withColumnRenamed("_d", day), day).withColumn("_km", km)
     w = Window.partitionBy(day, cell)
-    pairs = pairs.withColumn("_near", F.count_if(F.col("_km") <= radius).over(w)).withColumn("_rank", F.row_number().over(w.orderBy("_km", "_c"))).withColumn("_all", F.count("*").over(w))
-    used = pairs.where((F.col("_all") >= least) & F.when(F.col("_near") >= least, F.col("_km") <= radius).otherwise(F.col("_rank") <= least))
+    lonely = lonely.withColumn("_rank", F.row_number().over(w.orderBy("_km", "_c"))).withColumn("_all", F.count("*").over(w))
+    used = near.unionByName(lonely.where((F.col("_all") >= least) & (F.col("_rank") <= least)).select(day, cell, "_r", "_km"))
     weight = 1 / F.pow(F.greatest("_km", F.lit(1.0)), F.lit(2.0))
     ratios = used.groupBy(day, cell).agg((F.sum(weight * F.col("_r")) / F.sum(weight)).alias("_ratio"))
     out = df.join(ratios, [day, cell], "left")

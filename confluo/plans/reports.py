@@ -109,7 +109,7 @@ SELECT station, pa, pb FROM k WHERE k = 1
 def nearest_cell(spark, sf_dir):
     points, _ = _lattice(spark)
     d2 = F.round((F.col("px") - F.col("lon")) * (F.col("px") - F.col("lon")) + (F.col("py") - F.col("lat")) * (F.col("py") - F.col("lat")), 9)
-    met = a.stations(spark).join(points.where("code = 'P1'"), F.lit(True))
+    met = points.where("code = 'P1'").join(F.broadcast(a.stations(spark)), F.lit(True))  # stations are a dimension
     return met.groupBy("station").agg(F.min(F.struct(d2, "pa", "pb")).alias("b")).select("station", "b.pa", "b.pb")
 
 
