@@ -54,6 +54,12 @@ def _close(n: Column, m: Column, x: list[Column], y: list[Column], percent: int)
     return ((100 + percent) * few <= most) & ((100 + percent) * reduce(add, bits) <= most)
 
 
+def _without_nulls(df: DataFrame) -> DataFrame:
+    """Sketch words, sizes and labels, which are never null, as columns that can't be."""
+    sure = {f"{side}{c}" for side in ("", "y_") for c in ("n", *(f"{k}{i}" for k in "sc" for i in range(SKETCH)))}
+    return df.select(*[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) if c in sure else F.col(c) for c in df.columns])
+
+
 def same_before(x: list[Column], y: list[Column], place: Column) -> list[Column]:
     """For each mark but the last whether it stands before place and two holders share it."""
     return [F.coalesce((place > i) & (a == b), F.lit(False)) for i, (a, b) in enumerate(zip(x[:-1], y[:-1], strict=True))]
@@ -239,6 +245,8 @@ def link_similar(
     asking = still().where("not top").withColumn("task", F.pmod(F.hash("id"), "tasks")).drop("tasks", "top")
     told = [c for c in still().columns if c not in ("key", "tasks")]
     asked = still().select("key", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), *[F.col(c).alias(f"y_{c}") for c in told])
+    # Columns that can't be null keep the join's code short enough to be compiled.
+    asking, asked = _without_nulls(asking), _without_nulls(asked)
     own, other = ([[F.col(f"{side}{kind}{i}") for i in range(n)] for kind, n in (("s", SKETCH), ("m", n_marks), ("c", len(label)))] for side in ("", "y_"))
     before = F.lit(False)
     for x, y in reversed(list(zip(own[2], other[2], strict=True))):
