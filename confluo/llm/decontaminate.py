@@ -23,8 +23,6 @@ from .pretokens import text_runs
 WINDOW, SUBSTITUTIONS = 16, 3
 #: An item of fewer words is no evidence inside a text: only a document of these words and no others holds it.
 LEAST_WORDS = 5
-#: Hits that are verified together.
-HITS_A_ROW = 256
 ID = "struct<a: long, b: long>"
 #: Bits of the filter that drops document hashes no test item has: its size is fixed, whatever the benchmark's.
 FILTER_BITS = 26
@@ -105,7 +103,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     are ignored, whatever their names; empty tables give empty or clean results. Texts of any length are taken whole.
 
     One pass hashes whole documents and keeps what a filter of fixed size lets through; only these hashes are shuffled,
-    and only the texts that have hits are moved. A document's hits are verified in rows of bounded size.
+    and only the texts that have hits are moved, once for each item that may stand in them: a row is one text, one item
+    and the places to look at.
     """
     old = Scratch(docs.sparkSession)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -153,26 +152,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     seeds = named.select("doc_key", "text").mapInArrow(doc_seeds, f"window int, mask int, seed long, doc_key {ID}, place long")
     hits = seeds.join(tests(), ["window", "mask", "seed"]).select("doc_key", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
     hits = old.write(hits, "bench-hits")
-    many = hits().groupBy("doc_key").agg(F.ceil(F.count("*") / HITS_A_ROW).cast("int").alias("rows"))
-    many = old.write(many, "bench-hit-documents")
-    held = hits().join(many(), "doc_key").join(items().select("item", "item_id", F.col("text").alias("item_text")), "item")
-    held = held.groupBy("doc_key", F.pmod(F.hash("item", "shift"), "rows").alias("row")).agg(F.collect_list(F.struct("item_id", "item_text", "shift")).alias("hits"))
-    hit_texts = named.join(many().select("doc_key"), "doc_key", "left_semi").dropDuplicates(["doc_key"])
-    held = hit_texts.join(held, "doc_key").select("doc_key", "text", "hits")
+    held = old.write(hits().groupBy("doc_key", "item").agg(F.collect_list("shift").alias("shifts")), "bench-held")
+    hit_texts = named.join(held().select("doc_key").distinct(), "doc_key", "left_semi").dropDuplicates(["doc_key"])
+    held = hit_texts.join(held(), "doc_key").join(items().select("item", "item_id", F.col("text").alias("item_text")), "item").select("doc_key", "text", "item_id", "item_text", "shifts")
 
     def verify(parts):
         for part in parts:
             for i in range(len(part)):
                 names: dict[bytes, int] = {}
                 words = np.array([names.setdefault(w, len(names)) for w in hashing.word_texts(part.column(1)[i].as_py())], np.int64)
-                spans = set()
-                for x in part.column(2)[i].as_py():
-                    item = _named(hashing.word_texts(x["item_text"]), names)
-                    if len(item) >= LEAST_WORDS or len(item) == len(words):
-                        spans |= {(x["item_id"], *s) for s in _spans(item, words, x["shift"])}
+                item, spans = _named(hashing.word_texts(part.column(3)[i].as_py()), names), set()
+                if len(item) >= LEAST_WORDS or len(item) == len(words):
+                    for shift in part.column(4)[i].as_py():
+                        spans.update(_spans(item, words, shift))
                 if spans:
                     columns = [pa.array(c, pa.int64()) for c in zip(*sorted(spans), strict=True)]
-                    yield pa.record_batch([part.column(0).take(pa.array(np.full(len(spans), i))), *columns], names=["doc_key", "item_id", "start", "end", "equal"])
+                    at = pa.array(np.full(len(spans), i))
+                    yield pa.record_batch([part.column(0).take(at), part.column(2).take(at), *columns], names=["doc_key", "item_id", "start", "end", "equal"])
 
     span = F.struct("item_id", "start", "end", "equal")
     found = held.mapInArrow(verify, f"doc_key {ID}, item_id long, start long, end long, equal long").groupBy("doc_key").agg(F.sort_array(F.collect_set(span)).alias("spans"))
