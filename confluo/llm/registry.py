@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, line_dedup, near_dedup, quality, sharding, token_files, topk_search, warc_revisits
+from . import bpe, decontaminate, html_text, line_dedup, near_dedup, periodic_runs, piece_bpe, quality, sharding, spelling, token_files, topk_search, warc_revisits
 
 QUERIES = {
     "op1_byte_bpe": bpe.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_elias_fano_token_files": token_files.query,
     "op9_sampled_splitter_sharding": sharding.query,
     "op10_warc_revisit_resolution": warc_revisits.query,
+    "op11_periodic_runs": periodic_runs.query,
+    "op12_sentencepiece_bpe": piece_bpe.query,
+    "op13_spelling_variants": spelling.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
