@@ -6,8 +6,11 @@ once, so a lag is compared in all documents long enough for it at once. The lags
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from fractions import Fraction
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ RUNS = "array<struct<start: long, length: long, period: long>>"
 KEY = "struct<a: long, b: long>"
 
 
-def split_words(text: str | None) -> list[bytes]:
+def split_words(text: str | None, doc_id: int | None = None) -> list[bytes]:
     """The words of a text: runs without ASCII white space."""
     return (text or "").encode().split()
 
@@ -102,10 +105,10 @@ def find_runs(texts: list[list[bytes]], low: int, high: int | None, min_exp: int
     """The runs (rows of start, length, period, in that order) of each of these word lists at lags from low to high."""
     sizes = np.array([len(w) for w in texts], np.int64)
     order = np.argsort(-sizes, kind="stable")
-    kinds: dict[bytes, int] = {}
+    kinds: defaultdict[bytes, int] = defaultdict(count().__next__)
     parts = []
     for i in order.tolist():
-        parts += [np.array([kinds.setdefault(w, len(kinds)) for w in texts[i]], np.int32), np.array([-1 - i], np.int32)]
+        parts += [np.fromiter(map(kinds.__getitem__, texts[i]), np.int32, len(texts[i])), np.array([-1 - i], np.int32)]
     ids, sizes = np.concatenate([np.zeros(0, np.int32), *parts]), sizes[order]
     most = int(sizes[0]) // min_exp + 1 if len(sizes) else 1
     rows = scan(sizes, ids, low, min(most, high or most), min_exp, min_length)
@@ -154,13 +157,20 @@ def _described(ids: pa.Array, words: list[list[bytes]], runs: list[np.ndarray])
 
 
 def periodic_runs(
-    docs: DataFrame, min_exp: int = 4, min_length: int = 6, id_col: str = "doc_id", text_col: str = "text", lags_a_task: int = LAGS_A_TASK
+    docs: DataFrame,
+    min_exp: int = 4,
+    min_length: int = 6,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words_of: Callable[[str | None, int | None], list[bytes]] = split_words,
+    lags_a_task: int = LAGS_A_TASK,
 ) -> DataFrame:
     """The periodic runs of every whole text: doc_id, n_words, runs (array of start, length, period, by start, then period),
     strongest (the run of greatest length / period, of equals the first; null without runs) and collapsed (the words one
     space apart, of each run only the first period).
 
-    Words are runs without ASCII white space, numbered from 0. A run is a stretch of words with smallest period q and of
+    words_of gives a document's words from text and id, at most one for two bytes; by default runs without ASCII white
+    space. They are numbered from 0. A run is a stretch of words with smallest period q and of
     at least max(min_length, min_exp * q) words that no neighbour extends with that period; min_exp is 2 or more. Words
     are compared by ids that a task gives them, not by hashes.
 
@@ -178,14 +188,14 @@ def periodic_runs(
     def whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for ids, texts in text_runs(part.column(0), part.column(1)):
-                words = [split_words(t) for t in texts]
+                words = [words_of(t, i) for t, i in zip(texts, ids, strict=True)]
                 yield _described(pa.array(ids, pa.int64()), words, find_runs(words, 1, None, min_exp, min_length))
 
     def some_lags(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i in range(len(part)):
                 n = part.column(2)[i].as_py()
-                runs = find_runs([split_words(part.column(1)[i].as_py())], max(1, n * lags_a_task), (n + 1) * lags_a_task, min_exp, min_length)[0]
+                runs = find_runs([words_of(part.column(1)[i].as_py(), part.column(3)[i].as_py())], max(1, n * lags_a_task), (n + 1) * lags_a_task, min_exp, min_length)[0]
                 keys = part.column(0).take(pa.array(np.full(len(runs), i)))
                 yield pa.record_batch([keys, *(pa.array(runs[:, k]) for k in range(3))], names=["row_key", "start", "length", "period"])
 
@@ -194,29 +204,28 @@ def periodic_runs(
             for i in range(len(part)):
                 found = part.column(2)[i].as_py() or []
                 runs = np.array([(r["start"], r["length"], r["period"]) for r in found], np.int64).reshape(-1, 3)
-                yield _described(part.column(0).slice(i, 1), [split_words(part.column(1)[i].as_py())], [runs])
+                yield _described(part.column(0).slice(i, 1), [words_of(part.column(1)[i].as_py(), part.column(0)[i].as_py())], [runs])
 
     short = rows.where(F.coalesce(tasks, F.lit(0)) <= 1).mapInArrow(whole, kind)
     long = rows.where(tasks > 1).withColumn("row_key", row_key("doc_id", "text"))
-    dealt = long.dropDuplicates(["row_key"]).select("row_key", "text", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("part"))
+    dealt = long.dropDuplicates(["row_key"]).select("row_key", "text", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("part"), "doc_id")
     dealt = dealt.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row_key", "part")
     found = dealt.mapInArrow(some_lags, f"row_key {KEY}, start long, length long, period long")
     found = found.groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("start", "length", "period"))).alias("runs"))
     return short.union(long.join(found, "row_key", "left").select("doc_id", "text", "runs").mapInArrow(collapsed, kind))
 
 
-def with_planted_runs(docs: DataFrame) -> DataFrame:
-    """doc_id and text, with a run planted in every tenth document, by the checksum h of its decimal id: from the word
+def planted_words(text: str | None, doc_id: int | None) -> list[bytes]:
+    """The words of a text, with a run planted in every tenth document, by the checksum h of its decimal id: from the word
     a = g % n on (g = h / 10, n words), words repeat with period 1 + (n - a) / (3 + g % 8), divisions rounded down."""
-    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    words = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"))
-    n, g = F.size("w"), F.floor(F.col("h") / 10)
-    a = (g % n).cast("int")
-    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    placed = words.select("doc_id", "text", "w", F.when(n > 0, n).alias("n"), F.when(n > 0, a).alias("a"), F.when(n > 0, p).alias("p"))
-    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
-    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(again, F.lit(1), F.col("n") - F.col("a"))), " ")
-    return placed.select("doc_id", F.when(F.col("n").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+    words = split_words(text)
+    h = zlib.crc32(str(doc_id).encode())
+    if not words or doc_id is None or h % 10:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a]
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -224,7 +233,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     best = lambda c: F.col(f"strongest.{c}")
     lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
-    return periodic_runs(with_planted_runs(read(spark, sf_dir, "documents"))).select(
+    return periodic_runs(read(spark, sf_dir, "documents"), words_of=planted_words).select(
         "doc_id",
         F.size("runs").cast("long").alias("n_runs"),
         *[best(c).alias(c) for c in ("start", "length", "period")],
