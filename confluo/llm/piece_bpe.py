@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -25,7 +26,7 @@ MARK = "▁"
 #: Longer segments are encoded without the cache.
 CACHED = 64
 #: Segments in each of the cache's two generations, and pairs whose test is remembered.
-SEGMENTS, PAIRS = 200_000, 1 << 21
+SEGMENTS, PAIRS = 400_000, 1 << 21
 
 
 def _one_each(e: UnicodeDecodeError) -> tuple[str, int]:
@@ -82,8 +83,8 @@ class PieceModel:
         self.raw_at = np.cumsum(self.raw_size) - self.raw_size
         #: Pieces whose mark the dummy prefix may have put there.
         self.spaced = self.normal & np.array([t.startswith(MARK) for t in self.texts])
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _merged(self, text: str, cut: int = 0) -> list[str] | None:
         """The pieces that the merges make of a short text; none if a merge spans the place cut."""
@@ -137,29 +138,29 @@ class PieceModel:
         ids.reverse()
         return ids
 
-    def _segment(self, text: str) -> np.ndarray:
-        """The ids of a segment; characters that are no pieces are bytes and part it."""
+    def _segment(self, text: str) -> bytes:
+        """The ids (little-endian int32) of a segment; characters that are no pieces are bytes and part it."""
+        if not self.unknown.search(text):
+            return array("i", self._known_ids(text)).tobytes()
         ids: list[int] = []
         at = 0
         for m in self.unknown.finditer(text):
             ids += self._known_ids(text[at : m.start()])
             ids += [self.byte_id[b] for b in m.group().encode()]
             at = m.end()
-        return np.array(ids + self._known_ids(text[at:]), np.int32)
+        return array("i", ids + self._known_ids(text[at:])).tobytes()
 
-    def _cached(self, segments: list[str]) -> list[np.ndarray]:
+    def _cached(self, segments: list[str]) -> list[bytes]:
         if len(self.young) > SEGMENTS:
             self.young, self.old = {}, self.young
-        out = []
-        for s in segments:
-            ids = self.young.get(s)
+        young, old = self.young, self.old
+        out = list(map(young.get, segments))
+        for i, ids in enumerate(out):
             if ids is None:
-                ids = self.old.get(s)
-                if ids is None:
-                    ids = self._segment(s)
+                s = segments[i]
+                out[i] = ids = old.get(s) or self._segment(s)
                 if len(s) <= CACHED:
-                    self.young[s] = ids
-            out.append(ids)
+                    young[s] = ids
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,8 +179,8 @@ class PieceModel:
         cuts = np.append(first, len(whole))
         at, place = distinct(whole, cuts)
         ids = self._cached([whole[a:b] for a, b in zip(cuts[at].tolist(), cuts[at + 1].tolist(), strict=True)])
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat, ends = gather(np.concatenate(ids), (np.cumsum(sizes) - sizes)[place], sizes[place])
+        sizes = np.array(list(map(len, ids)), np.int64) // 4
+        flat, ends = gather(np.frombuffer(b"".join(ids), np.int32), (np.cumsum(sizes) - sizes)[place], sizes[place])
         return flat, ends[np.searchsorted(first, bounds)]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
