@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import network
+from ..sources.scratch import Scratch, stored
+
 RINGS = "array<struct<is_hole: boolean, pts: array<struct<x: double, y: double>>>>"
 
 
@@ -20,23 +24,37 @@ def edges(polygons: DataFrame, key: str = "code", rings: str = "rings") -> DataF
     return side.select(key, "ring", "is_hole", a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
 
 
-def in_polygon(points: DataFrame, sides: DataFrame, point: str, px: str = "lon", py: str = "lat", key: str = "code", band: float = 0.05) -> DataFrame:
-    """(point, key) of every point inside a polygon: in a shell and in no hole, by counting the crossings of a ray.
+def in_polygon(points: DataFrame, sides: DataFrame, point: str, px: str = "lon", py: str = "lat", key: str = "code", band: float = 0.05, own: bool = False) -> DataFrame:
+    """(point, key) of every point inside a polygon: in a shell and in no hole, by counting the crossings of a ray. Points
+    without coordinates are in none. With own, points name the polygon they are asked about in the column key.
 
-    Points and sides meet by bands of y, so the join is by equality: a side stands in each band that it crosses.
+    Points meet polygons by the squares of side band that the polygons' boxes touch, and then a polygon's sides by bands of
+    y: both joins are by equality, and a side stands in each band that it crosses.
     """
     y, x = F.col(py), F.col(px)
     step = F.lit(band)
+    if own:
+        asked = points.select(point, key, px, py)
+    else:
+        span = lambda c: F.sequence(F.floor(F.col(f"_{c}0") / step), F.floor(F.col(f"_{c}1") / step))
+        box = _boxes(sides, key).withColumn("_sx", F.explode(span("x"))).withColumn("_sy", F.explode(span("y")))
+        asked = points.select(point, px, py, F.floor(x / step).alias("_sx"), F.floor(y / step).alias("_sy")).join(box, ["_sx", "_sy"])
+        asked = asked.where((x >= F.col("_x0")) & (x <= F.col("_x1")) & (y >= F.col("_y0")) & (y <= F.col("_y1"))).select(point, key, px, py)
     low, high = F.floor(F.least("y1", "y2") / step), F.floor(F.greatest("y1", "y2") / step)
     banded = sides.where("y1 != y2").withColumn("_band", F.explode(F.sequence(low, high)))
     straddles = (F.col("y1") > y) != (F.col("y2") > y)
     at = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    met = points.withColumn("_band", F.floor(y / step)).join(banded, "_band").where(straddles).where(x < at)
+    met = asked.withColumn("_band", F.floor(y / step)).join(banded, [key, "_band"]).where(straddles).where(x < at)
     odd = met.groupBy(point, key, "ring", "is_hole").agg((F.count("*") % 2).alias("_odd"))
     inside = odd.groupBy(point, key).agg(F.max(F.when(~F.col("is_hole"), F.col("_odd"))).alias("_s"), F.max(F.when(F.col("is_hole"), F.col("_odd"))).alias("_h"))
     return inside.where((F.col("_s") == 1) & (F.coalesce("_h", F.lit(0)) == 0)).select(point, key)
 
 
+def _boxes(sides: DataFrame, key: str) -> DataFrame:
+    ends = {"_x0": F.min(F.least("x1", "x2")), "_x1": F.max(F.greatest("x1", "x2")), "_y0": F.min(F.least("y1", "y2")), "_y1": F.max(F.greatest("y1", "y2"))}
+    return sides.groupBy(key).agg(*[e.alias(c) for c, e in ends.items()])
+
+
 def near_polygon(points: DataFrame, sides: DataFrame, point: str, px: str = "lon", py: str = "lat", key: str = "code", buffer: float = 0.05) -> DataFrame:
     """(point, key) of every point inside a polygon or within buffer of one of its sides: the mask of a buffered polygon.
 
@@ -54,44 +72,100 @@ def near_polygon(points: DataFrame, sides: DataFrame, point: str, px: str = "lon
     return close.union(in_polygon(points, sides, point, px, py, key)).distinct()
 
 
-#: Stations that are broadcast whole; more are met by squares of a grid.
-MANY_STATIONS = 20_000
+#: Sites that a square of the first grid holds at most, for each neighbour asked for; how often squares are halved to get
+#: there, or doubled after it with their greatest number of sites known; and sites that a point meets at once.
+CROWDED, HALVINGS, DOUBLINGS, AT_ONCE = 32, 24, 9, 1024
 
 
-def nearest(points: DataFrame, stations: DataFrame, point: Sequence[str], px: str, py: str, station: str, sx: str, sy: str) -> DataFrame:
-    """The nearest station of every point by squared distance in the coordinates given, ties to the smaller station.
+def _known(*columns: str) -> F.Column:
+    """Whether coordinates are neither null nor NaN nor infinite."""
+    return reduce(and_, [F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf")) for c in columns])
+
 
-    Few stations are broadcast, and each point keeps one in a partial aggregate. Many are dealt to squares of a grid: a
-    point looks into the nine squares around it and is done if its best lies within a square's side; the rest look again
-    with squares of twice the side.
+def k_nearest(
+    points: DataFrame, stations: DataFrame, point: Sequence[str], px: str, py: str, station: str, sx: str, sy: str, k: int = 1, weights: tuple[str, str] | None = None
+) -> DataFrame:
+    """The k nearest stations of every point (all, if fewer): the point's columns, rank (from 1), station, distance.
+
+    Distances are Euclidean in the coordinates given, of equals the smaller station first; weights names two columns of
+    points, positive factors of the differences in x and y. Points are told apart by their columns, which may be null.
+    Points without finite coordinates have no rows; stations without take no part.
+
+    A grid's squares hold few stations; a point meets those of the nine squares around it, as arrays of bounded size. It is
+    done once its k-th best is nearer than a square's side, which nothing beyond the nine can be; the others look again in
+    squares of eight times the side. All joins are by equality; each round's points are a written table, so no plan grows.
     """
-    sites = stations.select(F.col(station).alias("_s"), F.col(sx).alias("_sx"), F.col(sy).alias("_sy"))
-    n, x0, x1, y0, y1 = sites.agg(F.count("*"), F.min("_sx"), F.max("_sx"), F.min("_sy"), F.max("_sy")).first()
-    d2 = (F.col(px) - F.col("_sx")) * (F.col(px) - F.col("_sx")) + (F.col(py) - F.col("_sy")) * (F.col(py) - F.col("_sy"))
-    best = F.min(F.struct(d2.alias("d2"), F.col("_s").alias("s"))).alias("_b")
-    out = lambda rows: rows.select(*point, F.col("_b.s").alias(station), F.sqrt("_b.d2").alias("distance"))
-    if n <= MANY_STATIONS:
-        return out(points.join(F.broadcast(sites), F.lit(True)).groupBy(*point).agg(best))
-    side, left, found = max(x1 - x0, y1 - y0, 1e-9) / n**0.5, points.select(*point, *{px: 0, py: 0}), []
-    far = points.agg(F.max(F.greatest(F.abs(F.col(px) - x0), F.abs(F.col(px) - x1), F.abs(F.col(py) - y0), F.abs(F.col(py) - y1)))).first()[0] or 0.0
-    while True:
-        square = lambda c: F.floor(F.col(c) / side)
-        around = F.sequence(F.lit(-1), F.lit(1))
-        asked = left.withColumn("_a", F.explode(around)).withColumn("_c", F.explode(around)).withColumn("_gx", square(px) + F.col("_a")).withColumn("_gy", square(py) + F.col("_c"))
-        held = sites.withColumn("_gx", square("_sx")).withColumn("_gy", square("_sy"))
-        got = asked.join(held, ["_gx", "_gy"]).groupBy(*point).agg(best).where(F.col("_b.d2") <= F.lit(side * side))
-        found.append(out(got))
-        if side > 2 * far:
-            return reduce(DataFrame.unionByName, found)
-        left, side = left.join(got.select(*point), list(point), "left_anti"), side * 2
+    spark = points.sparkSession
+    wx, wy = map(F.col, weights) if weights else (F.lit(1.0), F.lit(1.0))
+    told = [*point, "_px", "_py", "_wx", "_wy"]
+    asked = points.where(_known(px, py)).select(*point, F.col(px).cast("double").alias("_px"), F.col(py).cast("double").alias("_py"), wx.alias("_wx"), wy.alias("_wy")).distinct()
+    sites = stations.where(_known(sx, sy)).select(F.col(station).alias("_s"), F.col(sx).cast("double").alias("_sx"), F.col(sy).cast("double").alias("_sy"))
+    # Of stations in one place only the first k can count.
+    place = F.row_number().over(Window.partitionBy("_sx", "_sy").orderBy("_s"))
+    found = []
+    with Scratch(spark) as old:
+        sites = old.write(sites.withColumn("_k", place).where(F.col("_k") <= k).drop("_k"), "sites")
+        left = old.write(asked, "points")
+        n, x0, x1, y0, y1 = sites().agg(F.count("*"), F.min("_sx"), F.max("_sx"), F.min("_sy"), F.max("_sy")).first()
+        if n:
+            reach = F.greatest(F.abs(F.col("_px") - x0), F.abs(F.col("_px") - x1), F.abs(F.col("_py") - y0), F.abs(F.col("_py") - y1))
+            far = left().agg(F.max(reach)).first()[0] or 0.0
+            base = 1.5 * max(x1 - x0, y1 - y0, 1e-9) * min(1.0, (k / n) ** 0.5)
+            halved = sites().select("_sx", "_sy", F.explode(F.sequence(F.lit(-DOUBLINGS), F.lit(HALVINGS))).alias("_h")) if n > CROWDED * k else None
+            most = {}
+            if halved is not None:
+                square = [F.floor(F.col(c) / F.lit(base) * F.pow(F.lit(2.0), "_h")) for c in ("_sx", "_sy")]
+                most = dict(halved.groupBy("_h", *square).count().groupBy("_h").agg(F.max("count")).collect())
+            step = next((h for h in range(HALVINGS) if most.get(h, 0) <= CROWDED * k), HALVINGS)
+        while n and not left().isEmpty():
+            side = base / 2.0**step
+            chunks = -(-9 * min(n, most.get(step, n)) // AT_ONCE)
+            square = lambda c: F.floor(F.col(c) / F.lit(side))  # noqa: E731, B023
+            around = F.sequence(F.lit(-1), F.lit(1))
+            held = sites().withColumn("_a", F.explode(around)).withColumn("_c", F.explode(around))
+            held = held.groupBy((square("_sx") + F.col("_a")).alias("_gx"), (square("_sy") + F.col("_c")).alias("_gy"), F.pmod(F.hash("_s"), F.lit(chunks)).alias("_part"))
+            held = held.agg(F.array_sort(F.collect_list(F.struct("_s", "_sx", "_sy"))).alias("_sites"))
+            met = left().withColumn("_gx", square("_px")).withColumn("_gy", square("_py")).join(held, ["_gx", "_gy"], "left")
+
+            def d2(z):
+                dx, dy = (F.col("_px") - z["_sx"]) * F.col("_wx"), (F.col("_py") - z["_sy"]) * F.col("_wy")
+                return dx * dx + dy * dy
+
+            if k == 1:
+                # The smallest station of a square stands first.
+                met = met.withColumn("_d", F.transform("_sites", d2)).withColumn("_m", F.array_min("_d"))
+                best = F.array(F.struct(F.col("_m").alias("d2"), F.element_at("_sites", F.array_position("_d", F.col("_m")).cast("int"))["_s"].alias("s")))
+            else:
+                best = F.slice(F.array_sort(F.transform("_sites", lambda z: F.struct(d2(z).alias("d2"), z["_s"].alias("s")))), 1, k)
+            met = met.select(*told, F.when(F.col("_sites").isNotNull(), best).alias("_best"))
+            if chunks > 1:
+                met = met.groupBy(*told).agg(F.array_sort(F.flatten(F.collect_list("_best"))).alias("_best"))
+                met = met.withColumn("_best", F.when(F.size("_best") > 0, F.slice("_best", 1, k)))
+            bound = F.least("_wx", "_wy") * F.lit(side)
+            done = F.lit(True) if side >= far else F.coalesce((F.size("_best") == k) & (F.element_at("_best", -1)["d2"] <= bound * bound), F.lit(False))
+            path, seen = stored(met.withColumn("_done", done), "nearest")
+            found.append(path)
+            left = lambda seen=seen: seen().where("not _done").select(*told)
+            step -= 3
+    kind = stations.schema[station].dataType
+    if not found:
+        return asked.select(*point, F.lit(1).alias("rank"), F.lit(None).cast(kind).alias(station), F.lit(0.0).alias("distance")).limit(0)
+    rows = spark.read.parquet(*found).where("_done").select(*point, F.posexplode("_best").alias("_k", "_b"))
+    return rows.select(*point, (F.col("_k") + 1).alias("rank"), F.col("_b.s").cast(kind).alias(station), F.sqrt("_b.d2").alias("distance"))
+
+
+def nearest(points: DataFrame, stations: DataFrame, point: Sequence[str], px: str, py: str, station: str, sx: str, sy: str) -> DataFrame:
+    """The nearest station of every point by distance in the coordinates given, ties to the smaller station; see k_nearest.
+    A point without finite coordinates, and every point if there are no stations, has a null station and distance."""
+    met = k_nearest(points, stations, point, px, py, station, sx, sy).drop("rank")
+    same = reduce(and_, [F.col(f"_p.{c}").eqNullSafe(F.col(f"_m.{c}")) for c in point])
+    joined = points.select(*point).alias("_p").join(met.alias("_m"), same, "left")
+    return joined.select(*[F.col(f"_p.{c}").alias(c) for c in point], F.col(f"_m.{station}").alias(station), F.col("_m.distance").alias("distance"))
 
 
 def nearest_candidates(centres: DataFrame, stations: DataFrame, key: str, x: str, y: str, station: str, sx: str, sy: str, k: int = 80) -> DataFrame:
-    """The k stations nearest to each centre: (key, station). Centres are basins: a few thousand, broadcast."""
-    sites = stations.select(F.col(station).alias("_s"), F.col(sx).alias("_sx"), F.col(sy).alias("_sy"))
-    d2 = (F.col(x) - F.col("_sx")) * (F.col(x) - F.col("_sx")) + (F.col(y) - F.col("_sy")) * (F.col(y) - F.col("_sy"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(d2, "_s"))
-    return sites.join(F.broadcast(centres), F.lit(True)).withColumn("_k", rank).where(F.col("_k") <= k).select(key, F.col("_s").alias(station))
+    """The k stations nearest to each centre: (key, station)."""
+    return k_nearest(centres, stations, [key], x, y, station, sx, sy, k).select(key, station)
 
 
 def lattice(boxes: DataFrame, key: str, step: float) -> DataFrame:
@@ -126,7 +200,7 @@ def overlap_areas(polygons: DataFrame, cells: DataFrame, size: float, key: str =
     boxes, and then a polygon's sides by columns of cells.
     """
     sides = edges(polygons, key, rings)
-    box = sides.groupBy(key).agg(F.min(F.least("x1", "x2")).alias("_x0"), F.max(F.greatest("x1", "x2")).alias("_x1"), F.min(F.least("y1", "y2")).alias("_y0"), F.max(F.greatest("y1", "y2")).alias("_y1"))
+    box = _boxes(sides, key)
     half, step = size / 2, F.lit(float(size))
     column, row = F.floor(F.col("lon") / step), F.floor(F.col("lat") / step)
     span = lambda a, b: F.sequence(F.floor((a - half) / step), F.floor((b + half) / step))
@@ -152,12 +226,11 @@ def overlap_areas(polygons: DataFrame, cells: DataFrame, size: float, key: str =
 
 def coverage(basins: DataFrame, sides: DataFrame, stations: DataFrame, key: str = "code", alone_km: float = 15.0) -> DataFrame:
     """Gauges inside each basin by network, distance of the nearest to the basin's centre, and whether it is ungauged:
-    none inside and none within alone_km. basins has key, x, y (lon, lat)."""
-    held = in_polygon(stations, sides, "station").join(stations.select("station"), "station")
-    counts = held.groupBy(key).agg(F.count_if(F.col("station") < 300).alias("n_asos"), F.count_if(F.col("station") >= 300).alias("n_aws"))
-    dx = (F.col("lon") - F.col("x")) * 111.32 * F.cos(F.radians("y"))
-    dy = (F.col("lat") - F.col("y")) * 110.57
-    # Basins are a few thousand rows: each meets every station in one broadcast and keeps one distance.
-    near = stations.join(F.broadcast(basins), F.lit(True)).groupBy(key).agg(F.min(F.sqrt(dx * dx + dy * dy)).alias("nearest_km"))
-    out = basins.select(key).join(counts, key, "left").join(near, key).select(key, F.coalesce("n_asos", F.lit(0)).alias("n_asos"), F.coalesce("n_aws", F.lit(0)).alias("n_aws"), "nearest_km")
-    return out.withColumn("ungauged", (F.col("n_asos") + F.col("n_aws") == 0) & (F.col("nearest_km") >= alone_km))
+    none inside and none within alone_km. basins has key, x, y (lon, lat). Without stations the distance is null and every
+    basin ungauged."""
+    held = in_polygon(stations, sides, "station", key=key)
+    counts = held.groupBy(key).agg(*[F.count_if(network(F.col("station")) == n).alias(c) for n, c in (("ASOS", "n_asos"), ("AWS", "n_aws"))])
+    centres = basins.select(key, "x", "y", (F.cos(F.radians("y")) * 111.32).alias("_kx"), F.lit(110.57).alias("_ky"))
+    near = k_nearest(centres, stations, [key], "x", "y", "station", "lon", "lat", weights=("_kx", "_ky")).select(key, F.col("distance").alias("nearest_km"))
+    out = basins.select(key).join(counts, key, "left").join(near, key, "left").select(key, F.coalesce("n_asos", F.lit(0)).alias("n_asos"), F.coalesce("n_aws", F.lit(0)).alias("n_aws"), "nearest_km")
+    return out.withColumn("ungauged", (F.col("n_asos") + F.col("n_aws") == 0) & (F.coalesce("nearest_km", F.lit(float("inf"))) >= alone_km))

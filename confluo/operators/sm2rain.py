@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
+from . import geo
 from .time import difference
 
 # Starts and bounds of the published calibrations.
@@ -117,14 +118,14 @@ def calibrate(df: DataFrame, keys: Sequence[str], theta: str, target: str, model
 
 def transfer_parameters(need: DataFrame, calibrated: DataFrame, keys: Sequence[str] = ("i", "j"), params: Sequence[str] = ("a", "b", "z")) -> DataFrame:
     """Parameters for every pixel of need: its own (flag 1), else the nearest calibrated pixel's by index distance
-    (flag 2; ties to the smaller pixel), else none (flag 0). Pixels are a grid, a dimension of bounded size."""
+    (flag 2; ties to the smaller pixel), else none (flag 0)."""
     k = list(keys)
     own = need.join(calibrated, k).select(*k, *params, F.lit(1).alias("flag"))
     rest = need.select(*k).join(calibrated.select(*k), k, "left_anti")
-    other = calibrated.select(*[F.col(c).alias(f"_{c}") for c in k], *params)
-    d2 = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in k), F.lit(0))
-    near = rest.join(F.broadcast(other), F.lit(True), "left").groupBy(*k).agg(F.min(F.when(F.col(f"_{k[0]}").isNotNull(), F.struct(d2.alias("d2"), *[f"_{c}" for c in k], *params))).alias("p"))
-    found = near.select(*k, *[F.col("p")[c].alias(c) for c in params], F.when(F.col("p").isNotNull(), 2).otherwise(0).alias("flag"))
+    sites = calibrated.select(F.struct(*k).alias("_site"), *[F.col(c).cast("double").alias(f"_{c}") for c in k])
+    near = geo.nearest(rest, sites, k, *k, "_site", *[f"_{c}" for c in k])
+    given = calibrated.select(F.struct(*k).alias("_site"), *params)
+    found = near.join(given, "_site", "left").select(*k, *params, F.when(F.col("_site").isNotNull(), 2).otherwise(0).alias("flag"))
     return own.unionByName(found)
 
 

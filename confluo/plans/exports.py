@@ -9,7 +9,7 @@ from ..sources import adapters as a
 from ..sources import sinks
 from .evaluation import _KGE, _kge_sql
 from .fusion import _GRID, _GRID_SQL, _OWNER, MIN_N
-from .geography import _INSIDE, _WEIGHTS, _thiessen
+from .geography import _INSIDE, _WEIGHTS, CELLS_SQL, _thiessen, grid_cells, rain, rain_sql
 from .preprocess import THETA_SQL, rounded, theta
 from .registry import query
 
@@ -49,27 +49,26 @@ def ols_multi(spark, sf_dir):
     return _coefs(regress.ols_multi(a.obs_px(spark, sf_dir, 16), ["cell"], ["sm2rain", "era5", "gpm"], "aws", 8), ["cell"], 3)
 
 
-#: The gauge rain of the fixtures' stations by day, and Thiessen series of the fixtures' basins: basin k is the k-th polygon that has stations.
-_GAUGE = "rain AS (SELECT CASE user_id % 6 WHEN 0 THEN 90 WHEN 1 THEN 105 WHEN 2 THEN 300 WHEN 3 THEN 411 WHEN 4 THEN 512 ELSE 640 END AS station, CAST(ts AS DATE) AS day, avg(value) AS v FROM events WHERE event_type = 'signup' GROUP BY 1, 2)"
-_GAUGED = f"{_WEIGHTS}, {_GAUGE}, th AS (SELECT CAST(substr(code, 2) AS BIGINT) AS code, day, sum(w * v) / sum(w) AS target FROM rain JOIN tw USING (station) GROUP BY 1, 2)"
+#: Thiessen series of the basins that the pixels' owners name by number.
+_GAUGED = f"{_WEIGHTS}, {rain_sql('signup', 'avg')}, th AS (SELECT CAST(substr(code, 2) AS BIGINT) AS code, day, sum(w * v) / sum(w) AS target FROM rain JOIN tw USING (station) GROUP BY 1, 2)"
 _FIVE = ["sm2rain", "era5", "gpm", "tca", "asos"]
 _LR = f"""{a.obs_px_sql(16)}, {_OWNER}, {_GAUGED}, lr AS (SELECT obs.cell, sm2rain, era5, gpm, (sm2rain + era5) / 2 + aws / 4 AS tca, asos, target
   FROM obs JOIN own ON obs.i = own.i AND obs.j = own.j JOIN th ON th.code = own.code AND th.day = obs.day)"""
 
 
-def thiessen_series(spark, sf_dir):
-    """code (1 to 3), day, target: the basins' gauge series."""
-    ids = F.array(*[F.lit(s[0]) for s in a.STATIONS])
-    rows = a.table(spark, sf_dir, "events").where("event_type = 'signup'").groupBy(F.get(ids, (F.col("user_id") % 6).cast("int")).alias("station"), F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
-    out = basin.thiessen_mean(rows, _thiessen(spark), "station", "v")
-    return out.select(F.substring("code", 2, 9).cast("long").alias("code"), "day", F.col("v").alias("target"))
+def thiessen_series(spark, sf_dir, owners):
+    """code, day, target: the gauge series of the basins that owners name."""
+    number = F.substring("code", 2, 18).cast("long")
+    wanted = a.polygons(spark, sf_dir).join(owners.select(F.concat(F.lit("B"), "code").alias("code")).distinct(), "code", "left_semi")
+    out = basin.thiessen_mean(rain(spark, sf_dir, "signup", F.avg), _thiessen(spark, sf_dir, wanted), "station", "v")
+    return out.select(number.alias("code"), "day", F.col("v").alias("target"))
 
 
 @query(f"WITH {_LR}, {sweep_sql('lr', 'cell', _FIVE, 'target', 9)} SELECT cell, n_fit, {', '.join(f'round(b{i}, 3) + 0.0 AS b{i}' for i in (1, 2, 3, 4, 5, 0))} FROM fit")
 def lr_gauge_fit(spark, sf_dir):
     """Five predictors by pixel; the target is the Thiessen series of the basin that holds most of the pixel."""
     owner = regress.dominant_owner(a.bridge(spark), ["i", "j"])
-    rows = a.obs_px(spark, sf_dir, 16).withColumn("tca", (F.col("sm2rain") + F.col("era5")) / 2 + F.col("aws") / 4).join(owner, ["i", "j"]).join(thiessen_series(spark, sf_dir), ["code", "day"])
+    rows = a.obs_px(spark, sf_dir, 16).withColumn("tca", (F.col("sm2rain") + F.col("era5")) / 2 + F.col("aws") / 4).join(owner, ["i", "j"]).join(thiessen_series(spark, sf_dir, owner), ["code", "day"])
     return _coefs(regress.ols_multi(rows, ["cell"], _FIVE, "target", 9), ["cell"], 5)
 
 
@@ -108,21 +107,40 @@ def basin_product_summary(spark, sf_dir):
     return rounded(out.select("code", "product", "n", "kge", "r", "rmse", "bias"))
 
 
-#: Products that a reference network took part in: scores against it are circular.
-CIRCULAR = {"aws": ("sm2rain",), "asos": ("era5", "aws")}
-_CIRC = "circ(reference, product) AS (VALUES " + ", ".join(f"('{r}', '{p}')" for r, ps in CIRCULAR.items() for p in ps) + ")"
+# The products compared by default, and those that a reference network took part in.
+COMPARED = ("BC", "BC_G", "BC_LR", "TCA", "GPM", "ERA5", "SM2RAIN")
+CIRCULAR = {"AWS": ("BC", "BC_G", "BC_LR", "TCA"), "ASOS": ()}
+
+
+def compared(reference: str, drop=()) -> list[str]:
+    """The products that a reference is compared with: not itself; ASOS too beside AWS."""
+    names = [*COMPARED, "ASOS"] if reference == "AWS" else COMPARED
+    return [p for p in names if p != reference and p not in drop]
+
+
+def merged_series(spark, sf_dir):
+    """code, day, product, v by the products' published names: the corrected ones are mixtures of the basins' five series."""
+    wide = basin_series(spark, sf_dir).groupBy("code", "day").pivot("product", list(PRODUCTS)).agg(F.first("v"))
+    s, e, g, w = (F.col(c) for c in ("sm2rain", "era5", "gpm", "aws"))
+    made = {"BC": (s + w) / 2, "BC_G": (s + 3 * w) / 4, "BC_LR": (e + w) / 2, "TCA": (s + e + w) / 3, "GPM": g, "ERA5": e, "SM2RAIN": s, "AWS": w, "ASOS": F.col("asos")}
+    return wide.select("code", "day", *[v.alias(k) for k, v in made.items()]).unpivot(["code", "day"], list(made), "product", "v")
 
 
 @query(f"""
-WITH {_MEANS}, {_CIRC}, pairs AS (SELECT r.product AS reference, x.product, x.v AS s, r.v AS o FROM bd x JOIN bd r ON r.code = x.code AND r.day = x.day AND r.product IN ('aws', 'asos') AND r.product <> x.product WHERE x.v IS NOT NULL AND r.v IS NOT NULL),
-g AS (SELECT reference, product, {_kge_sql("s", "o")} FROM pairs GROUP BY 1, 2)
-SELECT g.reference, g.product, n, round({_KGE}, 4) AS kge, circ.product IS NOT NULL AS circular FROM g LEFT JOIN circ ON circ.reference = g.reference AND circ.product = g.product
+WITH {_MEANS}, w AS (SELECT code, day, max(v) FILTER (WHERE product = 'sm2rain') AS s, max(v) FILTER (WHERE product = 'era5') AS e, max(v) FILTER (WHERE product = 'gpm') AS g,
+  max(v) FILTER (WHERE product = 'aws') AS w, max(v) FILTER (WHERE product = 'asos') AS a FROM bd GROUP BY 1, 2),
+named AS (SELECT code, day, unnest(['BC', 'BC_G', 'BC_LR', 'TCA', 'GPM', 'ERA5', 'SM2RAIN', 'AWS', 'ASOS']) AS product, unnest([(s + w) / 2, (s + 3 * w) / 4, (e + w) / 2, (s + e + w) / 3, g, e, s, w, a]) AS v FROM w),
+pairs AS (SELECT r.product AS reference, x.product, x.v AS s, r.v AS o FROM named x JOIN named r ON r.code = x.code AND r.day = x.day WHERE x.v IS NOT NULL AND r.v IS NOT NULL
+  AND (r.product = 'AWS' AND x.product <> 'AWS' OR r.product = 'ASOS' AND x.product NOT IN ('ASOS', 'AWS'))),
+k AS (SELECT reference, product, {_kge_sql("s", "o")} FROM pairs GROUP BY 1, 2)
+SELECT reference, product, n, round({_KGE}, 4) AS kge, reference = 'AWS' AND product IN ('BC', 'BC_G', 'BC_LR', 'TCA') AS circular FROM k
 """)
 def reference_switch(spark, sf_dir):
     """Every product against each reference, the reference left out of the list; circular scores are marked."""
-    series, out = basin_series(spark, sf_dir), None
+    series, out = merged_series(spark, sf_dir), None
     for ref, trained in CIRCULAR.items():
-        scores = metrics.kge(_against(series, ref), ["product"], "v", "ref", 1).where("n > 0").select(F.lit(ref).alias("reference"), "product", "n", "kge", F.col("product").isin(*trained).alias("circular"))
+        chosen = series.where(F.col("product").isin(*compared(ref), ref))
+        scores = metrics.kge(_against(chosen, ref), ["product"], "v", "ref", 1).where("n > 0").select(F.lit(ref).alias("reference"), "product", "n", "kge", (F.col("product").isin(*trained) if trained else F.lit(False)).alias("circular"))
         out = scores if out is None else out.unionByName(scores)
     return rounded(out)
 
@@ -179,7 +197,7 @@ def cell_coordinates(spark, sf_dir):
 
 @query(f"WITH {_WEIGHTS} SELECT code, row_number() OVER (PARTITION BY code ORDER BY w DESC, station) AS place, station, CASE WHEN station < 300 THEN 'ASOS' ELSE 'AWS' END AS network, round(w, 6) AS w FROM tw")
 def thiessen_weights_export(spark, sf_dir):
-    return rounded(sinks.ordered_weights(_thiessen(spark)), 6)
+    return rounded(sinks.ordered_weights(_thiessen(spark, sf_dir)), 6)
 
 
 @query(f"""
@@ -249,21 +267,18 @@ ins AS (SELECT p, code FROM odd GROUP BY 1, 2 HAVING max(CASE WHEN NOT is_hole T
 SELECT p, code FROM close UNION SELECT p, code FROM ins
 """)
 def buffered_mask(spark, sf_dir):
-    return geo.near_polygon(_points(spark, sf_dir), geo.edges(a.polygons(spark)), "p", buffer=0.0507)
+    return geo.near_polygon(_points(spark, sf_dir), geo.edges(a.polygons(spark, sf_dir)), "p", buffer=0.0507)
 
 
 @query(f"""
 WITH {_POINTS}, {a.STATIONS_SQL}, k AS (SELECT p, station, row_number() OVER (PARTITION BY p ORDER BY (pt.lon - stn.lon) * (pt.lon - stn.lon) + (pt.lat - stn.lat) * (pt.lat - stn.lat), station) AS k FROM pt, stn) SELECT p, station FROM k WHERE k = 1
 """)
 def nearest_station_of_points(spark, sf_dir):
-    return geo.nearest(_points(spark, sf_dir), a.stations(spark), ["p"], "lon", "lat", "station", "lon", "lat").select("p", "station")
-
-
-_CELLS = "cl AS (SELECT x.v AS i, y.v AS j, 35.95::DOUBLE + x.v * 0.05::DOUBLE AS lat, 126.95::DOUBLE + y.v * 0.05::DOUBLE AS lon FROM range(40) x(v), range(40) y(v))"
+    return geo.nearest(_points(spark, sf_dir), a.stations(spark, sf_dir), ["p"], "lon", "lat", "station", "lon", "lat").select("p", "station")
 
 
 @query(f"""
-WITH {a.SIDES_SQL}, {_CELLS}, pr AS (SELECT code, ring, is_hole, i, j, lat, x1, y1, x2, y2, lat - 0.025 AS lo, lat + 0.025 AS hi, greatest(least(x1, x2), lon - 0.025) AS a, least(greatest(x1, x2), lon + 0.025) AS b FROM side, cl WHERE x1 <> x2),
+WITH {a.SIDES_SQL}, {CELLS_SQL}, pr AS (SELECT code, ring, is_hole, i, j, lat, x1, y1, x2, y2, lat - 0.025 AS lo, lat + 0.025 AS hi, greatest(least(x1, x2), lon - 0.025) AS a, least(greatest(x1, x2), lon + 0.025) AS b FROM side JOIN cl ON x1 <> x2 AND greatest(x1, x2) > lon - 0.025 AND least(x1, x2) < lon + 0.025),
 y AS (SELECT *, y1 + (y2 - y1) * (a - x1) / (x2 - x1) AS ya, y1 + (y2 - y1) * (b - x1) / (x2 - x1) AS yb FROM pr WHERE b > a),
 h AS (SELECT *, least(greatest(ya - lo, 0), 0.05) AS ha, least(greatest(yb - lo, 0), 0.05) AS hb FROM y),
 g AS (SELECT *, ha * ha / 2 + greatest(ya - hi, 0) * 0.05 AS ga, hb * hb / 2 + greatest(yb - hi, 0) * 0.05 AS gb FROM h),
@@ -272,9 +287,7 @@ s AS (SELECT code, i, j, sum(CASE WHEN is_hole THEN -deg2 ELSE deg2 END) * 111.3
 SELECT code, i, j, round(km2, 5) AS km2 FROM s WHERE km2 > 1e-6
 """)
 def basin_cell_overlap(spark, sf_dir):
-    cells = spark.range(1600).select(F.floor(F.col("id") / 40).alias("i"), (F.col("id") % 40).alias("j"))
-    cells = cells.withColumn("lat", F.lit(35.95) + F.col("i") * F.lit(0.05)).withColumn("lon", F.lit(126.95) + F.col("j") * F.lit(0.05))
-    return rounded(geo.overlap_areas(a.polygons(spark), cells, 0.05), 5)
+    return rounded(geo.overlap_areas(a.polygons(spark, sf_dir), grid_cells(spark), 0.05), 5)
 
 
 _BEST = f"""{a.obs_px_sql(16)}, {THETA_SQL}, {_GRID_SQL}, rr AS (SELECT cell, day, rain, greatest(least(theta, 1 - 1e-6), 1e-6) AS t FROM th WHERE theta IS NOT NULL AND rain IS NOT NULL),
@@ -354,4 +367,4 @@ def decluster(spark, sf_dir):
 
 @query(f"WITH {_INSIDE}, {_POINTS} SELECT pt.p, count(*) AS n_basins FROM pt JOIN (SELECT p, code FROM (SELECT p, code, ring, is_hole, count(*) % 2 AS odd FROM pt s, side d WHERE (d.y1 > s.lat) <> (d.y2 > s.lat) AND s.lon < (d.x2 - d.x1) * (s.lat - d.y1) / (d.y2 - d.y1) + d.x1 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2 HAVING max(CASE WHEN NOT is_hole THEN odd END) = 1 AND coalesce(max(CASE WHEN is_hole THEN odd END), 0) = 0) q ON q.p = pt.p GROUP BY pt.p")
 def points_in_basins(spark, sf_dir):
-    return geo.in_polygon(_points(spark, sf_dir), geo.edges(a.polygons(spark)), "p").groupBy("p").agg(F.count("*").alias("n_basins"))
+    return geo.in_polygon(_points(spark, sf_dir), geo.edges(a.polygons(spark, sf_dir)), "p").groupBy("p").agg(F.count("*").alias("n_basins"))

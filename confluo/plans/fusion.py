@@ -93,13 +93,16 @@ def sm2rain_ga_forward(spark, sf_dir):
     return rounded(sm2rain.forward_infiltration(theta(spark, sf_dir).drop("rain"), ["cell"], "theta", 0.05, 2.0, 10.0, 5.0, 100.0, min_n=20).select("cell", "day", "rain"))
 
 
-@query("""
-WITH px AS (SELECT x.i, y.j FROM range(4) x(i), range(4) y(j)), cal AS (SELECT i, j, 1.0 * i AS a, 2.0 * j AS b, 1.0 * (i + j) AS z FROM px WHERE (i * 4 + j) % 3 = 0),
+@query(f"""
+WITH {a.STATIONS_SQL}, px AS (SELECT DISTINCT CAST(floor((lat - 34) * 20) AS BIGINT) AS i, CAST(floor((lon - 126) * 20) AS BIGINT) AS j FROM stn),
+cal AS (SELECT i, j, 1.0 * i AS a, 2.0 * j AS b, 1.0 * (i + j) AS z FROM px WHERE (i * 4 + j) % 3 = 0),
 nr AS (SELECT px.i, px.j, a, b, z, row_number() OVER (PARTITION BY px.i, px.j ORDER BY (px.i - cal.i) * (px.i - cal.i) + (px.j - cal.j) * (px.j - cal.j), cal.i, cal.j) AS k FROM px, cal)
 SELECT i, j, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(z AS DOUBLE) AS z, CASE WHEN (i * 4 + j) % 3 = 0 THEN 1 ELSE 2 END AS flag FROM nr WHERE k = 1
 """)
 def param_transfer_nearest(spark, sf_dir):
-    px = spark.range(16).select(F.floor(F.col("id") / 4).alias("i"), (F.col("id") % 4).alias("j"))
+    """The stations' pixels; every third is calibrated."""
+    place = lambda c, low: F.floor((F.col(c) - low) * 20)
+    px = a.stations(spark, sf_dir).select(place("lat", 34).alias("i"), place("lon", 126).alias("j")).distinct()
     done = px.where((F.col("i") * 4 + F.col("j")) % 3 == 0).select("i", "j", (F.col("i") * 1.0).alias("a"), (F.col("j") * 2.0).alias("b"), ((F.col("i") + F.col("j")) * 1.0).alias("z"))
     return sm2rain.transfer_parameters(px, done)
 

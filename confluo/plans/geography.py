@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.projection import TransverseMercator
@@ -17,18 +18,27 @@ ins AS (SELECT station, code FROM odd GROUP BY 1, 2 HAVING max(CASE WHEN NOT is_
 
 @query(f"WITH {_INSIDE} SELECT station, code FROM ins")
 def point_in_polygon(spark, sf_dir):
-    return geo.in_polygon(a.stations(spark), geo.edges(a.polygons(spark)), "station")
+    return geo.in_polygon(a.stations(spark, sf_dir), geo.edges(a.polygons(spark, sf_dir)), "station")
+
+
+#: The grid of cells of 0.05 degrees that holds all basins and stations; its centres lie a little off round numbers.
+CELLS_SQL = "cl AS (SELECT x.v AS i, y.v AS j, 33.90017::DOUBLE + x.v * 0.05::DOUBLE AS lat, 125.90013::DOUBLE + y.v * 0.05::DOUBLE AS lon FROM range(86) x(v), range(66) y(v))"
+
+
+def grid_cells(spark):
+    cells = spark.range(86 * 66).select(F.floor(F.col("id") / 66).alias("i"), (F.col("id") % 66).alias("j"))
+    return cells.withColumn("lat", F.lit(33.90017) + F.col("i") * F.lit(0.05)).withColumn("lon", F.lit(125.90013) + F.col("j") * F.lit(0.05))
 
 
 #: Steps of the fixtures' lattice in degrees.
-STEP = 0.01
+STEP = 0.02
 _LATTICE = f"""pts AS (SELECT b.code, x.v AS pa, y.v AS pb, b.x0 + x.v * {STEP} AS px, b.y0 + y.v * {STEP} AS py FROM
-  (SELECT code, min(x1) AS x0, min(y1) AS y0, max(x1) AS xm, max(y1) AS ym FROM side GROUP BY code) b, range(40) x(v), range(40) y(v)
+  (SELECT code, min(x1) AS x0, min(y1) AS y0, max(x1) AS xm, max(y1) AS ym FROM side GROUP BY code) b, range(16) x(v), range(16) y(v)
   WHERE x.v <= floor((b.xm - b.x0) / {STEP} + 1e-6) AND y.v <= floor((b.ym - b.y0) / {STEP} + 1e-6))"""
 
 
-def _lattice(spark):
-    sides = geo.edges(a.polygons(spark))
+def _lattice(polygons):
+    sides = geo.edges(polygons)
     tiny = STEP * 1e-6
     boxes = sides.groupBy("code").agg(F.min("x1").alias("x0"), F.min("y1").alias("y0"), (F.max("x1") + tiny).alias("x1"), (F.max("y1") + tiny).alias("y1"))
     return geo.lattice(boxes, "code", STEP), sides
@@ -40,8 +50,8 @@ WITH {a.STATIONS_SQL}, {a.SIDES_SQL}, {_LATTICE}, near AS (SELECT code, pa, pb,
 SELECT code, pa, pb, station, round(d, 6) AS distance FROM near WHERE k = 1
 """)
 def nearest_station(spark, sf_dir):
-    points, _ = _lattice(spark)
-    return rounded(geo.nearest(points, a.stations(spark), ["code", "pa", "pb"], "px", "py", "station", "lon", "lat"), 6)
+    points, _ = _lattice(a.polygons(spark, sf_dir))
+    return rounded(geo.nearest(points, a.stations(spark, sf_dir), ["code", "pa", "pb"], "px", "py", "station", "lon", "lat"), 6)
 
 
 _WEIGHTS = f"""{a.STATIONS_SQL}, {a.SIDES_SQL}, {_LATTICE}, mid AS (SELECT code, pa, pb, px + {STEP} * 0.37 AS px, py + {STEP} * 0.41 AS py FROM pts),
@@ -53,38 +63,42 @@ nr AS (SELECT m.code, m.pa, m.pb, station, row_number() OVER (PARTITION BY m.cod
 tw AS (SELECT code, station, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY code) AS w FROM nr WHERE k = 1 GROUP BY 1, 2)"""
 
 
-def _thiessen(spark):
-    points, sides = _lattice(spark)
-    mid = points.select("code", "pa", "pb", (F.col("px") + STEP * 0.37).alias("px"), (F.col("py") + STEP * 0.41).alias("py"), F.concat_ws(":", "code", "pa", "pb").alias("p"))
-    inside = geo.in_polygon(mid.withColumnRenamed("code", "of"), sides, "p", "px", "py").select("p", "code")
-    held = mid.join(inside, ["p", "code"])
-    owned = geo.nearest(held, a.stations(spark), ["code", "pa", "pb"], "px", "py", "station", "lon", "lat")
+def _thiessen(spark, sf_dir, polygons=None):
+    points, sides = _lattice(a.polygons(spark, sf_dir) if polygons is None else polygons)
+    mid = points.select("code", (F.col("px") + STEP * 0.37).alias("px"), (F.col("py") + STEP * 0.41).alias("py"), F.struct("pa", "pb").alias("p"))
+    inside = geo.in_polygon(mid, sides, "p", "px", "py", own=True)
+    owned = geo.nearest(mid.join(inside, ["p", "code"]), a.stations(spark, sf_dir), ["code", "p"], "px", "py", "station", "lon", "lat")
     return geo.thiessen_weights(owned, "code", "station")
 
 
 @query(f"WITH {_WEIGHTS} SELECT code, station, n, round(w, 6) AS w FROM tw")
 def thiessen_weights(spark, sf_dir):
-    return rounded(_thiessen(spark), 6)
+    return rounded(_thiessen(spark, sf_dir), 6)
+
+
+def rain(spark, sf_dir, event_type: str, total) -> DataFrame:
+    """station, day, v: the gauges' rain; a user's events are those of the station of their number."""
+    rows = a.table(spark, sf_dir, "events").where(F.col("event_type") == event_type)
+    return rows.groupBy((F.col("user_id") * 50).alias("station"), F.to_date("ts").alias("day")).agg(total("value").alias("v"))
 
 
-_RAIN = "rain AS (SELECT CASE user_id % 6 WHEN 0 THEN 90 WHEN 1 THEN 105 WHEN 2 THEN 300 WHEN 3 THEN 411 WHEN 4 THEN 512 ELSE 640 END AS station, CAST(ts AS DATE) AS day, sum(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1, 2)"
+def rain_sql(event_type: str, total: str) -> str:
+    return f"rain AS (SELECT user_id * 50 AS station, CAST(ts AS DATE) AS day, {total}(value) AS v FROM events WHERE event_type = '{event_type}' GROUP BY 1, 2)"
 
 
-@query(f"WITH {_WEIGHTS}, {_RAIN} SELECT code, day, round(sum(w * v) / sum(w), 8) AS v, count(*) AS n_stations FROM rain JOIN tw USING (station) GROUP BY 1, 2")
+@query(f"WITH {_WEIGHTS}, {rain_sql('view', 'sum')} SELECT code, day, round(sum(w * v) / sum(w), 8) AS v, count(*) AS n_stations FROM rain JOIN tw USING (station) GROUP BY 1, 2")
 def thiessen_mean(spark, sf_dir):
-    ids = F.array(*[F.lit(s[0]) for s in a.STATIONS])
-    rows = a.table(spark, sf_dir, "events").where("event_type = 'view'").groupBy(F.get(ids, (F.col("user_id") % 6).cast("int")).alias("station"), F.to_date("ts").alias("day"))
-    return rounded(basin.thiessen_mean(rows.agg(F.sum("value").alias("v")), _thiessen(spark), "station", "v"), 8)
+    return rounded(basin.thiessen_mean(rain(spark, sf_dir, "view", F.sum), _thiessen(spark, sf_dir), "station", "v"), 8)
 
 
 _TM = TransverseMercator()
 _T = _TM.arc_terms()
 _TM_SQL = f"""
-WITH ll AS (SELECT x.v AS a, y.v AS b, 126.0 + x.v * 0.25 AS lon, 34.0 + y.v * 0.4 AS lat FROM range(16) x(v), range(12) y(v)),
+WITH {a.PLACES_SQL}, ll AS (SELECT code, x AS lon, y AS lat FROM plc),
 q AS (SELECT *, radians(lat) AS p, {_TM.e2 / (1 - _TM.e2)!r}::DOUBLE AS s FROM ll),
 r AS (SELECT *, {_TM.a!r} * ({_T[0]!r}::DOUBLE * p + {_T[1]!r}::DOUBLE * sin(2 * p) + {_T[2]!r}::DOUBLE * sin(4 * p) + {_T[3]!r}::DOUBLE * sin(6 * p)) AS arc,
   {_TM.a!r} / sqrt(1 - {_TM.e2!r}::DOUBLE * sin(p) * sin(p)) AS n, tan(p) * tan(p) AS t, s * cos(p) * cos(p) AS c, (radians(lon) - radians({_TM.lon0!r})) * cos(p) AS k FROM q)
-SELECT a, b, round({_TM.east!r} + {_TM.scale!r} * n * (k + (1 - t + c) * pow(k, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * s) * pow(k, 5) / 120), 3) AS x,
+SELECT code, round({_TM.east!r} + {_TM.scale!r} * n * (k + (1 - t + c) * pow(k, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * s) * pow(k, 5) / 120), 3) AS x,
   round({_TM.north!r} + {_TM.scale!r} * (arc - {_TM.arc0()!r}::DOUBLE + n * tan(p) * (k * k / 2 + (5 - t + 9 * c + 4 * c * c) * pow(k, 4) / 24
   + (61 - 58 * t + t * t + 600 * c - 330 * s) * pow(k, 6) / 720)), 3) AS y FROM r
 """
@@ -92,9 +106,8 @@ SELECT a, b, round({_TM.east!r} + {_TM.scale!r} * n * (k + (1 - t + c) * pow(k,
 
 @query(_TM_SQL)
 def tm_projection(spark, sf_dir):
-    grid = spark.range(192).select(F.floor(F.col("id") / 12).alias("a"), (F.col("id") % 12).alias("b"))
-    x, y = _TM.forward(126.0 + F.col("a") * 0.25, 34.0 + F.col("b") * 0.4)
-    return grid.select("a", "b", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+    x, y = _TM.forward(F.col("x"), F.col("y"))
+    return a.basin_places(spark, sf_dir).select("code", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
 @query(f"""
@@ -115,6 +128,6 @@ ct AS (SELECT code, count(*) FILTER (WHERE station < 300) AS s, count(*) FILTER
 SELECT nr.code, coalesce(s, 0) AS n_asos, coalesce(w, 0) AS n_aws, round(km, 3) AS nearest_km, coalesce(s, 0) + coalesce(w, 0) = 0 AND km >= 15 AS ungauged FROM nr LEFT JOIN ct USING (code)
 """)
 def ungauged_basins(spark, sf_dir):
-    sides = geo.edges(a.polygons(spark))
+    sides = geo.edges(a.polygons(spark, sf_dir))
     centres = geo.shoelace(sides).select("code", "x", "y")
-    return rounded(geo.coverage(centres, sides, a.stations(spark)), 3)
+    return rounded(geo.coverage(centres, sides, a.stations(spark, sf_dir)), 3)

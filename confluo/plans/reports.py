@@ -9,7 +9,7 @@ from ..functions import scalars
 from ..operators import align, basin, events, gapfill, geo, metrics, time
 from ..sources import adapters as a
 from .evaluation import _KGE, _kge_sql
-from .geography import _LATTICE, _lattice
+from .geography import CELLS_SQL, grid_cells
 from .preprocess import _FILL, rounded
 from .registry import query
 
@@ -88,10 +88,9 @@ def dropped_days(spark, sf_dir):
     return obs.select("day").distinct().join(kept, "day", "left_anti")
 
 
-@query(f"WITH {a.STATIONS_SQL}, ctr(code, x, y) AS (VALUES ('A', 127.1, 36.1), ('B', 127.3, 36.3)), k AS (SELECT code, station, row_number() OVER (PARTITION BY code ORDER BY (x - lon) * (x - lon) + (y - lat) * (y - lat), station) AS k FROM ctr, stn) SELECT code, station FROM k WHERE k <= 3")
+@query(f"WITH {a.STATIONS_SQL}, {a.PLACES_SQL}, k AS (SELECT code, station, row_number() OVER (PARTITION BY code ORDER BY (x - lon) * (x - lon) + (y - lat) * (y - lat), station) AS k FROM plc, stn) SELECT code, station FROM k WHERE k <= 8")
 def station_candidates(spark, sf_dir):
-    centres = spark.createDataFrame([("A", 127.1, 36.1), ("B", 127.3, 36.3)], "code string, x double, y double")
-    return geo.nearest_candidates(centres, a.stations(spark), "code", "x", "y", "station", "lon", "lat", 3)
+    return geo.nearest_candidates(a.basin_places(spark, sf_dir), a.stations(spark, sf_dir), "code", "x", "y", "station", "lon", "lat", 8)
 
 
 @query(f"""
@@ -99,18 +98,16 @@ WITH {a.SIDES_SQL}, ring AS (SELECT code, ring, is_hole, sum(x1 * y2 - x2 * y1)
 SELECT code, round(sum(CASE WHEN is_hole THEN -1 ELSE 1 END * abs(a) / 2), 6) AS area FROM ring GROUP BY code
 """)
 def basin_geometry(spark, sf_dir):
-    return rounded(geo.shoelace(geo.edges(a.polygons(spark))).select("code", "area"), 6)
+    return rounded(geo.shoelace(geo.edges(a.polygons(spark, sf_dir))).select("code", "area"), 6)
 
 
 @query(f"""
-WITH {a.STATIONS_SQL}, {a.SIDES_SQL}, {_LATTICE}, g AS (SELECT DISTINCT pa, pb, px, py FROM pts WHERE code = 'P1'), k AS (SELECT station, pa, pb, row_number() OVER (PARTITION BY station ORDER BY round((px - lon) * (px - lon) + (py - lat) * (py - lat), 9), pa, pb) AS k FROM stn, g)
-SELECT station, pa, pb FROM k WHERE k = 1
+WITH {a.STATIONS_SQL}, {CELLS_SQL}, k AS (SELECT station, i, j, row_number() OVER (PARTITION BY station ORDER BY (cl.lon - stn.lon) * (cl.lon - stn.lon) + (cl.lat - stn.lat) * (cl.lat - stn.lat), i, j) AS k FROM stn, cl)
+SELECT station, i, j FROM k WHERE k = 1
 """)
 def nearest_cell(spark, sf_dir):
-    points, _ = _lattice(spark)
-    d2 = F.round((F.col("px") - F.col("lon")) * (F.col("px") - F.col("lon")) + (F.col("py") - F.col("lat")) * (F.col("py") - F.col("lat")), 9)
-    met = points.where("code = 'P1'").join(F.broadcast(a.stations(spark)), F.lit(True))  # stations are a dimension
-    return met.groupBy("station").agg(F.min(F.struct(d2, "pa", "pb")).alias("b")).select("station", "b.pa", "b.pb")
+    cells = grid_cells(spark).select(F.struct("i", "j").alias("cell"), F.col("lon").alias("cx"), F.col("lat").alias("cy"))
+    return geo.nearest(a.stations(spark, sf_dir), cells, ["station"], "lon", "lat", "cell", "cx", "cy").select("station", "cell.i", "cell.j")
 
 
 @query("""

@@ -62,35 +62,50 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HOURLY_SQL = "hr AS (SELECT user_id % 4 AS cell, CAST(ts AS DATE) AS day, CAST(hour(ts) AS INTEGER) AS hour, sum(value) AS mm FROM events GROUP BY 1, 2, 3)"
 
-# The small geometry of the fixtures.
-STATIONS = ((90, 127.02, 36.05), (105, 127.28, 36.22), (300, 127.11, 36.31), (411, 127.21, 36.04), (512, 127.15, 36.15), (640, 127.33, 36.33))
-POLYGONS = {
-    "P1": ((False, ((127.00, 36.00), (127.30, 36.00), (127.30, 36.30), (127.00, 36.30))), (True, ((127.10, 36.10), (127.20, 36.10), (127.20, 36.20), (127.10, 36.20)))),
-    "P2": ((False, ((127.05, 36.05), (127.35, 36.10), (127.15, 36.35))),),
-    "P3": ((False, ((128.0, 37.0), (128.1, 37.0), (128.1, 37.1), (128.0, 37.1))),),
-}
-STATIONS_SQL = "stn(station, lon, lat) AS (VALUES " + ", ".join(f"({s}, CAST({x} AS DOUBLE), CAST({y} AS DOUBLE))" for s, x, y in STATIONS) + ")"
+#: Corners of the basins' shells and holes, in radii from the centre.
+SHELL = ((-1.0, -0.6), (0.9, -0.5), (0.7, 1.0), (-0.8, 0.9))
+HOLE = ((-0.2, -0.1), (0.3, -0.2), (0.1, 0.3))
 
 
-def stations(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(STATIONS), "station int, lon double, lat double")
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A station for each supplier: station (50 times the key), lon, lat, spread over three by four degrees."""
+    s = F.col("s_suppkey")
+    lon, lat = F.lit(126.0) + s * 6101 % 9973 * F.lit(0.0003), F.lit(34.0) + s * 3571 % 9967 * F.lit(0.0004)
+    return table(spark, sf_dir, "supplier").select((s * 50).alias("station"), lon.alias("lon"), lat.alias("lat"))
 
 
-def polygons(spark: SparkSession) -> DataFrame:
-    rows = [(code, [(hole, list(pts)) for hole, pts in rings]) for code, rings in POLYGONS.items()]
-    return spark.createDataFrame(rows, "code string, rings array<struct<is_hole: boolean, pts: array<struct<x: double, y: double>>>>")
+STATIONS_SQL = """stn AS (SELECT s_suppkey * 50 AS station, 126.0::DOUBLE + (s_suppkey * 6101 % 9973) * 0.0003::DOUBLE AS lon,
+  34.0::DOUBLE + (s_suppkey * 3571 % 9967) * 0.0004::DOUBLE AS lat FROM supplier)"""
 
 
-def _sides() -> str:
-    rows = []
-    for code, rings in POLYGONS.items():
-        for r, (hole, pts) in enumerate(rings):
-            for (x1, y1), (x2, y2) in zip(pts, pts[1:] + pts[:1], strict=True):
-                rows.append(f"('{code}', {r}, {str(hole).lower()}, " + ", ".join(f"CAST({v} AS DOUBLE)" for v in (x1, y1, x2, y2)) + ")")
-    return "side(code, ring, is_hole, x1, y1, x2, y2) AS (VALUES " + ", ".join(rows) + ")"
+def basin_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place for each customer's basin: code, x, y (centre), r (radius), holed."""
+    k = F.col("c_custkey")
+    x, y = F.lit(126.0) + k * 7919 % 10007 * F.lit(0.0003), F.lit(34.0) + k * 104729 % 10009 * F.lit(0.0004)
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("B"), k).alias("code"), x.alias("x"), y.alias("y"), (F.lit(0.04) + k % 7 * F.lit(0.01)).alias("r"), (k % 3 == 0).alias("holed"))
 
 
-SIDES_SQL = _sides()
+PLACES_SQL = """plc AS (SELECT 'B' || c_custkey AS code, 126.0::DOUBLE + (c_custkey * 7919 % 10007) * 0.0003::DOUBLE AS x, 34.0::DOUBLE + (c_custkey * 104729 % 10009) * 0.0004::DOUBLE AS y,
+  0.04::DOUBLE + (c_custkey % 7) * 0.01::DOUBLE AS r, c_custkey % 3 = 0 AS holed FROM customer)"""
+
+
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A four-sided basin for each customer, every third with a hole: code, rings."""
+
+    def ring(is_hole, corners):
+        pts = [F.struct((F.col("x") + F.col("r") * dx).alias("x"), (F.col("y") + F.col("r") * dy).alias("y")) for dx, dy in corners]
+        return F.struct(F.lit(is_hole).alias("is_hole"), F.array(*pts).alias("pts"))
+
+    rings = F.when(F.col("holed"), F.array(ring(False, SHELL), ring(True, HOLE))).otherwise(F.array(ring(False, SHELL)))
+    return basin_places(spark, sf_dir).select("code", rings.alias("rings"))
+
+
+def _corners() -> str:
+    rows = [(k, i, *pts[i], *pts[(i + 1) % len(pts)]) for k, pts in enumerate((SHELL, HOLE)) for i in range(len(pts))]
+    return "crn(ring, k, u1, w1, u2, w2) AS (VALUES " + ", ".join(f"({ring}, {k}, " + ", ".join(f"{v}::DOUBLE" for v in rest) + ")" for ring, k, *rest in rows) + ")"
+
+
+SIDES_SQL = f"""{PLACES_SQL}, {_corners()}, side AS (SELECT code, ring, ring = 1 AS is_hole, x + r * u1 AS x1, y + r * w1 AS y1, x + r * u2 AS x2, y + r * w2 AS y2 FROM plc JOIN crn ON ring = 0 OR holed)"""
 
 
 def bridge(spark: SparkSession) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import network
+
 
 def cell_name(lat: Column, lon: Column) -> Column:
     """The column name of a cell in wide exports."""
@@ -72,7 +74,7 @@ def cell_table(cube: DataFrame, lat: Column, lon: Column, value: str, least_days
 def ordered_weights(weights: DataFrame, basin: str = "code", station: str = "station", w: str = "w") -> DataFrame:
     """Weights with their place in the basin, the greatest first, and the station's network."""
     place = F.row_number().over(Window.partitionBy(basin).orderBy(F.desc(w), station))
-    return weights.select(basin, place.alias("place"), station, F.when(F.col(station) < 300, "ASOS").otherwise("AWS").alias("network"), w)
+    return weights.select(basin, place.alias("place"), station, network(F.col(station)).alias("network"), w)
 
 
 def by_list(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:

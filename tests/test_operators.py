@@ -238,16 +238,31 @@ def test_pareto_recovers_shape(spark):
     assert freq.return_levels(few, spans, ["cell"], "v").count() == 0
 
 
-def test_nearest_by_squares_is_exact(spark, monkeypatch):
+def test_k_nearest_is_exact(spark):
     rng = np.random.default_rng(3)
-    p, s = rng.uniform(0, 10, (60, 2)), np.vstack([rng.uniform(0, 3, (40, 2)), rng.uniform(0, 10, (10, 2)), [[1.0, 1.0], [1.0, 1.0]]])
-    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)] + [(60, 1.0, 1.0)], "p int, x double, y double")
+    p = np.vstack([rng.uniform(0, 10, (60, 2)), [[1.0, 1.0], [500.0, -300.0]]])
+    s = np.vstack([rng.uniform(0, 3, (60, 2)), rng.normal(2, 1e-4, (300, 2)), rng.uniform(0, 10, (10, 2)), np.ones((70, 2))])
+    points = spark.createDataFrame([(i, *map(float, v), 1.0 + i % 3, 2.0) for i, v in enumerate(p)], "p int, x double, y double, kx double, ky double")
     stations = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(s)], "station int, sx double, sy double")
-    want = {i: int(np.argmin(((s - v) ** 2).sum(1))) for i, v in enumerate(np.vstack([p, [[1.0, 1.0]]]))}
-    for many in (10_000, 0):
-        monkeypatch.setattr(geo, "MANY_STATIONS", many)
-        got = geo.nearest(points, stations, ["p"], "x", "y", "station", "sx", "sy").collect()
-        assert {r.p: r.station for r in got} == want and len(got) == len(want)
+    for k, weights in ((1, None), (3, ("kx", "ky")), (1000, None)):
+        got = geo.k_nearest(points, stations, ["p"], "x", "y", "station", "sx", "sy", k, weights).collect()
+        for i, v in enumerate(p):
+            d2 = (((s - v) * ([1.0 + i % 3, 2.0] if weights else [1.0, 1.0])) ** 2).sum(1)
+            mine = sorted((r["rank"], r.station) for r in got if r.p == i)
+            want = np.lexsort((np.arange(len(s)), d2))[:k]
+            assert [r for r, _ in mine] == list(range(1, len(want) + 1)) and [x for _, x in mine] == want.tolist()
+
+
+def test_nearest_without_coordinates(spark):
+    """Points without coordinates stay, with no station, whatever the number of stations."""
+    rows = [(1, 0.0, 0.0), (2, None, 0.0), (3, 1.0, float("nan")), (None, 5.0, 5.0), (5, float("inf"), 0.0)]
+    points = spark.createDataFrame(rows, "p int, x double, y double")
+    for n in (0, 3, 3000):
+        stations = spark.createDataFrame([(i, i % 60 * 1.0, i // 60 * 1.0) for i in range(n)] + [(-1, None, 1.0), (-2, float("nan"), 0.0)], "station int, sx double, sy double")
+        got = {r.p: (r.station, r.distance) for r in geo.nearest(points, stations, ["p"], "x", "y", "station", "sx", "sy").collect()}
+        assert set(got) == {1, 2, 3, None, 5} and {p: v for p, v in got.items() if p not in (1, None)} == {2: (None, None), 3: (None, None), 5: (None, None)}
+        assert got[1] == ((0, 0.0) if n else (None, None))
+        assert got[None] == {0: (None, None), 3: (2, (3**2 + 5**2) ** 0.5), 3000: (305, 0.0)}[n]
 
 
 def test_buffer_and_overlap_of_a_holed_square(spark):
