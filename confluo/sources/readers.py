@@ -71,32 +71,41 @@ def start_of_file(path: F.Column, pattern: str = r"(\d{8}-S\d{6})", form: str =
     return F.to_timestamp_ntz(F.regexp_extract(path, pattern, 1), F.lit(form))
 
 
-def _dbf_rows(data: bytes, encoding: str) -> Iterator[dict[str, str]]:
-    count, head, size = struct.unpack_from("<IHH", data, 4)
+def dbf_fields(head: bytes) -> list[tuple[str, int]]:
+    """Name and width of every field, from an attribute table's head."""
     fields, at = [], 32
-    while data[at] != 0x0D:
-        name, width = data[at : at + 11].split(b"\0")[0].decode("ascii"), data[at + 16]
-        fields.append((name, width))
+    while head[at] != 0x0D:
+        fields.append((head[at : at + 11].split(b"\0")[0].decode("ascii"), head[at + 16]))
         at += 32
+    return fields
+
+
+def dbf_row(record: bytes, fields: Sequence[tuple[str, int]], encoding: str) -> dict[str, str]:
+    row, at = {}, 1
+    for name, width in fields:
+        row[name] = record[at : at + width].decode(encoding, "replace").strip()
+        at += width
+    return row
+
+
+def _dbf_rows(data: bytes, encoding: str) -> Iterator[tuple[int, dict[str, str]]]:
+    """Number and fields of every record that isn't deleted."""
+    count, head, size = struct.unpack_from("<IHH", data, 4)
+    fields = dbf_fields(data)
     for k in range(count):
-        at = head + k * size
-        if data[at : at + 1] == b"*":  # deleted
-            continue
-        at += 1
-        row = {}
-        for name, width in fields:
-            row[name] = data[at : at + width].decode(encoding, "replace").strip()
-            at += width
-        yield row
+        record = data[head + k * size : head + (k + 1) * size]
+        if record[:1] != b"*":
+            yield k, dbf_row(record, fields, encoding)
 
 
 def read_dbf(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """Attribute tables, one row a record: file, record (from 0), fields. A file is a task's unit of work."""
+    """Attribute tables, one row a record that isn't deleted: file, record (from 0), fields. A file is a task's unit of
+    work, read by Spark from whatever store it knows; `shapes` reads a file in many tasks."""
 
     def parse(parts):
         for part in parts:
             for file, data in zip(part["path"], part["content"], strict=True):
-                rows = [(file, i, r) for i, r in enumerate(_dbf_rows(data, encoding))]
+                rows = [(file, i, r) for i, r in _dbf_rows(data, encoding)]
                 yield pd.DataFrame(rows, columns=["file", "record", "fields"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, DBF)
@@ -106,21 +115,25 @@ def _area(ring: list[tuple[float, float]]) -> float:
     return sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False)) / 2
 
 
+def rings_of(content: bytes) -> list[dict]:
+    """The rings of one record; none for other shapes."""
+    if len(content) < 44 or struct.unpack_from("<i", content)[0] % 10 != 5:
+        return []
+    n_parts, n_points = struct.unpack_from("<2i", content, 36)
+    firsts = [*struct.unpack_from(f"<{n_parts}i", content, 44), n_points]
+    flat = struct.unpack_from(f"<{2 * n_points}d", content, 44 + 4 * n_parts)
+    points = list(zip(flat[::2], flat[1::2], strict=True))
+    rings = [points[a:b] for a, b in zip(firsts, firsts[1:], strict=False)]
+    # Shells run clockwise, holes the other way round; the repeated last point is left out, as are rings of no area.
+    return _assigned([r for r in rings if len(r) >= 4 and _area(r) != 0])
+
+
 def _polygons(data: bytes) -> Iterator[list[dict]]:
     at = 100
     while at + 8 <= len(data):
         length = struct.unpack_from(">i", data, at + 4)[0] * 2
-        start, at = at + 8, at + 8 + length
-        if length < 44 or struct.unpack_from("<i", data, start)[0] % 10 != 5:
-            yield []
-            continue
-        n_parts, n_points = struct.unpack_from("<2i", data, start + 36)
-        firsts = [*struct.unpack_from(f"<{n_parts}i", data, start + 44), n_points]
-        flat = struct.unpack_from(f"<{2 * n_points}d", data, start + 44 + 4 * n_parts)
-        points = list(zip(flat[::2], flat[1::2], strict=True))
-        rings = [points[a:b] for a, b in zip(firsts, firsts[1:], strict=False)]
-        # Shells run clockwise, holes the other way round; the repeated last point is left out, as are rings of no area.
-        yield _assigned([r for r in rings if len(r) >= 4 and _area(r) != 0])
+        yield rings_of(data[at + 8 : at + 8 + length])
+        at += 8 + length
 
 
 def _holds(ring: list[tuple[float, float]], x: float, y: float) -> bool:
