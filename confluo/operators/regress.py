@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -21,20 +20,55 @@ def ols_single(df: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int =
     return out.where(F.col("n_fit") >= min_n)
 
 
+#: Least ratio of a correlation matrix's eigenvalues, and of a matrix of products', above which predictors are independent.
+INDEPENDENT, RANK = 1e-10, 1e-12
+
+
+def _least_squares(mu: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """Coefficients and intercept (rows) from means and covariances of predictors and target, for many keys at once."""
+    p = mu.shape[1] - 1
+    a, b = cov[:, :p, :p], cov[:, :p, p]
+    scale = np.sqrt(np.einsum("kii->ki", a))
+    scale[scale == 0] = 1.0
+    w, v = np.linalg.eigh(a / (scale[:, :, None] * scale[:, None]))
+    free = w[:, 0] > INDEPENDENT
+    w[~free] = 1.0
+    coef = np.einsum("kij,kj->ki", v, np.einsum("kji,kj->ki", v, b / scale) / w) / scale
+    out = np.column_stack([coef, mu[:, p] - np.einsum("ki,ki->k", coef, mu[:, :p])])
+    for k in np.flatnonzero(~free):
+        # Collinear predictors: of all best fits that of least norm, the intercept counted in.
+        m = np.append(mu[k, :p], 1.0)
+        g = np.pad(a[k], (0, 1)) + np.outer(m, m)
+        w1, v1 = np.linalg.eigh(g)
+        keep = w1 > RANK * w1[-1]
+        out[k] = v1[:, keep] @ ((v1[:, keep].T @ (np.append(b[k], 0.0) + mu[k, p] * m)) / w1[keep])
+    return out
+
+
 def ols_multi(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str, min_n: int = 60) -> DataFrame:
     """Least squares with intercept on several predictors by key, of least norm if they are collinear: coef (array),
-    intercept, n_fit. One key's series is a task's unit of work."""
-    xs = list(xs)
-    schema = ", ".join([*(f"{k} {dict(df.dtypes)[k]}" for k in keys), "coef array<double>", "intercept double", "n_fit long"])
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) < min_n:
-            return pd.DataFrame(columns=[*keys, "coef", "intercept", "n_fit"])
-        a = np.column_stack([g[xs].to_numpy(float), np.ones(len(g))])
-        c = np.linalg.lstsq(a, g[y].to_numpy(float), rcond=None)[0]
-        return pd.DataFrame([[*g.iloc[0][list(keys)], c[:-1].tolist(), c[-1], len(g)]], columns=[*keys, "coef", "intercept", "n_fit"])
+    intercept, n_fit; no row for fewer than min_n rows with all values.
 
-    return df.dropna(subset=[*xs, y]).select(*keys, *xs, y).groupBy(*keys).applyInPandas(fit, schema)
+    One aggregate takes means and covariances by key, partial before the shuffle; a row a key is solved, whatever the
+    length of its series."""
+    xs = list(xs)
+    names = [*xs, y]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    full = df.dropna(subset=names).groupBy(*keys)
+    sums = full.agg(F.count("*").alias("n_fit"), F.array(*[F.avg(c) for c in names]).alias("_mu"), F.array(*[F.covar_pop(names[i], names[j]) for i, j in pairs]).alias("_cov"))
+    sums = sums.where(F.col("n_fit") >= min_n)
+    kinds = dict(df.dtypes)
+
+    def solve(parts):
+        for part in parts:
+            if len(part):
+                cov = np.empty((len(part), len(names), len(names)))
+                for (i, j), c in zip(pairs, np.stack(part["_cov"].to_numpy()).T, strict=True):
+                    cov[:, i, j] = cov[:, j, i] = c
+                found = _least_squares(np.stack(part["_mu"].to_numpy()), cov)
+                yield part[list(keys)].assign(coef=found[:, :-1].tolist(), intercept=found[:, -1], n_fit=part["n_fit"])
+
+    return sums.mapInPandas(solve, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "coef array<double>", "intercept double", "n_fit long"]))
 
 
 def predict(df: DataFrame, coefs: DataFrame, keys: Sequence[str], terms: dict[str, Column]) -> DataFrame:

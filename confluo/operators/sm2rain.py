@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
+from ..sources import views
 from . import geo
 from .time import difference
 
@@ -135,6 +136,17 @@ def reusable(saved: DataFrame, grid: DataFrame, keys: Sequence[str] = ("i", "j")
     return saved.select(*k).distinct().join(grid.select(*k).distinct().withColumn("_g", F.lit(1)), k, "full").where("_g is null").isEmpty() and grid.select(*k).join(saved.select(*k), k, "left_anti").isEmpty()
 
 
+def saved_or_calibrated(grid: DataFrame, paths: Sequence[str], calibrate: Callable[[], DataFrame], keys: Sequence[str] = ("i", "j")) -> DataFrame:
+    """Parameters of the first saved table that has the grid's pixels; if none has, they are calibrated and saved at the
+    first path."""
+    spark = grid.sparkSession
+    saved = views.first_fitting(spark, paths, lambda df: set(keys) <= set(df.columns) and reusable(df, grid, keys))
+    if saved is None:
+        calibrate().write.mode("overwrite").parquet(paths[0])
+        saved = spark.read.parquet(paths[0])
+    return saved
+
+
 def parameter_summary(params: DataFrame, names: Sequence[str] = ("a", "b", "z")) -> DataFrame:
     """param, low, mean and high of each parameter over all pixels."""
     long = params.select(F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("param", "v"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.projection import TransverseMercator
-from ..operators import basin, geo
+from ..operators import basin, geo, repair
 from ..sources import adapters as a
 from .preprocess import rounded
 from .registry import query
@@ -131,3 +131,25 @@ def ungauged_basins(spark, sf_dir):
     sides = geo.edges(a.polygons(spark, sf_dir))
     centres = geo.shoelace(sides).select("code", "x", "y")
     return rounded(geo.coverage(centres, sides, a.stations(spark, sf_dir)), 3)
+
+
+def _broken(spark, sf_dir):
+    """Basins of two squares, the second shifted by quarters of its side (alike, overlapping, touching in a corner, apart), and
+    a bow-tie beside them."""
+    square, tie = ((0, 0), (1, 0), (1, 1), (0, 1)), ((3, 0), (4, 1), (4, 0), (3, 1))
+    places = a.basin_places(spark, sf_dir).withColumn("s", F.substring("code", 2, 18).cast("long") % 6 * F.col("r") / 4)
+
+    def ring(shell, corners, shift):
+        pts = [F.struct((F.col("x") + F.col("r") * dx + shift).alias("x"), (F.col("y") + F.col("r") * dy + shift).alias("y")) for dx, dy in corners]
+        return F.struct(F.lit(False).alias("is_hole"), F.lit(shell).alias("shell"), F.array(*pts).alias("pts"))
+
+    return places.select("code", F.array(ring(0, square, F.lit(0.0)), ring(1, square, F.col("s")), ring(2, tie, F.lit(0.0))).alias("rings"))
+
+
+@query(f"""
+WITH {a.PLACES_SQL}, s AS (SELECT code, r, CAST(substr(code, 2) AS BIGINT) % 6 * r / 4 AS s FROM plc)
+SELECT code, round(2 * r * r - pow(greatest(r - s, 0), 2) + r * r / 2, 6) AS area FROM s
+""")
+def valid_basin_areas(spark, sf_dir):
+    """Areas of basins whose parts overlap or cross themselves, after repair."""
+    return rounded(repair.areas(repair.valid_sides(_broken(spark, sf_dir))), 6)

@@ -215,6 +215,23 @@ def spatial_fill(spark, sf_dir):
     return gapfill.spatial_fill(obs, ["day"], "aws", "x", "y").select("cell", "day", "aws", "filled")
 
 
+@query(f"""
+WITH {a.obs_px_sql(16)}, f AS (SELECT day, cell, i AS y, j AS x, CASE WHEN aws IS NOT NULL THEN 2.0::DOUBLE * j + 3.0::DOUBLE * i END AS v FROM obs), val AS (SELECT * FROM f WHERE v IS NOT NULL),
+ok AS (SELECT day FROM val GROUP BY day HAVING count(*) >= 4), mis AS (SELECT f.* FROM f JOIN ok USING (day) WHERE v IS NULL),
+t AS (SELECT m.day, m.cell, (a.x - m.x) * (b.y - m.y) - (b.x - m.x) * (a.y - m.y) AS p, (b.x - m.x) * (c.y - m.y) - (c.x - m.x) * (b.y - m.y) AS q, (c.x - m.x) * (a.y - m.y) - (a.x - m.x) * (c.y - m.y) AS r
+  FROM mis m JOIN val a ON a.day = m.day JOIN val b ON b.day = m.day AND b.cell > a.cell JOIN val c ON c.day = m.day AND c.cell > b.cell),
+ins AS (SELECT DISTINCT day, cell FROM t WHERE p + q + r <> 0 AND (p >= 0 AND q >= 0 AND r >= 0 OR p <= 0 AND q <= 0 AND r <= 0)),
+nr AS (SELECT m.day, m.cell, arg_min(val.v, ((val.x - m.x) * (val.x - m.x) + (val.y - m.y) * (val.y - m.y), val.x, val.y)) AS v FROM mis m JOIN val ON val.day = m.day GROUP BY 1, 2)
+SELECT f.day, f.cell, round(CASE WHEN f.v IS NOT NULL THEN f.v WHEN ins.cell IS NOT NULL THEN 2 * x + 3 * y ELSE nr.v END, 6) AS filled
+FROM f LEFT JOIN ins ON ins.day = f.day AND ins.cell = f.cell LEFT JOIN nr ON nr.day = f.day AND nr.cell = f.cell
+""")
+def spatial_fill_linear(spark, sf_dir):
+    """A linear field with a product's gaps: within the hull of a day's valid cells the fill gives it back, beyond it the nearest."""
+    x, y = F.col("j").cast("double"), F.col("i").cast("double")
+    obs = a.obs_px(spark, sf_dir, 16).select("cell", "day", x.alias("x"), y.alias("y"), F.when(F.col("aws").isNotNull(), 2 * x + 3 * y).alias("v"))
+    return rounded(gapfill.spatial_fill(obs, ["day"], "v", "x", "y").select("day", "cell", "filled"), 6)
+
+
 @query("""
 WITH d AS (SELECT CAST(ts AS DATE) AS day, user_id % 4 AS cell, sum(value) AS v FROM events GROUP BY 1, 2)
 SELECT day, round(max(v) FILTER (WHERE cell = 0), 2) AS c0, round(max(v) FILTER (WHERE cell = 1), 2) AS c1,

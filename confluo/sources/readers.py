@@ -125,7 +125,7 @@ def rings_of(content: bytes) -> list[dict]:
     points = list(zip(flat[::2], flat[1::2], strict=True))
     rings = [points[a:b] for a, b in zip(firsts, firsts[1:], strict=False)]
     # Shells run clockwise, holes the other way round; the repeated last point is left out, as are rings of no area.
-    return _assigned([r for r in rings if len(r) >= 4 and _area(r) != 0])
+    return assigned_rings([r for r in rings if len(r) >= 4 and _area(r) != 0])
 
 
 def _polygons(data: bytes) -> Iterator[list[dict]]:
@@ -141,13 +141,22 @@ def _holds(ring: list[tuple[float, float]], x: float, y: float) -> bool:
     return sum(crossed) % 2 == 1
 
 
-def _assigned(rings: list[list[tuple[float, float]]]) -> list[dict]:
-    """Rings with is_hole and shell: a hole's is the place of the smallest shell that holds its first point; a hole in no
-    shell is a shell itself. A shell's is its own place."""
+def _within(ring: list[tuple[float, float]]) -> tuple[float, float]:
+    """A place within a closed ring: half way between the first two crossings of a level line, which meets no corner."""
+    levels = sorted({y for _, y in ring})
+    y = max(((a + b) / 2 for a, b in zip(levels, levels[1:], strict=False)), key=lambda m: min(abs(m - v) for v in levels))
+    cuts = sorted((x2 - x1) * (y - y1) / (y2 - y1) + x1 for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False) if (y1 > y) != (y2 > y))
+    return (cuts[0] + cuts[1]) / 2, y
+
+
+def assigned_rings(rings: list[list[tuple[float, float]]]) -> list[dict]:
+    """Closed rings with is_hole and shell: a hole's is the place of the smallest shell that holds a place within the hole;
+    a hole in no shell is a shell itself. A shell's is its own place."""
     shells = [k for k, r in enumerate(rings) if _area(r) < 0]
     out = []
     for k, r in enumerate(rings):
-        around = [s for s in shells if _area(r) > 0 and _holds(rings[s], *r[0])]
+        inner = _within(r) if _area(r) > 0 else None
+        around = [s for s in shells if inner and abs(_area(rings[s])) > abs(_area(r)) and _holds(rings[s], *inner)]
         shell = min(around, key=lambda s: abs(_area(rings[s])), default=k)
         out.append({"is_hole": shell != k, "shell": shell, "pts": [{"x": x, "y": y} for x, y in r[:-1]]})
     return out

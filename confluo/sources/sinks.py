@@ -36,19 +36,25 @@ def write_station_csv(df: DataFrame, path: str, by: Sequence[str] = ("network",
     df.repartition(*by).write.mode("overwrite").partitionBy(*by).option("header", True).csv(path)
 
 
-def write_cube(df: DataFrame, path: str, value: str = "v") -> None:
-    """A cube as Parquet by year, values stored as float."""
-    stored = df.withColumn(value, F.col(value).cast("float")).withColumn("year", F.year("day"))
-    stored.write.mode("overwrite").option("compression", "zstd").partitionBy("year").parquet(path)
+def attributed(df: DataFrame, **attributes: dict) -> DataFrame:
+    """df with attributes (units, long_name, axis) added to its columns' metadata; Parquet keeps them."""
+    unknown = set(attributes) - set(df.columns)
+    if unknown:
+        raise ValueError(f"no such columns: {sorted(unknown)}")
+    for c, more in attributes.items():
+        df = df.withMetadata(c, {**df.schema[c].metadata, **more})
+    return df
+
 
+def attributes(df: DataFrame) -> dict[str, dict]:
+    """The attributes of each column that has any."""
+    return {f.name: dict(f.metadata) for f in df.schema.fields if f.metadata}
 
-def cached(spark, path: str, build, rebuild: bool = False) -> DataFrame:
-    """The table at path, built first where it is absent or to be rebuilt."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    if rebuild or not there:
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+
+def write_cube(df: DataFrame, path: str, value: str = "v") -> None:
+    """A cube as Parquet by year, values stored as float; columns keep their attributes."""
+    stored = df.withColumn(value, F.col(value).cast("float")).withMetadata(value, dict(df.schema[value].metadata)).withColumn("year", F.year("day"))
+    stored.write.mode("overwrite").option("compression", "zstd").partitionBy("year").parquet(path)
 
 
 def basin_facts(bridge: DataFrame, series: DataFrame, basin: str = "code", area: str = "km2", value: str = "v") -> DataFrame:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from confluo.plans import stages
-from confluo.sources import readers, sinks
+from confluo.operators import sm2rain
+from confluo.sources import readers, sinks, views
 from confluo.streaming.daily import complete_days
 
 
@@ -95,7 +96,6 @@ def test_wide_and_back(spark, tmp_path):
     assert w.columns == ["day", "a", "b"] and sinks.long(w, "day", "c", "v").where("v is not null").count() == 2
     sinks.write_cube(df, str(tmp_path / "cube"))
     assert {r.year for r in readers.by_year(spark, str(tmp_path / "cube"), [2024]).collect()} == {2024}
-    assert sinks.cached(spark, str(tmp_path / "cache"), lambda: df).count() == 3
 
 
 def test_stream_gives_complete_days(spark, tmp_path):
@@ -117,3 +117,54 @@ def test_stage_names_and_runs(spark, sf_dir, tmp_path):
     assert stages.run(spark, sf_dir, str(tmp_path), [stages.resolve("tca")], dry=True) == ["tca_weights", "tca_merge"]
     assert stages.missing_inputs(stages.resolve("tca"), stages._exists(spark, sf_dir)) == [] and stages.missing_inputs(stages.resolve("tca"), stages._exists(spark, str(tmp_path))) == ["events"]
     assert stages.run(spark, str(tmp_path / "none"), str(tmp_path), [stages.resolve("tca")]) == []
+
+
+def test_view_is_made_again_when_its_inputs_or_plan_change(spark, tmp_path):
+    source, path, made = str(tmp_path / "in"), str(tmp_path / "view"), []
+    spark.range(5).write.parquet(source)
+
+    def build(least=0):
+        made.append(least)
+        return spark.read.parquet(source).where(F.col("id") >= least).groupBy((F.col("id") % 2).alias("k")).agg(F.sum("id").alias("s"))
+
+    def table(**more):
+        before = views.stamp(spark, path)
+        rows = sorted(map(tuple, views.view(spark, path, lambda: build(**more)).collect()))
+        return rows, views.stamp(spark, path) != before
+
+    assert table() == ([(0, 6), (1, 4)], True)
+    assert table() == ([(0, 6), (1, 4)], False)
+    assert table(least=2) == ([(0, 6), (1, 3)], True)
+    assert table(least=2) == ([(0, 6), (1, 3)], False)
+    spark.range(5, 8).write.mode("append").parquet(source)
+    assert table(least=2) == ([(0, 12), (1, 15)], True)
+    (tmp_path / "view" / views.STAMP).unlink()
+    assert table(least=2) == ([(0, 12), (1, 15)], True)
+
+
+def test_saved_parameters_then_fallback_then_calibration(spark, tmp_path):
+    grid = spark.createDataFrame([(0, 0), (0, 1)], "i int, j int")
+    params = lambda z: grid.selectExpr("i", "j", f"{z}D AS z")
+    first, second, calls = str(tmp_path / "first"), str(tmp_path / "second"), []
+
+    def calibrate():
+        calls.append(1)
+        return params(3)
+
+    params(2).write.parquet(second)
+    params(1).where("j = 0").write.parquet(first)  # another grid's
+    assert {r.z for r in sm2rain.saved_or_calibrated(grid, [first, second], calibrate).collect()} == {2.0} and not calls
+    assert {r.z for r in sm2rain.saved_or_calibrated(grid, [first], calibrate).collect()} == {3.0} and len(calls) == 1
+    assert {r.z for r in sm2rain.saved_or_calibrated(grid, [first, second], calibrate).collect()} == {3.0} and len(calls) == 1
+
+
+def test_attributes_survive_parquet(spark, tmp_path):
+    df = spark.createDataFrame([(dt.date(2024, 1, 1), 0, 1.5)], "day date, i int, v double")
+    more = {"v": {"units": "mm d-1", "long_name": "rain"}, "i": {"axis": "Y"}}
+    df = sinks.attributed(df, **more)
+    sinks.write_cube(df, str(tmp_path / "c"))
+    back = spark.read.parquet(str(tmp_path / "c"))
+    assert sinks.attributes(back) == more and back.schema["v"].dataType.simpleString() == "float"
+    assert sinks.attributes(sinks.attributed(back, v={"units": "mm"}).select("v")) == {"v": {"units": "mm", "long_name": "rain"}}
+    with pytest.raises(ValueError, match="no such"):
+        sinks.attributed(df, w={"units": "mm"})

@@ -322,3 +322,77 @@ def test_negative_and_masked_cells(spark):
     assert sorted((r.i, r.j, r.v) for r in regrid.masked(cube, mask, "v").collect()) == [(0, 0, 0.0), (0, 1, 2.0)]
     assert regrid.masked(cube, None, "v").count() == 3
     assert sorted((r.i, r.j) for r in regrid.flipped(cube, "both", 2, 2).collect()) == [(0, 0), (1, 0), (1, 1)]
+
+
+def test_triangulation_is_delaunay():
+    r = np.random.default_rng(7)
+    lattice = np.array([(i, j) for i in range(9) for j in range(7)], float)
+    for places in (r.uniform(0, 1, (120, 2)), lattice, lattice[r.permutation(63)[:40]] * [0.1, 0.25] + 36, np.vstack([lattice[:20], lattice[:5]]), r.normal(0, 1, (60, 2)).round(1)):
+        mesh = gapfill.Triangulation(places)
+        p, tri = np.array(mesh.p, float), mesh.triangles()
+        turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        areas = [turn(*p[list(t)]) / 2 for t in tri]
+        assert min(areas) > 0 and {k for t in tri for k in t} == {min(k for k, q in enumerate(mesh.p) if q == v) if mesh.p.count(v) == 1 else next(k for t in tri for k in t if mesh.p[k] == v) for v in mesh.p}
+        hull = sorted(set(mesh.p))
+        chains = []
+        for some in (hull, hull[::-1]):
+            chain = []
+            for q in some:
+                while len(chain) > 1 and turn(chain[-2], chain[-1], q) <= 0:
+                    chain.pop()
+                chain.append(q)
+            chains += chain[:-1]
+        assert isclose(sum(areas), sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(chains, chains[1:] + chains[:1])) / 2, rel_tol=1e-12)
+        for a, b, c in tri:
+            rows = [[(x - qx, y - qy, (x - qx) ** 2 + (y - qy) ** 2) for x, y in (mesh.p[a], mesh.p[b], mesh.p[c])] for qx, qy in set(mesh.p)]
+            for (ax, ay, az), (bx, by, bz), (cx, cy, cz) in rows:
+                assert ax * (by * cz - bz * cy) - ay * (bx * cz - bz * cx) + az * (bx * cy - by * cx) <= 0
+    assert gapfill.Triangulation(np.array([[0.0, 0.0], [1.0, 1.0], [2.0, 2.0]])).triangles() == []
+
+
+def test_weights_on_a_grid_of_tenths():
+    """Cells on the hull's sides and corners of a decimal grid count as inside; time is near that of a sort."""
+    grid = np.array([(34.0 + 0.1 * i, 126.0 + 0.1 * j) for i in range(40) for j in range(30)])
+    gone = np.random.default_rng(1).random(len(grid)) < 0.3
+    gone[[0, 29, 1170, 1199]] = False
+    to, by, w = gapfill.mask_weights(grid[~gone], grid[gone])
+    field = grid @ [3.0, -2.0]
+    got = np.bincount(to, w * field[~gone][by])
+    assert np.allclose(got, field[gone], atol=1e-5) and len(got) == gone.sum()
+
+
+def test_days_of_one_mask_share_a_triangulation(spark, monkeypatch):
+    grid = [(i, j) for i in range(12) for j in range(12)]
+    rows = [(d, float(i), float(j), None if (i * 7 + j * 3 + d % 3) % 5 == 0 else 2.0 * i - j + d) for d in range(30) for i, j in grid]
+    rows += [(99, 0.0, 0.0, 1.0), (99, 1.0, 0.0, float("nan")), (98, None, 1.0, None), (97, 0.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "day int, x double, y double, v double")
+    tables, real = [], gapfill.stored
+    monkeypatch.setattr(gapfill, "stored", lambda t, tag: tables.append(real(t, tag)) or tables[-1])
+    got = {(r.day, r.x, r.y): r.filled for r in gapfill.spatial_fill(df, ["day"], "v", "x", "y").collect()}
+    assert tables[0][1]().select("_mask").distinct().count() == 3 and len(got) == len(rows)
+    near_edge = 0
+    for d, x, y, v in rows[:-4]:
+        if v is None and not isclose(got[d, x, y], 2 * x - y + d, abs_tol=1e-6):
+            near_edge += 1
+            assert min(x, y) == 0 or max(x, y) == 11
+    assert near_edge < 30 * 8 and got[99, 1.0, 0.0] is None and got[98, None, 1.0] is None and got[97, 0.0, 0.0] is None
+
+
+def test_least_squares_by_one_aggregate(spark):
+    r = np.random.default_rng(2)
+    rows = []
+    for k in range(6):
+        x = r.normal(50, 5, (40, 3)) * [1, 100, 0.01]
+        if k == 4:
+            x[:, 2] = 2 * x[:, 0]
+        if k == 5:
+            x[:, 1] = 7.0
+        rows += [(k, "t", *map(float, v), float(v @ [0.5, -0.02, 9.0] + 3 + e)) for v, e in zip(x, r.normal(0, 0.1, 40), strict=True)]
+    rows += [(7, "t", 1.0, 2.0, 3.0, 4.0), (0, "t", None, 1.0, 1.0, 1.0), (0, "t", 1.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "k int, s string, a double, b double, c double, y double")
+    got = {r.k: r for r in regress.ols_multi(df, ["k", "s"], ["a", "b", "c"], "y", 10).collect()}
+    assert set(got) == set(range(6))
+    for k in range(6):
+        m = np.array([v[2:] for v in rows[:-3] if v[0] == k])
+        want = np.linalg.lstsq(np.column_stack([m[:, :3], np.ones(40)]), m[:, 3], rcond=1e-9)[0]
+        assert np.allclose([*got[k].coef, got[k].intercept], want, rtol=1e-5, atol=1e-6) and got[k].n_fit == 40
