@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import align, regress, sm2rain, tca
+from ..operators import align, boost, regress, sm2rain, tca
 from ..sources import adapters as a
 from .preprocess import THETA_SQL, rounded, theta
 from .registry import query
@@ -112,6 +112,23 @@ def calibrate_optimizer(spark, sf_dir):
     return sm2rain.calibrate(theta(spark, sf_dir), ["cell"], "theta", "rain", min_n=MIN_N)
 
 
+@query(f"""
+WITH {a.obs_px_sql(16)}, {THETA_SQL}, {_GRID_SQL}, r AS (SELECT cell, day, rain, greatest(least(theta, 1 - 1e-6), 1e-6) AS t FROM th WHERE theta IS NOT NULL AND rain IS NOT NULL),
+dt AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY cell ORDER BY day), 0) AS d FROM r),
+tr AS (SELECT cell, a, b, z, avg((greatest(z * d + a * pow(t, b), 0) - rain) ** 2) AS mse, count(*) AS n FROM dt, gr GROUP BY 1, 2, 3, 4 HAVING count(*) >= {MIN_N})
+SELECT cell, max(n) AS n, round(min(mse), 3) AS grid_mse, true AS within_bounds, true AS not_above_grid FROM tr GROUP BY cell
+""")
+def calibrate_against_grid(spark, sf_dir):
+    """The calibration's objective against the best of a grid of parameters, which it must not exceed."""
+    grid = spark.createDataFrame(_GRID, "a double, b double, z double")
+    best = sm2rain.grid_calibrate(theta(spark, sf_dir), ["cell"], "theta", "rain", grid, min_n=MIN_N).select("cell", F.col("mse").alias("grid_mse"))
+    done = sm2rain.calibrate(theta(spark, sf_dir), ["cell"], "theta", "rain", min_n=MIN_N, candidates=_GRID).join(best, "cell")
+    within = F.lit(True)
+    for k, (low, high) in enumerate(sm2rain.BOUNDS):
+        within = within & F.get("params", F.lit(k)).between(low, high)
+    return done.select("cell", "n", F.round("grid_mse", 3).alias("grid_mse"), within.alias("within_bounds"), (F.col("mse") <= F.col("grid_mse") * F.lit(1 + 1e-9)).alias("not_above_grid"))
+
+
 @query()
 def calibrate_infiltration(spark, sf_dir):
     return sm2rain.calibrate(theta(spark, sf_dir), ["cell"], "theta", "rain", "infiltration", min_n=MIN_N)
@@ -180,3 +197,39 @@ def gbt_bias_correct(spark, sf_dir):
 @query()
 def gbt_gauge_fusion(spark, sf_dir):
     return _boosted(spark, sf_dir, "aws")
+
+
+def _boost_rows(spark, sf_dir):
+    """Three products, place and target, on the events' users and days, which grow with the scale."""
+    keys = [(F.col("user_id") % 16).cast("double").alias("lat"), F.col("user_id").cast("double").alias("lon"), F.to_date("ts").alias("day")]
+    means = [F.avg(F.when(F.col("event_type") == t, F.col("value"))).alias(p) for p, t in a.PRODUCTS.items()]
+    return a.table(spark, sf_dir, "events").groupBy(*keys).agg(*means).withColumn("any", F.coalesce("sm2rain", "era5", "gpm"))
+
+
+_BOOST_SQL = f"""bo AS (SELECT user_id % 16 AS lat, user_id AS lon, CAST(ts AS DATE) AS day, {", ".join(f"avg(value) FILTER (WHERE event_type = '{t}') AS {p}" for p, t in a.PRODUCTS.items())} FROM events GROUP BY 1, 2, 3),
+ro AS (SELECT *, coalesce(sm2rain, era5, gpm) AS any_of FROM bo), va AS (SELECT * FROM ro WHERE any_of > 0)"""
+
+
+def _leafwise(spark, sf_dir):
+    rows = _boost_rows(spark, sf_dir)
+    return boost.corrected(rows, ["any", "lon", "lat"], ["any"], "aws", F.col("day") < F.lit("2024-01-21").cast("date"))
+
+
+@query(f"""
+WITH {_BOOST_SQL} SELECT count(*) AS n, (SELECT count(*) FROM va) AS n_predicted, (SELECT count(*) FROM va WHERE aws > 0 AND day < DATE '2024-01-21') AS n_fit, true AS none_negative, true AS better_than_mean FROM ro
+""")
+def leafwise_bias_correct(spark, sf_dir):
+    """Counts of the rows that a leaf-wise model predicts; its guesses are never negative, and on the rows of the fit they are
+    nearer than the mean."""
+    rows, model = _leafwise(spark, sf_dir)
+    fitted = F.col("pred").isNotNull() & (F.col("aws") > 0) & (F.col("day") < F.lit("2024-01-21").cast("date"))
+    y = F.when(fitted, F.col("aws"))
+    sums = rows.agg(F.count("*").alias("n"), F.count("pred").alias("n_predicted"), F.count(y).alias("n_fit"), F.min("pred").alias("low"), F.avg((y - F.col("pred")) ** 2).alias("mse"), F.var_pop(y).alias("var"))
+    return sums.select("n", "n_predicted", "n_fit", F.coalesce(F.col("low") >= 0, F.lit(True)).alias("none_negative"), F.coalesce(F.col("mse") <= F.col("var"), F.lit(True)).alias("better_than_mean"))
+
+
+@query()
+def leafwise_importances(spark, sf_dir):
+    """How often, and with what gain, the model's trees split by each feature."""
+    rows, model = _leafwise(spark, sf_dir)
+    return boost.importances(rows, model)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from confluo.functions import scalars
 from confluo.functions.projection import TransverseMercator
-from confluo.operators import basin, events, freq, gapfill, geo, metrics, regress, regrid, sm2rain, tca, time
+from confluo.operators import basin, boost, events, freq, gapfill, geo, metrics, regress, regrid, sm2rain, tca, time
 
 DAY = dt.date(2024, 1, 1)
 
@@ -396,3 +396,78 @@ def test_least_squares_by_one_aggregate(spark):
         m = np.array([v[2:] for v in rows[:-3] if v[0] == k])
         want = np.linalg.lstsq(np.column_stack([m[:, :3], np.ones(40)]), m[:, 3], rcond=1e-9)[0]
         assert np.allclose([*got[k].coef, got[k].intercept], want, rtol=1e-5, atol=1e-6) and got[k].n_fit == 40
+
+
+def test_minima_within_bounds():
+    rng = np.random.default_rng(5)
+    centre, weight = rng.uniform(-1, 3, (200, 3)), rng.uniform(0.1, 50, (200, 3))
+    x, v = sm2rain.minimise(lambda k, y: (weight[k] * (y - centre[k]) ** 2).sum(1), np.full((200, 3), 0.3), np.zeros(3), np.full(3, 2.0))
+    assert np.allclose(x, np.clip(centre, 0, 2), atol=1e-3) and np.allclose(v, (weight * (np.clip(centre, 0, 2) - centre) ** 2).sum(1), atol=1e-4)
+    valley = lambda k, y: (1 - y[:, 0]) ** 2 + 100 * (y[:, 1] - y[:, 0] ** 2) ** 2
+    assert sm2rain.minimise(valley, np.array([[-1.2, 1.0]]), np.full(2, -2.0), np.full(2, 2.0))[1][0] < 1e-3
+
+
+def test_many_pixels_are_calibrated_together(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(643):
+        n = 20 if k == 5 else int(rng.integers(40, 90))
+        t = np.clip(np.cumsum(rng.normal(0, 0.1, n)) % 1, 0.01, 0.99)
+        true = np.array([rng.uniform(5, 60), rng.uniform(2, 12), rng.uniform(5, 60)])
+        rows += [(k, day(i), float(a), float(b)) for i, (a, b) in enumerate(zip(t, sm2rain.basic_rain(t, true), strict=True))]
+    df = spark.createDataFrame(rows, "cell int, day date, t double, p double").withColumn("t", F.when(F.col("cell") != 6, F.col("t")))
+    got = {r.cell: r for r in sm2rain.calibrate(df, ["cell"], "t", "p").collect()}
+    assert set(got) == set(range(643)) - {6} and got[5].params is None and got[5].n == 20
+    spread = {r.cell: r.s for r in df.groupBy("cell").agg(F.var_pop("p").alias("s")).collect()}
+    ratio = np.array([got[k].mse / spread[k] for k in got if k != 5])
+    assert np.median(ratio) < 1e-4 and (ratio < 0.05).mean() > 0.95
+
+
+def wavy(spark, n=3000, seed=1):
+    r = np.random.default_rng(seed)
+    x = r.uniform(0, 10, (n, 3))
+    y = 20 + 5 * np.sin(x[:, 0]) + np.where(x[:, 1] > 3, 8, 0) * (x[:, 0] > 5) + r.normal(0, 0.5, n)
+    return spark.createDataFrame([(*map(float, v), float(t)) for v, t in zip(x, y, strict=True)], "a double, b double, noise double, y double")
+
+
+def test_leafwise_trees(spark):
+    df = wavy(spark)
+    s = boost.Settings(trees=40, rate=0.1, columns=1.0)
+    one = boost.fit(df, ["a", "b", "noise"], "y", s)
+    sizes = np.diff(np.append(one.roots, len(one.feature)))
+    assert len(one.roots) == 40 and sizes.max() <= 2 * 31 - 1
+    x, y = np.array(df.select("a", "b", "noise").collect()), np.array([r.y for r in df.select("y").collect()])
+    assert ((one.predict(x) - y) ** 2).mean() < 0.05 * y.var()
+    # Several tasks sum their histograms to the same trees.
+    many = boost.fit(df, ["a", "b", "noise"], "y", s, rows_a_task=900)
+    assert np.array_equal(many.feature, one.feature) and np.allclose(many.threshold, one.threshold) and np.allclose(many.value, one.value)
+    # No leaf is smaller than the least; splits by noise gain little.
+    reach = np.zeros(len(one.feature), int)
+    for root in one.roots:
+        at = np.full(len(x), root)
+        while (inner := one.feature[at] >= 0).any():
+            at[inner] = np.where(x[inner, one.feature[at[inner]]] <= one.threshold[at[inner]], one.left[at[inner]], one.right[at[inner]])
+        reach += np.bincount(at, minlength=len(reach))
+    assert reach[one.feature < 0].min() >= 30
+    found = {r.feature: r for r in boost.importances(df, one).collect()}
+    assert found["a"].gain > found["b"].gain > 20 * found["noise"].gain
+
+
+def test_leafwise_is_nearer_than_levelwise(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    df, new = wavy(spark), wavy(spark, 800, 9)
+    model = boost.fit(df, ["a", "b", "noise"], "y", boost.Settings(trees=25, rate=0.2))
+    mine = boost.predicted(new, model, F.lit(True)).agg(F.avg((F.col("pred") - F.col("y")) ** 2).alias("m")).first().m
+    pack = VectorAssembler(inputCols=["a", "b", "noise"], outputCol="x").transform
+    level = GBTRegressor(featuresCol="x", labelCol="y", maxIter=25, stepSize=0.2, maxDepth=5, minInstancesPerNode=30, seed=1).fit(pack(df))
+    assert mine < level.transform(pack(new)).agg(F.avg((F.col("prediction") - F.col("y")) ** 2).alias("m")).first().m
+
+
+def test_leafwise_with_few_or_no_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (None, 1.0)], "a double, y double")
+    few = boost.fit(df, ["a"], "y", boost.Settings(trees=3))
+    assert few.base == 3.0 and [r.pred for r in boost.predicted(df, few, F.col("a").isNotNull()).orderBy("y").collect()] == [None, 3.0, 3.0]
+    none = boost.fit(df.limit(0), ["a"], "y")
+    assert none.base is None and {r.pred for r in boost.predicted(df, none, F.col("a") > 0).collect()} == {None}
