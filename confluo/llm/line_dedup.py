@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .common import Scratch, row_key, unused, write
-from .linking import described, link_similar, placed_keys, same_before, shared_rows
+from .linking import described, link_similar, may_hold, placed_keys, same_before, set_bits, shared_rows
 from .pretokens import text_runs
 
 #: Characters a shingle; bands of minwise hashes: lines of similarity 0.75 share no band with a chance of 4 in 1,000, of
@@ -21,8 +21,6 @@ from .pretokens import text_runs
 SHINGLE, BANDS, ROWS = 10, 10, 3
 #: Characters hashed at once: their arrays fit the processor's cache.
 RUN = 1 << 18
-#: Bits of the filter that leaves lines without candidates where they are: its size is fixed.
-FILTER_BITS = 26
 #: A line's id: 128 bits of its normal form.
 ID = "struct<a: long, b: long>"
 
@@ -82,16 +80,6 @@ def _places(parts):
             yield pa.record_batch(columns, names=["doc_key", "doc_id", "line", "id", "bands"])
 
 
-def _set_bits(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size: bits that ids set, by their top bits."""
-    bit = F.shiftrightunsigned("id.a", 64 - FILTER_BITS)
-    one = F.call_function("shiftleft", F.lit(1), F.pmod(bit, F.lit(8)).cast("int"))
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for byte, held in ids.groupBy(F.shiftright(bit, 3).alias("byte")).agg(F.bit_or(one).alias("bits")).toLocalIterator():
-        bits[byte] = held
-    return bits
-
-
 def _hashes(lines: list[str]) -> list[np.ndarray]:
     shingles, first = hashing.char_shingles(lines, SHINGLE)
     return [np.unique(shingles[a:b]) for a, b in zip(first, first[1:], strict=False)]
@@ -133,7 +121,7 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
 
     def lines_of(ids: DataFrame) -> DataFrame:
         """The normal form of each line wanted; lines that the filter stops are not moved."""
-        bits = _set_bits(ids)
+        bits = set_bits(ids)
 
         def run(parts):
             for part in parts:
@@ -141,8 +129,7 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
                     lines = list(dict.fromkeys(_lines(some, SHINGLE)[0]))
                     if lines:
                         found = _ids(lines)
-                        place = found[:, 0].view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-                        hit = np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                        hit = np.flatnonzero(may_hold(bits, found[:, 0]))
                         yield pa.record_batch([_id_array(found[hit]), pa.array([lines[i] for i in hit], pa.string())], names=["id", "set"])
 
         return described(texts.select("text").mapInArrow(run, f"id {ID}, set string").join(ids, "id", "left_semi").dropDuplicates(["id"]), _hashes)

@@ -25,6 +25,8 @@ from .pretokens import text_runs
 SKETCH = 32
 #: Rows that one task groups by key, and holders of a key that one task compares with the others.
 ROWS_A_TASK, HOLDERS_A_TASK = 1 << 20, 1 << 12
+#: Bits of the filter that leaves texts without candidates where they are: its size is fixed.
+FILTER_BITS = 26
 #: The low bits of a key are the place of its table.
 PLACES = 1 << 8
 #: A key with this many rows in a sample of 64 rows a task is dealt to several tasks, by the id too.
@@ -122,6 +124,22 @@ def shared_rows(rows: DataFrame, count: int) -> DataFrame:
     return found.select("key", whole.alias("id"), "c")
 
 
+def set_bits(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size for ids (structs whose a is a hash): bits that they set, by the top bits of a."""
+    bit = F.shiftrightunsigned("id.a", 64 - FILTER_BITS)
+    one = F.call_function("shiftleft", F.lit(1), F.pmod(bit, F.lit(8)).cast("int"))
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for byte, held in ids.groupBy(F.shiftright(bit, 3).alias("byte")).agg(F.bit_or(one).alias("bits")).toLocalIterator():
+        bits[byte] = held
+    return bits
+
+
+def may_hold(bits: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Whether ids with these a may be among those of set_bits."""
+    place = a.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def components(edges: DataFrame, into: Scratch | None = None) -> DataFrame:
     """Union-find over edges (a, b): id, component (its least id) of every id with an edge; its table belongs to into.
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .common import Scratch, row_key, unused, write
-from .linking import PLACES, described, link_similar, placed_keys, same_before, shared_rows
+from .linking import PLACES, described, link_similar, may_hold, placed_keys, same_before, set_bits, shared_rows
 from .pretokens import text_runs
 
 #: Half keys a side, and minwise hashes a half key: a pair of similarity 0.75 shares no key with a chance of 1 in 10,000.
@@ -104,7 +104,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     live = old.write(_shared_tables(halves, old), "shared-tables")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = named.select(F.col("row_key").alias("id"), F.col("text").alias("set")).join(ids, "id", "left_semi").dropDuplicates(["id"])
+        bits = set_bits(ids)
+
+        def run(parts):
+            for part in parts:
+                yield part.filter(pa.array(may_hold(bits, part.column(0).field("a").to_numpy())))
+
+        # Texts that the filter stops are not moved.
+        moved = named.select(F.col("row_key").alias("id"), F.col("text").alias("set")).mapInArrow(run, f"id {ID}, set string")
+        wanted = moved.join(ids, "id", "left_semi").dropDuplicates(["id"])
         return described(wanted, lambda texts: hashing.word_shingles(texts, SHINGLE))
 
     linked = link_similar(live, sets_of, halves().select("id", "key"), 2 * HALVES, _first_met, shingle_set, percent, old)
