@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from . import files
@@ -322,3 +323,10 @@ def load(spark: SparkSession, path: str, variable: str | None = None, **options)
     spark.dataSource.register(CubeSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("cube").options(**({"variable": variable} if variable else {}), **options).load(path)
+
+
+def accumulated_hours(spark: SparkSession, path: str, lat: tuple[float, float], lon: tuple[float, float], variable: str = "tp", **options) -> DataFrame:
+    """Running totals of a day's hours in a box, from day files in metres: i, j, lat, lon, day, hour, mm, ready for
+    `operators.time.deaccumulate`, which takes hours that don't follow each other as missing. Only the box is read."""
+    rows = load(spark, path, variable, **options).where(F.col("lat").between(*lat) & F.col("lon").between(*lon))
+    return rows.select("i", "j", "lat", "lon", "day", F.hour("time").alias("hour"), (F.col("v") * 1000).alias("mm"))

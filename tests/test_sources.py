@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
 from test_io import dbf, shp
 
+from confluo.operators import time
 from confluo.sources import cubes, files, readers, shapes
 
 
@@ -206,3 +207,19 @@ def test_packed_values_and_other_formats(spark, tmp_path):
     (tmp_path / "h.nc").write_bytes(b"\x89HDF\r\n\x1a\n" + b"\0" * 100)
     with pytest.raises(Exception, match="not a classic"):
         cubes.load(spark, str(tmp_path / "h.nc")).count()
+
+
+def test_day_files_of_running_totals(spark, tmp_path):
+    """Two day files in metres to hourly amounts in a box; the last hour comes from the next day's first total."""
+    hourly = np.random.default_rng(8).uniform(0, 3, (48, 4, 3))
+    for d in (0, 1):
+        total = np.empty((24, 4, 3))
+        for h in range(24):
+            total[h] = hourly[24 * d : 24 * d + h].sum(0) if h else (hourly[:24].sum(0) if d else 0)
+        some = {"latitude": (("latitude",), LAT, {}), "longitude": (("longitude",), LON, {}), "time": (("time",), np.arange(24.0) + 24 * d, {"units": "hours since 2021-01-01"}), "tp": (("time", "latitude", "longitude"), total / 1000, {})}
+        classic(tmp_path / f"day{d}.nc", {"latitude": 4, "longitude": 3, "time": 24}, some, 2, "time")
+    rows = cubes.accumulated_hours(spark, str(tmp_path), (36.9, 37.6), (126.4, 127.1))
+    got = {((r.day - dt.date(2021, 1, 1)).days * 24 + r.hour, r.i, r.j): r.amount for r in time.deaccumulate(rows, ["i", "j"], "mm").collect()}
+    assert len(got) == 48 * 2 * 2 and {k[1:] for k in got} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+    for (h, i, j), x in got.items():
+        assert x is None if h == 47 else abs(x - hourly[h, 3 - i, j]) < 1e-6
