@@ -21,6 +21,8 @@ from .pretokens import text_runs
 SHINGLE, BANDS, ROWS = 10, 10, 3
 #: Characters hashed at once: their arrays fit the processor's cache.
 RUN = 1 << 18
+#: Lines that a task remembers, so that it gives the bands of a line once: beyond these it forgets them, which costs work only.
+KNOWN = 1 << 18
 #: A line's id: 128 bits of its normal form.
 ID = "struct<a: long, b: long>"
 
@@ -53,8 +55,9 @@ def _lines(texts: list[str], shortest: int = 1) -> tuple[list[str], list[int], l
 
 
 def _places(parts):
-    """A row for each line, with its bands where it is the first of its kind in the run. A line shorter than a shingle is
+    """A row for each line, with its bands where it is the first of its kind that the task knows. A line shorter than a shingle is
     its own only shingle, so it is similar to equal lines alone: its id says all, and it has no bands."""
+    known: set[bytes] = set()
     for part in parts:
         at = 0
         for some, texts in text_runs(part.column(2), part.column(2), most=RUN):
@@ -65,18 +68,23 @@ def _places(parts):
             kinds = list(dict.fromkeys(lines))
             of = {x: i for i, x in enumerate(kinds)}
             which = np.array([of[x] for x in lines])
-            wide = np.array([len(x) >= SHINGLE for x in kinds])
+            ids = _ids(kinds)
+            digests = [x.tobytes() for x in ids]
+            new = np.array([len(x) >= SHINGLE and d not in known for x, d in zip(kinds, digests, strict=True)])
             keys = np.zeros((len(kinds), BANDS), np.int64)
-            if wide.any():
-                shingles, first = hashing.char_shingles([x for x in kinds if len(x) >= SHINGLE], SHINGLE)
-                keys[wide] = placed_keys(hashing.keys(hashing.minwise(shingles, first, BANDS * ROWS), ROWS, 11))
+            if new.any():
+                shingles, first = hashing.char_shingles([kinds[i] for i in np.flatnonzero(new)], SHINGLE)
+                keys[new] = placed_keys(hashing.keys(hashing.minwise(shingles, first, BANDS * ROWS), ROWS, 11))
+                known.update(digests[i] for i in np.flatnonzero(new))
+                if len(known) > KNOWN:
+                    known.clear()
             fresh = np.zeros(len(lines), bool)
             fresh[np.unique(which, return_index=True)[1]] = True
-            fresh &= wide[which]
+            fresh &= new[which]
             offsets = np.concatenate([[0], np.cumsum(fresh * BANDS)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[which[fresh]].ravel()))
             owners = pa.array(np.array(owner) + here)
-            columns = [part.column(0).take(owners), part.column(1).take(owners), pa.array(place, pa.int32()), _id_array(_ids(kinds)[which]), bands]
+            columns = [part.column(0).take(owners), part.column(1).take(owners), pa.array(place, pa.int32()), _id_array(ids[which]), bands]
             yield pa.record_batch(columns, names=["doc_key", "doc_id", "line", "id", "bands"])
 
 

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,26 @@ def test_line_dedup_short_lines(spark):
     assert got == {0: (texts[0], []), 1: ("\nShare this page\ny", [0]), 2: ("Read moro\n ", [0, 1, 3]), 3: ("aaaaaaaaaa\naaaaaaaaa", [1]), 4: ("", [0])}
 
 
+@pytest.mark.parametrize("known", [1 << 18, 3])
+def test_a_task_gives_the_bands_of_a_line_once(monkeypatch, known):
+    """A line that half of all rows are: its bands stand in one row a task, not in one a run of texts. A task that forgets
+    gives them more often, never less."""
+    monkeypatch.setattr(line_dedup, "KNOWN", known)
+    monkeypatch.setattr(line_dedup, "RUN", 1 << 10)
+    common = "a line that very many documents of the corpus share"
+    texts = [f"{common}\na line of its own, number {i} of them\nshort" for i in range(400)]
+    keys = pa.array([{"a": i, "b": -i} for i in range(400)])
+    part = pa.record_batch([keys, pa.array(range(400)), pa.array(texts)], names=["doc_key", "doc_id", "text"])
+    rows = [r for b in line_dedup._places([part.slice(0, 150), part.slice(150)]) for r in b.to_pylist()]
+    assert len(rows) == 1200
+    given = Counter((r["id"]["a"], r["id"]["b"]) for r in rows if r["bands"])
+    at = next((r["id"]["a"], r["id"]["b"]) for r in rows if r["doc_id"] == 0 and r["line"] == 0)
+    assert len(given) == 401
+    assert all(len(r["bands"]) in (0, line_dedup.BANDS) for r in rows)
+    assert given.pop(at) == 1 if known > 3 else given.pop(at) > 1
+    assert set(given.values()) == {1}
+
+
 @pytest.mark.parametrize("words", range(5, 17))
 def test_no_window_misses_every_mask(words):
     window, substitutions = decontaminate.tolerance(words)
