@@ -11,10 +11,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, qualified
+from .common import fresh_path, qualified, write
 from .pretokens import PieceCache, text_runs
 
 MAGIC = b"EFIDS001"
@@ -198,7 +198,7 @@ def write_token_files(
             with fs.open_output_stream(f"{root}/.{name}.{task.taskAttemptId()}") as f:
                 f.write(pack(keys, ids, largest))
             fs.move(f"{root}/.{name}.{task.taskAttemptId()}", f"{root}/{name}")
-            row = pa.record_batch([[name], [len(keys)], [held]], names=["file", "n_docs", "n_ids"])
+            row = pa.record_batch([pa.array([task.partitionId()], pa.int32()), [name], [len(keys)], [held]], names=["task", "file", "n_docs", "n_ids"])
             keys, ids, held, made = [], [], 0, made + 1
             return row
 
@@ -216,12 +216,12 @@ def write_token_files(
     # The random second key splits the rows of one document id too; a written order is the sort below.
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.rand(5).alias("tie"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    files = ordered.select("doc_id", "text").mapInArrow(run, "file string, n_docs long, n_ids long").collect()  # a row a file
-    start, rows = 0, []
-    for f in sorted(files):
-        rows.append((*f, start))
-        start += f.n_ids
-    return docs.sparkSession.createDataFrame(rows, "file string, n_docs long, n_ids long, start long")
+    files = write(ordered.select("doc_id", "text").mapInArrow(run, "task int, file string, n_docs long, n_ids long"), "token-files-made")
+    # Ids before a task's files: a row a task; before a file: among those of its task.
+    of_tasks = files().groupBy("task").agg(F.sum("n_ids").alias("held"))
+    before = of_tasks.select("task", F.coalesce(F.sum("held").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("task").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return files().withColumn("inside", inside).join(before, "task").select("file", "n_docs", "n_ids", (F.col("before") + F.col("inside")).alias("start"))
 
 
 def _read(path: str, step: int = 256):

@@ -111,6 +111,8 @@ def test_token_files(spark):
     got = token_files.read_token_files(spark, path, manifest).orderBy("start").collect()
     t = Tokenizer.from_file(VOCABULARY)
     assert [r.doc_id for r in got] == [None, 1, 1, 2, 3, 4] and manifest.count() > 1
+    files = sorted(manifest.collect())
+    assert [f.start for f in files] == [sum(f.n_ids for f in files[:i]) for i in range(len(files))]
     start, by_id = 0, {d: x for d, x, _ in ROWS}
     for r in got:
         assert r.start == start and list(r.ids) == [*t.encode(by_id[r.doc_id] or "", add_special_tokens=False).ids, 0]
