@@ -26,6 +26,10 @@ LEAST_WORDS = 5
 ID = "struct<a: long, b: long>"
 #: Bits of the filter that drops document hashes no test item has: its size is fixed, whatever the benchmark's.
 FILTER_BITS = 26
+#: Places beside each other at which an item may stand are looked at together, so many words at most beyond the item's.
+STRETCH = 1 << 12
+#: Bytes of stretches that a task gives at once.
+GIVEN = 1 << 23
 
 
 def tolerance(words: int) -> tuple[int, int]:
@@ -84,6 +88,21 @@ def _spans(item: np.ndarray, text: np.ndarray, shift: int) -> list[tuple[int, in
     return [(a + int(s), a + int(e) + window, int(equal[e + window] - equal[s])) for s, e in zip(good[np.r_[0, cuts + 1]], good[np.r_[cuts, len(good) - 1]], strict=True)]
 
 
+def _stretches(shifts: np.ndarray, words: int, most: int) -> list[tuple[int, int, np.ndarray]]:
+    """Parts (start, end, shifts from the start) of a text of most words in which an item of so many words may stand at these
+    shifts. Shifts further apart than the item is long have parts of their own, which don't overlap."""
+    shifts = np.sort(shifts)
+    new = np.concatenate([[True], np.diff(shifts) > words])
+    block = (shifts - shifts[new][np.cumsum(new) - 1]) // STRETCH
+    new[1:] |= block[1:] != block[:-1]
+    first = np.append(np.flatnonzero(new), len(shifts))
+    out = []
+    for a, b in zip(first, first[1:], strict=False):
+        start = max(0, int(shifts[a]))
+        out.append((start, min(most, int(shifts[b - 1]) + words), shifts[a:b] - start))
+    return out
+
+
 def _named(words: list[bytes], names: dict[bytes, int]) -> np.ndarray:
     """Words as numbers; -1 stands for words that have none."""
     return np.array([names.get(w, -1) for w in words], np.int64)
@@ -103,8 +122,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     are ignored, whatever their names; empty tables give empty or clean results. Texts of any length are taken whole.
 
     One pass hashes whole documents and keeps what a filter of fixed size lets through; only these hashes are shuffled,
-    and only the texts that have hits are moved, once for each item that may stand in them: a row is one text, one item
-    and the places to look at.
+    and only the texts that have hits are moved, once, with the places to look at: a row is a text and its hits. Stretches
+    around the hits are then cut out and meet their items: a row is an item and little more of the text than its length.
     """
     old = Scratch(docs.sparkSession)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -120,10 +139,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 for m, mask in enumerate(masks(*tolerance(len(h)))):
                     _, at, seed = _seed_hashes(h, first, mask)
                     n = len(at)
-                    columns = [np.full(n, window, np.int32), np.full(n, m, np.int32), seed]
-                    yield pa.record_batch([*map(pa.array, columns), part.column(0).take(pa.array(np.full(n, i))), pa.array(at)], names=["window", "mask", "seed", "item", "at"])
+                    columns = [np.full(n, window, np.int32), np.full(n, m, np.int32), np.full(n, len(h), np.int64), seed]
+                    yield pa.record_batch([*map(pa.array, columns), part.column(0).take(pa.array(np.full(n, i))), pa.array(at)], names=["window", "mask", "words", "seed", "item", "at"])
 
-    tests = old.write(items().select("item", "text").mapInArrow(test_seeds, f"window int, mask int, seed long, item {ID}, at long"), "bench-seeds")
+    tests = old.write(items().select("item", "text").mapInArrow(test_seeds, f"window int, mask int, words long, seed long, item {ID}, at long"), "bench-seeds")
     windows = sorted(r[0] for r in tests().select("window").distinct().collect())  # at most WINDOW values
     bit = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
     bytes_set = tests().groupBy(F.shiftright(bit, 3).alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.pmod(bit, F.lit(8)).cast("int"))).alias("bits"))
@@ -150,28 +169,47 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     named = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("doc_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     seeds = named.select("doc_key", "text").mapInArrow(doc_seeds, f"window int, mask int, seed long, doc_key {ID}, place long")
-    hits = seeds.join(tests(), ["window", "mask", "seed"]).select("doc_key", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
-    hits = old.write(hits, "bench-hits")
-    held = old.write(hits().groupBy("doc_key", "item").agg(F.collect_list("shift").alias("shifts")), "bench-held")
-    hit_texts = named.join(held().select("doc_key").distinct(), "doc_key", "left_semi").dropDuplicates(["doc_key"])
-    held = hit_texts.join(held(), "doc_key").join(items().select("item", "item_id", F.col("text").alias("item_text")), "item").select("doc_key", "text", "item_id", "item_text", "shifts")
+    hits = seeds.join(tests(), ["window", "mask", "seed"]).select("doc_key", "item", "words", (F.col("place") - F.col("at")).alias("shift")).distinct()
+    of_items = hits.groupBy("doc_key", "item", "words").agg(F.collect_list("shift").alias("shifts"))
+    held = old.write(of_items.groupBy("doc_key").agg(F.collect_list(F.struct("item", "words", "shifts")).alias("held")), "bench-held")
+    hit_texts = named.join(held().select("doc_key"), "doc_key", "left_semi").dropDuplicates(["doc_key"])
+
+    def cut(parts):
+        for part in parts:
+            rows, size = [], 0
+            for key, text, held in zip(*(part.column(c) for c in range(3)), strict=True):
+                words, key = hashing.word_texts(text.as_py()), key.as_py()
+                for one in held:
+                    item, n, shifts = one["item"].as_py(), one["words"].as_py(), one["shifts"].values.to_numpy()
+                    for start, end, at in _stretches(shifts, n, len(words)):
+                        rows.append((key, item, start, b" ".join(words[start:end]).decode(), at.tolist()))
+                        size += len(rows[-1][3])
+                        if size > GIVEN:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                            rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    two = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+    kinds, names = [two, two, pa.int64(), pa.string(), pa.list_(pa.int64())], ["doc_key", "item", "from", "part", "shifts"]
+    stretches = hit_texts.select("doc_key", "text").join(held(), "doc_key").mapInArrow(cut, f"doc_key {ID}, item {ID}, `from` long, part string, shifts array<long>")
+    met = stretches.join(items().withColumnRenamed("text", "item_text"), "item").select("doc_key", "item_id", "item_text", "from", "part", "shifts")
 
     def verify(parts):
         for part in parts:
             for i in range(len(part)):
                 names: dict[bytes, int] = {}
-                words = np.array([names.setdefault(w, len(names)) for w in hashing.word_texts(part.column(1)[i].as_py())], np.int64)
-                item, spans = _named(hashing.word_texts(part.column(3)[i].as_py()), names), set()
-                if len(item) >= LEAST_WORDS or len(item) == len(words):
-                    for shift in part.column(4)[i].as_py():
-                        spans.update(_spans(item, words, shift))
+                words = np.array([names.setdefault(w, len(names)) for w in hashing.word_texts(part.column(4)[i].as_py())], np.int64)
+                item, spans, start = _named(hashing.word_texts(part.column(2)[i].as_py()), names), set(), part.column(3)[i].as_py()
+                for shift in part.column(5)[i].as_py():
+                    spans.update((start + a, start + b, equal) for a, b, equal in _spans(item, words, shift))
                 if spans:
                     columns = [pa.array(c, pa.int64()) for c in zip(*sorted(spans), strict=True)]
                     at = pa.array(np.full(len(spans), i))
-                    yield pa.record_batch([part.column(0).take(at), part.column(2).take(at), *columns], names=["doc_key", "item_id", "start", "end", "equal"])
+                    yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), *columns], names=["doc_key", "item_id", "start", "end", "equal"])
 
     span = F.struct("item_id", "start", "end", "equal")
-    found = held.mapInArrow(verify, f"doc_key {ID}, item_id long, start long, end long, equal long").groupBy("doc_key").agg(F.sort_array(F.collect_set(span)).alias("spans"))
+    found = met.mapInArrow(verify, f"doc_key {ID}, item_id long, start long, end long, equal long").groupBy("doc_key").agg(F.sort_array(F.collect_set(span)).alias("spans"))
     found = write(found, "bench-spans")
     old.clear()
     out = named.select("doc_id", "doc_key").join(found(), "doc_key", "left")
