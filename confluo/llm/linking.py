@@ -29,7 +29,7 @@ ROWS_A_TASK, HOLDERS_A_TASK = 1 << 20, 1 << 12
 FILTER_BITS = 26
 #: The low bits of a key are the place of its table.
 PLACES = 1 << 8
-#: A key with this many rows in a sample of 64 rows a task is dealt to several tasks, by the id too.
+#: A key with this many rows in a sample of 64 rows a task is dealt to tasks by its ids.
 SAMPLED, HOT = 64, 16
 
 
@@ -75,22 +75,20 @@ def placed_keys(keys: np.ndarray) -> np.ndarray:
 def shared_rows(rows: DataFrame, count: int) -> DataFrame:
     """The distinct rows (key long, id) whose key several ids hold, with c, the key's rows: one shuffle.
 
-    count: the number of rows, or more. A key that fills a good part of a task is found in a sample of bounded size and
-    dealt to tasks by its ids too; its rows all stay, and c counts those in one task.
+    count: the number of rows, or more. A key that fills a good part of a task is found in a sample of bounded size; its
+    ids are found by an aggregate, which meets copies of one id before the shuffle and deals the key by its ids. They all
+    stay, and c is what the sample says of the key's rows.
     """
     spark = rows.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // ROWS_A_TASK))
-    sampled = rows.select("key").sample(min(1.0, SAMPLED * tasks / max(count, 1)), 9)
-    hot = sampled.groupBy("key").count().where(F.col("count") >= HOT).select("key").toArrow()["key"].to_numpy()  # at most SAMPLED / HOT a task
+    share = min(1.0, SAMPLED * tasks / max(count, 1))
+    hot = rows.select("key").sample(share, 9).groupBy("key").count().where(F.col("count") >= HOT).toArrow()  # at most SAMPLED / HOT a task
     kind = rows.schema["id"].dataType
     parts_of_id = [F.col(f"id.{f}").alias(f"id_{f}") for f in kind.names] if isinstance(kind, T.StructType) else [F.col("id").alias("id_")]
-    dealt = rows.select("key", *parts_of_id)
+    dealt = cold = rows.select("key", *parts_of_id)
     if len(hot):
-        named = spark.createDataFrame([(int(h), True) for h in hot], "key long, hot boolean")
-        part = F.when(F.col("hot"), F.pmod(F.hash(*dealt.columns[1:]), F.lit(256))).otherwise(F.lit(0))
-        dealt = dealt.join(F.broadcast(named), "key", "left").repartition(tasks, "key", part).drop("hot")
-    else:
-        dealt = dealt.repartition(tasks, "key")
+        named = spark.createDataFrame([(k, int(n / share)) for k, n in zip(*hot.to_pydict().values(), strict=True)], "key long, c long")
+        cold = dealt.join(F.broadcast(named), "key", "left_anti")
 
     def run(parts):
         parts = list(parts)
@@ -103,7 +101,7 @@ def shared_rows(rows: DataFrame, count: int) -> DataFrame:
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(key)))
         which = np.repeat(np.arange(len(start)), size)
-        stays = np.isin(key[start], hot) if len(hot) else np.zeros(len(start), bool)
+        stays = np.zeros(len(start), bool)
         for f in fields:
             stays |= np.bincount(which, f != f[start][which], len(start)) > 0
         kept = np.flatnonzero(stays[which])
@@ -119,7 +117,9 @@ def shared_rows(rows: DataFrame, count: int) -> DataFrame:
             some = kept[a : a + (1 << 16)]
             yield pa.record_batch([pa.array(x) for x in (key[some], *(f[some] for f in fields), size[which[some]])], names=[*t.column_names, "c"])
 
-    found = dealt.mapInArrow(run, T.StructType([*dealt.schema.fields, T.StructField("c", T.LongType())]))
+    found = cold.repartition(tasks, "key").mapInArrow(run, T.StructType([*dealt.schema.fields, T.StructField("c", T.LongType())]))
+    if len(hot):
+        found = found.union(dealt.join(F.broadcast(named), "key").select(*found.columns).distinct())
     whole = F.struct(*[F.col(c).alias(c[3:]) for c in found.columns[1:-1]]) if isinstance(kind, T.StructType) else F.col("id_")
     return found.select("key", whole.alias("id"), "c")
 

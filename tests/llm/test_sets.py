@@ -202,6 +202,54 @@ def test_decontamination(spark):
     assert decontaminate.find_contamination(df.where("doc_id < 0"), bench).count() == 0
 
 
+def test_stretches_hold_every_place(spark):
+    r = np.random.default_rng(3)
+    for most, n, count in ((9, 5, 3), (60, 16, 8), (50_000, 40, 300), (50_000, 9_000, 60), (20_000, 7, 19_000)):
+        text, item = r.integers(0, 2, most), r.integers(0, 2, n)
+        shifts = r.choice(np.arange(-n + 1, most), min(count, most + n - 1), replace=False)
+        want = {(int(s), x) for s in shifts for x in decontaminate._spans(item, text, int(s))}
+        got, taken = set(), 0
+        for start, end, at in decontaminate._stretches(shifts, n, most):
+            taken += end - start
+            got |= {(start + int(s), (start + a, start + b, e)) for s in at for a, b, e in decontaminate._spans(item, text[start:end], int(s))}
+        assert got == want and taken <= most + (most // decontaminate.STRETCH + 1) * n
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    r = random.Random(8)
+    items = [[f"w{r.randrange(50)}" for _ in range(n)] for n in (20, 40, 300)]
+    long = [f"v{r.randrange(10**6)}" for _ in range(120_000)]
+    places = [(0, 5), (1, 9_000), (2, 60_000), (0, 61_000), (0, 119_970)]
+    for i, at in places:
+        long[at : at + len(items[i])] = items[i]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, "clean"), (3, " ".join(long))], "doc_id long, text string")
+    got = {x.doc_id: [(s.item_id, s.start, s.end) for s in x.spans] for x in decontaminate.find_contamination(docs, bench).collect()}
+    want = sorted((i, at, at + len(items[i])) for i, at in places)
+    assert got == {1: want, 2: [], 3: want}
+
+
+def test_hot_keys_are_aggregated(spark):
+    """One line is most of the rows, one key has many ids; other keys are shared by few."""
+    copies = spark.range(200_000).selectExpr("-7L key", "named_struct('a', 1L, 'b', 2L) id")
+    many = spark.range(100_000).selectExpr("-9L key", "named_struct('a', id % 5000, 'b', id % 5000) id")
+    others = spark.range(100_000).selectExpr("id % 40000 key", "named_struct('a', id % 50000, 'b', 0L) id")
+    rows = copies.union(many).union(others)
+    found = linking.shared_rows(rows, 400_000)
+    got = found.collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    per_task = [x["count"] for x in found.where("key < 0").groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ids = defaultdict(set)
+    for i in range(100_000):
+        ids[i % 40_000].add(i % 50_000)
+    want = {(k, (a, 0)) for k, v in ids.items() if len(v) > 1 for a in v}
+    assert len(got) == len({(x.key, x.id) for x in got})
+    assert {(x.key, tuple(x.id)) for x in got if x.key >= 0} == want
+    assert {x.id.a for x in got if x.key == -9} == set(range(5000)) and [tuple(x.id) for x in got if x.key == -7] == [(1, 2)]
+    assert min(x.c for x in got if x.key == -7) > 100_000 and max(per_task) < 4_000
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
 
