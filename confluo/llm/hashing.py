@@ -39,32 +39,48 @@ def char_hashes(chars: np.ndarray) -> np.ndarray:
     return _char_table()[chars]
 
 
-@lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+#: Values whose powers of the base are kept; longer runs make theirs anew, so that a long text leaves no memory taken.
+KEPT = 1 << 18
+
+
+def _made_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (STEP, STEP_BACK):
         p = np.full(n, base, U)
         p[0] = 1
-        out.append(np.multiply.accumulate(p))
+        np.multiply.accumulate(p, out=p)
+        out.append(p)
     return out[0], out[1]
 
 
+@lru_cache(1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _made_powers(KEPT)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _kept_powers() if n <= KEPT else _made_powers(n)
+
+
 def rolling(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The hash of values[begin:end] for every span, wherever it stands."""
-    up, down = _powers(1 << max(20, len(values).bit_length()))
+    up, down = _powers(len(values) + 1)
     total = np.zeros(len(values) + 1, U)
     np.cumsum(values * up[: len(values)], out=total[1:])
     return mix((total[ends] - total[begins]) * down[begins])
 
 
 def windows(values: np.ndarray, k: int) -> np.ndarray:
-    """rolling() for every run of k values."""
-    up, down = _powers(1 << max(20, len(values).bit_length()))
-    total = np.zeros(len(values) + 1, U)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    out = total[k:] - total[:-k]
-    out *= down[: len(out)]
-    return mix(out)
+    """rolling() for every run of k values; long arrays are taken in parts, as the hash is the same wherever a run stands."""
+    out = np.empty(max(0, len(values) - k + 1), U)
+    step = max(KEPT - k, k)
+    for a in range(0, len(out), step):
+        part = values[a : a + step + k - 1]
+        up, down = _powers(len(part))
+        total = np.zeros(len(part) + 1, U)
+        np.cumsum(part * up[: len(part)], out=total[1:])
+        out[a : a + step] = mix((total[k:] - total[:-k]) * down[: len(part) - k + 1])
+    return out
 
 
 BYTE = seeds(256, 1)

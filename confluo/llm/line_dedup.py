@@ -22,7 +22,7 @@ SHINGLE, BANDS, ROWS = 10, 10, 3
 #: Characters hashed at once: their arrays fit the processor's cache.
 RUN = 1 << 18
 #: Lines that a task remembers, so that it gives the bands of a line once: beyond these it forgets them, which costs work only.
-KNOWN = 1 << 18
+KNOWN = 1 << 16
 #: A line's id: 128 bits of its normal form.
 ID = "struct<a: long, b: long>"
 

@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from confluo.llm import periodic_runs, piece_bpe, spelling
+from confluo.llm import hashing, periodic_runs, piece_bpe, spelling
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -299,3 +299,14 @@ def test_query_of_spelling_variants(spark, sf_dir):
     want = brute_variants(counts, {w: sorted(near[w]) for w in counts})
     assert found(spelling.query(spark, sf_dir)) == want
     assert sum(v[0] is not None for v in want.values()) > 3
+
+
+def test_hashes_of_long_arrays():
+    """Windows of arrays longer than the powers kept are the same wherever they stand."""
+    values = hashing.mix(np.random.default_rng(1).integers(0, 50, 2 * hashing.KEPT + 77))
+    for k in (1, 5, 10):
+        begins = np.arange(len(values) - k + 1)
+        assert (hashing.windows(values, k) == hashing.rolling(values, begins, begins + k)).all()
+    at = np.arange(5)
+    assert (hashing.rolling(values, at + 2 * hashing.KEPT, at + 2 * hashing.KEPT + 7) == hashing.rolling(values[2 * hashing.KEPT :], at, at + 7)).all()
+    assert len(hashing.windows(values[:3], 5)) == 0 and len(hashing.windows(values[:5], 5)) == 1
