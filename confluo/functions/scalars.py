@@ -97,3 +97,13 @@ def level(most: Column, ladder: Sequence[float]) -> Column:
 
 def planar_km(dx: Column, dy: Column, x_km: float | Column, y_km: float | Column) -> Column:
     return F.sqrt((dx * x_km) * (dx * x_km) + (dy * y_km) * (dy * y_km))
+
+
+def exact_mean(c: Column) -> Column:
+    """Mean of doubles whose sum is exact before it is rounded once: it doesn't depend on the rows' order, as avg's last
+    bits do. Values of 2 ** 31 and more, NaN and infinities take avg; bits under 2 ** -62 are cut off."""
+    whole = F.when(F.abs(c) < 2.0**31, c.cast("long"))
+    part = ((c - whole) * F.lit(2.0**62)).cast("long")
+    scaled = F.sum(whole.cast("decimal(10,0)")) * F.lit(2**62).cast("decimal(19,0)") + F.sum(part.cast("decimal(19,0)"))
+    mean = scaled.cast("decimal(38,0)").cast("double") / F.lit(2.0**62) / F.nullif(F.count(c), F.lit(0))
+    return F.when(F.count(c) == F.count(whole), mean).otherwise(F.avg(c))

@@ -1,11 +1,14 @@
 """Every query with SQL gives the SQL's rows in DuckDB."""
 
 import datetime
+import math
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from confluo.functions.scalars import exact_mean
 from confluo.operators import regress
 from confluo.plans import registry
 
@@ -75,3 +78,20 @@ def test_flagship(spark, sf_dir):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_a_mean_on_a_bins_edge_does_not_depend_on_the_order(spark, tmp_path):
+    rows = [(38, 6), (46, 2), (28, 8), (36, 4), (4, 1), (11, 4), (43, 0), (40, 3), (26, 7), (46, 9), (30, 2), (20, 9), (36, 6), (48, 6), (16, 2), (4, 7), (12, 4), (23, 10), (23, 3), (45, 9), (4, 3), (4, 2), (34, 2), (8, 1), (32, 3)]
+    assert sum(q * (100 - d) for q, d in rows) == 25 * 100 * len(rows)
+    line = "l_suppkey long, l_shipdate timestamp, l_quantity double, l_discount double, l_tax double"
+    day = datetime.datetime(1996, 3, 28)
+    for k, some in enumerate((rows, rows[::-1], sorted(rows))):
+        spark.createDataFrame([(3, day, float(q), d / 100, 0.0) for q, d in some], line).coalesce(1).write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        assert [tuple(r) for r in registry.QUERIES["hist2d"](spark, f"{tmp_path}/{k}").select("bx", "by_", "n").collect()] == [(5, 5, 1)]
+
+
+def test_exact_means(spark):
+    for v in ([0.1] * 10, [1e9 + 0.1, -1e9, 0.3], [None, 2.5, None], [None], [-0.1, -0.2, 1e-3], [1e300, 1e300], [float("inf"), 1.0]):
+        known = [x for x in v if x is not None]
+        got = spark.createDataFrame([(x,) for x in v], "v double").agg(exact_mean(F.col("v"))).first()[0]
+        assert got == (math.fsum(known) / len(known) if known else None)
