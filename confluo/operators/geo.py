@@ -24,30 +24,71 @@ def edges(polygons: DataFrame, key: str = "code", rings: str = "rings") -> DataF
     return side.select(key, "ring", "is_hole", a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
 
 
+#: Points of one place that stand together in a row.
+TOGETHER = 1 << 12
+
+
+def _places(points: DataFrame, point: str, px: str, py: str) -> DataFrame:
+    """Points by place: px, py and _points, at most about TOGETHER of the points there."""
+    asked = points.select(F.col(point).alias("_point"), F.col(px).alias("_px"), F.col(py).alias("_py")).where("_px is not null and _py is not null").distinct()
+    # Points' numbers deal a crowded place to several rows; how many is known where places are counted.
+    many = asked.groupBy("_px", "_py").count().where(F.col("count") > TOGETHER).select("_px", "_py", F.ceil(F.col("count") / TOGETHER).alias("_n"))
+    dealt = asked.join(many, ["_px", "_py"], "left").withColumn("_part", F.pmod(F.xxhash64("_point"), F.coalesce("_n", F.lit(1).cast("long"))))
+    return dealt.groupBy("_px", "_py", "_part").agg(F.collect_list("_point").alias("_points")).drop("_part")
+
+
+def _banded(sides: DataFrame, key: str, band: float, reach: float = 0.0) -> DataFrame:
+    """A row for each polygon and band of y that holds some of its sides, widened by reach: key, _row, _sides (by ring),
+    _many (whether they are of several rings), _x0 and _x1 (where points may be inside or within reach)."""
+    y0, y1 = F.least("y1", "y2"), F.greatest("y1", "y2")
+    step = F.lit(band)
+    held = sides.withColumn("_row", F.explode(F.sequence(F.floor((y0 - reach) / step), F.floor((y1 + reach) / step))))
+    # Where a side is met is rounded: a little more is looked at.
+    more = lambda c: F.lit(reach) + F.lit(1e-9) * (F.abs(c) + 1)
+    low, high = F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2"))
+    held = held.groupBy(key, "_row").agg(F.array_sort(F.collect_list(F.struct("ring", "is_hole", "x1", "y1", "x2", "y2"))).alias("_sides"), (F.min("ring") != F.max("ring")).alias("_many"), low.alias("_x0"), high.alias("_x1"))
+    return held.withColumn("_x0", F.col("_x0") - more(F.col("_x0"))).withColumn("_x1", F.col("_x1") + more(F.col("_x1")))
+
+
+def _inside(x: F.Column, y: F.Column) -> F.Column:
+    """Whether a place is in a shell and in no hole of the _sides, by counting the crossings of a ray to the right."""
+
+    def crossed(s):
+        at = (s["x2"] - s["x1"]) * (y - s["y1"]) / F.nullif(s["y2"] - s["y1"], F.lit(0.0)) + s["x1"]
+        return ((s["y1"] > y) != (s["y2"] > y)) & (x < at)
+
+    met = F.filter("_sides", crossed)
+    # Sides stand by ring: what a ring's end says is added when the next begins.
+    state = lambda ring, hole, odd, shells, holes: F.struct(ring.alias("ring"), hole.alias("hole"), odd.alias("odd"), shells.alias("shells"), holes.alias("holes"))
+    shells, holes = (lambda t: t["shells"] | t["odd"] & ~t["hole"]), (lambda t: t["holes"] | t["odd"] & t["hole"])
+    no = F.lit(False)
+    merge = lambda t, s: F.when(t["ring"] == s["ring"], state(t["ring"], t["hole"], ~t["odd"], t["shells"], t["holes"])).otherwise(state(s["ring"], s["is_hole"], F.lit(True), shells(t), holes(t)))
+    several = F.aggregate(met, state(F.lit(-1), no, no, no, no), merge, lambda t: shells(t) & ~holes(t))
+    return F.when(F.col("_many"), several).otherwise(~F.get("_sides", F.lit(0))["is_hole"] & (F.size(met) % 2 == 1))
+
+
 def in_polygon(points: DataFrame, sides: DataFrame, point: str, px: str = "lon", py: str = "lat", key: str = "code", band: float = 0.05, own: bool = False) -> DataFrame:
     """(point, key) of every point inside a polygon: in a shell and in no hole, by counting the crossings of a ray. Points
     without coordinates are in none. With own, points name the polygon they are asked about in the column key.
 
-    Points meet polygons by the squares of side band that the polygons' boxes touch, and then a polygon's sides by bands of
-    y: both joins are by equality, and a side stands in each band that it crosses.
+    Places meet polygons by bands of y and squares of x: a polygon's sides in one band are a row, which stands in each
+    square that they touch. A pair is decided where it is met, and no pair is moved.
     """
-    y, x = F.col(py), F.col(px)
-    step = F.lit(band)
+    banded = _banded(sides.where("y1 != y2"), key, band)
     if own:
-        asked = points.select(point, key, px, py)
-    else:
-        span = lambda c: F.sequence(F.floor(F.col(f"_{c}0") / step), F.floor(F.col(f"_{c}1") / step))
-        box = _boxes(sides, key).withColumn("_sx", F.explode(span("x"))).withColumn("_sy", F.explode(span("y")))
-        asked = points.select(point, px, py, F.floor(x / step).alias("_sx"), F.floor(y / step).alias("_sy")).join(box, ["_sx", "_sy"])
-        asked = asked.where((x >= F.col("_x0")) & (x <= F.col("_x1")) & (y >= F.col("_y0")) & (y <= F.col("_y1"))).select(point, key, px, py)
-    low, high = F.floor(F.least("y1", "y2") / step), F.floor(F.greatest("y1", "y2") / step)
-    banded = sides.where("y1 != y2").withColumn("_band", F.explode(F.sequence(low, high)))
-    straddles = (F.col("y1") > y) != (F.col("y2") > y)
-    at = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    met = asked.withColumn("_band", F.floor(y / step)).join(banded, [key, "_band"]).where(straddles).where(x < at)
-    odd = met.groupBy(point, key, "ring", "is_hole").agg((F.count("*") % 2).alias("_odd"))
-    inside = odd.groupBy(point, key).agg(F.max(F.when(~F.col("is_hole"), F.col("_odd"))).alias("_s"), F.max(F.when(F.col("is_hole"), F.col("_odd"))).alias("_h"))
-    return inside.where((F.col("_s") == 1) & (F.coalesce("_h", F.lit(0)) == 0)).select(point, key)
+        asked = points.select(point, key, F.col(px).alias("_px"), F.col(py).alias("_py")).distinct().withColumn("_row", F.floor(F.col("_py") / F.lit(band)))
+        return asked.join(banded, [key, "_row"]).where(_inside(F.col("_px"), F.col("_py"))).select(point, key)
+    return _met(_places(points, point, px, py), banded, point, key, band, _inside(F.col("_px"), F.col("_py")))
+
+
+def _met(places: DataFrame, banded: DataFrame, point: str, key: str, band: float, true: F.Column) -> DataFrame:
+    """(point, key) of the places' points for which true holds of the place and a row of _banded in its band."""
+    step = F.lit(band)
+    square = lambda c: F.floor(F.col(c) / (step * 2))
+    held = banded.withColumn("_column", F.explode(F.sequence(square("_x0"), square("_x1"))))
+    asked = places.withColumn("_row", F.floor(F.col("_py") / step)).withColumn("_column", square("_px"))
+    met = asked.join(held, ["_row", "_column"]).where((F.col("_px") >= F.col("_x0")) & (F.col("_px") <= F.col("_x1"))).where(true)
+    return met.select(F.explode("_points").alias(point), key)
 
 
 def _boxes(sides: DataFrame, key: str) -> DataFrame:
@@ -58,18 +99,30 @@ def _boxes(sides: DataFrame, key: str) -> DataFrame:
 def near_polygon(points: DataFrame, sides: DataFrame, point: str, px: str = "lon", py: str = "lat", key: str = "code", buffer: float = 0.05) -> DataFrame:
     """(point, key) of every point inside a polygon or within buffer of one of its sides: the mask of a buffered polygon.
 
-    Points and sides meet by squares of side buffer: a side stands in all squares that its box, widened, touches.
+    Places meet polygons as in in_polygon, by bands as high as the buffer: a side stands in all that it, widened, touches.
     """
-    size = F.lit(buffer)
-    span = lambda a, b: F.sequence(F.floor((F.least(a, b) - size) / size), F.floor((F.greatest(a, b) + size) / size))
-    held = sides.withColumn("_sx", F.explode(span("x1", "x2"))).withColumn("_sy", F.explode(span("y1", "y2")))
-    met = points.withColumn("_sx", F.floor(F.col(px) / size)).withColumn("_sy", F.floor(F.col(py) / size)).join(held, ["_sx", "_sy"])
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    along = ((F.col(px) - F.col("x1")) * dx + (F.col(py) - F.col("y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
-    t = F.coalesce(F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-    ex, ey = F.col(px) - F.col("x1") - t * dx, F.col(py) - F.col("y1") - t * dy
-    close = met.where(ex * ex + ey * ey <= size * size).select(point, key)
-    return close.union(in_polygon(points, sides, point, px, py, key)).distinct()
+    x, y, size = F.col("_px"), F.col("_py"), F.lit(buffer)
+
+    def close(s):
+        dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]
+        along = ((x - s["x1"]) * dx + (y - s["y1"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+        t = F.coalesce(F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+        ex, ey = x - s["x1"] - t * dx, y - s["y1"] - t * dy
+        return ex * ex + ey * ey <= size * size
+
+    return _met(_places(points, point, px, py), _banded(sides, key, buffer, buffer), point, key, buffer, _inside(x, y) | F.exists("_sides", close))
+
+
+def inside_lattice(boxes: DataFrame, sides: DataFrame, key: str, step: float, dx: float = 0.0, dy: float = 0.0, band: float = 0.05) -> DataFrame:
+    """(key, pa, pb, px, py) of the points of each box's lattice, moved by dx and dy, that are inside its polygon. A
+    polygon's points are made where its sides of a band are, and only there: those outside are never rows that move."""
+    rows = _banded(sides.where("y1 != y2"), key, band).join(boxes, key)
+    steps = lambda a, b: F.sequence(F.lit(0), F.floor((F.col(b) - F.col(a)) / step).cast("int"))
+    at = lambda c, k: F.col(c) + k * step + dy
+    rows = rows.select("*", F.explode(F.filter(steps("y0", "y1"), lambda k: F.floor(at("y0", k) / F.lit(band)) == F.col("_row"))).alias("pb"))
+    rows = rows.select("*", F.explode(steps("x0", "x1")).alias("pa"))
+    rows = rows.withColumn("_px", F.col("x0") + F.col("pa") * step + dx).withColumn("_py", at("y0", F.col("pb")))
+    return rows.where(_inside(F.col("_px"), F.col("_py"))).select(key, "pa", "pb", F.col("_px").alias("px"), F.col("_py").alias("py"))
 
 
 #: Sites that a square of the first grid holds at most, for each neighbour asked for; how often squares are halved to get

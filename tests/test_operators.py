@@ -471,3 +471,16 @@ def test_leafwise_with_few_or_no_rows(spark):
     assert few.base == 3.0 and [r.pred for r in boost.predicted(df, few, F.col("a").isNotNull()).orderBy("y").collect()] == [None, 3.0, 3.0]
     none = boost.fit(df.limit(0), ["a"], "y")
     assert none.base is None and {r.pred for r in boost.predicted(df, none, F.col("a") > 0).collect()} == {None}
+
+
+def test_pairs_of_points_and_polygons_do_not_move(spark, monkeypatch):
+    monkeypatch.setattr(geo, "TOGETHER", 4)
+    square = lambda k, hole: [(hole, [(0.0, 0.0), (k, 0.0), (k, k), (0.0, k)])]
+    shapes = [("a", square(1.0, False)), ("b", square(2.0, False) + square(1.0, True)), ("c", [*square(1.0, False), (False, [(3.0, 3.0), (4.0, 3.0), (4.0, 4.0)])])]
+    shapes = spark.createDataFrame(shapes, "code string, rings array<struct<is_hole: boolean, pts: array<struct<x: double, y: double>>>>")
+    places = {0: (0.5, 0.5), 1: (1.5, 1.5), 2: (3.9, 3.5), 3: (3.1, 3.5), 4: (None, 1.0), 5: (float("nan"), 0.5)}
+    points = spark.createDataFrame([(6 * n + k, x, y) for n in range(50) for k, (x, y) in places.items()], "p long, lon double, lat double")
+    for got in (geo.in_polygon(points, geo.edges(shapes), "p", band=0.3), geo.near_polygon(points, geo.edges(shapes), "p", buffer=1e-3)):
+        assert sorted((r.p, r.code) for r in got.collect()) == sorted((6 * n + k, c) for n in range(50) for k, c in ((0, "a"), (0, "c"), (1, "b"), (2, "c")))
+        above = got._jdf.queryExecution().sparkPlan().toString().split("Join")[0]
+        assert "Aggregate" not in above and "Exchange" not in above
