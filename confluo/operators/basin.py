@@ -21,7 +21,11 @@ def area_mean(cube: DataFrame, bridge: DataFrame, cell: Sequence[str], value: st
 
 def thiessen_mean(observed: DataFrame, weights: DataFrame, station: str, value: str, basin: str = "code", day: str = "day", renormalise: bool = True) -> DataFrame:
     """Weighted mean over a basin's stations that report; without renormalise missing stations count as 0."""
-    got = observed.where(F.col(value).isNotNull()).join(weights, station)
+    # Series move as arrays: a row for each station of a basin, not one for each of its days.
+    series = observed.where(F.col(value).isNotNull()).select(station, F.struct(F.col(day).alias("day"), F.col(value).alias("v")).alias("_o")).groupBy(station).agg(F.collect_list("_o").alias("_o"))
+    series = series.select(station, F.col("_o.day").alias("_days"), F.col("_o.v").alias("_values"))
+    moved = series.join(weights, station).select(basin, "w", "_days", "_values").repartition(basin)
+    got = moved.select(basin, "w", F.posexplode("_days").alias("_k", day), "_values").withColumn(value, F.get("_values", F.col("_k")))
     num = F.sum(F.col("w") * F.col(value))
     return got.groupBy(basin, day).agg((ratio(num, F.sum("w")) if renormalise else num).alias(value), F.count("*").alias("n_stations"))
 

@@ -141,24 +141,33 @@ def k_nearest(
     """The k nearest stations of every point (all, if fewer): the point's columns, rank (from 1), station, distance.
 
     Distances are Euclidean in the coordinates given, of equals the smaller station first; weights names two columns of
-    points, positive factors of the differences in x and y. Points are told apart by their columns, which may be null.
+    points, positive factors of the differences in x and y. A point given twice counts once; its columns may be null.
     Points without finite coordinates have no rows; stations without take no part.
+    """
+    return _ranked(points.select(*{c: None for c in (*point, px, py, *(weights or ()))}).distinct(), stations, point, px, py, station, sx, sy, k, weights)[0]
+
+
+def _ranked(points: DataFrame, stations: DataFrame, point: Sequence[str], px: str, py: str, station: str, sx: str, sy: str, k: int, weights: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of k_nearest, for points given twice too, and the points that have none.
 
     A grid's squares hold few stations; a point meets those of the nine squares around it, as arrays of bounded size. It is
     done once its k-th best is nearer than a square's side, which nothing beyond the nine can be; the others look again in
-    squares of eight times the side. All joins are by equality; each round's points are a written table, so no plan grows.
+    squares of eight times the side. All joins are by equality; points move once a round, and each round's points are a
+    written table, so no plan grows.
     """
     spark = points.sparkSession
-    wx, wy = map(F.col, weights) if weights else (F.lit(1.0), F.lit(1.0))
-    told = [*point, "_px", "_py", "_wx", "_wy"]
-    asked = points.where(_known(px, py)).select(*point, F.col(px).cast("double").alias("_px"), F.col(py).cast("double").alias("_py"), wx.alias("_wx"), wy.alias("_wy")).distinct()
+    wx, wy = (F.col("_wx"), F.col("_wy")) if weights else (F.lit(1.0), F.lit(1.0))
+    factors = [F.col(c).alias(n) for c, n in zip(weights or (), ("_wx", "_wy"), strict=False)]
+    told = [*point, "_px", "_py", *(("_wx", "_wy") if weights else ())]
+    asked = points.select(*point, F.col(px).cast("double").alias("_px"), F.col(py).cast("double").alias("_py"), *factors)
     sites = stations.where(_known(sx, sy)).select(F.col(station).alias("_s"), F.col(sx).cast("double").alias("_sx"), F.col(sy).cast("double").alias("_sy"))
     # Of stations in one place only the first k can count.
     place = F.row_number().over(Window.partitionBy("_sx", "_sy").orderBy("_s"))
     found = []
     with Scratch(spark) as old:
         sites = old.write(sites.withColumn("_k", place).where(F.col("_k") <= k).drop("_k"), "sites")
-        left = old.write(asked, "points")
+        every = old.write(asked, "points")
+        left = lambda: every().where(_known("_px", "_py"))
         n, x0, x1, y0, y1 = sites().agg(F.count("*"), F.min("_sx"), F.max("_sx"), F.min("_sy"), F.max("_sy")).first()
         if n:
             reach = F.greatest(F.abs(F.col("_px") - x0), F.abs(F.col("_px") - x1), F.abs(F.col("_py") - y0), F.abs(F.col("_py") - y1))
@@ -181,7 +190,7 @@ def k_nearest(
             met = left().withColumn("_gx", square("_px")).withColumn("_gy", square("_py")).join(held, ["_gx", "_gy"], "left")
 
             def d2(z):
-                dx, dy = (F.col("_px") - z["_sx"]) * F.col("_wx"), (F.col("_py") - z["_sy"]) * F.col("_wy")
+                dx, dy = (F.col("_px") - z["_sx"]) * wx, (F.col("_py") - z["_sy"]) * wy
                 return dx * dx + dy * dy
 
             if k == 1:
@@ -190,30 +199,33 @@ def k_nearest(
                 best = F.array(F.struct(F.col("_m").alias("d2"), F.element_at("_sites", F.array_position("_d", F.col("_m")).cast("int"))["_s"].alias("s")))
             else:
                 best = F.slice(F.array_sort(F.transform("_sites", lambda z: F.struct(d2(z).alias("d2"), z["_s"].alias("s")))), 1, k)
-            met = met.select(*told, F.when(F.col("_sites").isNotNull(), best).alias("_best"))
+            met = met.select(*told, F.when(F.col("_sites").isNotNull(), best).alias("_best"), F.coalesce("_part", F.lit(0)).alias("_part"))
             if chunks > 1:
-                met = met.groupBy(*told).agg(F.array_sort(F.flatten(F.collect_list("_best"))).alias("_best"))
-                met = met.withColumn("_best", F.when(F.size("_best") > 0, F.slice("_best", 1, k)))
-            bound = F.least("_wx", "_wy") * F.lit(side)
+                # A point given twice meets each part twice.
+                copies = F.size(F.collect_list("_part")) / F.size(F.collect_set("_part"))
+                met = met.groupBy(*told).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_best")))).alias("_best"), copies.cast("int").alias("_copies"))
+                met = met.withColumn("_best", F.when(F.size("_best") > 0, F.slice("_best", 1, k))).withColumn("_part", F.explode(F.sequence(F.lit(1), "_copies")))
+            bound = F.least(wx, wy) * F.lit(side)
             done = F.lit(True) if side >= far else F.coalesce((F.size("_best") == k) & (F.element_at("_best", -1)["d2"] <= bound * bound), F.lit(False))
-            path, seen = stored(met.withColumn("_done", done), "nearest")
+            path, seen = stored(met.select(*told, "_best").withColumn("_done", done), "nearest")
             found.append(path)
             left = lambda seen=seen: seen().where("not _done").select(*told)
             step -= 3
+        lost = stored((every().where(~_known("_px", "_py")) if n else every()).select(*point), "nearest-to-none")[1]()
     kind = stations.schema[station].dataType
     if not found:
-        return asked.select(*point, F.lit(1).alias("rank"), F.lit(None).cast(kind).alias(station), F.lit(0.0).alias("distance")).limit(0)
+        return points.select(*point, F.lit(1).alias("rank"), F.lit(None).cast(kind).alias(station), F.lit(0.0).alias("distance")).limit(0), lost
     rows = spark.read.parquet(*found).where("_done").select(*point, F.posexplode("_best").alias("_k", "_b"))
-    return rows.select(*point, (F.col("_k") + 1).alias("rank"), F.col("_b.s").cast(kind).alias(station), F.sqrt("_b.d2").alias("distance"))
+    return rows.select(*point, (F.col("_k") + 1).alias("rank"), F.col("_b.s").cast(kind).alias(station), F.sqrt("_b.d2").alias("distance")), lost
 
 
 def nearest(points: DataFrame, stations: DataFrame, point: Sequence[str], px: str, py: str, station: str, sx: str, sy: str) -> DataFrame:
     """The nearest station of every point by distance in the coordinates given, ties to the smaller station; see k_nearest.
-    A point without finite coordinates, and every point if there are no stations, has a null station and distance."""
-    met = k_nearest(points, stations, point, px, py, station, sx, sy).drop("rank")
-    same = reduce(and_, [F.col(f"_p.{c}").eqNullSafe(F.col(f"_m.{c}")) for c in point])
-    joined = points.select(*point).alias("_p").join(met.alias("_m"), same, "left")
-    return joined.select(*[F.col(f"_p.{c}").alias(c) for c in point], F.col(f"_m.{station}").alias(station), F.col("_m.distance").alias("distance"))
+    A point given twice has two rows. A point without finite coordinates, and every point if there are no stations, has a
+    null station and distance."""
+    met, rest = _ranked(points, stations, point, px, py, station, sx, sy, 1)
+    none = [F.lit(None).cast(met.schema[c].dataType).alias(c) for c in (station, "distance")]
+    return met.drop("rank").union(rest.select(*point, *none))
 
 
 def nearest_candidates(centres: DataFrame, stations: DataFrame, key: str, x: str, y: str, station: str, sx: str, sy: str, k: int = 80) -> DataFrame:

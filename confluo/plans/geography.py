@@ -37,11 +37,12 @@ _LATTICE = f"""pts AS (SELECT b.code, x.v AS pa, y.v AS pb, b.x0 + x.v * {STEP}
   WHERE x.v <= floor((b.xm - b.x0) / {STEP} + 1e-6) AND y.v <= floor((b.ym - b.y0) / {STEP} + 1e-6))"""
 
 
-def _lattice(polygons):
+def _boxes(polygons):
+    """The boxes of the lattices, and the polygons' sides."""
     sides = geo.edges(polygons)
     tiny = STEP * 1e-6
     boxes = sides.groupBy("code").agg(F.min("x1").alias("x0"), F.min("y1").alias("y0"), (F.max("x1") + tiny).alias("x1"), (F.max("y1") + tiny).alias("y1"))
-    return geo.lattice(boxes, "code", STEP), sides
+    return boxes, sides
 
 
 @query(f"""
@@ -50,7 +51,7 @@ WITH {a.STATIONS_SQL}, {a.SIDES_SQL}, {_LATTICE}, near AS (SELECT code, pa, pb,
 SELECT code, pa, pb, station, round(d, 6) AS distance FROM near WHERE k = 1
 """)
 def nearest_station(spark, sf_dir):
-    points, _ = _lattice(a.polygons(spark, sf_dir))
+    points = geo.lattice(_boxes(a.polygons(spark, sf_dir))[0], "code", STEP)
     return rounded(geo.nearest(points, a.stations(spark, sf_dir), ["code", "pa", "pb"], "px", "py", "station", "lon", "lat"), 6)
 
 
@@ -64,10 +65,9 @@ tw AS (SELECT code, station, count(*) AS n, count(*) / sum(count(*)) OVER (PARTI
 
 
 def _thiessen(spark, sf_dir, polygons=None):
-    points, sides = _lattice(a.polygons(spark, sf_dir) if polygons is None else polygons)
-    mid = points.select("code", (F.col("px") + STEP * 0.37).alias("px"), (F.col("py") + STEP * 0.41).alias("py"), F.struct("pa", "pb").alias("p"))
-    inside = geo.in_polygon(mid, sides, "p", "px", "py", own=True)
-    owned = geo.nearest(mid.join(inside, ["p", "code"]), a.stations(spark, sf_dir), ["code", "p"], "px", "py", "station", "lon", "lat")
+    boxes, sides = _boxes(a.polygons(spark, sf_dir) if polygons is None else polygons)
+    inside = geo.inside_lattice(boxes, sides, "code", STEP, STEP * 0.37, STEP * 0.41)
+    owned = geo.nearest(inside, a.stations(spark, sf_dir), ["code"], "px", "py", "station", "lon", "lat")
     return geo.thiessen_weights(owned, "code", "station")
 
 

@@ -484,3 +484,19 @@ def test_pairs_of_points_and_polygons_do_not_move(spark, monkeypatch):
         assert sorted((r.p, r.code) for r in got.collect()) == sorted((6 * n + k, c) for n in range(50) for k, c in ((0, "a"), (0, "c"), (1, "b"), (2, "c")))
         above = got._jdf.queryExecution().sparkPlan().toString().split("Join")[0]
         assert "Aggregate" not in above and "Exchange" not in above
+
+
+def test_lattice_points_inside_are_made_once_and_nearest_needs_no_second_join(spark):
+    shape = spark.createDataFrame([(c, [(False, [(d, 0.0), (d + 1.0, 0.1), (d + 0.8, 1.0), (d, 0.9)]), (True, [(d + 0.3, 0.3), (d + 0.6, 0.3), (d + 0.4, 0.6)])]) for c, d in (("a", 0.0), ("b", 0.45))], "code string, rings array<struct<is_hole: boolean, pts: array<struct<x: double, y: double>>>>")
+    sides = geo.edges(shape)
+    boxes = sides.groupBy("code").agg(F.min("x1").alias("x0"), F.min("y1").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    points = geo.lattice(boxes, "code", 0.07).withColumn("px", F.col("px") + 0.01).withColumn("py", F.col("py") + 0.02).withColumn("p", F.struct("pa", "pb"))
+    want = {(r.code, *r.p) for r in geo.in_polygon(points, sides, "p", "px", "py", own=True).collect()}
+    inside = geo.inside_lattice(boxes, sides, "code", 0.07, 0.01, 0.02, 0.15)
+    got = [tuple(r) for r in inside.select("code", "pa", "pb").collect()]
+    assert len(got) == len(set(got)) > 100 and set(got) == want
+    stations = spark.createDataFrame([(1, 0.2, 0.2), (2, 1.2, 0.7)], "station long, lon double, lat double")
+    twice = inside.union(inside).union(spark.createDataFrame([("c", 0, 0, None, 1.0)], inside.schema))
+    near = geo.nearest(twice, stations, ["code"], "px", "py", "station", "lon", "lat")
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
+    assert near.count() == 2 * len(got) + 1 and [r.code for r in near.where("station is null").collect()] == ["c"]
