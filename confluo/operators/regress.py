@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
+from ..sources.scratch import Scratch
+
+#: Rows of a boosting that one task holds.
+ROWS_A_TASK = 1 << 16
 
 
 def ols_single(df: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int = 60) -> DataFrame:
@@ -112,9 +116,15 @@ def importances(df: DataFrame, features: Sequence[str], positive: Sequence[str],
 
 
 def _fitted(df: DataFrame, features: Sequence[str], positive: Sequence[str], target: str, fit: Column, trees: int = 500, rate: float = 0.03, seed: int = 42):
-    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df.where(valid_rows(features, positive)))
+    assembled = VectorAssembler(inputCols=list(features), outputCol="_x")
     model = GBTRegressor(featuresCol="_x", labelCol=target, predictionCol="_p", maxIter=trees, stepSize=rate, maxDepth=5, minInstancesPerNode=30, subsamplingRate=0.9, seed=seed)
-    return rows, model.fit(rows.where(fit & (F.col(target) > 0)))
+    valid = df.where(valid_rows(features, positive))
+    # Every level of every tree is a job over all partitions: they are as few as the rows call for, and what df is made
+    # from is not read for them.
+    with Scratch(df.sparkSession) as old:
+        fitted = old.write(valid.where(fit & (F.col(target) > 0)).select(*{c: None for c in (*features, target)}), "boosting-rows")
+        tasks = max(1, -(-fitted().count() // ROWS_A_TASK))
+        return assembled.transform(valid), model.fit(assembled.transform(fitted().coalesce(tasks)))
 
 
 def boosted(df: DataFrame, features: Sequence[str], positive: Sequence[str], target: str, fit: Column, trees: int = 500, rate: float = 0.03, seed: int = 42) -> DataFrame:

@@ -95,3 +95,16 @@ def test_exact_means(spark):
         known = [x for x in v if x is not None]
         got = spark.createDataFrame([(x,) for x in v], "v double").agg(exact_mean(F.col("v"))).first()[0]
         assert got == (math.fsum(known) / len(known) if known else None)
+
+
+def test_boosting_reads_its_rows_from_few_partitions(spark, sf_dir):
+    seen, real = [], regress.GBTRegressor.fit
+
+    def fit(self, rows):
+        seen.append((rows.rdd.getNumPartitions(), [f for f in rows.inputFiles() if "events" in f]))
+        return real(self.setMaxIter(1), rows)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(regress.GBTRegressor, "fit", fit)
+        registry.QUERIES["gbt_bias_correct"](spark, sf_dir).collect()
+    assert seen == [(1, [])]
