@@ -97,3 +97,14 @@ def test_random_shapes_hold_the_same_points(spark):
     assert got == want and len(want) > 100
     areas = {x.code: x.area for x in geo.shoelace(geo.edges(valid)).collect()}
     assert all(isclose(areas[x.code], x.area, rel_tol=1e-6) for x in repair.areas(repair.valid_sides(polygons)).collect())
+
+
+def test_small_polygons_stay_where_they_are_and_agree_with_the_joins(spark, polygons):
+    r = random.Random(9)
+    rings = [[(False, s, [(r.uniform(0, 10), r.uniform(0, 10)) for _ in range(r.randint(3, 6))]) for s in range(3)] for _ in range(40)]
+    both = polygons.union(spark.createDataFrame([(f"r{k}", x) for k, x in enumerate(rings)], polygons.schema))
+    small, joined = repair.valid_sides(both), repair.valid_sides(both, few=0)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    places = lambda df: sorted((x.code, *(round(v, 6) for v in x[1:])) for x in df.collect())
+    assert places(small) == places(joined)
