@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
-from operator import or_
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -98,9 +97,36 @@ def shingle_set(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def _first_met(x, y, place):
+def _first_met(x: np.ndarray, y: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Whether a band is the first that two lines share."""
-    return ~reduce(or_, same_before(x, y, place))
+    return ~same_before(x, y, place)
+
+
+def _same_for(x: str, y: str, most: int) -> int:
+    """How many characters, most at most, two strings have alike from their begin."""
+    low, high = 0, most
+    while low < high:
+        middle = (low + high + 1) // 2
+        if x[low:middle] == y[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def surely_similar(x: str, y: str, n: int, m: int, percent: int) -> bool:
+    """Whether two lines are similar by the shingles of what they begin and end with alone. n and m (distinct hashes of
+    shingles) say whether a line has no shingle twice; only then each place of its ends is a common shingle of its own."""
+    places = [max(1, len(t) - SHINGLE + 1) for t in (x, y)]
+    if n != places[0] and m != places[1]:
+        return False
+    shorter = min(len(x), len(y))
+    begin = _same_for(x, y, shorter)
+    end = 0
+    if begin < shorter:
+        end = _same_for(x[: begin - 1 if begin else None : -1], y[: begin - 1 if begin else None : -1], shorter - begin)
+    common = max(0, begin - SHINGLE + 1) + max(0, end - SHINGLE + 1)
+    return 100 * common >= percent * (sum(places) - common)
 
 
 def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,12 +168,12 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
 
         return described(texts.select("text").mapInArrow(run, f"id {ID}, set string").join(ids, "id", "left_semi").dropDuplicates(["id"]), _hashes)
 
-    linked = link_similar(live, lines_of, live(), BANDS, _first_met, shingle_set, percent, old)
+    linked = link_similar(live, lines_of, live(), BANDS, _first_met, shingle_set, percent, old, partial(surely_similar, percent=percent))
     # Every line id with more than one occurrence, and every linked one.
     repeated = places().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     group = old.write(linked.union(repeated.join(linked, "id", "left_anti").select("id", F.col("id").alias("component"))), "line-groups")
     spots = places().select("id", F.struct("doc_id", "doc_key", "line").alias("at")).join(group(), "id")
-    spots = old.write(spots.select("component", "at").distinct(), "line-spots")
+    spots = old.write(spots.select("component", "at"), "line-spots")
     first = old.write(spots().groupBy("component").agg(F.min("at").alias("first")), "line-firsts")
     lost = spots().join(first(), "component").where("at != first")
     lost = lost.groupBy(F.col("at.doc_key").alias(key)).agg(F.sort_array(F.collect_set("at.line")).alias(lost_lines), F.sort_array(F.collect_set("first.doc_id")).alias(same))
@@ -158,7 +184,7 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
         F.col(lost_lines).isNotNull(),
         F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(lost_lines, i)), "\n"),
     ).otherwise(F.col(text_col))
-    out = docs.withColumn(key, doc_key).join(lost(), key, "left")
+    out = docs.withColumn(key, doc_key).join(lost().hint("shuffle_hash"), key, "left")
     kept = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(f"array<{kind}>"))
     return out.select(*kept, none(lost_lines, "int").alias("dropped_lines"), none(same, "long").alias("same_as"))

@@ -1,16 +1,16 @@
 """Links between similar sets from shared keys: exact verification and distributed union-find.
 
-Used by line and document deduplication. Candidates share a key. A key's leader is compared with the key's other holders
-first; where a key then still holds several components, its holders are compared across components, each pair once, if an
-exact bound from sketches lets it reach the threshold. Only such pairs become rows; copies of one text, which are one
-component by then, are never paired.
+Used by line and document deduplication. Candidates share a key. A set meets the leader of its key with the most rows first;
+where a key then holds several components, its holders meet its leader; where it still does, they are compared across
+components, each pair once, if an exact bound from sketches lets it reach the threshold. Only such pairs become rows; copies
+of one text, which are one component by then, are never paired.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ from .pretokens import text_runs
 SKETCH = 32
 #: Rows that one task groups by key, and holders of a key that one task compares with the others.
 ROWS_A_TASK, HOLDERS_A_TASK = 1 << 20, 1 << 12
+#: Rows of holders that one task takes, and pairs of them that it looks at together.
+HOLDER_ROWS_A_TASK, PAIRS_AT_ONCE = 1 << 16, 1 << 17
 #: Bits of the filter that leaves texts without candidates where they are: its size is fixed.
 FILTER_BITS = 26
 #: The low bits of a key are the place of its table.
@@ -56,15 +58,9 @@ def _close(n: Column, m: Column, x: list[Column], y: list[Column], percent: int)
     return ((100 + percent) * few <= most) & ((100 + percent) * reduce(add, bits) <= most)
 
 
-def _without_nulls(df: DataFrame) -> DataFrame:
-    """Sketch words, sizes and labels, which are never null, as columns that can't be."""
-    sure = {f"{side}{c}" for side in ("", "y_") for c in ("n", *(f"{k}{i}" for k in "sc" for i in range(SKETCH)))}
-    return df.select(*[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) if c in sure else F.col(c) for c in df.columns])
-
-
-def same_before(x: list[Column], y: list[Column], place: Column) -> list[Column]:
-    """For each mark but the last whether it stands before place and two holders share it."""
-    return [F.coalesce((place > i) & (a == b), F.lit(False)) for i, (a, b) in enumerate(zip(x[:-1], y[:-1], strict=True))]
+def same_before(x: np.ndarray, y: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each pair of rows of marks (0: none) whether they share one that stands before its place."""
+    return ((x == y) & (x != 0) & (np.arange(x.shape[1]) < place[:, None])).any(axis=1)
 
 
 def placed_keys(keys: np.ndarray) -> np.ndarray:
@@ -168,8 +164,9 @@ def components(edges: DataFrame, into: Scratch | None = None) -> DataFrame:
     return done()
 
 
-def verified(pairs: DataFrame, elements: Callable[[str], frozenset | set], percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts sa and sb have similar enough sets, compared element by element."""
+def verified(pairs: DataFrame, elements: Callable[[str], frozenset | set], percent: int, surely: Callable[[str, str, int, int], bool] | None = None) -> DataFrame:
+    """The pairs (a, b) whose texts sa and sb have similar enough sets, compared element by element. surely tells from texts
+    and sizes (na, nb) of the sets, at less cost, that a pair is similar; where it doesn't, the sets are compared."""
 
     def run(parts):
         for part in parts:
@@ -177,7 +174,10 @@ def verified(pairs: DataFrame, elements: Callable[[str], frozenset | set], perce
                 some = part.slice(a, 512)
                 known: dict[str, set] = {}
                 keep = []
-                for x, y in zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True):
+                for x, y, n, m in zip(*(some.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                    if surely and surely(x, y, n, m):
+                        keep.append(True)
+                        continue
                     for t in (x, y):
                         if t not in known:
                             known[t] = elements(t)
@@ -186,7 +186,7 @@ def verified(pairs: DataFrame, elements: Callable[[str], frozenset | set], perce
                 yield some.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     kept = T.StructType([pairs.schema["a"], pairs.schema["b"]])
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, kept)
+    return pairs.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, kept)
 
 
 def described(texts: DataFrame, hashes: Callable[[list[str]], list[np.ndarray]]) -> DataFrame:
@@ -210,83 +210,172 @@ def described(texts: DataFrame, hashes: Callable[[list[str]], list[np.ndarray]])
     return texts.select("id", "set").mapInArrow(run, kind)
 
 
+def _fields(kind: T.DataType, name: str, named: str) -> list[Column]:
+    """The fields of a struct, or a plain column, as columns."""
+    return [F.col(f"{name}.{f}").alias(f"{named}{i}") for i, f in enumerate(kind.names)] if isinstance(kind, T.StructType) else [F.col(name).alias(f"{named}0")]
+
+
+def _whole(kind: T.DataType, named: str) -> Column:
+    """The column that _fields took apart."""
+    return F.struct(*[F.col(f"{named}{i}").alias(f) for i, f in enumerate(kind.names)]) if isinstance(kind, T.StructType) else F.col(f"{named}0")
+
+
+def near_pairs(holders: DataFrame, percent: int, first_met: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Pairs (a, b) of holders of one key, of different labels, that their sizes and sketches let reach the threshold.
+
+    holders: key, id, c (label), top (whether that is the key's greatest component), tasks, n, sketch, marks. A key's holders are
+    dealt to tasks * tasks blocks of those that look for others and those that are looked for; those in the greatest
+    component do not look, and two others meet once. A task holds its blocks' sketches as arrays.
+    """
+    kind, label = holders.schema["id"].dataType, holders.schema["c"].dataType
+    own, every = F.pmod(F.hash("id"), "tasks"), F.sequence(F.lit(0), F.col("tasks") - 1)
+    block = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
+    # Bit 1 of side: is looked for; bit 0: looks for others.
+    sought = F.transform(every, lambda i: block(i, own, F.when((i == own) & ~F.col("top"), 3).otherwise(2)))
+    seeking = F.transform(F.filter(every, lambda j: (j != own) & ~F.col("top")), lambda j: block(own, j, F.lit(1)))
+    ids, labels = _fields(kind, "id", "id_"), _fields(label, "c", "c_")
+    dealt = holders.select("key", F.explode(F.concat(sought, seeking)).alias("_b"), "top", "n", "sketch", "marks", *ids, *labels)
+    dealt = dealt.select("key", "_b.i", "_b.j", "_b.side", "top", "n", "sketch", "marks", *[f"id_{i}" for i in range(len(ids))], *[f"c_{i}" for i in range(len(labels))])
+    count = holders.agg(F.coalesce(F.sum(2 * F.col("tasks") - 1), F.lit(0))).first()[0]
+    tasks = max(int(holders.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // HOLDER_ROWS_A_TASK))
+    n_ids, n_labels = len(ids), len(labels)
+
+    def run(parts):
+        parts = [p for p in parts if len(p)]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts).combine_chunks()
+        key, i, j, side, top, n = (t.column(c).to_numpy() for c in range(6))
+        sketch, marks = (t.column(c).chunk(0).flatten().to_numpy().reshape(len(t), -1) for c in (6, 7))
+        sketch = sketch.view(np.uint64)  # of a signed number, the bits of its absolute value would be counted
+        rest = [t.column(c).to_numpy() for c in range(8, 8 + n_ids + n_labels)]
+        order = np.lexsort((n, j, i, key))
+        moved = np.zeros(len(order), np.int64)
+        for c in (key, i, j):
+            moved[1:] |= c[order][1:] != c[order][:-1]
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(moved)
+        seeks, sought = (order[(side[order] & bit) > 0] for bit in (1, 2))
+        # Sought rows stand by group and size: those whose size fits are a stretch.
+        apart = int(n.max()) * 100 // percent + 2
+        at = group[sought] * apart + n[sought]
+        low = np.searchsorted(at, group[seeks] * apart - (-percent * n[seeks] // 100), side="left")
+        high = np.searchsorted(at, group[seeks] * apart + np.minimum(100 * n[seeks] // percent, apart - 1), side="right")
+        size = np.maximum(high - low, 0)
+        before = np.concatenate([[0], np.cumsum(size)])
+        a = 0
+        while a < len(seeks):
+            b = max(a + 1, int(np.searchsorted(before, before[a] + PAIRS_AT_ONCE, side="right")) - 1)
+            x = np.repeat(seeks[a:b], size[a:b])
+            y = sought[np.arange(before[a], before[b]) - np.repeat(before[a:b] - low[a:b], size[a:b])]
+            a = b
+            less = np.zeros(len(x), bool)
+            for c in reversed(rest[n_ids:]):
+                less = (c[x] < c[y]) | (c[x] == c[y]) & less
+            for words in (slice(0, SKETCH // 4), slice(SKETCH // 4, SKETCH)):
+                if words.start == 0:
+                    able, differ = top[y] | less, 0
+                x, y = x[able], y[able]
+                differ = (differ[able] if words.start else 0) + np.bitwise_count(sketch[x, words] ^ sketch[y, words]).sum(axis=1, dtype=np.int64)
+                able = (100 + percent) * differ <= (100 - percent) * (n[x] + n[y])
+            x, y = x[able], y[able]
+            able = first_met(marks[x], marks[y], key[x] & (PLACES - 1))
+            x, y = x[able], y[able]
+            if len(x):
+                yield pa.record_batch([pa.array(c[z]) for z in (x, y) for c in rest[:n_ids]], names=[f"{z}_{k}" for z in "xy" for k in range(n_ids)])
+
+    flat = kind.fields if isinstance(kind, T.StructType) else [T.StructField("id", kind)]
+    found = T.StructType([T.StructField(f"{z}_{k}", f.dataType) for z in "xy" for k, f in enumerate(flat)])
+    met = dealt.repartition(tasks, "key", "i", "j").mapInArrow(run, found)
+    return met.select(_whole(kind, "x_").alias("a"), _whole(kind, "y_").alias("b"))
+
+
 def link_similar(
     live: Callable[[], DataFrame],
     sets_of: Callable[[DataFrame], DataFrame],
     marks: DataFrame,
     n_marks: int,
-    first_met: Callable[[list[Column], list[Column], Column], Column],
+    first_met: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
     elements: Callable[[str], set],
     percent: int,
     into: Scratch,
+    surely: Callable[[str, str, int, int], bool] | None = None,
 ) -> DataFrame:
     """Components of the sets linked by 100 * common >= percent * union: id, component (least id), for linked ids.
 
     live: rows of shared_rows: which sets are candidates for each other: those that share a key. sets_of(ids) gives
-    (id, set, n, sketch), see described; it is asked for candidates only. elements gives a text's set for verification.
-    marks: rows (id, key) of keys with places under n_marks, an id at most one for a place; first_met tells from those of two
-    holders (a column a place, null where there is none) and the place of a key that they share whether it is the first
-    they share, so that a pair is met once.
+    (id, set, n, sketch), see described; it is asked for candidates only. elements gives a text's set for verification;
+    surely, see verified.
+    marks: rows (id, key) of keys with places under n_marks, an id at most one for a place; first_met tells from those of
+    pairs of holders (a column a place, 0 where there is none) and the place of a key that they share whether it is the
+    first they share, so that a pair is met once.
 
     Exact among candidates; no pair is skipped by a cap. The leader of a key is the set with the most company in all its
-    keys, mostly the original of a family of copies. Pairs that are compared after that become rows only if the sketches
-    let them reach the threshold; a key with many holders is dealt to several tasks, and what is in its greatest component
-    is not compared with itself. The tables that the result reads belong to into.
+    keys, mostly the original of a family of copies. A set first meets the leader of one key, that with the most rows: a
+    family becomes one component by one row a member. Where a key then holds several components, its holders meet its
+    leader; where it still does, they meet each other across components. Pairs become rows there only if the sketches let
+    them reach the threshold; a key with many holders is dealt to several tasks, and what is in its greatest component is
+    not compared with itself. The tables that the result reads belong to into.
     """
     old = Scratch(marks.sparkSession)
-    ids = old.write(live().groupBy("id").agg(F.sum("c").alias("company")), "candidates")
+    # The key with the most rows by its size and its upper bits: one of many keys that agree in both only adds candidates.
+    best = F.least(F.col("c"), F.lit((1 << 20) - 1)) * F.lit(1 << 43) + F.shiftrightunsigned("key", 21)
+    ids = old.write(live().groupBy("id").agg(F.sum("c").alias("company"), F.max(best).alias("best")), "candidates")
     sets = old.write(sets_of(ids().select("id")), "candidate-sets")
     fit = old.write(sets().select("id", "n").join(ids(), "id"), "candidate-sizes")
-    buckets = old.write(live().select("key", "id").join(fit(), "id"), "buckets")
     order = F.struct(-F.col("company"), "n", "id")
-    leaders = buckets().groupBy("key").agg(F.min_by(F.struct("id", "n"), order).alias("y"))
-    pairs = buckets().select("key", F.struct("id", "n").alias("x")).join(leaders, "key").where((F.col("x.id") != F.col("y.id")) & _fits(F.col("x.n"), F.col("y.n"), percent))
-    links = old.write(_checked(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), sets, percent, elements), "links")
+    able = (F.col("id") != F.col("y.id")) & _fits(F.col("n"), F.col("y.n"), percent)
+    leaders = fit().groupBy("best").agg(F.min_by(F.struct("id", "n"), order).alias("y"))
+    tried = old.write(fit().join(leaders, "best").where(able).select(F.col("id").alias("a"), F.col("y.id").alias("b")), "tried")
+    links = old.write(_checked(tried(), sets, percent, elements, surely), "links")
     labels = components(links(), into)
 
-    held = old.write(buckets().join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "bucket-labels")
+    held = old.write(live().select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "bucket-labels")
+    label = held().schema["c"].dataType
+    parts = [c for i in range(len(_fields(label, "c", "c_"))) for c in (F.min(f"c_{i}").alias(f"low{i}"), F.max(f"c_{i}").alias(f"high{i}"))]
+    several = reduce(or_, [F.col(f"low{i}") != F.col(f"high{i}") for i in range(len(parts) // 2)])
+    open_keys = held().select("key", *_fields(label, "c", "c_")).groupBy("key").agg(*parts).where(several).select("key")
+    open_rows = old.write(held().join(open_keys, "key").join(fit().drop("best"), "id"), "open-buckets")
+    leaders = open_rows().groupBy("key").agg(F.min_by(F.struct("id", "n", "c"), order).alias("y"))
+    asked = open_rows().join(leaders, "key").where(able & (F.col("c") != F.col("y.c"))).select(F.col("id").alias("a"), F.col("y.id").alias("b"))
+    more = old.write(_checked(asked.distinct().join(tried(), ["a", "b"], "left_anti"), sets, percent, elements, surely), "leader-links")
+    labels = _merged(labels, more, into)
+
+    held = old.write(open_rows().select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "open-labels")
     # Of two holders the leader's comparison has decided.
     sized = held().groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key")
     sized = sized.agg(F.sum("m").alias("m"), F.count("*").alias("kinds"), F.max_by("c", F.struct("m", "c")).alias("greatest")).where("kinds > 1 and m > 2")
     open_keys = old.write(sized.select("key", "greatest", F.ceil(F.col("m") / HOLDERS_A_TASK).cast("int").alias("tasks")), "open-keys")
-    still = old.write(held().join(open_keys(), "key"), "open-rows")
-    # Plain columns: the join compares them without unpacking arrays or structs.
-    words = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
+    still = old.write(held().join(open_keys(), "key").select("key", "id", "c", (F.col("c") == F.col("greatest")).alias("top"), "tasks"), "open-rows")
     asked_for = old.write(still().select("id").distinct(), "open-ids")
     place = F.col("key").bitwiseAND(F.lit(PLACES - 1))
-    marked = marks.join(asked_for(), "id", "left_semi").groupBy("id").agg(*[F.max(F.when(place == i, F.col("key"))).alias(f"m{i}") for i in range(n_marks)])
-    full = sets().join(asked_for(), "id", "left_semi").select("id", "n", *words).join(marked, "id")
-    kind = held().schema["c"].dataType
-    label = [F.col(f"c.{f}").alias(f"c{i}") for i, f in enumerate(kind.names)] if isinstance(kind, T.StructType) else [F.col("c").alias("c0")]
-    still = old.write(still().select("key", "id", (F.col("c") == F.col("greatest")).alias("top"), "tasks", *label).join(full, "id"), "open-holders")
-    # Holders outside the greatest component look for others; those of two such components for each other once.
-    asking = still().where("not top").withColumn("task", F.pmod(F.hash("id"), "tasks")).drop("tasks", "top")
-    told = [c for c in still().columns if c not in ("key", "tasks")]
-    asked = still().select("key", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), *[F.col(c).alias(f"y_{c}") for c in told])
-    # Columns that can't be null keep the join's code short enough to be compiled.
-    asking, asked = _without_nulls(asking), _without_nulls(asked)
-    own, other = ([[F.col(f"{side}{kind}{i}") for i in range(n)] for kind, n in (("s", SKETCH), ("m", n_marks), ("c", len(label)))] for side in ("", "y_"))
-    before = F.lit(False)
-    for x, y in reversed(list(zip(own[2], other[2], strict=True))):
-        before = (x < y) | (x == y) & before
-    able = _fits(F.col("n"), F.col("y_n"), percent) & first_met(own[1], other[1], place) & _close(F.col("n"), F.col("y_n"), own[0], other[0], percent)
-    near = asking.join(asked, ["key", "task"]).where((F.col("y_top") | before) & able).select(F.col("id").alias("a"), F.col("y_id").alias("b"))
-    more = old.write(_checked(near, sets, percent, elements), "more-links")
-    if not more().isEmpty():
-        # Links between components, of which each has one label.
-        name = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_label"))
-        joined = more().join(name("a"), "a", "left").join(name("b"), "b", "left")
-        joined = joined.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).distinct()
-        joined = components(joined, old).select(F.col("id").alias("component"), F.col("component").alias("root"))
-        named = labels.join(joined, "component", "full").select(F.coalesce("id", "component").alias("id"), F.coalesce("root", "component").alias("component"))
-        labels = into.write(named, "components")()
+    marked = marks.join(asked_for(), "id", "left_semi").groupBy("id").agg(F.array(*[F.coalesce(F.max(F.when(place == i, F.col("key"))), F.lit(0).cast("long")) for i in range(n_marks)]).alias("marks"))
+    full = sets().join(asked_for(), "id", "left_semi").select("id", "n", "sketch").join(marked, "id")
+    near = near_pairs(still().join(full, "id"), percent, first_met)
+    more = old.write(_checked(near, sets, percent, elements, surely), "more-links")
+    labels = _merged(labels, more, into)
+    old.clear()
+    return labels
+
+
+def _merged(labels: DataFrame, more: Callable[[], DataFrame], into: Scratch) -> DataFrame:
+    """Components with more links, between components, of which each has one label."""
+    if more().isEmpty():
+        return labels
+    old = Scratch(labels.sparkSession)
+    name = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_label"))
+    joined = more().join(name("a"), "a", "left").join(name("b"), "b", "left")
+    joined = joined.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).distinct()
+    joined = components(joined, old).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    named = labels.join(joined, "component", "full").select(F.coalesce("id", "component").alias("id"), F.coalesce("root", "component").alias("component"))
+    labels = into.write(named, "components")()
     old.clear()
     return labels
 
 
-def _checked(pairs: DataFrame, sets: Callable[[], DataFrame], percent: int, elements: Callable[[str], set]) -> DataFrame:
+def _checked(pairs: DataFrame, sets: Callable[[], DataFrame], percent: int, elements: Callable[[str], set], surely: Callable[[str, str, int, int], bool] | None) -> DataFrame:
     """The similar pairs of pairs, by texts; those of one b stand together."""
     one = sets().select(F.col("id").alias("a"), F.col("set").alias("sa"), F.col("n").alias("na"), F.col("sketch").alias("x"))
     two = sets().select(F.col("id").alias("b"), F.col("set").alias("sb"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
     x, y = ([F.col(c)[i] for i in range(SKETCH)] for c in "xy")
-    return verified(pairs.join(one, "a").join(two, "b").where(_close(F.col("na"), F.col("nb"), x, y, percent)), elements, percent)
+    return verified(pairs.join(one, "a").join(two, "b").where(_close(F.col("na"), F.col("nb"), x, y, percent)), elements, percent, surely)

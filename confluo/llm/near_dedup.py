@@ -8,12 +8,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -76,10 +74,10 @@ def _shared_tables(held: Callable[[], DataFrame], old: Scratch) -> DataFrame:
     return shared_rows(rows, count)
 
 
-def _first_met(x: Column, y: Column, place: Column) -> Column:
+def _first_met(x: np.ndarray, y: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Whether no earlier table, by its left and by its right half, is shared by two documents."""
-    left, right = F.floor(place / HALVES), place % HALVES
-    return ~reduce(or_, same_before(x[:HALVES], y[:HALVES], left) + same_before(x[HALVES:], y[HALVES:], right))
+    left, right = np.divmod(place, HALVES)
+    return ~(same_before(x[:, :HALVES], y[:, :HALVES], left) | same_before(x[:, HALVES:], y[:, HALVES:], right))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -416,3 +416,42 @@ def test_pipeline_odd_rows(spark, tmp_path):
     done = corpus_pipeline.run(spark, str(tmp_path)).collect()
     # Document 4's one line is document 3's: it is empty after that, like document 2.
     assert sorted((str(r.doc_id), r.n_tokens > 0, r.same) for r in done) == [("1", False, True), ("2", False, True), ("3", True, True), ("4", False, True), ("None", True, True)]
+
+
+def test_a_family_meets_its_leader_in_one_key(spark, monkeypatch):
+    """Copies that share all of 40 keys are linked by one row a copy, not by one a key; a pair apart from its best keys is found too."""
+    text = lambda k: " ".join(f"w{i}" if i != k else f"x{k}" for i in range(100))
+    texts = {k: text(k) for k in range(200)} | {1000: " ".join(f"a{i}" for i in range(50)), 1001: " ".join(f"a{i}" for i in range(49))}
+    family = [(k, t) for t in range(200) for k in range(40)]
+    rows = [(k << 32 | 1 << 60 | k, t, 200) for k, t in family] + [(90 << 32 | 90, 1000, 3), (91 << 32 | 91, 1000, 2), (91 << 32 | 91, 1001, 2), (92 << 32 | 92, 1001, 3), (92 << 32 | 92, 5, 3), (90 << 32 | 90, 6, 3)]
+    live = spark.createDataFrame(rows, "key long, id long, c long")
+    named = spark.createDataFrame(list(texts.items()), "id long, set string")
+    seen, plain = [], linking._checked
+
+    def checked(pairs, *rest):
+        seen.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(linking, "_checked", checked)
+    sets_of = lambda ids: linking.described(named.join(ids, "id", "left_semi"), lambda some: near_dedup.hashing.word_shingles(some, 5))
+    old = near_dedup.Scratch(spark)
+    met = lambda x, y, place: ~linking.same_before(x, y, place)
+    found = linking.link_similar(lambda: live, sets_of, live.select("id", "key"), 93, met, near_dedup.shingle_set, 75, old)
+    got = {r.id: r.component for r in found.collect()}
+    assert got == {k: 0 for k in range(200)} | {1000: 1000, 1001: 1000}
+    assert seen[0] <= 202 and sum(seen) <= 220
+
+
+@pytest.mark.parametrize("percent", [75, 90])
+def test_lines_told_similar_by_their_ends_are_similar(percent):
+    r = random.Random(percent)
+    told = 0
+    for _ in range(4000):
+        x = "".join(r.choice("abcdefgh ") for _ in range(r.randint(1, 150))) * r.choice([1, 1, 1, 2])
+        at, n = r.randrange(len(x)), r.randint(0, 9)
+        y = x[:at] + r.choice(["", "z", "ab"]) + x[at + n :] or "z"
+        a, b = line_dedup.shingle_set(x), line_dedup.shingle_set(y)
+        if line_dedup.surely_similar(x, y, len(a), len(b), percent):
+            told += 1
+            assert 100 * len(a & b) >= percent * len(a | b)
+    assert told > 200
