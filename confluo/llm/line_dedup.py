@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .common import Scratch, row_key, unused, write
-from .linking import described, link_similar, may_hold, placed_keys, same_before, set_bits, shared_rows
+from .linking import described, link_similar, may_hold, placed_keys, same_before, set_bits, shared_keys
 from .pretokens import text_runs
 
 #: Characters a shingle; bands of minwise hashes: lines of similarity 0.75 share no band with a chance of 4 in 1,000, of
@@ -87,6 +87,15 @@ def _places(parts):
             yield pa.record_batch(columns, names=["doc_key", "doc_id", "line", "id", "bands"])
 
 
+def _flat_places(parts):
+    """Rows of _places with ids as columns and bands (a list of longs) as binary."""
+    for part in _places(parts):
+        doc, doc_id, line, of, bands = part.columns
+        cuts = pa.py_buffer((bands.offsets.to_numpy() * 8).astype("<i4"))
+        packed = pa.BinaryArray.from_buffers(pa.binary(), len(part), [None, cuts, pa.py_buffer(np.ascontiguousarray(bands.values.to_numpy()))])
+        yield pa.record_batch([doc.field("a"), doc.field("b"), doc_id, line, of.field("a"), of.field("b"), packed], names=["doc_a", "doc_b", "doc_id", "line", "a", "b", "bands"])
+
+
 def _hashes(lines: list[str]) -> list[np.ndarray]:
     shingles, first = hashing.char_shingles(lines, SHINGLE)
     return [np.unique(shingles[a:b]) for a, b in zip(first, first[1:], strict=False)]
@@ -145,13 +154,13 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     length are taken whole: a task holds one text at a time beside a run of short ones.
     """
     docs = docs.drop("dropped_lines", "same_as")
-    key, lost_lines, same = unused(docs, "row_key"), unused(docs, "lost_lines"), unused(docs, "same_ids")
+    key_a, key_b, lost_lines, same = (unused(docs, x) for x in ("row_key_a", "row_key_b", "lost_lines", "same_ids"))
     doc_key = row_key(F.col(id_col), F.col(text_col))
     texts = docs.select(doc_key.alias("doc_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     old = Scratch(docs.sparkSession)
-    places = old.write(texts.mapInArrow(_places, f"doc_key struct<a: long, b: long>, doc_id long, line int, id {ID}, bands array<long>"), "line-places")
-    rows = places().select("id", F.explode("bands").alias("key"))
-    live = old.write(shared_rows(rows, places().count() * BANDS), "shared-bands")
+    places = old.write(texts.mapInArrow(_flat_places, "doc_a long, doc_b long, doc_id long, line int, a long, b long, bands binary"), "line-places")
+    banded = places().where(F.length("bands") > 0).select("a", "b", "bands")
+    live = old.write(shared_keys(banded, banded.count() * BANDS), "shared-bands")
 
     def lines_of(ids: DataFrame) -> DataFrame:
         """The normal form of each line wanted; lines that the filter stops are not moved."""
@@ -169,14 +178,15 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
         return described(texts.select("text").mapInArrow(run, f"id {ID}, set string").join(ids, "id", "left_semi").dropDuplicates(["id"]), _hashes)
 
     linked = link_similar(live, lines_of, live(), BANDS, _first_met, shingle_set, percent, old, partial(surely_similar, percent=percent))
-    # Every line id with more than one occurrence, and every linked one.
-    repeated = places().groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
-    group = old.write(linked.union(repeated.join(linked, "id", "left_anti").select("id", F.col("id").alias("component"))), "line-groups")
-    spots = places().select("id", F.struct("doc_id", "doc_key", "line").alias("at")).join(group(), "id")
-    spots = old.write(spots.select("component", "at"), "line-spots")
-    first = old.write(spots().groupBy("component").agg(F.min("at").alias("first")), "line-firsts")
-    lost = spots().join(first(), "component").where("at != first")
-    lost = lost.groupBy(F.col("at.doc_key").alias(key)).agg(F.sort_array(F.collect_set("at.line")).alias(lost_lines), F.sort_array(F.collect_set("first.doc_id")).alias(same))
+    # Every line id with more than one occurrence, and every linked one. Ids stand as columns, by whose longs rows are sorted.
+    linked = linked.select("id.a", "id.b", F.col("component.a").alias("c_a"), F.col("component.b").alias("c_b"))
+    repeated = places().groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").join(linked, ["a", "b"], "left_anti")
+    group = old.write(linked.union(repeated.select("a", "b", "a", "b")), "line-groups")
+    spots = places().select("a", "b", F.struct("doc_id", "doc_a", "doc_b", "line").alias("at")).join(group(), ["a", "b"])
+    spots = old.write(spots.select("c_a", "c_b", "at"), "line-spots")
+    first = old.write(spots().groupBy("c_a", "c_b").agg(F.min("at").alias("first")), "line-firsts")
+    lost = spots().join(first(), ["c_a", "c_b"]).where("at != first")
+    lost = lost.groupBy(F.col("at.doc_a").alias(key_a), F.col("at.doc_b").alias(key_b)).agg(F.sort_array(F.collect_set("at.line")).alias(lost_lines), F.sort_array(F.collect_set("first.doc_id")).alias(same))
     lost = write(lost, "lost-lines")
     old.clear()
 
@@ -184,7 +194,7 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
         F.col(lost_lines).isNotNull(),
         F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(lost_lines, i)), "\n"),
     ).otherwise(F.col(text_col))
-    out = docs.withColumn(key, doc_key).join(lost().hint("shuffle_hash"), key, "left")
+    out = docs.withColumns({key_a: doc_key["a"], key_b: doc_key["b"]}).join(lost().hint("shuffle_hash"), [key_a, key_b], "left")
     kept = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(f"array<{kind}>"))
     return out.select(*kept, none(lost_lines, "int").alias("dropped_lines"), none(same, "long").alias("same_as"))

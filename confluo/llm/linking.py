@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import add, or_
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +34,8 @@ FILTER_BITS = 26
 PLACES = 1 << 8
 #: A key with this many rows in a sample of 64 rows a task is dealt to tasks by its ids.
 SAMPLED, HOT = 64, 16
+#: Rows of one task whose keys agree in so many upper bits move as one value.
+SLICE_BITS = 12
 
 
 def sketches(elements: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -68,6 +71,41 @@ def placed_keys(keys: np.ndarray) -> np.ndarray:
     return keys & ~np.int64(PLACES - 1) | np.arange(keys.shape[1])
 
 
+def _of_several(key: np.ndarray, *fields: np.ndarray):
+    """The distinct rows whose key has several ids (fields), with the key's rows, in batches."""
+    order = np.argsort(key, kind="stable")
+    key, fields = key[order], [f[order] for f in fields]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(key)))
+    which = np.repeat(np.arange(len(start)), size)
+    stays = np.zeros(len(start), bool)
+    for f in fields:
+        stays |= np.bincount(which, f != f[start][which], len(start)) > 0
+    kept = np.flatnonzero(stays[which])
+    columns = [key[kept], *(f[kept] for f in fields)]
+    if len(kept):
+        again = np.lexsort(columns[::-1])
+        new = np.zeros(len(kept), bool)
+        new[0] = True
+        for c in columns:
+            new[1:] |= c[again][1:] != c[again][:-1]
+        kept = kept[np.sort(again[new])]
+    for a in range(0, len(kept), 1 << 16):
+        some = kept[a : a + (1 << 16)]
+        yield key[some], *(f[some] for f in fields), size[which[some]]
+
+
+def _dealt(spark: SparkSession, count: int) -> tuple[int, float]:
+    """Tasks for so many rows by key, and the share of the rows that is sampled for hot keys."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // ROWS_A_TASK))
+    return tasks, min(1.0, SAMPLED * tasks / max(count, 1))
+
+
+def _hot(keys: DataFrame) -> pa.Table:
+    """Of a sample of keys those that fill a good part of a task, with their number: at most SAMPLED / HOT a task."""
+    return keys.groupBy("key").count().where(F.col("count") >= HOT).toArrow()
+
+
 def shared_rows(rows: DataFrame, count: int) -> DataFrame:
     """The distinct rows (key long, id) whose key several ids hold, with c, the key's rows: one shuffle.
 
@@ -76,9 +114,8 @@ def shared_rows(rows: DataFrame, count: int) -> DataFrame:
     stay, and c is what the sample says of the key's rows.
     """
     spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // ROWS_A_TASK))
-    share = min(1.0, SAMPLED * tasks / max(count, 1))
-    hot = rows.select("key").sample(share, 9).groupBy("key").count().where(F.col("count") >= HOT).toArrow()  # at most SAMPLED / HOT a task
+    tasks, share = _dealt(spark, count)
+    hot = _hot(rows.select("key").sample(share, 9))
     kind = rows.schema["id"].dataType
     parts_of_id = [F.col(f"id.{f}").alias(f"id_{f}") for f in kind.names] if isinstance(kind, T.StructType) else [F.col("id").alias("id_")]
     dealt = cold = rows.select("key", *parts_of_id)
@@ -91,27 +128,8 @@ def shared_rows(rows: DataFrame, count: int) -> DataFrame:
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        key, *fields = (c.to_numpy() for c in t.columns)
-        order = np.argsort(key, kind="stable")
-        key, fields = key[order], [f[order] for f in fields]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        size = np.diff(np.append(start, len(key)))
-        which = np.repeat(np.arange(len(start)), size)
-        stays = np.zeros(len(start), bool)
-        for f in fields:
-            stays |= np.bincount(which, f != f[start][which], len(start)) > 0
-        kept = np.flatnonzero(stays[which])
-        columns = [key[kept], *(f[kept] for f in fields)]
-        if len(kept):
-            again = np.lexsort(columns[::-1])
-            new = np.zeros(len(kept), bool)
-            new[0] = True
-            for c in columns:
-                new[1:] |= c[again][1:] != c[again][:-1]
-            kept = kept[np.sort(again[new])]
-        for a in range(0, len(kept), 1 << 16):
-            some = kept[a : a + (1 << 16)]
-            yield pa.record_batch([pa.array(x) for x in (key[some], *(f[some] for f in fields), size[which[some]])], names=[*t.column_names, "c"])
+        for some in _of_several(*(c.to_numpy() for c in t.columns)):
+            yield pa.record_batch(list(map(pa.array, some)), names=[*t.column_names, "c"])
 
     found = cold.repartition(tasks, "key").mapInArrow(run, T.StructType([*dealt.schema.fields, T.StructField("c", T.LongType())]))
     if len(hot):
@@ -120,6 +138,72 @@ def shared_rows(rows: DataFrame, count: int) -> DataFrame:
     return found.select("key", whole.alias("id"), "c")
 
 
+def _packs(parts, hot: np.ndarray):
+    """Rows (slice, pack): the keys of sets, each with its set's id, by the upper bits of the key; those of hot keys are left out."""
+    held, size = [], 0
+
+    def packed():
+        rows = np.concatenate(held)
+        slices = (rows[:, 0].view(np.uint64) >> np.uint64(64 - SLICE_BITS)).astype(np.uint16)
+        order = np.argsort(slices, kind="stable")
+        found, start = np.unique(slices[order], return_index=True)
+        cuts = np.append(start, len(rows)) * rows.itemsize * rows.shape[1]
+        packs = pa.BinaryArray.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(cuts.astype("<i4")), pa.py_buffer(rows[order])])
+        return pa.record_batch([pa.array(found, pa.int32()), packs], names=["slice", "pack"])
+
+    for part in parts:
+        for rows in _unpacked(part):
+            if len(hot):
+                rows = rows[~np.isin(rows[:, 0], hot)]
+            held.append(rows)
+            size += len(rows)
+            if size >= ROWS_A_TASK:
+                yield packed()
+                held, size = [], 0
+    if size:
+        yield packed()
+
+
+def _unpacked(part: pa.RecordBatch):
+    """Rows (key, a, b) of a batch of a, b and keys (binary, of longs), 2**14 sets at a time."""
+    for at in range(0, len(part), 1 << 14):
+        a, b, keys = part.slice(at, 1 << 14).columns
+        flat = np.frombuffer(b"".join(keys.to_pylist()), np.int64)
+        n = pc.binary_length(keys).to_numpy(zero_copy_only=False) // 8
+        yield np.stack([flat, np.repeat(a.to_numpy(), n), np.repeat(b.to_numpy(), n)], axis=1)
+
+
+def shared_keys(sets: DataFrame, count: int) -> DataFrame:
+    """As shared_rows, of sets (a, b, keys): an id's two longs and its keys (binary: longs). count: the number of keys, or more.
+
+    Rows of a task that go the same way move as one value."""
+    spark = sets.sparkSession
+    tasks, share = _dealt(spark, count)
+    few = lambda parts: (pa.record_batch([pa.array(r[:, 0])], names=["key"]) for p in parts for r in _unpacked(p))
+    hot = _hot(sets.sample(share, 9).mapInArrow(few, "key long"))
+    keys, times = hot.column(0).to_numpy(), (hot.column(1).to_numpy() / share).astype(np.int64)
+    order = np.argsort(keys)
+    keys, times = keys[order], times[order]
+
+    def run(parts):
+        rows = [np.frombuffer(x, np.int64).reshape(-1, 3) for p in parts for x in p.column(1).to_pylist()]
+        if rows:
+            for some in _of_several(*np.ascontiguousarray(np.concatenate(rows).T)):
+                yield pa.record_batch(list(map(pa.array, some)), names=["key", "a", "b", "c"])
+
+    def hot_rows(parts):
+        for part in parts:
+            for rows in _unpacked(part):
+                key, a, b = rows[np.isin(rows[:, 0], keys)].T
+                yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in (key, a, b)] + [pa.array(times[np.searchsorted(keys, key)])], names=["key", "a", "b", "c"])
+
+    kind = "key long, a long, b long, c long"
+    found = sets.mapInArrow(lambda parts: _packs(parts, keys), "slice int, pack binary").repartition(tasks, "slice").mapInArrow(run, kind)
+    if len(keys):
+        found = found.union(sets.mapInArrow(hot_rows, kind).distinct())
+    return found.select("key", F.struct("a", "b").alias("id"), "c")
+
+
 def set_bits(ids: DataFrame) -> np.ndarray:
     """A filter of fixed size for ids (structs whose a is a hash): bits that they set, by the top bits of a."""
     bit = F.shiftrightunsigned("id.a", 64 - FILTER_BITS)
@@ -220,12 +304,13 @@ def _whole(kind: T.DataType, named: str) -> Column:
     return F.struct(*[F.col(f"{named}{i}").alias(f) for i, f in enumerate(kind.names)]) if isinstance(kind, T.StructType) else F.col(f"{named}0")
 
 
-def near_pairs(holders: DataFrame, percent: int, first_met: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def near_pairs(holders: DataFrame, count: int, percent: int, first_met: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """Pairs (a, b) of holders of one key, of different labels, that their sizes and sketches let reach the threshold.
 
     holders: key, id, c (label), top (whether that is the key's greatest component), tasks, n, sketch, marks. A key's holders are
     dealt to tasks * tasks blocks of those that look for others and those that are looked for; those in the greatest
-    component do not look, and two others meet once. A task holds its blocks' sketches as arrays.
+    component do not look, and two others meet once. A task holds its blocks' sketches as arrays. count: the sum of 2 * tasks
+    over holders.
     """
     kind, label = holders.schema["id"].dataType, holders.schema["c"].dataType
     own, every = F.pmod(F.hash("id"), "tasks"), F.sequence(F.lit(0), F.col("tasks") - 1)
@@ -236,7 +321,6 @@ def near_pairs(holders: DataFrame, percent: int, first_met: Callable[[np.ndarray
     ids, labels = _fields(kind, "id", "id_"), _fields(label, "c", "c_")
     dealt = holders.select("key", F.explode(F.concat(sought, seeking)).alias("_b"), "top", "n", "sketch", "marks", *ids, *labels)
     dealt = dealt.select("key", "_b.i", "_b.j", "_b.side", "top", "n", "sketch", "marks", *[f"id_{i}" for i in range(len(ids))], *[f"c_{i}" for i in range(len(labels))])
-    count = holders.agg(F.coalesce(F.sum(2 * F.col("tasks") - 1), F.lit(0))).first()[0]
     tasks = max(int(holders.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // HOLDER_ROWS_A_TASK))
     n_ids, n_labels = len(ids), len(labels)
 
@@ -321,39 +405,45 @@ def link_similar(
     # The key with the most rows by its size and its upper bits: one of many keys that agree in both only adds candidates.
     best = F.least(F.col("c"), F.lit((1 << 20) - 1)) * F.lit(1 << 43) + F.shiftrightunsigned("key", 21)
     ids = old.write(live().groupBy("id").agg(F.sum("c").alias("company"), F.max(best).alias("best")), "candidates")
-    sets = old.write(sets_of(ids().select("id")), "candidate-sets")
-    fit = old.write(sets().select("id", "n").join(ids(), "id"), "candidate-sizes")
-    order = F.struct(-F.col("company"), "n", "id")
-    able = (F.col("id") != F.col("y.id")) & _fits(F.col("n"), F.col("y.n"), percent)
-    leaders = fit().groupBy("best").agg(F.min_by(F.struct("id", "n"), order).alias("y"))
-    tried = old.write(fit().join(leaders, "best").where(able).select(F.col("id").alias("a"), F.col("y.id").alias("b")), "tried")
+    # From here a set goes by a number, which the written table fixes: it sorts and moves as one long.
+    sets = old.write(sets_of(ids().select("id")).withColumn("num", F.monotonically_increasing_id()), "candidate-sets")
+    fit = old.write(sets().select("id", "num", "n").join(ids(), "id"), "candidate-sizes")
+    order = F.struct(-F.col("company"), "n", "num")
+    able = (F.col("num") != F.col("y.num")) & _fits(F.col("n"), F.col("y.n"), percent)
+    leaders = fit().groupBy("best").agg(F.min_by(F.struct("num", "n"), order).alias("y"))
+    tried = old.write(fit().join(leaders, "best").where(able).select(F.col("num").alias("a"), F.col("y.num").alias("b")), "tried")
     links = old.write(_checked(tried(), sets, percent, elements, surely), "links")
-    labels = components(links(), into)
-
-    held = old.write(live().select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "bucket-labels")
-    label = held().schema["c"].dataType
-    parts = [c for i in range(len(_fields(label, "c", "c_"))) for c in (F.min(f"c_{i}").alias(f"low{i}"), F.max(f"c_{i}").alias(f"high{i}"))]
-    several = reduce(or_, [F.col(f"low{i}") != F.col(f"high{i}") for i in range(len(parts) // 2)])
-    open_keys = held().select("key", *_fields(label, "c", "c_")).groupBy("key").agg(*parts).where(several).select("key")
-    open_rows = old.write(held().join(open_keys, "key").join(fit().drop("best"), "id"), "open-buckets")
-    leaders = open_rows().groupBy("key").agg(F.min_by(F.struct("id", "n", "c"), order).alias("y"))
-    asked = open_rows().join(leaders, "key").where(able & (F.col("c") != F.col("y.c"))).select(F.col("id").alias("a"), F.col("y.id").alias("b"))
+    labels = components(links(), old)
+
+    label = F.coalesce("component", "num").alias("c")
+    named = lambda: labels.select(F.col("id").alias("num"), "component")
+    held = fit().join(named(), "num", "left").select("id", "num", "n", "company", label)
+    held = old.write(live().select("key", "id").join(held, "id").drop("id"), "bucket-labels")
+    open_keys = held().groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key")
+    open_rows = old.write(held().join(open_keys, "key"), "open-buckets")
+    leaders = open_rows().groupBy("key").agg(F.min_by(F.struct("num", "n", "c"), order).alias("y"))
+    asked = open_rows().join(leaders, "key").where(able & (F.col("c") != F.col("y.c"))).select(F.col("num").alias("a"), F.col("y.num").alias("b"))
     more = old.write(_checked(asked.distinct().join(tried(), ["a", "b"], "left_anti"), sets, percent, elements, surely), "leader-links")
-    labels = _merged(labels, more, into)
+    labels = _merged(labels, more, old)
 
-    held = old.write(open_rows().select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "open-labels")
+    held = old.write(open_rows().select("key", "num").join(named(), "num", "left").select("key", "num", label), "open-labels")
     # Of two holders the leader's comparison has decided.
     sized = held().groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key")
     sized = sized.agg(F.sum("m").alias("m"), F.count("*").alias("kinds"), F.max_by("c", F.struct("m", "c")).alias("greatest")).where("kinds > 1 and m > 2")
-    open_keys = old.write(sized.select("key", "greatest", F.ceil(F.col("m") / HOLDERS_A_TASK).cast("int").alias("tasks")), "open-keys")
-    still = old.write(held().join(open_keys(), "key").select("key", "id", "c", (F.col("c") == F.col("greatest")).alias("top"), "tasks"), "open-rows")
-    asked_for = old.write(still().select("id").distinct(), "open-ids")
+    open_keys = old.write(sized.select("key", "greatest", "m", F.ceil(F.col("m") / HOLDERS_A_TASK).cast("int").alias("tasks")), "open-keys")
+    still = old.write(held().join(open_keys(), "key").select("key", F.col("num").alias("id"), "c", (F.col("c") == F.col("greatest")).alias("top"), "tasks"), "open-rows")
+    asked_for = old.write(fit().join(still().select(F.col("id").alias("num")).distinct(), "num", "left_semi").select("id", "num"), "open-ids")
     place = F.col("key").bitwiseAND(F.lit(PLACES - 1))
-    marked = marks.join(asked_for(), "id", "left_semi").groupBy("id").agg(F.array(*[F.coalesce(F.max(F.when(place == i, F.col("key"))), F.lit(0).cast("long")) for i in range(n_marks)]).alias("marks"))
-    full = sets().join(asked_for(), "id", "left_semi").select("id", "n", "sketch").join(marked, "id")
-    near = near_pairs(still().join(full, "id"), percent, first_met)
+    marked = marks.join(asked_for(), "id").groupBy(F.col("num").alias("id")).agg(F.array(*[F.coalesce(F.max(F.when(place == i, F.col("key"))), F.lit(0).cast("long")) for i in range(n_marks)]).alias("marks"))
+    count = open_keys().agg(F.coalesce(F.sum(F.col("m") * (2 * F.col("tasks") - 1)), F.lit(0))).first()[0]
+    near = near_pairs(still().join(sets().select(F.col("num").alias("id"), "n", "sketch").join(marked, "id"), "id"), count, percent, first_met)
     more = old.write(_checked(near, sets, percent, elements, surely), "more-links")
-    labels = _merged(labels, more, into)
+    labels = _merged(labels, more, old)
+
+    whole = fit().select(F.col("num"), F.col("id").alias("whole"))
+    found = old.write(labels.join(whole, F.col("id") == F.col("num")).select("whole", "component"), "whole-labels")
+    least = found().groupBy("component").agg(F.min("whole").alias("least"))
+    labels = into.write(found().join(least, "component").select(F.col("whole").alias("id"), F.col("least").alias("component")), "components")()
     old.clear()
     return labels
 
@@ -375,7 +465,7 @@ def _merged(labels: DataFrame, more: Callable[[], DataFrame], into: Scratch) ->
 
 def _checked(pairs: DataFrame, sets: Callable[[], DataFrame], percent: int, elements: Callable[[str], set], surely: Callable[[str, str, int, int], bool] | None) -> DataFrame:
     """The similar pairs of pairs, by texts; those of one b stand together."""
-    one = sets().select(F.col("id").alias("a"), F.col("set").alias("sa"), F.col("n").alias("na"), F.col("sketch").alias("x"))
-    two = sets().select(F.col("id").alias("b"), F.col("set").alias("sb"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    one = sets().select(F.col("num").alias("a"), F.col("set").alias("sa"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    two = sets().select(F.col("num").alias("b"), F.col("set").alias("sb"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
     x, y = ([F.col(c)[i] for i in range(SKETCH)] for c in "xy")
     return verified(pairs.join(one, "a").join(two, "b").where(_close(F.col("na"), F.col("nb"), x, y, percent)), elements, percent, surely)

@@ -250,6 +250,19 @@ def test_hot_keys_are_aggregated(spark):
     assert min(x.c for x in got if x.key == -7) > 100_000 and max(per_task) < 4_000
 
 
+def test_keys_move_packed(spark):
+    """Sets' keys go to their tasks as few values, and rows are those of shared_rows: hot keys, repeated sets, sets without keys."""
+    r = random.Random(3)
+    sets = [(i, -i, [k << 32 for k in r.sample(range(9000), 4)] + [7] * (i % 3 > 0)) for i in range(6000)]
+    sets += sets[:50] + [(9001, 0, [])]
+    given = spark.createDataFrame([(a, b, np.array(k, np.int64).tobytes()) for a, b, k in sets], "a long, b long, bands binary").coalesce(2)
+    rows = spark.createDataFrame([(k, (a, b)) for a, b, keys in sets for k in keys], "key long, id struct<a: long, b: long>")
+    got, want = (f.select("key", "id").collect() for f in (linking.shared_keys(given, 30_000), linking.shared_rows(rows, 30_000)))
+    assert len(got) == len(set(got)) and set(got) == set(want) and sum(x.key == 7 for x in got) == 4000
+    packs = given.mapInArrow(lambda parts: linking._packs(parts, np.array([7])), "slice int, pack binary")
+    assert packs.count() <= 2 * 9 << 1 and packs.agg(F.sum(F.length("pack"))).first()[0] == 24 * 4 * 6050
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
 
