@@ -21,6 +21,8 @@ from .pretokens import PieceCache, text_runs, gather
 NEVER = np.int64(1) << 62
 #: Fewer pieces of a length are merged one by one.
 FEW = 24
+#: Pieces of each generation that a worker keeps: workers stay between stages, and their memory with them.
+KEPT = 50_000
 
 
 class RankEncoder:
@@ -42,7 +44,7 @@ class RankEncoder:
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.token_size = np.array(list(map(len, tokens)), np.int64)
         self.token_at = np.cumsum(self.token_size) - self.token_size
-        self.cache = PieceCache(self.encode_pieces)
+        self.cache = PieceCache(self.encode_pieces, KEPT)
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b

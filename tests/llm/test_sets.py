@@ -431,6 +431,22 @@ def test_pipeline_odd_rows(spark, tmp_path):
     assert sorted((str(r.doc_id), r.n_tokens > 0, r.same) for r in done) == [("1", False, True), ("2", False, True), ("3", True, True), ("4", False, True), ("None", True, True)]
 
 
+def test_pipeline_gives_python_small_batches(spark, tmp_path):
+    """Whole documents go to Python a thousand at a time, also where the last stage's plan is run by another; a smaller bound stays."""
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    sizes = lambda parts: (pa.record_batch([pa.array([len(p)])], names=["n"]) for p in parts)
+    try:
+        for given, want in (("10000", 1000), ("0", 1000), ("300", 300)):
+            spark.conf.set(name, given)
+            corpus_pipeline.encode(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), str(tmp_path))
+            assert spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_a_family_meets_its_leader_in_one_key(spark, monkeypatch):
     """Copies that share all of 40 keys are linked by one row a copy, not by one a key; a pair apart from its best keys is found too."""
     text = lambda k: " ".join(f"w{i}" if i != k else f"x{k}" for i in range(100))
