@@ -26,6 +26,14 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(n, dtype=U) + (U(salt) << U(32)))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; for short arrays at a fraction of what numpy's unique takes."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
@@ -138,7 +146,7 @@ def word_shingles(texts: list[str], k: int = 5) -> list[np.ndarray]:
     out = []
     for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
         if b - a >= k:
-            out.append(np.unique(rolled[a : b - k + 1]))
+            out.append(distinct(rolled[a : b - k + 1]))
         else:
             out.append(mix((h[a:b] * WORD[: b - a]).sum(keepdims=True) + WORD[b - a + k]) if b > a else np.zeros(0, U))
     return out

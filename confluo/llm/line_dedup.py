@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .common import Scratch, row_key, unused, write
-from .linking import described, link_similar, may_hold, placed_keys, same_before, set_bits, shared_keys
+from .linking import described, link_similar, may_hold, placed_keys, set_bits, shared_keys
 from .pretokens import text_runs
 
 #: Characters a shingle; bands of minwise hashes: lines of similarity 0.75 share no band with a chance of 4 in 1,000, of
@@ -24,13 +24,23 @@ RUN = 1 << 18
 KNOWN = 1 << 16
 #: A line's id: 128 bits of its normal form.
 ID = "struct<a: long, b: long>"
+#: White space other than the plain space and the newline, of ASCII and of all.
+ASCII_WHITE = tuple("\t\v\f\r\x1c\x1d\x1e\x1f")
+WHITE = (*ASCII_WHITE, *(chr(c) for c in range(0x80, 0x3001) if chr(c).isspace()))
 
 
 def normal(line: str) -> str:
     """Lines that differ in case and white space only are equal."""
-    line = line.lower()
-    # Of white space only the plain space is printable.
-    return line.strip(" ") if line.isprintable() and "  " not in line else " ".join(line.split())
+    return " ".join(line.lower().split())
+
+
+def _normal_lines(text: str) -> list[str]:
+    """The normal form of every line of a text. A text without odd white space is looked through as a whole."""
+    text = text.lower()
+    lines = text.split("\n")
+    if "  " in text or any(map(text.__contains__, ASCII_WHITE if text.isascii() else WHITE)):
+        return [" ".join(x.split()) for x in lines]
+    return [x.strip(" ") if x[:1] == " " or x[-1:] == " " else x for x in lines]
 
 
 def _ids(lines: list[str]) -> np.ndarray:
@@ -45,11 +55,14 @@ def _lines(texts: list[str], shortest: int = 1) -> tuple[list[str], list[int], l
     """Normal forms of the lines of so many characters at least, with their text and their place in it."""
     found, owner, place = [], [], []
     for i, t in enumerate(texts):
-        for j, x in enumerate(t.split("\n")):
-            if len(x) >= shortest and len(x := normal(x)) >= shortest:
-                found.append(x)
-                owner.append(i)
-                place.append(j)
+        lines = _normal_lines(t)
+        kept = range(len(lines))
+        if min(map(len, lines)) < shortest:
+            kept = [j for j in kept if len(lines[j]) >= shortest]
+            lines = [lines[j] for j in kept]
+        found += lines
+        owner += [i] * len(lines)
+        place += kept
     return found, owner, place
 
 
@@ -98,7 +111,7 @@ def _flat_places(parts):
 
 def _hashes(lines: list[str]) -> list[np.ndarray]:
     shingles, first = hashing.char_shingles(lines, SHINGLE)
-    return [np.unique(shingles[a:b]) for a, b in zip(first, first[1:], strict=False)]
+    return [hashing.distinct(shingles[a:b]) for a, b in zip(first, first[1:], strict=False)]
 
 
 def shingle_set(line: str) -> set[str]:
@@ -106,11 +119,6 @@ def shingle_set(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def _first_met(x: np.ndarray, y: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Whether a band is the first that two lines share."""
-    return ~same_before(x, y, place)
-
-
 def _same_for(x: str, y: str, most: int) -> int:
     """How many characters, most at most, two strings have alike from their begin."""
     low, high = 0, most
@@ -123,19 +131,36 @@ def _same_for(x: str, y: str, most: int) -> int:
     return low
 
 
+#: Characters by which a common stretch is found again, and how far ahead it is looked for in both lines.
+AGAIN, AHEAD = 12, (1, 3, 6, 10, 16, 24, 40)
+
+
 def surely_similar(x: str, y: str, n: int, m: int, percent: int) -> bool:
-    """Whether two lines are similar by the shingles of what they begin and end with alone. n and m (distinct hashes of
-    shingles) say whether a line has no shingle twice; only then each place of its ends is a common shingle of its own."""
+    """Whether two lines are similar by the shingles of common stretches, in order, alone. n and m (distinct hashes of
+    shingles) say whether a line has no shingle twice; only then each place of a stretch is a common shingle of its own."""
     places = [max(1, len(t) - SHINGLE + 1) for t in (x, y)]
     if n != places[0] and m != places[1]:
         return False
-    shorter = min(len(x), len(y))
-    begin = _same_for(x, y, shorter)
-    end = 0
-    if begin < shorter:
-        end = _same_for(x[: begin - 1 if begin else None : -1], y[: begin - 1 if begin else None : -1], shorter - begin)
-    common = max(0, begin - SHINGLE + 1) + max(0, end - SHINGLE + 1)
-    return 100 * common >= percent * (sum(places) - common)
+    wanted = -(-percent * sum(places) // (100 + percent))
+    common = i = j = 0
+    while True:
+        k = _same_for(x[i:], y[j:], min(len(x) - i, len(y) - j))
+        common += max(0, k - SHINGLE + 1)
+        i, j = i + k, j + k
+        if common >= wanted:
+            return True
+        if common + min(len(x) - i, len(y) - j) - SHINGLE + 1 < wanted:
+            return False
+        for step in AHEAD:
+            found = y.find(x[i + step : i + step + AGAIN], j, j + step + AHEAD[-1] + AGAIN)
+            if found >= 0 and i + step + AGAIN <= len(x):
+                break
+        else:
+            return False
+        back = 0
+        while back < step and found - back > j and x[i + step - back - 1] == y[found - back - 1]:
+            back += 1
+        i, j = i + step - back, found - back
 
 
 def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,25 +192,29 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
         bits = set_bits(ids)
 
         def run(parts):
+            given: set[bytes] = set()
             for part in parts:
                 for _, some in text_runs(part.column(0), part.column(0)):
                     lines = list(dict.fromkeys(_lines(some, SHINGLE)[0]))
                     if lines:
                         found = _ids(lines)
-                        hit = np.flatnonzero(may_hold(bits, found[:, 0]))
+                        hit = [i for i in np.flatnonzero(may_hold(bits, found[:, 0])).tolist() if found[i].tobytes() not in given]
+                        given.update(found[i].tobytes() for i in hit)
+                        if len(given) > KNOWN:
+                            given.clear()
                         yield pa.record_batch([_id_array(found[hit]), pa.array([lines[i] for i in hit], pa.string())], names=["id", "set"])
 
-        return described(texts.select("text").mapInArrow(run, f"id {ID}, set string").join(ids, "id", "left_semi").dropDuplicates(["id"]), _hashes)
+        return described(texts.select("text").mapInArrow(run, f"id {ID}, set string").join(ids.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), _hashes)
 
-    linked = link_similar(live, lines_of, live(), BANDS, _first_met, shingle_set, percent, old, partial(surely_similar, percent=percent))
+    linked = link_similar(live, lines_of, live(), BANDS, None, shingle_set, percent, old, partial(surely_similar, percent=percent))
     # Every line id with more than one occurrence, and every linked one. Ids stand as columns, by whose longs rows are sorted.
     linked = linked.select("id.a", "id.b", F.col("component.a").alias("c_a"), F.col("component.b").alias("c_b"))
-    repeated = places().groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").join(linked, ["a", "b"], "left_anti")
+    repeated = places().groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").join(linked.hint("shuffle_hash"), ["a", "b"], "left_anti")
     group = old.write(linked.union(repeated.select("a", "b", "a", "b")), "line-groups")
-    spots = places().select("a", "b", F.struct("doc_id", "doc_a", "doc_b", "line").alias("at")).join(group(), ["a", "b"])
+    spots = places().select("a", "b", F.struct("doc_id", "doc_a", "doc_b", "line").alias("at")).join(group().hint("shuffle_hash"), ["a", "b"])
     spots = old.write(spots.select("c_a", "c_b", "at"), "line-spots")
     first = old.write(spots().groupBy("c_a", "c_b").agg(F.min("at").alias("first")), "line-firsts")
-    lost = spots().join(first(), ["c_a", "c_b"]).where("at != first")
+    lost = spots().join(first().hint("shuffle_hash"), ["c_a", "c_b"]).where("at != first")
     lost = lost.groupBy(F.col("at.doc_a").alias(key_a), F.col("at.doc_b").alias(key_b)).agg(F.sort_array(F.collect_set("at.line")).alias(lost_lines), F.sort_array(F.collect_set("first.doc_id")).alias(same))
     lost = write(lost, "lost-lines")
     old.clear()
@@ -203,6 +232,6 @@ def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
-    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", (lines * (F.col("text") != "").cast("int")).alias("n_lines"), "dropped_lines", "same_as", F.sha2("text", 256).alias("text_sha256"))

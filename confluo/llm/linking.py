@@ -304,10 +304,11 @@ def _whole(kind: T.DataType, named: str) -> Column:
     return F.struct(*[F.col(f"{named}{i}").alias(f) for i, f in enumerate(kind.names)]) if isinstance(kind, T.StructType) else F.col(f"{named}0")
 
 
-def near_pairs(holders: DataFrame, count: int, percent: int, first_met: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def near_pairs(holders: DataFrame, count: int, percent: int, first_met: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None) -> DataFrame:
     """Pairs (a, b) of holders of one key, of different labels, that their sizes and sketches let reach the threshold.
 
-    holders: key, id, c (label), top (whether that is the key's greatest component), tasks, n, sketch, marks. A key's holders are
+    holders: key, id, c (label), top (whether that is the key's greatest component), tasks, n, sketch and, with first_met, marks;
+    without, a pair comes once for every key that its ids share. A key's holders are
     dealt to tasks * tasks blocks of those that look for others and those that are looked for; those in the greatest
     component do not look, and two others meet once. A task holds its blocks' sketches as arrays. count: the sum of 2 * tasks
     over holders.
@@ -319,8 +320,12 @@ def near_pairs(holders: DataFrame, count: int, percent: int, first_met: Callable
     sought = F.transform(every, lambda i: block(i, own, F.when((i == own) & ~F.col("top"), 3).otherwise(2)))
     seeking = F.transform(F.filter(every, lambda j: (j != own) & ~F.col("top")), lambda j: block(own, j, F.lit(1)))
     ids, labels = _fields(kind, "id", "id_"), _fields(label, "c", "c_")
-    dealt = holders.select("key", F.explode(F.concat(sought, seeking)).alias("_b"), "top", "n", "sketch", "marks", *ids, *labels)
-    dealt = dealt.select("key", "_b.i", "_b.j", "_b.side", "top", "n", "sketch", "marks", *[f"id_{i}" for i in range(len(ids))], *[f"c_{i}" for i in range(len(labels))])
+    lists = ["sketch", "marks"] if first_met else ["sketch"]
+    # Most keys are one block.
+    many, whole = holders.where("tasks > 1"), F.when(F.col("top"), 2).otherwise(3).alias("side")
+    dealt = many.select("key", F.explode(F.concat(sought, seeking)).alias("_b"), "top", "n", *lists, *ids, *labels)
+    dealt = dealt.select("key", "_b.i", "_b.j", "_b.side", "top", "n", *lists, *[f"id_{i}" for i in range(len(ids))], *[f"c_{i}" for i in range(len(labels))])
+    dealt = dealt.union(holders.where("tasks = 1").select("key", F.lit(0), F.lit(0), whole, "top", "n", *lists, *ids, *labels))
     tasks = max(int(holders.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // HOLDER_ROWS_A_TASK))
     n_ids, n_labels = len(ids), len(labels)
 
@@ -330,9 +335,9 @@ def near_pairs(holders: DataFrame, count: int, percent: int, first_met: Callable
             return
         t = pa.Table.from_batches(parts).combine_chunks()
         key, i, j, side, top, n = (t.column(c).to_numpy() for c in range(6))
-        sketch, marks = (t.column(c).chunk(0).flatten().to_numpy().reshape(len(t), -1) for c in (6, 7))
+        sketch, *marks = (t.column(c).chunk(0).flatten().to_numpy().reshape(len(t), -1) for c in lists)
         sketch = sketch.view(np.uint64)  # of a signed number, the bits of its absolute value would be counted
-        rest = [t.column(c).to_numpy() for c in range(8, 8 + n_ids + n_labels)]
+        rest = [c.to_numpy() for c in t.columns[-(n_ids + n_labels) :]]
         order = np.lexsort((n, j, i, key))
         moved = np.zeros(len(order), np.int64)
         for c in (key, i, j):
@@ -363,8 +368,9 @@ def near_pairs(holders: DataFrame, count: int, percent: int, first_met: Callable
                 differ = (differ[able] if words.start else 0) + np.bitwise_count(sketch[x, words] ^ sketch[y, words]).sum(axis=1, dtype=np.int64)
                 able = (100 + percent) * differ <= (100 - percent) * (n[x] + n[y])
             x, y = x[able], y[able]
-            able = first_met(marks[x], marks[y], key[x] & (PLACES - 1))
-            x, y = x[able], y[able]
+            for m in marks:
+                able = first_met(m[x], m[y], key[x] & (PLACES - 1))
+                x, y = x[able], y[able]
             if len(x):
                 yield pa.record_batch([pa.array(c[z]) for z in (x, y) for c in rest[:n_ids]], names=[f"{z}_{k}" for z in "xy" for k in range(n_ids)])
 
@@ -379,7 +385,7 @@ def link_similar(
     sets_of: Callable[[DataFrame], DataFrame],
     marks: DataFrame,
     n_marks: int,
-    first_met: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
+    first_met: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None,
     elements: Callable[[str], set],
     percent: int,
     into: Scratch,
@@ -392,7 +398,7 @@ def link_similar(
     surely, see verified.
     marks: rows (id, key) of keys with places under n_marks, an id at most one for a place; first_met tells from those of
     pairs of holders (a column a place, 0 where there is none) and the place of a key that they share whether it is the
-    first they share, so that a pair is met once.
+    first they share, so that a pair is met once. Without first_met, for few places, pairs that are met again are dropped.
 
     Exact among candidates; no pair is skipped by a cap. The leader of a key is the set with the most company in all its
     keys, mostly the original of a family of copies. A set first meets the leader of one key, that with the most rows: a
@@ -407,36 +413,40 @@ def link_similar(
     ids = old.write(live().groupBy("id").agg(F.sum("c").alias("company"), F.max(best).alias("best")), "candidates")
     # From here a set goes by a number, which the written table fixes: it sorts and moves as one long.
     sets = old.write(sets_of(ids().select("id")).withColumn("num", F.monotonically_increasing_id()), "candidate-sets")
-    fit = old.write(sets().select("id", "num", "n").join(ids(), "id"), "candidate-sizes")
+    fit = old.write(sets().select("id", "num", "n").join(ids().hint("shuffle_hash"), "id"), "candidate-sizes")
     order = F.struct(-F.col("company"), "n", "num")
     able = (F.col("num") != F.col("y.num")) & _fits(F.col("n"), F.col("y.n"), percent)
     leaders = fit().groupBy("best").agg(F.min_by(F.struct("num", "n"), order).alias("y"))
-    tried = old.write(fit().join(leaders, "best").where(able).select(F.col("num").alias("a"), F.col("y.num").alias("b")), "tried")
+    tried = old.write(fit().join(leaders.hint("shuffle_hash"), "best").where(able).select(F.col("num").alias("a"), F.col("y.num").alias("b")), "tried")
     links = old.write(_checked(tried(), sets, percent, elements, surely), "links")
     labels = components(links(), old)
 
     label = F.coalesce("component", "num").alias("c")
     named = lambda: labels.select(F.col("id").alias("num"), "component")
-    held = fit().join(named(), "num", "left").select("id", "num", "n", "company", label)
-    held = old.write(live().select("key", "id").join(held, "id").drop("id"), "bucket-labels")
+    held = fit().join(named().hint("shuffle_hash"), "num", "left").select("id", "num", "n", "company", label)
+    held = old.write(live().select("key", "id").join(held.hint("shuffle_hash"), "id").drop("id"), "bucket-labels")
     open_keys = held().groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key")
-    open_rows = old.write(held().join(open_keys, "key"), "open-buckets")
+    open_rows = old.write(held().join(open_keys.hint("shuffle_hash"), "key"), "open-buckets")
     leaders = open_rows().groupBy("key").agg(F.min_by(F.struct("num", "n", "c"), order).alias("y"))
-    asked = open_rows().join(leaders, "key").where(able & (F.col("c") != F.col("y.c"))).select(F.col("num").alias("a"), F.col("y.num").alias("b"))
-    more = old.write(_checked(asked.distinct().join(tried(), ["a", "b"], "left_anti"), sets, percent, elements, surely), "leader-links")
+    asked = open_rows().join(leaders.hint("shuffle_hash"), "key").where(able & (F.col("c") != F.col("y.c"))).select(F.col("num").alias("a"), F.col("y.num").alias("b"))
+    more = old.write(_checked(asked.distinct().join(tried().hint("shuffle_hash"), ["a", "b"], "left_anti"), sets, percent, elements, surely), "leader-links")
     labels = _merged(labels, more, old)
 
-    held = old.write(open_rows().select("key", "num").join(named(), "num", "left").select("key", "num", label), "open-labels")
+    held = old.write(open_rows().select("key", "num").join(named().hint("shuffle_hash"), "num", "left").select("key", "num", label), "open-labels")
     # Of two holders the leader's comparison has decided.
     sized = held().groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key")
     sized = sized.agg(F.sum("m").alias("m"), F.count("*").alias("kinds"), F.max_by("c", F.struct("m", "c")).alias("greatest")).where("kinds > 1 and m > 2")
     open_keys = old.write(sized.select("key", "greatest", "m", F.ceil(F.col("m") / HOLDERS_A_TASK).cast("int").alias("tasks")), "open-keys")
-    still = old.write(held().join(open_keys(), "key").select("key", F.col("num").alias("id"), "c", (F.col("c") == F.col("greatest")).alias("top"), "tasks"), "open-rows")
-    asked_for = old.write(fit().join(still().select(F.col("id").alias("num")).distinct(), "num", "left_semi").select("id", "num"), "open-ids")
-    place = F.col("key").bitwiseAND(F.lit(PLACES - 1))
-    marked = marks.join(asked_for(), "id").groupBy(F.col("num").alias("id")).agg(F.array(*[F.coalesce(F.max(F.when(place == i, F.col("key"))), F.lit(0).cast("long")) for i in range(n_marks)]).alias("marks"))
+    still = old.write(held().join(open_keys().hint("shuffle_hash"), "key").select("key", F.col("num").alias("id"), "c", (F.col("c") == F.col("greatest")).alias("top"), "tasks"), "open-rows")
     count = open_keys().agg(F.coalesce(F.sum(F.col("m") * (2 * F.col("tasks") - 1)), F.lit(0))).first()[0]
-    near = near_pairs(still().join(sets().select(F.col("num").alias("id"), "n", "sketch").join(marked, "id"), "id"), count, percent, first_met)
+    sketched = sets().select(F.col("num").alias("id"), "n", "sketch")
+    if first_met:
+        asked_for = old.write(fit().join(still().select(F.col("id").alias("num")).distinct(), "num", "left_semi").select("id", "num"), "open-ids")
+        place = F.col("key").bitwiseAND(F.lit(PLACES - 1))
+        marked = marks.join(asked_for(), "id").groupBy(F.col("num").alias("id")).agg(F.array(*[F.coalesce(F.max(F.when(place == i, F.col("key"))), F.lit(0).cast("long")) for i in range(n_marks)]).alias("marks"))
+        sketched = sketched.join(marked, "id")
+    near = near_pairs(still().join(sketched.hint("shuffle_hash"), "id"), count, percent, first_met)
+    near = near if first_met else near.distinct()
     more = old.write(_checked(near, sets, percent, elements, surely), "more-links")
     labels = _merged(labels, more, old)
 
@@ -464,8 +474,9 @@ def _merged(labels: DataFrame, more: Callable[[], DataFrame], into: Scratch) ->
 
 
 def _checked(pairs: DataFrame, sets: Callable[[], DataFrame], percent: int, elements: Callable[[str], set], surely: Callable[[str, str, int, int], bool] | None) -> DataFrame:
-    """The similar pairs of pairs, by texts; those of one b stand together."""
+    """The similar pairs of pairs, by texts. A number is one row of sets, so a task holds few of them as a table, and pairs
+    need not be sorted."""
     one = sets().select(F.col("num").alias("a"), F.col("set").alias("sa"), F.col("n").alias("na"), F.col("sketch").alias("x"))
     two = sets().select(F.col("num").alias("b"), F.col("set").alias("sb"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
     x, y = ([F.col(c)[i] for i in range(SKETCH)] for c in "xy")
-    return verified(pairs.join(one, "a").join(two, "b").where(_close(F.col("na"), F.col("nb"), x, y, percent)), elements, percent, surely)
+    return verified(pairs.join(one.hint("shuffle_hash"), "a").join(two.hint("shuffle_hash"), "b").where(_close(F.col("na"), F.col("nb"), x, y, percent)), elements, percent, surely)
